@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Wording of public licence notices.
@@ -46,6 +46,11 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
+def _computed(df: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+    """kept and the given columns, each computed once: a generator's output is not folded into what reads it."""
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Matches of whole texts: doc_id, license_id, n_units (distinct normalised units that match) and dice (the best).
 
@@ -62,15 +67,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     units = units.select("doc_id", F.explode(F.array_distinct(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, " +", " "))))).alias("unit"))
     # at least one word more than the fewest bigrams; d distinct words make d - 1 distinct bigrams or more
     spaces = F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit("")))
-    units = units.where(spaces >= least).withColumn("w", F.split("unit", " "))
+    units = _computed(units.where(spaces >= least), "doc_id", "unit", w=F.split("unit", " "))
     units = units.where((F.size("w") <= 4 * most + 4) | (F.size(F.array_distinct("w")) - 1 <= most))
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    units = units.where(F.size("w") >= 2).withColumn("b", F.array_distinct(pairs)).withColumn("n", F.size("b"))
-    known = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(low[k]).alias("low"), F.lit(high[k]).alias("high"), F.lit(len(v)).alias("n"), F.array(*map(F.lit, v)).alias("b")) for k, v in sets.items()))
-    fits = F.filter(known, lambda t: (F.col("n") >= t["low"]) & (F.col("n") <= t["high"]))
-    scored = F.transform(fits, lambda t: F.struct(t["license_id"].alias("license_id"), (2.0 * F.size(F.array_intersect(F.col("b"), t["b"])) / (F.col("n") + t["n"])).alias("dice")))
-    units = units.where((F.col("n") >= least) & (F.col("n") <= most)).select("doc_id", "unit", F.explode(scored).alias("m"))
-    hits = units.where(F.col("m.dice") >= threshold).select("doc_id", "unit", "m.license_id", "m.dice")
+    units = _computed(units.where(F.size("w") >= 2), "doc_id", "unit", b=F.array_distinct(pairs))
+    units = units.withColumn("n", F.size("b")).where((F.col("n") >= least) & (F.col("n") <= most))
+    known = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(low[k]).alias("low"), F.lit(high[k]).alias("high"), F.lit(len(v)).alias("m"), F.array(*map(F.lit, v)).alias("tb")) for k, v in sets.items()))
+    near = units.select("doc_id", "unit", "b", "n", F.inline(known)).where((F.col("n") >= F.col("low")) & (F.col("n") <= F.col("high")))
+    hits = near.withColumn("dice", 2.0 * F.size(F.array_intersect("b", "tb")) / (F.col("n") + F.col("m"))).where(F.col("dice") >= threshold)
     return hits.groupBy("doc_id", "license_id").agg(F.count_distinct("unit").alias("n_units"), F.max("dice").alias("dice"))
 
 

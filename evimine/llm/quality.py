@@ -35,7 +35,7 @@ def _rules() -> dict[str, Column]:
         "few_words": n < 50,
         "repeated_words": 100 * F.col("n_repeat_words") > 50 * n,
         "symbols": 100 * F.col("n_symbols") > 25 * n,
-        "repeated_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+        "repeated_lines": 100 * F.col("n_dup_lines") > 60 * F.col("n_lines"),
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n),
         "letterless_words": 100 * F.col("n_letter_words") < 50 * n,
     }
