@@ -8,17 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evimine.llm import bpe, chat, licenses, mixing, quality
+from evimine.llm import bpe, chat, licenses, mixing, ngram_join, quality, substrings
 from evimine.llm._spark import cut, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of each document."""
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, decoded again."""
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the passages that earlier ones have."""
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence templates found in each document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -44,7 +54,9 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_license_scan": op5_license_scan,
     "op7_source_mix": op7_source_mix,
     "op9_chat_examples": op9_chat_examples,
