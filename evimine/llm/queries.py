@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evimine.llm import bpe, chat, licenses, mixing, ngram_join, quality, substrings
-from evimine.llm._spark import cut, table
+from evimine.llm import ann, bpe, chat, langid, licenses, lm, mixing, ngram_join, quality, substrings
+from evimine.llm._spark import cut, id_fold, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -29,11 +29,21 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document under a model of four fifths of them."""
+    return lm.score(table(spark, sf_dir, "documents"), id_fold("doc_id", 5) == 1)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence templates found in each document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found of every fiftieth."""
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
@@ -41,6 +51,13 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from three quarters of them."""
+    docs, fold = table(spark, sf_dir, "documents"), id_fold("doc_id", 4)
+    found = langid.predict(docs.select("doc_id", "text"), langid.learn(docs, fold != 2))
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its training examples."""
     said = "</s>[INST] ok [/INST]"
@@ -57,8 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_lm_score": op4_lm_score,
     "op5_license_scan": op5_license_scan,
+    "op6_permutation_index": op6_permutation_index,
     "op7_source_mix": op7_source_mix,
+    "op8_language_id": op8_language_id,
     "op9_chat_examples": op9_chat_examples,
     "op10_quality_ledger": op10_quality_ledger,
 }
