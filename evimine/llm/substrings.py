@@ -29,8 +29,8 @@ from evimine.llm import _sketch, _text
 WIDTH = 13
 #: Cells of a row of the sketch are 2**bits: at most 2**30 (a bitmap of 128 MB).
 LEAST_BITS, MOST_BITS, DEPTH = 16, 30, 2
-#: Text read before windows are grouped, and windows meant for one task of the exact pass.
-STRETCH_BYTES, GROUP_WINDOWS = 8 << 20, 4_000_000
+#: Text read before windows are grouped, windows meant for one task of the exact pass, and its least number of tasks.
+STRETCH_BYTES, GROUP_WINDOWS, LEAST_GROUPS = 8 << 20, 4_000_000, 32
 _KEY = "_text_hash"
 
 
@@ -135,7 +135,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     read = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.hash(text).alias(_KEY))
     estimate = _estimated_windows(read, "text")
     bits = min(MOST_BITS, max(LEAST_BITS, (int(estimate * 1.5) or 1).bit_length()))
-    groups = max(1, -(-estimate // GROUP_WINDOWS))
+    groups = max(LEAST_GROUPS, -(-estimate // GROUP_WINDOWS))
     sketch = _sketch.repeated(read.select("text"), lambda batch: _distinct_names(batch.column("text"), width), bits, DEPTH)
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
