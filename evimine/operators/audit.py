@@ -76,3 +76,37 @@ def semantic_duplicates(rules: DataFrame, meaning: DataFrame) -> DataFrame:
     """One row per rule (antecedent, items) and group of meaning (item, semantic) with two or more of its items."""
     each = rules.select("antecedent", F.explode("items").alias("item")).join(F.broadcast(meaning), "item")
     return each.groupBy("antecedent", "semantic").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), "||").alias("duplicated")).where("n_items > 1")
+
+
+#: Stages and whether each may learn from test rows.
+STAGES = {"cohort": False, "split": False, "matrix": False, "selection": False, "mining": False, "replay": True, "grading": True, "models": False, "triplets": False}
+
+
+def leakage_matrix(spark, used: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """stage, input, split and status of every input that a stage recorded: a test input is FAIL unless the stage only evaluates."""
+    rows = [(stage, name, split, "PASS" if split == "train" or STAGES.get(stage, False) else "FAIL") for stage, inputs in used.items() for name, split in inputs]
+    return spark.createDataFrame(rows, "stage string, input string, split string, status string")
+
+
+def file_category(name: Column) -> Column:
+    """What a written file is, by its name."""
+    low = F.lower(name)
+    return (
+        F.when(low.endswith("manifest.json"), "manifest")
+        .when(low.rlike("audit|check|verification"), "audit")
+        .when(low.rlike("rule|triplet"), "rules")
+        .when(low.rlike("feature|screener|selection"), "features")
+        .when(low.rlike("model|coefficient|holdout"), "models")
+        .otherwise("other")
+    )
+
+
+def alias_co_occurrence(rules: DataFrame, aliases: list[str], items: str = "items") -> DataFrame:
+    """rules that hold two or more names of one thing."""
+    return rules.where(F.size(F.array_intersect(items, F.array(*map(F.lit, aliases)))) > 1)
+
+
+def schema_problems(df: DataFrame, required: dict[str, str]) -> list[str]:
+    """Missing columns and those of another type."""
+    have = dict(df.dtypes)
+    return [f"{c}: missing" if c not in have else f"{c}: {have[c]} instead of {t}" for c, t in required.items() if have.get(c) != t]

@@ -114,3 +114,13 @@ def family_distribution(rules: DataFrame, by: list[str]) -> DataFrame:
 
 def reporting_role(evidence: Column) -> Column:
     return F.when(evidence.isin(CORE, BINARY), "main text").when(evidence == STATISTICAL, "monitoring").when(evidence == REPLAYABLE, "supplement").otherwise("hypothesis")
+
+
+def main_table(graded: DataFrame, tiers: tuple[str, ...] = (CORE, BINARY, REPLAYABLE)) -> DataFrame:
+    """The rules that a main table reports, best tier first, then risk ratio and hits, ties by name."""
+    order = [tier_rank(F.col("tier")), F.desc_nulls_last("risk_ratio"), F.desc_nulls_last("hit"), F.asc("antecedent")]
+    return graded.where(F.col("tier").isin(*tiers)).orderBy(*order)
+
+
+def recommended_use(evidence: Column) -> Column:
+    return F.when(evidence == CORE, "priority governance target").when(evidence == BINARY, "targeted governance signal").when(evidence == STATISTICAL, "confirmatory monitoring signal").when(evidence == REPLAYABLE, "replay reference").otherwise("exploration only")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evimine.functions.text import is_binary_like
+
 # Names (by fragment) and physical bounds of engineering quantities.
 PHYSICAL_BOUNDS = {
     "V0": (0.0, 250.0), "VK": (0.0, 250.0), "MUE": (0.0, 1.2), "GROESP": (30.0, 250.0), "GEWP": (2.0, 200.0),
@@ -91,3 +93,33 @@ def require_training_only(df: DataFrame, split: str = "split") -> DataFrame:
     if not df.where(~F.col(split).eqNullSafe(F.lit("train"))).isEmpty():
         raise LeakageError(f"rows of another {split} than train reach a fit")
     return df
+
+
+def find_column(columns: list[str], candidates: list[str], fragments: list[str]) -> str:
+    """The first candidate there is, else the first column that holds a fragment."""
+    for c in candidates:
+        if c in columns:
+            return c
+    for c in columns:
+        if any(f in c for f in fragments):
+            return c
+    raise KeyError(f"none of {candidates}, and no name with any of {fragments}")
+
+
+def column_roles(train: DataFrame, skip: list[str]) -> dict[str, str]:
+    """engineering (bounded by name), numeric (numbers beyond 0 and 1) or categorical, by names and one pass over train."""
+    columns = [f for f in train.schema.fields if f.name not in skip]
+    row = train.agg(*(is_binary_like(F.col(f.name)).alias(str(i)) for i, f in enumerate(columns))).first()
+    numbers = ("byte", "short", "int", "bigint", "long", "integer", "float", "double")
+    roles = {}
+    for i, f in enumerate(columns):
+        number = f.dataType.simpleString() in numbers
+        roles[f.name] = "engineering" if bound_of(f.name) else "numeric" if number and not row[str(i)] else "categorical"
+    return roles
+
+
+def clean_matrix(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """keep and features as doubles; what is no finite number counts 0."""
+    number = lambda c: F.col(c).try_cast("double")
+    finite = lambda c: F.when(~F.isnan(number(c)) & (F.abs(number(c)) < float("inf")), number(c))
+    return df.select(*keep, *(F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in features))

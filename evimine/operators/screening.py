@@ -8,6 +8,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evimine.functions import stats
@@ -120,3 +121,110 @@ def metric_row(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def holdouts(scored: DataFrame, by: list[str]) -> DataFrame:
     """Mean, standard deviation and number of repeated metrics."""
     return scored.groupBy(*by).agg(F.avg("auroc").alias("auroc_mean"), F.stddev_samp("auroc").alias("auroc_sd"), F.count(F.lit(1)).alias("n"))
+
+
+def coefficients(model, features: list[str]) -> list[tuple[str, float]]:
+    """Features and weights of a fitted linear model or forest, largest first."""
+    values = model.coefficients if hasattr(model, "coefficients") else model.featureImportances
+    return sorted(((f, float(v)) for f, v in zip(features, values.toArray(), strict=True)), key=lambda x: (-abs(x[1]), x[0]))
+
+
+def with_fold(df: DataFrame, group: str, folds: int, seed: int = 42) -> DataFrame:
+    """df with the fold (0 to folds - 1) of each row's group."""
+    return df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), group), F.lit(folds)).cast("int"))
+
+
+def stability(df: DataFrame, features: list[str], label: str, group: str, names: tuple[str, ...] = ("logistic", "forest"), folds: int = 5, top: int = 50) -> dict[str, float]:
+    """Share of fits (folds x models, each without one fold) that rank a feature among their top."""
+    placed = with_fold(df, group, folds).persist()
+    votes = dict.fromkeys(features, 0)
+    for fold in range(folds):
+        train = placed.where(F.col("_fold") != fold)
+        for name in names:
+            model, _ = fit_score(train, train.limit(0), features, label, name, [])
+            for f, v in coefficients(model, features)[:top]:
+                votes[f] += v != 0
+    placed.unpersist()
+    return {f: n / (folds * len(names)) for f, n in votes.items()}
+
+
+def shuffled(df: DataFrame, column: str, seed: int) -> DataFrame:
+    """df with the values of one column dealt anew, each as often as before: rows and values are numbered within hash
+    partitions of equal size, so nothing is ordered globally."""
+    place = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), F.lit(64))
+    by_row = W.partitionBy("_p").orderBy(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in df.columns]))
+    by_value = W.partitionBy("_p").orderBy(F.xxhash64(F.lit(seed + 2), *[F.col(c) for c in df.columns]))
+    numbered = df.withColumn("_p", place)
+    rows = numbered.withColumn("_n", F.row_number().over(by_row))
+    values = numbered.select("_p", F.col(column).alias("_v"), F.row_number().over(by_value).alias("_n"))
+    return rows.drop(column).join(values, ["_p", "_n"]).withColumnRenamed("_v", column).select(*df.columns)
+
+
+def permutation_importance(df: DataFrame, features: list[str], label: str, group: str, name: str = "logistic", folds: int = 3, repeats: int = 2) -> dict[str, float]:
+    """Mean loss of AUROC on held-out folds when a feature's values are shuffled, at least 0."""
+    placed = with_fold(df, group, folds).persist()
+    lost = dict.fromkeys(features, 0.0)
+    for fold in range(folds):
+        train, test = placed.where(F.col("_fold") != fold), placed.where(F.col("_fold") == fold)
+        base = metric_row(fit_score(train, test, features, label, name, [])[1]).first()["auroc"] or 0.0
+        for f in features:
+            for r in range(repeats):
+                scored = fit_score(train, shuffled(test, f, r), features, label, name, [])[1]
+                lost[f] += base - (metric_row(scored).first()["auroc"] or 0.0)
+    placed.unpersist()
+    return {f: max(0.0, v / (folds * repeats)) for f, v in lost.items()}
+
+
+def wolf_search(features: list[str], fitness, wolves: int = 8, iterations: int = 8, penalty: float = 0.010, seed: int = 42) -> tuple[list[str], float]:
+    """The best subset found by grey-wolf search: positions in [0, 1] per feature, drawn towards the three best, above one
+    half is chosen. fitness (of a tuple of features) is computed once per subset; each chosen feature costs penalty / number of features."""
+    import random
+
+    r = random.Random(seed)
+    known: dict[tuple[str, ...], float] = {}
+
+    def value(at: list[float]) -> float:
+        chosen = tuple(f for f, x in zip(features, at, strict=True) if x > 0.5)
+        if chosen not in known:
+            known[chosen] = (fitness(chosen) - penalty * len(chosen) / len(features)) if chosen else float("-inf")
+        return known[chosen]
+
+    pack = [[r.random() for _ in features] for _ in range(wolves)]
+    for step in range(iterations):
+        leaders = [list(p) for p in sorted(pack, key=value, reverse=True)[:3]]
+        reach = 2 * (1 - step / iterations)
+        for wolf in pack:
+            for i in range(len(features)):
+                pulls = []
+                for leader in leaders:
+                    a, c = reach * (2 * r.random() - 1), 2 * r.random()
+                    pulls.append(leader[i] - a * abs(c * leader[i] - wolf[i]))
+                wolf[i] = min(1.0, max(0.0, sum(pulls) / len(pulls)))
+        for wolf in pack:
+            value(wolf)
+    best = max(known, key=lambda k: (known[k], -len(k), k))
+    return list(best), known[best]
+
+
+def method_comparison(chosen: dict[str, list[str]], reference: str, df: DataFrame, label: str, group: str, folds: int = 3) -> list[tuple[str, int, int, float]]:
+    """Per method: number of features, overlap with the reference method's, and mean F1.5 over held-out folds."""
+    placed = with_fold(df, group, folds).persist()
+    out = []
+    for method, features in chosen.items():
+        scores = []
+        for fold in range(folds):
+            _, scored = fit_score(placed.where(F.col("_fold") != fold), placed.where(F.col("_fold") == fold), features, label, "logistic", [])
+            scores.append(metric_row(scored).first()["f_beta"])
+        out.append((method, len(features), len(set(features) & set(chosen[reference])), sum(scores) / folds))
+    placed.unpersist()
+    return out
+
+
+def family_coverage(candidates: DataFrame, selected: DataFrame, caps: dict[str, int], least: dict[str, int], default_cap: int = 2) -> DataFrame:
+    """Per family (column family of both tables): candidates, selected, its cap and minimum, and whether both hold."""
+    n = candidates.groupBy("family").agg(F.count(F.lit(1)).alias("n_candidates"))
+    s = selected.groupBy("family").agg(F.count(F.lit(1)).alias("n_selected"))
+    table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv)) if d else F.create_map().cast("map<string,int>")
+    joined = n.join(s, "family", "left").withColumn("n_selected", F.coalesce("n_selected", F.lit(0)))
+    joined = joined.withColumns({"cap": F.coalesce(table(caps)[F.col("family")], F.lit(default_cap)), "least": F.coalesce(table(least)[F.col("family")], F.lit(0))})
+    return joined.withColumn("satisfied", F.col("n_selected").between(F.col("least"), F.col("cap")))

@@ -149,3 +149,51 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     query = score.rule_counts(stream, ITEMS, named, "ts").writeStream.outputMode("update").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {tuple(r) for r in spark.table("counts").collect()} >= batch and len(batch) > 5
+
+
+def test_roles_and_clean_matrices(spark):
+    df = spark.createDataFrame([(1, "1", 30.0, "a", 0.0), (2, "x", float("inf"), "b", 1.0), (3, None, float("nan"), None, None)], "id int, s string, VEH_V0 double, c string, flag double")
+    assert prep.column_roles(df.drop("s"), ["id"]) == {"VEH_V0": "engineering", "c": "categorical", "flag": "categorical"}
+    assert {tuple(r) for r in prep.clean_matrix(df, ["s", "VEH_V0"], ["id"]).collect()} == {(1, 1.0, 30.0), (2, 0.0, 0.0), (3, 0.0, 0.0)}
+    assert prep.find_column(["a", "xFALLy"], ["KEY"], ["FALL"]) == "xFALLy"
+    with pytest.raises(KeyError):
+        prep.find_column(["a"], ["KEY"], ["FALL"])
+
+
+def test_screeners_prefer_the_informative_feature(spark):
+    df = spark.range(300).select((F.col("id") % 40).alias("g"), (F.col("id") % 2).cast("double").alias("signal"), F.pmod(F.xxhash64("id"), F.lit(7)).cast("double").alias("noise"), (F.col("id") % 2).cast("int").alias("y"))
+    votes = screening.stability(df, ["signal", "noise"], "y", "g", ("logistic",), 2, 1)
+    assert votes["signal"] == 1.0
+    lost = screening.permutation_importance(df, ["signal", "noise"], "y", "g", "logistic", 2, 1)
+    assert lost["signal"] > 0.1 > lost["noise"]
+    moved = screening.shuffled(df, "signal", 3)
+    assert sorted(r[0] for r in moved.select("signal").collect()) == sorted(r[0] for r in df.select("signal").collect())
+    compared = {m: f for m, _, _, f in screening.method_comparison({"good": ["signal"], "bad": ["noise"]}, "good", df, "y", "g", 2)}
+    assert compared["good"] == 1.0 > compared["bad"]
+
+
+def test_wolf_search_finds_the_useful_features():
+    calls = []
+
+    def fitness(chosen):
+        calls.append(chosen)
+        return 0.3 * ("a" in chosen) + 0.3 * ("c" in chosen)
+
+    best, value = screening.wolf_search(list("abcdef"), fitness, iterations=12)
+    assert {"a", "c"} <= set(best) and len(calls) == len(set(calls)) and value > 0.55
+
+
+def test_audits(spark):
+    from evimine.operators import audit
+
+    found = {(r["stage"], r["split"]): r["status"] for r in audit.leakage_matrix(spark, {"mining": [("m", "train"), ("t", "test")], "replay": [("t", "test")]}).collect()}
+    assert found == {("mining", "train"): "PASS", ("mining", "test"): "FAIL", ("replay", "test"): "PASS"}
+    names = spark.createDataFrame([("02_Run_Manifest.json",), ("Rule_Item_Replay_Audit.csv",), ("x.csv",)], "n string")
+    assert [r[0] for r in names.select(audit.file_category(F.col("n"))).collect()] == ["manifest", "audit", "other"]
+    assert audit.schema_problems(names, {"n": "int", "m": "int"}) == ["n: string instead of int", "m: missing"]
+    with pytest.raises(audit.ChecksFailed):
+        audit.require(audit.check(names, "few", "no rows", F.count(F.lit(1)) == 0))
+    graded = spark.createDataFrame([("a", evidence.REPLAYABLE, 2.0, 5), ("b", evidence.CORE, 1.0, 5), ("c", evidence.STATISTICAL, 9.0, 5)], "antecedent string, tier string, risk_ratio double, hit long")
+    assert [r["antecedent"] for r in evidence.main_table(graded).collect()] == ["b", "a"]
+    both = screening.family_coverage(spark.createDataFrame([("f",), ("f",), ("g",)], "family string"), spark.createDataFrame([("f",)], "family string"), {"f": 1}, {"g": 1})
+    assert {r["family"]: r["satisfied"] for r in both.collect()} == {"f": True, "g": False}
