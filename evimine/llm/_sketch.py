@@ -138,6 +138,16 @@ def maybe(bitmaps: list[np.ndarray], names: np.ndarray, bits: int) -> np.ndarray
     return keep
 
 
+def _narrow(total: np.ndarray) -> bytes:
+    """Saturated counts in the fewest bytes each; the first byte says how many."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if k is np.uint32 or int(total.max()) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + np.minimum(total, 2**32 - 1).astype(kind).tobytes()
+
+
+def _wide(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1)
+
+
 def counts(df: DataFrame, names: Names, bits: int, blocks: int = 16) -> np.ndarray:
     """One row of 2**bits cells: how many names of the input fell into each, saturating at 2**32 - 1."""
     each = (1 << bits) // blocks
@@ -149,17 +159,17 @@ def counts(df: DataFrame, names: Names, bits: int, blocks: int = 16) -> np.ndarr
                 total += np.bincount(cells_of(found, bits, 0), minlength=1 << bits)
         if total.any():
             slot = TaskContext.get().partitionId()
-            total = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(blocks, each)
-            yield _rows([(slot, 0, b, total[b].tobytes()) for b in range(blocks)])
+            total = total.reshape(blocks, each)
+            yield _rows([(slot, 0, b, _narrow(total[b])) for b in range(blocks)])
 
     def merge(payloads: list[bytes]) -> bytes:
         total = np.zeros(each, np.int64)
         for p in payloads:
-            total += np.frombuffer(p, np.uint32)
-        return np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
+            total += _wide(p)
+        return _narrow(total)
 
     found = _tree(df.mapInArrow(partial, _SCHEMA), merge, lambda payload: payload)
     out = np.zeros((blocks, each), np.uint32)
     for (_, block), part in found.items():
-        out[block] = np.frombuffer(part, np.uint32)
+        out[block] = _wide(part)
     return out.reshape(-1)

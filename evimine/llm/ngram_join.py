@@ -7,9 +7,9 @@ once; lists of groups that share a prefix shingle give group pairs, which size a
 pairs are expanded to their members' distinct sets and verified by exact intersection.
 
 No list or group is paired out in full. A long list (a shingle that thousands of near copies share) first yields a
-number of pairs in proportion to its length: neighbours in size, and each against the first of its size band. Links found
-so are contracted to components; pairs of sets already connected need no look, so only pairs across components of one
-list are left, and those are all verified. No link that could join two components is lost.
+number of pairs in proportion to its length: each against a few of its size band. Links found so are contracted to
+components; pairs of sets already connected need no look, so only pairs across components that meet in a list are left,
+and those are all verified. No link that could join two components is lost.
 
 Postings travel packed and meet in groups of shingles whose number follows the input; copies are dropped where the text is
 read, so a group of copies is posted once per stretch of text.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimine.llm import _sketch, _text
@@ -31,10 +31,16 @@ from evimine.llm.components import components
 WIDTH = 5
 #: Similarity of at least NUMERATOR / 100.
 NUMERATOR = 75
-#: Cells of the count sketch that orders shingles (a 4 MB table).
-ORDER_BITS = 20
+#: Cells of the count sketch that orders shingles (a 16 MB table).
+ORDER_BITS = 22
 #: Lists up to this long are paired out at once.
 SHORT = 16
+#: In a longer list, each entry is paired with so many of its size band and of the band below.
+LEADERS = 8
+#: Stands for more shared shingles than any filter asks for.
+ALWAYS = 1 << 40
+#: Documents to look at again are marked in a table of this size (2 MB), so that their texts are found by a scan.
+SLOTS = 1 << 21
 STRETCH_BYTES, STRETCH_ROWS, GROUP_POSTINGS = 8 << 20, 60_000, 2_000_000
 
 
@@ -114,7 +120,7 @@ class _Postings:
 
 
 _KINDS = (np.uint64, np.uint16, np.uint16, np.int64, np.int32)
-_FOUND = "list long, a long, b long, size int"
+_FOUND = "list long, a long, b long, na long, nb long, shared long, largest long"
 
 
 def _unpack(payload: bytes) -> list[np.ndarray]:
@@ -125,6 +131,16 @@ def _unpack(payload: bytes) -> list[np.ndarray]:
     return out
 
 
+def _largest(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The largest set that an entry at this place can link with through this list.
+
+    Sets that share i shingles share one of the first n - i + 1 of either, so some list must hold both at places of at most
+    n - i; the larger the other set, the larger the i that it takes.
+    """
+    place = np.where(place < 65535, place, 0)
+    return (100 + NUMERATOR) * (n - place) // NUMERATOR - n
+
+
 def _possible(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether entries i and j of one list (n[i] <= n[j]) pass the size and position filters."""
     small, large = n[i], n[j]
@@ -134,7 +150,10 @@ def _possible(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 
 
 def _pair(t: pa.Table) -> pa.Table:
-    """Group pairs of all lists of one part (list is null), and the entries of its long lists (b is null)."""
+    """Group pairs of all lists of one part with the prefix shingles they share (list is null), and the entries of its long lists (b is null).
+
+    Pairs that a long list offers are not counted but always looked at: its other pairs are left to the contraction.
+    """
     parts = [_unpack(p) for p in t.column("payload").to_pylist()]
     token = np.concatenate([p[0] for p in parts])
     place = np.concatenate([p[1] for p in parts]).astype(np.int64)
@@ -148,41 +167,72 @@ def _pair(t: pa.Table) -> pa.Table:
     again[1:][same] = again[:-1][same] = True
     order, token = order[again], token[again]
     place, group, n = place[order], group[order], n[order]
-    order = np.lexsort((group, n, token))
-    token, place, group, n = token[order], place[order], group[order], n[order]
+    band = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / NUMERATOR)).astype(np.int64)  # of sizes that can link
+    order = np.lexsort((group, band, token))
+    token, place, group, n, band = token[order], place[order], group[order], n[order], band[order]
     once = np.ones(len(token), bool)
     once[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-    token, place, group, n = token[once], place[once], group[once], n[once]
-    starts = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0) if len(token) else np.zeros(0, np.int64)
+    token, place, group, n, band = token[once], place[once], group[once], n[once], band[once]
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(token)))
     start_of, length_of = np.repeat(starts, lengths), np.repeat(lengths, lengths)
     index = np.arange(len(token))
     found = []
     for step in range(1, SHORT):
-        i = index[(length_of <= SHORT) | (step == 1)]
+        i = index[length_of <= SHORT]
         j = i + step
-        ok = (j < len(token)) & (j < start_of[i] + length_of[i])
+        ok = j < start_of[i] + length_of[i]
         found.append((i[ok], j[ok]))
     long_ = index[length_of > SHORT]
     if len(long_):
-        band = np.floor(np.log(n[long_]) / np.log(100 / NUMERATOR)).astype(np.int64)  # of sizes that can link
-        new = np.ones(len(long_), bool)
-        new[1:] = (token[long_][1:] != token[long_][:-1]) | (band[1:] != band[:-1])
-        found.append((long_[np.flatnonzero(new)[np.cumsum(new) - 1]], long_))
+        t, bands = token[long_], band[long_]
+        first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (bands[1:] != bands[:-1])))
+        size = np.diff(np.append(first, len(long_)))
+        own = np.repeat(np.arange(len(first)), size)
+        # the least names of a band are the same ones in most lists of a family of near copies
+        for back in (0, 1):
+            of = own - back
+            near = (of >= 0) & (t[first[of]] == t) & (bands[first[of]] == bands - back)
+            for leader in range(LEADERS):
+                ok = np.flatnonzero(near & (leader < size[of]))
+                found.append((long_[first[of[ok]] + leader], long_[ok]))
+    weight = np.concatenate([np.full(len(x[0]), 1 if k < SHORT - 1 else ALWAYS, np.int64) for k, x in enumerate(found)])
     i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    i, j = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
     ok = (i != j) & _possible(n, place, i, j)
-    pairs = np.unique(np.stack([np.minimum(group[i[ok]], group[j[ok]]), np.maximum(group[i[ok]], group[j[ok]])], 1), axis=0)
-    none = pa.nulls(len(pairs), pa.int64())
+    i, j, weight = i[ok], j[ok], weight[ok]
+    swap = group[i] > group[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    order = np.lexsort((group[j], group[i]))
+    i, j, weight = i[order], j[order], weight[order]
+    first = np.flatnonzero(np.append(True, (group[i][1:] != group[i][:-1]) | (group[j][1:] != group[j][:-1]))) if len(i) else np.zeros(0, np.int64)
+    shared = np.add.reduceat(weight, first) if len(first) else weight
+    i, j = i[first], j[first]
+    none, empty = (lambda k: pa.nulls(k, pa.int64())), len(long_)
     return pa.table(
         {
-            "list": pa.concat_arrays([none, pa.array(token[long_].view(np.int64))]),
-            "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(group[long_])]),
-            "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(long_), pa.int64())]),
-            "size": pa.concat_arrays([pa.nulls(len(pairs), pa.int32()), pa.array(n[long_].astype(np.int32))]),
+            "list": pa.concat_arrays([none(len(i)), pa.array(token[long_].view(np.int64))]),
+            "a": pa.concat_arrays([pa.array(group[i]), pa.array(group[long_])]),
+            "b": pa.concat_arrays([pa.array(group[j]), none(empty)]),
+            "na": pa.concat_arrays([pa.array(n[i]), pa.array(n[long_])]),
+            "nb": pa.concat_arrays([pa.array(n[j]), none(empty)]),
+            "shared": pa.concat_arrays([pa.array(shared), none(empty)]),
+            "largest": pa.concat_arrays([none(len(i)), pa.array(_largest(n[long_], place[long_]))]),
         }
     )
 
 
+def _enough() -> Column:
+    """Whether two groups that share so many prefix shingles can link: what lies behind the prefixes adds at most the longer rest.
+
+    Shingles of long lists are not counted in shared; they add at most as many as either group has.
+    """
+    rest = lambda n: (NUMERATOR * F.col(n) + 99) / 100
+    needed = F.ceil(NUMERATOR * (F.col("na") + F.col("nb")) / (100 + NUMERATOR))
+    long_ = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    return F.col("shared") + long_ + F.greatest(F.floor(rest("na")), F.floor(rest("nb"))) - 1 >= needed
+
+
 def _set_rows(batch: pa.RecordBatch) -> Iterator[tuple[_text.Chunk, list[np.ndarray]]]:
     for chunk in _text.chunks(batch.column("text")):
         yield chunk, shingle_sets(chunk)
@@ -229,16 +279,20 @@ def candidates(read: DataFrame, order, bits: int, parts: int) -> DataFrame:
 def _verified(read: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Those pairs (a, b: fingerprints) whose sets link. known: set and the id of one of its documents."""
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    ids = wanted.join(known, "set").select(F.col("first_id").alias("doc_id")).distinct()
+    ids = wanted.join(known, "set").select(F.col("first_id").alias("doc_id"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
+    marked = np.zeros(SLOTS, bool)
+    marked[ids.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    sent = read.sparkSession.sparkContext.broadcast(marked)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in _set_rows(batch):
+            some = batch.filter(pa.array(sent.value[batch.column("slot").to_numpy(zero_copy_only=False)]))
+            for _, part in _set_rows(some):
                 yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in part], pa.int64()), pa.array([s.tobytes() for s in part], pa.binary())], names=["set", "shingles"])
 
-    texts = read.join(ids, "doc_id", "left_semi").select("text")
-    held = texts.mapInArrow(sets, "set long, shingles binary").dropDuplicates(["set"])
-    held = cut(held.join(wanted, "set", "left_semi"), "sets")
+    # a few more texts than needed may pass the slots; the joins leave their sets out
+    held = cut(read.select("text", slot.alias("slot")).mapInArrow(sets, "set long, shingles binary"), "sets")
     both = pairs.join(held.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(held.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -279,7 +333,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     # group pairs to pairs of their members' sets; a group of several sets is a list of its own
     of_group = known.select("grp", "set")
-    pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
+    pairs = found.where("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    long_of = found.where("b IS NULL").groupBy("a").agg(F.count(F.lit(1)).alias("la"))
+    pairs = pairs.join(long_of, "a", "left").join(long_of.withColumnsRenamed({"a": "b", "la": "lb"}), "b", "left").where(_enough()).select("a", "b")
     pairs = pairs.join(of_group.withColumnsRenamed({"grp": "a", "set": "sa"}), "a").join(of_group.withColumnsRenamed({"grp": "b", "set": "sb"}), "b")
     within = known.groupBy("grp").agg(F.min("set").alias("sa"), F.count(F.lit(1)).alias("c")).where("c > 1")
     within_pairs = within.join(of_group, "grp").where("set <> sa").select("sa", F.col("set").alias("sb"))
@@ -290,20 +346,26 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     root = components(links)
 
     # what long lists still hold across components
-    lists = found.where("b IS NULL").select("list", F.col("a").alias("grp")).join(known.select("grp", "set", "n"), "grp").select("list", "set", "n")
-    lists = lists.unionByName(within.select("grp").join(known, "grp").select(F.col("grp").alias("list"), "set", "n"))
-    lists = lists.join(root.withColumnRenamed("node", "set"), "set", "left").select("list", "set", "n", F.coalesce("root", "set").alias("root"))
+    lists = found.where("b IS NULL").select("list", F.col("a").alias("grp"), "largest").join(known.select("grp", "set", "n"), "grp").select("list", "set", "n", "largest")
+    same = within.select("grp").join(known, "grp").select(F.col("grp").alias("list"), "set", "n", F.col("n").alias("largest"))
+    lists = lists.unionByName(same).where(F.col("largest") * 100 >= F.col("n") * NUMERATOR)
+    lists = lists.join(root.withColumnRenamed("node", "set"), "set", "left").select("list", "set", "n", "largest", F.coalesce("root", "set").alias("root"))
     lists = cut(lists, "lists")
     open_ = lists.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
     left = cut(lists.join(open_, "list", "left_semi"), "open")
-    x, y = left.alias("x"), left.alias("y")
-    within_size = (F.col("x.n") * 100 >= F.col("y.n") * NUMERATOR) & (F.col("x.n") <= F.col("y.n"))
-    more = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.root") != F.col("y.root")) & within_size)
-    more = more.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
+    held = left.groupBy("list", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("largest").alias("largest"))
+    x, y = held.alias("x"), held.alias("y")
+    near = (F.col("x.hi") * 100 >= F.col("y.lo") * NUMERATOR) & (F.col("y.hi") * 100 >= F.col("x.lo") * NUMERATOR)
+    near = near & (F.col("y.lo") <= F.col("x.largest")) & (F.col("x.lo") <= F.col("y.largest"))
+    meet = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.root") < F.col("y.root")) & near).select(F.col("x.root").alias("rx"), F.col("y.root").alias("ry")).distinct()
+    member_of = left.groupBy("set", "n", "root").agg(F.max("largest").alias("l"))
+    more = meet.join(member_of.withColumnsRenamed({"set": "sx", "n": "nx", "root": "rx", "l": "lx"}), "rx").join(member_of.withColumnsRenamed({"set": "sy", "n": "ny", "root": "ry", "l": "ly"}), "ry")
+    more = more.where((F.col("nx") * 100 >= F.col("ny") * NUMERATOR) & (F.col("ny") * 100 >= F.col("nx") * NUMERATOR) & (F.col("ny") <= F.col("lx")) & (F.col("nx") <= F.col("ly")))
+    more = more.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b"))
     more = cut(more.join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        links = cut(links.unionByName(_verified(read, more, first_of)), "links")
-        root = components(links)
+        found_more = _verified(read, more, first_of)
+        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found_more))
 
     rooted = known.groupBy("set").agg(F.min("first_id").alias("first_id")).join(root.withColumnRenamed("node", "set"), "set", "left")
     rooted = rooted.select("set", "first_id", F.coalesce("root", "set").alias("root"))
