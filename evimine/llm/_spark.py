@@ -57,20 +57,3 @@ def id_fold(column: str, folds: int):
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def first_in_order(df: DataFrame, order: str, n: int, *ties: str) -> DataFrame:
-    """The n rows of df with the least order (a 64-bit hash), ties by ties.
-
-    Hashes are counted by their upper 16 bits first, so that a task sends on few rows more than belong to the sample, however
-    many tasks there are.
-    """
-    upper = F.shiftright(order, 48)
-    counts = df.groupBy(upper.alias("upper")).agg(F.count(F.lit(1)).alias("n")).collect()
-    total, last = 0, None
-    for row in sorted(counts, key=lambda r: r["upper"]):
-        total, last = total + row["n"], row["upper"]
-        if total >= n:
-            break
-    some = df.where(upper <= F.lit(last)) if last is not None else df
-    return some.orderBy(order, *ties).limit(n)
