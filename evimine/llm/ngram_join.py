@@ -36,7 +36,7 @@ ORDER_BITS = 22
 #: Lists up to this long are paired out at once.
 SHORT = 16
 #: In a longer list, each entry is paired with so many of its size band and of the band below.
-LEADERS = 8
+LEADERS = 3
 #: Stands for more shared shingles than any filter asks for.
 ALWAYS = 1 << 40
 #: Documents to look at again are marked in a table of this size (2 MB), so that their texts are found by a scan.
