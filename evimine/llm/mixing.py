@@ -6,8 +6,8 @@ of cap per weight, that fixpoint is one water level, found with running sums ove
 target is then met by whole repetitions of all its documents plus one more of the first ones in a seeded order.
 
 Only DataFrame functions. One aggregation per source (combined before the shuffle) and one per source and slice of
-the seeded order; documents themselves are never shuffled, sorted or collected per source: they meet one row of their
-source. Only the documents of the one slice in which a source's extra repetition ends are put in order.
+the seeded order; documents themselves are never sorted or collected per source: they meet one row of their source, which is broadcast if
+the counted number of sources allows it, and else joined by the planner, which splits skewed sources. Only the documents of the one slice in which a source's extra repetition ends are put in order.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evimine.llm._spark import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of the seeded order.
-SLICES = 4096
+#: Slices of the seeded order; sources up to which their table is broadcast (a few MB).
+SLICES, FEW_SOURCES = 4096, 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -75,6 +77,9 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
 
     per_source = plan.join(at, same(plan, at), "left").select(plan["_source"], "source_size", "target", "_whole", "_extra", "_cut")
     per_source = per_source.join(end, same(per_source, end), "left").select(per_source["_source"], "source_size", "target", "_whole", "_extra", "_cut", "_end")
+    per_source = cut(per_source, "sources")
+    if per_source.count() <= FEW_SOURCES:
+        per_source = F.broadcast(per_source)
     key = F.struct(F.col("_place"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"))
     more = (F.col("_slice") < F.col("_cut")) | ((F.col("_slice") == F.col("_cut")) & (F.col("_end").isNull() | (key < F.col("_end"))))
     taken = F.col("_whole") + F.when((F.col("_extra") > 0) & more, 1).otherwise(0)
