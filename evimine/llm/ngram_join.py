@@ -359,6 +359,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     near = near & (F.col("y.lo") <= F.col("x.largest")) & (F.col("x.lo") <= F.col("y.largest"))
     meet = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.root") < F.col("y.root")) & near).select(F.col("x.root").alias("rx"), F.col("y.root").alias("ry")).distinct()
     member_of = left.groupBy("set", "n", "root").agg(F.max("largest").alias("l"))
+    # the smaller component of two is spread out first
+    size = member_of.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
+    meet = meet.join(size.withColumnsRenamed({"root": "rx", "c": "cx"}), "rx").join(size.withColumnsRenamed({"root": "ry", "c": "cy"}), "ry")
+    swap = F.col("cx") > F.col("cy")
+    meet = meet.select(F.when(swap, F.col("ry")).otherwise(F.col("rx")).alias("rx"), F.when(swap, F.col("rx")).otherwise(F.col("ry")).alias("ry"))
     more = meet.join(member_of.withColumnsRenamed({"set": "sx", "n": "nx", "root": "rx", "l": "lx"}), "rx").join(member_of.withColumnsRenamed({"set": "sy", "n": "ny", "root": "ry", "l": "ly"}), "ry")
     more = more.where((F.col("nx") * 100 >= F.col("ny") * NUMERATOR) & (F.col("ny") * 100 >= F.col("nx") * NUMERATOR) & (F.col("ny") <= F.col("lx")) & (F.col("nx") <= F.col("ly")))
     more = more.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b"))
