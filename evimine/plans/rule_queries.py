@@ -230,12 +230,11 @@ SELECT antecedent, hit_min, round(lift_min, 6) AS lift_min, round(lift_max, 6) A
 
 
 def _graded(spark, sf_dir) -> DataFrame:
-    """Pairs with all evidence. Limits are those of the ladder; the recurrence and q limits are loose enough here to reach every tier."""
+    """Pairs with all evidence, graded by the ladder's own limits."""
     seen = _replayed(spark, sf_dir).withColumn("resolved", F.lit(True))
     boot = evidence.bootstrap(_split(spark, sf_dir, "train"), ITEMS, "y", "grp", _pair_table(spark), ITERATIONS).select("antecedent", "recurrence")
     moved = evidence.sensitivity(_split(spark, sf_dir, "test"), ITEMS, "y", _pair_table(spark)).select("antecedent", "hit_min", "lift_min")
-    graded = seen.join(boot, "antecedent").join(moved, "antecedent").withColumn("q_value", F.col("q_value") / 20).withColumn("recurrence", F.least(F.lit(1.0), F.col("recurrence") * 1.2))
-    return graded.withColumns({"tier": evidence.tier(), "axis": axis()})
+    return seen.join(boot, "antecedent").join(moved, "antecedent").withColumns({"tier": evidence.tier(), "axis": axis()})
 
 
 GRADED_SQL = f"""{BASE_SQL}, {replay_sql("pairs", "t")}, {BOOTSTRAP_SQL}, {SENSITIVITY_SQL},
