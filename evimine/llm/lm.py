@@ -6,10 +6,12 @@ failure arc to the root, weighted with the probability mass that its arcs leave;
 unigram distribution. A text is scored in one pass from left to right that carries the state: the arc if there is one,
 else the failure arc and the root. Probabilities after every state sum to one.
 
-All training words and all pairs of frequent words are counted exactly, in packed partial counts that are combined where the text is
-read. Executors receive the automaton only: its states and arcs are bounded by HEAD and ARCS (those above a power of two
-that leaves at most so many). Words that are no state are looked up by shuffle in the complete counts, and their share of
-the score is added per document, so no word goes without its count.
+All training words are counted exactly, and so is every bigram seen LEAST times or more: a count-min sketch drops pairs that
+occur once before they are counted, and none that occurs twice. Executors receive the automaton only: its states and arcs
+are bounded by HEAD and ARCS (those above a power of two that leaves at most so many), its failure weights come from all
+arcs. What is beyond it is looked up by shuffle: the count and failure weight of words that are no state, and per
+remaining bigram its gain over the failure arc and the root. All of it is a sum per document, so the score is that of the
+whole model, whatever the bounds.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evimine.llm import _packed, _text
+from evimine.llm import _packed, _sketch, _text
 from evimine.llm._spark import cut
 
 #: Most states and arcs of the automaton; fewest occurrences of an arc; discount.
 HEAD, ARCS, LEAST, DISCOUNT = 1 << 19, 1 << 20, 2, 0.75
-STRETCH_BYTES, GROUP_WORDS = 16 << 20, 6_000_000
+STRETCH_BYTES, GROUP_WORDS, SENT_BYTES = 16 << 20, 6_000_000, 2 << 20
 _START = 1 << 20  # a state beyond any word's
 _END = _START + 1
+#: Cells of a row of the sketch are 2**bits.
+LEAST_BITS, MOST_BITS, DEPTH = 16, 28, 2
+#: What stands for the start and the end of a text where words are named by hash.
+START_NAME, END_NAME = np.uint64(0x5BF0A8B1457695FB), np.uint64(0xA3EC647659359ACD)
 
 
 class Automaton(NamedTuple):
@@ -69,22 +75,41 @@ def _sequence(states: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return before, out, np.repeat(np.arange(rows), counts + 1)
 
 
-def traverse(model: Automaton, states: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: log10 of its tokens at the root, and by the automaton, words that are no state left out of both."""
+def _named(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _sequence, by the names of the words."""
+    counts = np.diff(first)
+    ends = first[1:] + np.arange(len(first) - 1)
+    now = np.full(len(names) + len(ends), END_NAME)
+    inside = np.ones(len(now), bool)
+    inside[ends] = False
+    now[inside] = names
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[ends - counts] = START_NAME
+    return before, now
+
+
+def _pair(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Name of a bigram."""
+    return _text.mix(before * np.uint64(0x9E3779B97F4A7C15) + now)
+
+
+def traverse(model: Automaton, states: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: log10 of its tokens at the root, and by the automaton, words that are no state left out of both; and the tokens on an arc."""
     before, now, row = _sequence(states, first)
     n = len(model.names)
     from_ = np.where(before == _START, n, before)
     to = np.where(now == _END, n, now)
     root = np.where(now >= 0, model.root[to], 0.0)
     failure = np.where(before >= 0, model.failure[from_], 0.0)
-    score = failure + root
+    score, arc = failure + root, np.zeros(len(now), bool)
     if len(model.arcs):
         key = from_ << 21 | to
         at = np.minimum(np.searchsorted(model.arcs, key), len(model.arcs) - 1)
         arc = (before >= 0) & (now >= 0) & (model.arcs[at] == key)
         score = np.where(arc, model.weight[at], score)
     rows = len(first) - 1
-    return np.bincount(row, root, rows), np.bincount(row, score, rows)
+    return np.bincount(row, root, rows), np.bincount(row, score, rows), arc
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[_text.Chunk, _text.Words, np.ndarray]]:
@@ -93,6 +118,25 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[_text.Chunk, _text.Words, np
         yield chunk, found, _text.hashes(chunk, found, lower=True)
 
 
+def _in_batches(made: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """part and payload, a bounded number of bytes (or one payload) at a time."""
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], names=["part", "payload"])
+
+    for p, payload in made:
+        held.append((p, payload))
+        size += len(payload)
+        if size >= SENT_BYTES:
+            yield rows()
+            held.clear()
+            size = 0
+    if held:
+        yield rows()
+
+
 def _counted(texts: DataFrame, keys, parts: int, least: int) -> DataFrame:
     """part, names and counts (packed) of all keys, an array per chunk of text, that occur at least so often."""
 
@@ -100,22 +144,21 @@ def _counted(texts: DataFrame, keys, parts: int, least: int) -> DataFrame:
         held: list[np.ndarray] = []
         size = 0
 
-        def rows() -> pa.RecordBatch:
+        def rows() -> Iterator[pa.RecordBatch]:
             names, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
             order = np.argsort(mixed := _text.mix(names), kind="stable")
-            made = [(p, _packed.pack(names[order[r]], counts[order[r]].astype(np.uint32))) for p, r in _packed.runs(mixed[order], parts)]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=["part", "payload"])
+            yield from _in_batches((p, _packed.pack(names[order[r]], counts[order[r]].astype(np.uint32))) for p, r in _packed.runs(mixed[order], parts))
 
         for batch in batches:
             for chunk, found, names in _words(batch):
                 held.append(keys(found, names))
                 size += len(chunk.data)
                 if size >= STRETCH_BYTES:
-                    yield rows()
-                    held.clear()
+                    yield from rows()
                     size = 0
         if held:
-            yield rows()
+            yield from rows()
 
     def merge(t: pa.Table) -> pa.Table:
         pieces = _packed.unpack_all(t.column("payload").to_pylist(), (np.uint64, np.uint32))
@@ -150,63 +193,249 @@ def _largest(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int
     return names[order], counts[order], int(total[0] or 0), int(total[1] or 0)
 
 
-def fit(training: DataFrame, parts: int) -> tuple[Automaton, DataFrame]:
-    """The automaton of training (column text), and the counts of all words."""
-    spark = training.sparkSession
+def _counted_pairs(texts: DataFrame, bitmaps, bits: int, parts: int) -> DataFrame:
+    """part, both names and counts (packed) of all bigrams that occur LEAST times or more, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            before, now = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            names, at, counts = np.unique(_pair(before, now), return_index=True, return_counts=True)
+            before, now, counts = before[at], now[at], counts.astype(np.uint32)
+            yield from _in_batches((p, _packed.pack(before[r], now[r], counts[r])) for p, r in _packed.runs(names, parts))
+
+        for batch in batches:
+            for chunk, found, names in _words(batch):
+                before, now = _named(names, found.first)
+                may = _sketch.maybe(bitmaps.value, _pair(before, now), bits)
+                held.append((before[may], now[may]))
+                size += len(chunk.data)
+                if size >= STRETCH_BYTES:
+                    yield from rows()
+                    size = 0
+        if held:
+            yield from rows()
+
+    def merge(t: pa.Table) -> pa.Table:
+        pieces = _packed.unpack_all(t.column("payload").to_pylist(), (np.uint64, np.uint64, np.uint32))
+        before, now, each = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        _, at, back = np.unique(_pair(before, now), return_index=True, return_inverse=True)
+        counts = np.bincount(back, each, len(at)).astype(np.int64)
+        keep = counts >= LEAST
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "befores": [before[at][keep].tobytes()], "nows": [now[at][keep].tobytes()], "counts": [counts[keep].tobytes()], "kinds": pa.array([int(keep.sum())], pa.int64())})
+
+    return texts.mapInArrow(run, "part int, payload binary").groupBy("part").applyInArrow(merge, "part int, befores binary, nows binary, counts binary, kinds long")
+
+
+def _each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for b, n, c in zip(*(batch.column(x).to_pylist() for x in ("befores", "nows", "counts")), strict=True):
+            yield np.frombuffer(b, np.uint64), np.frombuffer(n, np.uint64), np.frombuffer(c, np.int64)
+
+
+def _payloads(made: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"part": pa.array([p for p, _ in made], pa.int32()), "payload": pa.array([x for _, x in made], pa.binary())})
+
+
+def _at(names: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Place of each asked name in sorted names, -1 if it is not there."""
+    if not len(names):
+        return np.full(len(asked), -1, np.int64)
+    at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+    return np.where(names[at] == asked, at, -1)
+
+
+def _with_arcs(vocabulary: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """vocabulary, and the discounted counts (kept) of all arcs from each word and (start) from the start of a text."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for before, _, counts in _each_pair(batches):
+            names, back = np.unique(before, return_inverse=True)
+            kept = np.bincount(back, counts - DISCOUNT, len(names))
+            order = np.argsort(mixed := _text.mix(names), kind="stable")
+            yield from _in_batches((p, _packed.pack(names[order[r]], kept[order[r]])) for p, r in _packed.runs(mixed[order], parts))
+
+    def run(key: tuple, counted: pa.Table, sent: pa.Table) -> pa.Table:
+        names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if counted.num_rows:
+            names, counts = np.frombuffer(counted.column("names")[0].as_py(), np.uint64), np.frombuffer(counted.column("counts")[0].as_py(), np.int64)
+        kept = np.zeros(len(names) + 1)
+        start = 0.0
+        for who, much in _packed.unpack_all(sent.column("payload").to_pylist(), (np.uint64, np.float64)):
+            np.add.at(kept, _at(names, who), much)
+            start += float(much[who == START_NAME].sum())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "names": [names.tobytes()], "counts": [counts.tobytes()], "kept": [kept[:-1].tobytes()], "start": pa.array([start], pa.float64())})
+
+    sent = pairs.mapInArrow(sums, "part int, payload binary")
+    return vocabulary.select("part", "names", "counts").groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(run, "part int, names binary, counts binary, kept binary, start double")
+
+
+_STEPS = (np.uint64, np.uint64, np.uint64, np.float64) + (np.uint64, np.uint64, np.float64) + (np.uint64, np.float64)
+
+
+def _gains(pairs: DataFrame, words: DataFrame, sent, parts: int) -> DataFrame:
+    """part, names and gains (packed) of all bigrams that are no arc of the automaton.
+
+    A gain is log10 of a bigram's probability over that by the failure arc and the root. What it takes from a word that
+    is no state comes from the part of that word, first of the two words and then of the second.
+    """
+
+    def route(opened, half, done) -> list[tuple[int, bytes]]:
+        """Bigrams that wait for the first word (first, second, name, discounted count), for the second (second, name, ratio), and finished ones (name, gain)."""
+        model, left = sent.value
+        n = len(model.names)
+        state = _at(model.names, opened[0])
+        from_ = np.where(opened[0] == START_NAME, n, state)
+        known = from_ >= 0
+        half = [np.concatenate([a, b]) for a, b in zip(half, (opened[1][known], opened[2][known], opened[3][known] / left[from_[known]]), strict=True)]
+        opened = [x[~known] for x in opened]
+        to = np.where(half[0] == END_NAME, n, _at(model.names, half[0]))
+        known = to >= 0
+        done = [np.concatenate([a, b]) for a, b in zip(done, (half[1][known], np.log10(1 + half[2][known] / 10 ** model.root[to[known]])), strict=True)]
+        half = [x[~known] for x in half]
+        sections = []
+        for key, columns in ((_text.mix(opened[0]), opened), (_text.mix(half[0]), half), (_text.mix(done[0]), done)):
+            order = np.argsort(key, kind="stable")
+            sections.append((dict(_packed.runs(key[order], parts)), [c[order] for c in columns]))
+        none = slice(0, 0)
+        return [(p, _packed.pack(*(c[runs.get(p, none)] for runs, columns in sections for c in columns))) for p in sorted(set().union(*(runs for runs, _ in sections)))]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, _ = sent.value
+        empty = [np.zeros(0, k) for k in _STEPS]
+        for before, now, counts in _each_pair(batches):
+            from_ = np.where(before == START_NAME, len(model.names), _at(model.names, before))
+            to = np.where(now == END_NAME, len(model.names), _at(model.names, now))
+            rest = (from_ < 0) | (to < 0) | (_at(model.arcs, from_ << 21 | to) < 0)
+            before, now = before[rest], now[rest]
+            yield from _in_batches(route([before, now, _pair(before, now), counts[rest] - DISCOUNT], empty[4:7], empty[7:]))
+
+    def resolve(counted: pa.Table, waiting: pa.Table) -> pa.Table:
+        model, _ = sent.value
+        names, counts, kept = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        if counted.num_rows:
+            names, counts, kept = (np.frombuffer(counted.column(c)[0].as_py(), k) for c, k in (("names", np.uint64), ("counts", np.int64), ("kept", np.float64)))
+        pieces = _packed.unpack_all(waiting.column("payload").to_pylist(), _STEPS)
+        if not pieces:
+            return _payloads([])
+        first, second, name, much, now, key, ratio, found, gain = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        found, gain = np.append(found, key), np.append(gain, np.log10(1 + ratio / 10 ** model.unigram(counts[_at(names, now)].astype(np.float64))) if len(now) else gain[:0])
+        ratio = much / (counts - kept)[_at(names, first)] if len(first) else much
+        return _payloads(route([x[:0] for x in (first, second, name, much)], [second, name, ratio], [found, gain]))
+
+    def merge(t: pa.Table) -> pa.Table:
+        pieces = _packed.unpack_all(t.column("payload").to_pylist(), _STEPS)
+        names, gains = np.concatenate([p[7] for p in pieces]), np.concatenate([p[8] for p in pieces])
+        order = np.argsort(names, kind="stable")
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "pairs": [names[order].tobytes()], "gains": [gains[order].tobytes()]})
+
+    words = words.select("part", "names", "counts", "kept")
+    moved = pairs.mapInArrow(begin, "part int, payload binary")
+    for _ in range(2):
+        moved = words.groupBy("part").cogroup(moved.groupBy("part")).applyInArrow(resolve, "part int, payload binary")
+    return moved.groupBy("part").applyInArrow(merge, "part int, pairs binary, gains binary")
+
+
+def learn(training: DataFrame, parts: int, bits: int) -> tuple[Automaton, DataFrame, DataFrame | None, object]:
+    """The automaton of training (column text), all words, the gains of bigrams beyond it if there are any, and the sketch (sent)."""
+    context = training.sparkSession.sparkContext
     texts = training.count()
     vocabulary = cut(_counted(training, lambda found, names: names, parts, 1), "vocabulary")
     names, counts, total, kinds = _largest(vocabulary, HEAD)
-    tokens, kinds = total + texts, kinds + (texts > 0)
     empty = np.zeros(0)
-    model = Automaton(names, empty, empty, empty, empty, tokens, kinds)
-    sent = spark.sparkContext.broadcast(names)
+    model = Automaton(names, empty, empty, empty, empty, total + texts, kinds + (texts > 0))
 
-    def pairs(found: _text.Words, words: np.ndarray) -> np.ndarray:
-        before, now, _ = _sequence(Automaton(sent.value, empty, empty, empty, empty, 0, 0).states(words), found.first)
-        n = len(sent.value)
-        both = (before >= 0) & (now >= 0)
-        return (np.where(before == _START, n, before)[both] << 21 | np.where(now == _END, n, now)[both]).astype(np.uint64)
+    def seen(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, found, words in _words(batch):
+            yield _pair(*_named(words, found.first))
 
-    arcs, often, _, _ = _largest(cut(_counted(training, pairs, parts, LEAST), "bigrams"), ARCS)
+    bitmaps = context.broadcast(_sketch.repeated(training, seen, bits, DEPTH))
+    pairs = cut(_counted_pairs(training, bitmaps, bits, parts), "bigrams")
+    words = cut(_with_arcs(vocabulary, pairs, parts), "words")
+    head = context.broadcast(names)
+
+    def of_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for who, much, start in zip(*(batch.column(c).to_pylist() for c in ("names", "kept", "start")), strict=True):
+                who, much = np.frombuffer(who, np.uint64), np.frombuffer(much, np.float64)
+                at = _at(head.value, who)
+                yield pa.RecordBatch.from_arrays([pa.array([at[at >= 0].astype(np.int32).tobytes()]), pa.array([much[at >= 0].tobytes()]), pa.array([start], pa.float64())], names=["at", "kept", "start"])
+
+    def between_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(head.value)
+        for before, now, often in _each_pair(batches):
+            from_ = np.where(before == START_NAME, n, _at(head.value, before))
+            to = np.where(now == END_NAME, n, _at(head.value, now))
+            both = (from_ >= 0) & (to >= 0)
+            often = often[both]
+            sizes = np.bincount(np.frexp(often)[1], minlength=65)
+            yield pa.RecordBatch.from_arrays([pa.array([(from_ << 21 | to)[both].astype(np.uint64).tobytes()]), pa.array([often.tobytes()]), pa.array([int(often.sum())], pa.int64()), pa.array([len(often)], pa.int64()), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["names", "counts", "total", "kinds", "sizes"])
+
+    kept = np.zeros(len(names) + 1)
+    for r in words.select("names", "kept", "start").mapInArrow(of_states, "at binary, kept binary, start double").collect():
+        kept[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["kept"], np.float64)
+        kept[-1] += r["start"]
+    arcs, often, _, _ = _largest(pairs.mapInArrow(between_states, "names binary, counts binary, total long, kinds long, sizes array<long>"), ARCS)
     arcs = arcs.astype(np.int64)
     from_, to = arcs >> 21, arcs & ((1 << 21) - 1)
     state_count = np.append(counts, texts).astype(np.float64)
-    kept = np.bincount(from_, often - DISCOUNT, len(state_count)) if len(arcs) else np.zeros(len(state_count))
-    share = np.where(state_count > 0, (state_count - kept) / np.maximum(state_count, 1), 1.0)
-    root = model.unigram(np.append(counts, texts).astype(np.float64))
+    left = state_count - kept
+    share = np.where(state_count > 0, left / np.maximum(state_count, 1), 1.0)
+    root = model.unigram(state_count)
     weight = np.log10((often - DISCOUNT) / state_count[from_] + share[from_] * 10 ** root[to]) if len(arcs) else empty
-    return model._replace(root=root, failure=np.log10(share), arcs=arcs, weight=weight), vocabulary
+    model = model._replace(root=root, failure=np.log10(share), arcs=arcs, weight=weight)
+    beyond = int(pairs.agg(F.sum("kinds")).first()[0] or 0) - len(arcs)
+    sent = context.broadcast((model, left))
+    gains = cut(_gains(pairs, words, sent, parts), "gains") if beyond else None
+    for b in (head, sent):
+        b.unpersist()
+    return model, words, gains, bitmaps
+
+
+def fit(training: DataFrame, parts: int, bits: int = LEAST_BITS) -> tuple[Automaton, DataFrame]:
+    """The automaton of training (column text), and the counts of all words."""
+    return learn(training, parts, bits)[:2]
 
 
-_KINDS = (np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
+_KINDS = (np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
 _ROW = "id long, row_key long, rows long, n_tokens long, n_known long, base double, score double"
 
 
+def _grouped(names: np.ndarray, docs: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, slice]]:
+    """Names, documents and times, each pair once, and the run of each part."""
+    order = np.lexsort((docs, names))
+    names, docs = names[order], docs[order]
+    first = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (docs[1:] != docs[:-1]))) if len(names) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(names))).astype(np.uint32)
+    names, docs = names[first], docs[first]
+    mixed = _text.mix(names)
+    order = np.argsort(mixed, kind="stable")
+    return names[order], docs[order], times[order], dict(_packed.runs(mixed[order], parts))
+
+
 class _Stretch:
-    """Scores so far of some documents, and the words that are still to be looked up."""
+    """Scores so far of some documents, and the words and bigrams that are still to be looked up."""
 
     def __init__(self) -> None:
-        self.names, self.docs, self.done, self.count, self.bytes = [], [], [], 0, 0
+        self.names, self.docs, self.pairs, self.pair_docs, self.done, self.count, self.bytes = [], [], [], [], [], 0, 0
 
     def payloads(self, parts: int) -> Iterator[tuple[int, bytes]]:
         ids, keys, n_tokens, known, base, score = (np.concatenate(x) for x in zip(*self.done, strict=True))
-        names, docs = np.concatenate(self.names), np.concatenate(self.docs)
-        order = np.lexsort((docs, names))
-        names, docs = names[order], docs[order]
-        first = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (docs[1:] != docs[:-1]))) if len(names) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(names))).astype(np.uint32)
-        names, docs = names[first], docs[first]
-        # lookups go to the part that counted the word
-        mixed = _text.mix(names)
-        order = np.argsort(mixed, kind="stable")
-        runs = dict(_packed.runs(mixed[order], parts))
+        # lookups go to the part that has the word or the bigram
+        names, docs, times, runs = _grouped(np.concatenate(self.names), np.concatenate(self.docs), parts)
+        pairs, pair_docs, pair_times, pair_runs = _grouped(np.concatenate(self.pairs), np.concatenate(self.pair_docs), parts)
+        self.names, self.docs, self.pairs, self.pair_docs = [], [], [], []
         home = np.arange(len(ids)) % parts
         for p in range(parts):
-            look = order[runs.get(p, slice(0, 0))]
-            used, doc = np.unique(docs[look], return_inverse=True)
+            look, also = runs.get(p, slice(0, 0)), pair_runs.get(p, slice(0, 0))
             own = np.flatnonzero(home == p)
-            if len(look) or len(own):
-                yield p, _packed.pack(names[look], doc.astype(np.uint32), times[look], ids[used], keys[used], ids[own], keys[own], n_tokens[own], known[own], base[own], score[own])
+            used, doc = np.unique(np.append(docs[look], pair_docs[also]), return_inverse=True)
+            if len(doc) or len(own):
+                doc, n = doc.astype(np.uint32), len(docs[look])
+                yield p, _packed.pack(names[look], doc[:n], times[look], pairs[also], doc[n:], pair_times[also], ids[used], keys[used], ids[own], keys[own], n_tokens[own], known[own], base[own], score[own])
 
 
 def _look_up(model_scale: tuple[int, int]):
@@ -214,20 +443,21 @@ def _look_up(model_scale: tuple[int, int]):
     unigram = Automaton(*[np.zeros(0)] * 5, tokens, kinds).unigram
 
     def run(counted: pa.Table, wanted: pa.Table) -> pa.Table:
-        names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if counted.num_rows:
-            names, counts = np.frombuffer(counted.column("names")[0].as_py(), np.uint64), np.frombuffer(counted.column("counts")[0].as_py(), np.int64)
+        columns = [np.frombuffer(b"".join(x or b"" for x in counted.column(c).to_pylist()), k) for c, k in (("names", np.uint64), ("counts", np.int64), ("kept", np.float64), ("pairs", np.uint64), ("gains", np.float64))]
+        # the last of each stands for what is not there
+        names, pairs = columns[0], columns[3]
+        counts, kept, gains = (np.append(c, 0) for c in (columns[1], columns[2], columns[4]))
+        failure = np.log10(np.where(counts > 0, (counts - kept) / np.maximum(counts, 1), 1.0))
         out = []
         for payload in wanted.column("payload").to_pylist():
-            asked, doc, times, ids, keys, own_ids, own_keys, n_tokens, known, base, score = _packed.unpack(payload, _KINDS)
-            c = np.zeros(len(asked), np.int64)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
-                c = np.where(names[at] == asked, counts[at], 0)
+            asked, doc, times, asked_pairs, pair_doc, pair_times, ids, keys, own_ids, own_keys, n_tokens, known, base, score = _packed.unpack(payload, _KINDS)
+            at = _at(names, asked)
+            c = counts[at]
             more = np.bincount(doc, unigram(c.astype(np.float64)) * times, len(ids))
+            less = np.bincount(doc, failure[at] * times, len(ids)) + np.bincount(pair_doc, gains[_at(pairs, asked_pairs)] * pair_times, len(ids))
             there = np.bincount(doc, (c > 0) * times.astype(np.int64), len(ids)).astype(np.int64)
             none = np.zeros(len(ids), np.int64)
-            out.append((ids, keys, none, none, there, more, more))
+            out.append((ids, keys, none, none, there, more, more + less))
             out.append((own_ids, own_keys, np.ones(len(own_ids), np.int64), n_tokens, known, base, score))
         fields = ("id", "row_key", "rows", "n_tokens", "n_known", "base", "score")
         kinds_ = [pa.int64()] * 5 + [pa.float64()] * 2
@@ -251,38 +481,49 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     key = F.hash(text).cast("long") + F.when(F.col(doc_id).isNull(), no_id).otherwise(0) + F.when(held, F.lit(1 << 41).cast("long")).otherwise(0)
     read = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), key.alias("row_key"), F.col(text).alias("text"), held.alias("held"))
     words = int(read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    parts = max(1, -(-words // GROUP_WORDS))
-    model, vocabulary = fit(read.where(~F.col("held")).select("text"), parts)
+    parts = max(1, -(-3 * words // GROUP_WORDS))  # a token is looked up as a word, as what comes before, and in a bigram
+    bits = min(MOST_BITS, max(LEAST_BITS, words.bit_length()))
+    model, vocabulary, gains, bitmaps = learn(read.where(~F.col("held")).select("text"), parts, bits)
+    beyond = gains is not None
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretch = _Stretch()
 
-        def rows() -> pa.RecordBatch:
-            made = list(stretch.payloads(parts))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=["part", "payload"])
-
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row_key"))
             for chunk, found, names in _words(batch):
                 automaton = sent.value
                 states = automaton.states(names)
-                base, total = traverse(automaton, states, found.first)
+                base, total, arc = traverse(automaton, states, found.first)
                 rest = np.flatnonzero(states < 0)
                 stretch.names.append(names[rest])
                 stretch.docs.append((found.rows[rest] + stretch.count).astype(np.uint32))
+                pairs = np.zeros(0, np.uint64)
+                if beyond:
+                    pairs = _pair(*_named(names, found.first))
+                    look = np.flatnonzero(~arc & _sketch.maybe(bitmaps.value, pairs, bits))
+                    pairs = pairs[look]
+                    stretch.pair_docs.append((np.repeat(np.arange(len(found.counts)), found.counts + 1)[look] + stretch.count).astype(np.uint32))
+                else:
+                    stretch.pair_docs.append(np.zeros(0, np.uint32))
+                stretch.pairs.append(pairs)
                 seen = _text.per_row(states >= 0, found.first) + (automaton.tokens > 0)
                 stretch.done.append((ids[chunk.low : chunk.high], keys[chunk.low : chunk.high], found.counts + 1, seen, base, total))
                 stretch.count += chunk.high - chunk.low
                 stretch.bytes += len(chunk.data)
                 if stretch.bytes >= STRETCH_BYTES:
-                    yield rows()
+                    yield from _in_batches(stretch.payloads(parts))
                     stretch = _Stretch()
         if stretch.count:
-            yield rows()
+            yield from _in_batches(stretch.payloads(parts))
 
     wanted = read.select("id", "row_key", "text").mapInArrow(run, "part int, payload binary")
-    found = vocabulary.select("part", "names", "counts").groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_look_up((model.tokens, model.kinds)), _ROW)
+    none = F.lit(None).cast("binary")
+    known = vocabulary.select("part", "names", "counts", "kept", none.alias("pairs"), none.alias("gains"))
+    if beyond:
+        known = known.union(gains.select("part", none, none, none, "pairs", "gains"))
+    found = known.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_look_up((model.tokens, model.kinds)), _ROW)
     sums = found.groupBy("id", "row_key").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")))
     # rows equal in id and text were added up together
     each = lambda c: (F.col(c) / F.col("rows"))

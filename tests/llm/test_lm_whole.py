@@ -1,0 +1,42 @@
+"""The score is that of the whole bigram model, however small the automaton is."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from evimine.llm import lm
+from evimine.llm._spark import id_fold
+
+
+@pytest.mark.parametrize(("head", "arcs"), [(1 << 19, 1 << 20), (1 << 19, 3), (6, 1 << 20), (6, 3), (0, 0)])
+def test_no_bigram_is_dropped(spark, monkeypatch, head, arcs):
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "ARCS", arcs)
+    monkeypatch.setattr(lm, "GROUP_WORDS", 60)
+    r = random.Random(4)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7)) % 40}" for _ in range(r.randrange(12))) for _ in range(120)]
+    held = id_fold("doc_id", 5) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in lm.score(docs, held).collect()}
+    words, pairs = Counter(), Counter()
+    for i, t in enumerate(texts):
+        if not got[i]["held_out"]:
+            w = [*t.split(), "</s>"]
+            words.update(w)
+            pairs.update(zip(["<s>", *w], w, strict=False))
+    words["<s>"] = words["</s>"]
+    n, kinds = words.total() - words["<s>"], len(words) - 1
+    pairs = {k: c for k, c in pairs.items() if c >= lm.LEAST}
+    kept = defaultdict(float)
+    for (a, _), c in pairs.items():
+        kept[a] += c - lm.DISCOUNT
+    p = lambda w: (words[w] + 0.5) / (n + 0.5 * (kinds + 1))
+    assert len(got) == len(texts) and any(x["held_out"] for x in got.values())
+    for i, t in enumerate(texts):
+        w, score = [*t.split(), "</s>"], 0.0
+        for a, b in zip(["<s>", *w], w, strict=False):
+            share = (words[a] - kept[a]) / words[a] if words[a] else 1.0
+            score += math.log10((pairs[a, b] - lm.DISCOUNT) / words[a] + share * p(b) if (a, b) in pairs else share * p(b))
+        assert got[i]["score"] == pytest.approx(score, abs=1e-6)
