@@ -1,0 +1,58 @@
+"""Licences inside longer documents, as runs of words."""
+
+import random
+import re
+import textwrap
+
+import pytest
+
+from evimine.llm import licenses
+
+
+def brute(text):
+    """Dice of the best run of words, by every run."""
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    b = [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]
+    out = {}
+    for k, v in licenses.TEMPLATES.items():
+        t = set(licenses.bigrams(v))
+        if len(t) > 20:
+            continue
+        out[k] = max((2 * len(t & set(b[i:j])) / (len(t) + len(set(b[i:j]))) for i in range(len(b)) for j in range(i + 1, len(b) + 1)), default=0)
+    return {k: d for k, d in out.items() if d >= licenses.THRESHOLD}
+
+
+def whole_dice(text, k):
+    b, t = set(licenses.bigrams(text)), set(licenses.bigrams(licenses.TEMPLATES[k]))
+    return 2 * len(b & t) / (len(b) + len(t))
+
+
+def test_wrapped_header_and_inline_notice_in_long_documents(spark):
+    other = " ".join(f"word{i}" for i in range(120))
+    wrap = lambda k: textwrap.fill(licenses.TEMPLATES[k], 78)
+    rows = [
+        (1, wrap("MIT") + "\n" + other),
+        (2, other + "\n" + wrap("GPL-3.0-header") + "\n" + other),
+        (3, f"{other}\nCopyright 2020 Foo. Released under the MIT License. See LICENSE for details.\n{other}"),
+        (4, other + " license software copyright"),
+        (5, f"{other} Licensed under CC BY\n4.0. {other}"),
+    ]
+    got = {(r["doc_id"], r["license_id"]): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, "MIT"), (2, "GPL-3.0-header"), (3, "MIT-notice"), (5, "CC-BY-4.0-notice")}
+    assert all(r["dice"] == 1 and r["n_units"] == 1 for r in got.values())
+
+
+def test_runs_are_the_best_of_all_runs(spark):
+    r = random.Random(2)
+    notices = [re.findall(r"[^\W_]+", v) for k, v in licenses.TEMPLATES.items() if len(licenses.bigrams(v)) <= 20]
+    texts = []
+    for _ in range(40):
+        w = [x for _ in range(r.randrange(1, 4)) for x in [*r.choices("foo bar the license under mit".split(), k=r.randrange(0, 9)), *(y for y in r.choice(notices) if r.random() < 0.93)]]
+        texts.append(" ".join([*w, *["foo bar"] * r.choice((0, 40)), *w[:6]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    short = {k: v for k, v in licenses.TEMPLATES.items() if len(licenses.bigrams(v)) <= 20}
+    got = {(x["doc_id"], x["license_id"]): x["dice"] for x in licenses.scan(docs, short).collect()}
+    best = {(i, k): d for i, t in enumerate(texts) for k, d in brute(t).items()}
+    whole = {(i, k): whole_dice(t, k) for i, t in enumerate(texts) for k in short}
+    expected = {k: whole[k] if whole[k] >= licenses.THRESHOLD else d for k, d in best.items()}
+    assert any(whole[k] < licenses.THRESHOLD for k in best) and got == pytest.approx(expected)
