@@ -2,19 +2,21 @@
 
 Method: two gated recurrent layers read a text's bytes forwards and backwards; at every position a softmax over the joined
 states labels that byte, and a document's probabilities are the mean over all its bytes. Trained in numpy by backpropagation
-through time on a bounded, seeded sample of labelled rows (SAMPLE rows of at most SAMPLE_CHARS characters each); the
+through time on a bounded, seeded sample of labelled rows (SAMPLE rows and, of every language that has fewer than EACH
+among them, rows up to that number, at most SAMPLE_CHARS characters each); the
 network has a fixed size and is all that executors receive. Every byte of every text is read, in segments of SEGMENT
 bytes, a bounded number of segments at a time.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +24,8 @@ from evimine.llm import _text
 
 #: The bound on training rows, and the part of each that is read.
 SAMPLE, SAMPLE_CHARS = 3000, 400
+#: Rows of each language, if it has so many.
+EACH = 100
 HIDDEN, SEGMENT, STEPS, BATCH, RATE = 12, 128, 250, 64, 0.01
 #: Segments read together.
 TOGETHER = 2048
@@ -155,12 +159,20 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", seed: int = 5) -> Network:
-    """A network trained on SAMPLE rows with text and lang for which allowed holds: those first in a seeded order."""
+    """A network trained on rows with text and lang for which allowed holds: the first SAMPLE in a seeded order, and the first EACH of every language."""
     usable = docs.where(F.coalesce(allowed, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     place = F.pmod(F.xxhash64(F.lit(seed + 1), doc_id), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS)) + 1
     piece = F.substring(F.col(text), place.cast("int"), F.lit(SAMPLE_CHARS))
     order = F.xxhash64(F.lit(seed), doc_id, F.hash(text))
-    rows = usable.select(piece.alias("t"), F.col(lang).alias("l"), order.alias("o")).orderBy("o", "l", "t").limit(SAMPLE).collect()
+    drawn = usable.select(piece.alias("t"), F.col(lang).alias("l"), order.alias("o"))
+    rows = drawn.orderBy("o", "l", "t").limit(SAMPLE).collect()
+    have = Counter(r["l"] for r in rows)
+    if len(rows) == SAMPLE:
+        # of languages that the sample has too few of; the rank is cut before rows are shuffled
+        rest = drawn.where(~F.col("l").isin([x for x, n in have.items() if n >= EACH]))
+        ranked = rest.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("o", "t")))
+        few = ranked.where(F.col("k") <= EACH).orderBy("o", "l", "t").collect()
+        rows = sorted([*(r for r in rows if have[r["l"]] >= EACH), *few], key=lambda r: (r["o"], r["l"], r["t"]))
     return train([r["t"].encode() for r in rows], [r["l"] for r in rows], seed)
 
 
