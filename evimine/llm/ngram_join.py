@@ -8,8 +8,10 @@ pairs are expanded to their members' distinct sets and verified by exact interse
 
 No list or group is paired out in full. A long list (a shingle that thousands of near copies share) first yields a
 number of pairs in proportion to its length: each against a few of its size band. Links found so are contracted to
-components; pairs of sets already connected need no look, so only pairs across components that meet in a list are left,
-and those are all verified. No link that could join two components is lost.
+components; pairs of sets already connected need no look, so only components that meet in a list are left. One link is all
+that two of them can add: the sets of the smaller visit blocks of the larger, and a block answers each with its first
+link, from exact intersections with all its sets at once. No link that could join two components is lost, and no pair of
+sets is a row.
 
 Postings travel packed and meet in groups of shingles whose number follows the input; copies are dropped where the text is
 read, so a group of copies is posted once per stretch of text.
@@ -41,7 +43,9 @@ LEADERS = 3
 ALWAYS = 1 << 40
 #: Documents to look at again are marked in a table of this size (2 MB), so that their texts are found by a scan.
 SLOTS = 1 << 21
-STRETCH_BYTES, STRETCH_ROWS, GROUP_POSTINGS = 8 << 20, 60_000, 2_000_000
+STRETCH_BYTES, STRETCH_ROWS, GROUP_POSTINGS = 8 << 20, 30_000, 2_000_000
+#: Shingles of a component's block, and of the sets that visit a block at once.
+BLOCK, VISIT = 1 << 17, 1 << 20
 
 
 def shingle_sets(chunk: _text.Chunk, width: int = WIDTH) -> list[np.ndarray]:
@@ -266,8 +270,11 @@ def candidates(read: DataFrame, order, bits: int, parts: int) -> DataFrame:
                 for s in sets:
                     if len(s):
                         stretch.add(s, order.value, bits)
+                    if len(stretch.tokens) >= STRETCH_ROWS:
+                        yield rows()
+                        stretch = _Postings()
                 stretch.bytes += len(chunk.data)
-                if stretch.bytes >= STRETCH_BYTES or len(stretch.tokens) >= STRETCH_ROWS // 2:
+                if stretch.bytes >= STRETCH_BYTES:
                     yield rows()
                     stretch = _Postings()
         yield rows()
@@ -276,10 +283,9 @@ def candidates(read: DataFrame, order, bits: int, parts: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(_pair, _FOUND)
 
 
-def _verified(read: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Those pairs (a, b: fingerprints) whose sets link. known: set and the id of one of its documents."""
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    ids = wanted.join(known, "set").select(F.col("first_id").alias("doc_id"))
+def _sets(read: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """set and shingles of the wanted sets, and of a few more. known: set and the id of one of its documents."""
+    ids = wanted.distinct().join(known, "set").select(F.col("first_id").alias("doc_id"))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
     marked = np.zeros(SLOTS, bool)
     marked[ids.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
@@ -291,8 +297,14 @@ def _verified(read: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
             for _, part in _set_rows(some):
                 yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in part], pa.int64()), pa.array([s.tobytes() for s in part], pa.binary())], names=["set", "shingles"])
 
-    # a few more texts than needed may pass the slots; the joins leave their sets out
-    held = cut(read.select("text", slot.alias("slot")).mapInArrow(sets, "set long, shingles binary"), "sets")
+    # copies have the same set; the joins leave out what passed the slots by chance
+    held = read.select("text", slot.alias("slot")).mapInArrow(sets, "set long, shingles binary")
+    return cut(held.groupBy("set").agg(F.min("shingles").alias("shingles")), "sets")
+
+
+def _verified(read: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those pairs (a, b: fingerprints) whose sets link. known: set and the id of one of its documents."""
+    held = _sets(read, pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))), known)
     both = pairs.join(held.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(held.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -308,6 +320,49 @@ def _verified(read: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.mapInArrow(linked, "a long, b long")
 
 
+def _first_links(asking: pa.Table, block: pa.Table) -> pa.Table:
+    """A link of each asking set into the block, if it has one: exact intersections with all sets of the block from one list of their shingles."""
+    found: list[tuple[int, int]] = []
+    if asking.num_rows and block.num_rows:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("has")]
+        names, sizes = block.column("other").to_pylist(), np.array([len(x) for x in sets])
+        shingles = np.concatenate(sets)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owner = shingles[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        for name, x in zip(asking.column("set").to_pylist(), asking.column("shingles"), strict=True):
+            x = np.frombuffer(x.as_buffer(), np.uint64)
+            low, high = np.searchsorted(shingles, x, "left"), np.searchsorted(shingles, x, "right")
+            count = high - low
+            at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            linked = 100 * common >= NUMERATOR * (len(x) + sizes - common)
+            if linked.any():
+                found.append((name, names[int(np.argmax(linked))]))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _across(read: DataFrame, meet: DataFrame, member_of: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components rx and ry of meet wherever they have any, the sets of rx visiting blocks of ry.
+
+    member_of: set, n, root and l, the largest set it can link with. Blocks and visits are of bounded size, however large
+    the components; a set visits a block of another component once, not its members one by one.
+    """
+    of_y = member_of.groupBy(F.col("root").alias("ry")).agg(F.sum("n").alias("shingles"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("l").alias("reach"))
+    x = member_of.select(F.col("root").alias("rx"), "set", "n", "l")
+    fits = (F.col("hi") * 100 >= F.col("n") * NUMERATOR) & (F.col("n") * 100 >= F.col("lo") * NUMERATOR) & (F.col("lo") <= F.col("l")) & (F.col("n") <= F.col("reach"))
+    blocks = F.ceil(F.col("shingles") / BLOCK)
+    asking = cut(meet.join(of_y, "ry").join(x, "rx").where(fits).select("ry", "set", "n", blocks.alias("blocks")), "asking")
+    load = asking.groupBy("ry").agg(F.ceil(F.sum("n") / VISIT).alias("visits"), F.max("blocks").alias("blocks"))
+    some = lambda n: F.pmod(F.xxhash64("set"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = asking.join(load.select("ry", "visits"), "ry").select("ry", "set", some("visits").alias("visit"), each("blocks").alias("block"))
+    holds = member_of.select(F.col("root").alias("ry"), "set").join(load, "ry").select("ry", "set", some("blocks").alias("block"), each("visits").alias("visit"))
+    held = _sets(read, asked.select("set").union(holds.select("set")), known)
+    asked = asked.join(held, "set").groupBy("ry", "block", "visit")
+    holds = holds.toDF("y", "other", "part", "turn").join(held.toDF("other", "has"), "other").groupBy("y", "part", "turn")
+    return asked.cogroup(holds).applyInArrow(_first_links, "a long, b long")
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs.
 
@@ -364,12 +419,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     meet = meet.join(size.withColumnsRenamed({"root": "rx", "c": "cx"}), "rx").join(size.withColumnsRenamed({"root": "ry", "c": "cy"}), "ry")
     swap = F.col("cx") > F.col("cy")
     meet = meet.select(F.when(swap, F.col("ry")).otherwise(F.col("rx")).alias("rx"), F.when(swap, F.col("rx")).otherwise(F.col("ry")).alias("ry"))
-    more = meet.join(member_of.withColumnsRenamed({"set": "sx", "n": "nx", "root": "rx", "l": "lx"}), "rx").join(member_of.withColumnsRenamed({"set": "sy", "n": "ny", "root": "ry", "l": "ly"}), "ry")
-    more = more.where((F.col("nx") * 100 >= F.col("ny") * NUMERATOR) & (F.col("ny") * 100 >= F.col("nx") * NUMERATOR) & (F.col("ny") <= F.col("lx")) & (F.col("nx") <= F.col("ly")))
-    more = more.select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b"))
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        found_more = _verified(read, more, first_of)
+    meet = cut(meet, "meet")
+    if not meet.isEmpty():
+        found_more = _across(read, meet, member_of, first_of)
         root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found_more))
 
     rooted = known.groupBy("set").agg(F.min("first_id").alias("first_id")).join(root.withColumnRenamed("node", "set"), "set", "left")

@@ -90,8 +90,11 @@ def test_ngram_join(docs, texts):
     assert bag(ngram_join.classes(docs), "doc_id", "n_shingles", "component_id") == brute_classes(texts)
 
 
-def test_ngram_join_pairs_long_lists_across_components(spark):
-    """Chains of near copies, so that lists are long and hold several components."""
+@pytest.mark.parametrize(("block", "visit"), [(1 << 17, 1 << 20), (200, 300)])
+def test_ngram_join_pairs_long_lists_across_components(spark, monkeypatch, block, visit):
+    """Chains of near copies, so that lists are long and hold several components; their blocks and visits may be many."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "VISIT", visit)
     rng = np.random.default_rng(4)
     current, rows = [f"w{i}" for i in range(100)], []
     for step in range(60):
