@@ -17,31 +17,40 @@ ITERATIONS, MIN_SUPPORT, SUPPORT_SHARE = 200, 0.015, 0.8
 Q, RECURRENCE, RISK, LIFT, CORE_HITS, REPLAY_HITS = 0.05, 0.95, 1.0, 1.0, 5, 1
 #: Cumulative probabilities of the Poisson distribution with mean 1.
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-DRAW_MODULUS = 1000003
+#: A prime modulus of the draws, and the fewest rows of a replicate.
+DRAW_MODULUS, LEAST_ROWS = 2**31 - 1, 20
 
 
-def multiplicity(group: Column, iteration: Column) -> Column:
-    """How often a group is drawn in an iteration: Poisson with mean 1 of arithmetic draws that any engine repeats."""
-    a = F.pmod(group.cast("long") * 7919 + iteration.cast("long") * 104729 + 1, F.lit(DRAW_MODULUS))
-    u = F.pmod(a * a + a * 31 + 17, F.lit(DRAW_MODULUS)) / float(DRAW_MODULUS)
+def draw_seeds(group: Column) -> tuple[Column, Column]:
+    """Two numbers below 2**32 from the digest of a group's id as text; null is a group of its own."""
+    digest = F.md5(F.coalesce(group.cast("string"), F.lit("")))
+    return tuple(F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+
+
+def multiplicity(first: Column, second: Column, iteration: Column) -> Column:
+    """How often a group with these seeds is drawn in an iteration: Poisson with mean 1, groups independent of each other and iterations pairwise so."""
+    u = F.pmod(first + iteration.cast("long") * second, F.lit(DRAW_MODULUS)) / float(DRAW_MODULUS)
     return reduce(lambda total, p: total + F.when(u >= p, 1).otherwise(0), POISSON, F.lit(0))
 
 
 def bootstrap(train: DataFrame, items: list[I.Item], label: str, group: str, rules: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """rules with recurrent (iterations in which support and lift hold) and recurrence.
+    """rules with recurrent (replicates in which the antecedent's support and the lift hold) and recurrence, of those with at least LEAST_ROWS rows.
 
-    A replicate depends on a group only through its rows per pattern. Groups are weighted independently, so no draw needs
-    the number of groups, and weighted patterns are combined before the shuffle: iterations x patterns rows leave the scan.
+    A replicate depends on a group only through its rows per pattern. Groups of any type of id are weighted independently,
+    so no draw needs the number of groups. The table of rows per group and pattern may be as large as train, and is the one
+    thing shuffled by group; weighted patterns are combined before they move: iterations x patterns rows leave each task.
     """
     seen = I.patterns(train, items, label, by=(group,))
-    drawn = seen.select("bits", "n", "y", F.col(group).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    weight = multiplicity(F.col("g"), F.col("iteration"))
-    drawn = drawn.select("bits", "n", "y", "iteration", weight.alias("w")).where("w > 0")
+    first, second = draw_seeds(F.col(group))
+    drawn = seen.select("bits", "n", "y", first.alias("s1"), second.alias("s2"))
+    drawn = drawn.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    drawn = drawn.select("bits", "n", "y", "iteration", multiplicity(F.col("s1"), F.col("s2"), F.col("iteration")).alias("w")).where("w > 0")
     sums = drawn.groupBy("iteration", "bits").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("y")).alias("y"))
-    found = I.measures(I.evaluate(sums, rules.select("bits"), by=("iteration",)))
-    holds = F.coalesce((F.col("support") >= SUPPORT_SHARE * MIN_SUPPORT) & (F.col("lift") >= LIFT), F.lit(False))
+    found = I.measures(I.evaluate(sums, rules.select("bits"), by=("iteration",))).where(F.col("total") >= LEAST_ROWS)
+    holds = F.coalesce((F.col("hit") / F.col("total") >= SUPPORT_SHARE * MIN_SUPPORT) & (F.col("lift") >= LIFT), F.lit(False))
     counts = found.groupBy("bits").agg(F.count_if(holds).alias("recurrent"), (F.count_if(holds) / F.count(F.lit(1))).alias("recurrence"))
-    return rules.join(counts, "bits", "left")
+    none = {"recurrent": F.coalesce("recurrent", F.lit(0).cast("long")), "recurrence": F.coalesce("recurrence", F.lit(0.0))}
+    return rules.join(I.settled(counts), "bits", "left").withColumns(none)
 
 
 def sensitivity(test: DataFrame, items: list[I.Item], label: str, rules: DataFrame, deltas: tuple[float, ...] = DELTAS) -> DataFrame:
@@ -51,7 +60,7 @@ def sensitivity(test: DataFrame, items: list[I.Item], label: str, rules: DataFra
     seen = each.groupBy("delta", "bits").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("y"))
     found = I.measures(I.evaluate(seen, rules.where("continuous = 1").select("bits"), by=("delta",)))
     least = found.groupBy("bits").agg(F.min("hit").alias("hit_min"), F.min("lift").alias("lift_min"), F.max("lift").alias("lift_max"), F.min("confidence").alias("confidence_min"))
-    return rules.join(least, "bits", "left")
+    return rules.join(I.settled(least), "bits", "left")
 
 
 def tier(require_hit_stability: bool = False) -> Column:

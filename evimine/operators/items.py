@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPERATORS = (">", "<=", "==")
@@ -85,26 +87,29 @@ def patterns(rows: DataFrame, items: list[Item], label: str, by: tuple[str, ...]
     return rows.groupBy(*by, pattern(items, delta).alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("long").alias("y"))
 
 
-def rule_table(spark, items: list[Item], sizes: tuple[int, ...]) -> DataFrame:
-    """All itemsets of the given sizes: items (sorted names), bits, families (sorted, distinct) and n_items."""
-    catalogue = [(i.name, 1 << n, i.family, i.clarity, int(i.continuous)) for n, i in enumerate(items)]
-    base = spark.createDataFrame(catalogue, "name string, bit long, family string, clarity double, continuous int")
-    grown = base.select(F.array("name").alias("items"), F.col("bit").alias("bits"), F.array("family").alias("families"), F.col("clarity").alias("clarity"), "continuous", F.col("name").alias("last"))
-    found = []
-    for size in range(1, max(sizes) + 1):
-        if size in sizes:
-            found.append(grown)
-        more = base.select(F.col("name").alias("n2"), "bit", "family", F.col("clarity").alias("c2"), F.col("continuous").alias("t2"))
-        grown = grown.join(more, F.col("last") < F.col("n2")).select(
-            F.concat("items", F.array("n2")).alias("items"),
-            (F.col("bits") + F.col("bit")).alias("bits"),
-            F.concat("families", F.array("family")).alias("families"),
-            (F.col("clarity") + F.col("c2")).alias("clarity"),
-            F.greatest("continuous", "t2").alias("continuous"),
-            F.col("n2").alias("last"),
-        )
-    table = reduce(DataFrame.unionByName, found)
-    return table.select("items", "bits", F.array_sort(F.array_distinct("families")).alias("families"), F.size("items").alias("n_items"), (F.col("clarity") / F.size("items")).alias("clarity"), "continuous")
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows held in the plan as values, so that the planner knows their size."""
+    return settled(spark.createDataFrame(rows, schema))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and held in the plan as values. Only for tables bounded by the manifest, never by rows."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def rule_table(spark: SparkSession, items: list[Item], sizes: tuple[int, ...]) -> DataFrame:
+    """All itemsets of the given sizes: items (sorted names), bits, families (sorted, distinct), n_items, clarity and continuous."""
+    bit = {item.name: 1 << n for n, item in enumerate(items)}
+    sets = [c for size in sizes for c in combinations(sorted(items, key=lambda i: i.name), size)]
+    columns = {
+        "items": pa.array([[i.name for i in c] for c in sets], pa.list_(pa.string())),
+        "bits": pa.array([sum(bit[i.name] for i in c) for c in sets], pa.int64()),
+        "families": pa.array([sorted({i.family for i in c}) for c in sets], pa.list_(pa.string())),
+        "n_items": pa.array([len(c) for c in sets], pa.int32()),
+        "clarity": pa.array([sum(i.clarity for i in c) / len(c) for c in sets], pa.float64()),
+        "continuous": pa.array([max(int(i.continuous) for i in c) for c in sets], pa.int32()),
+    }
+    return spark.createDataFrame(pa.table(columns), "items array<string>, bits long, families array<string>, n_items int, clarity double, continuous int")
 
 
 def covers(bits: Column, rule_bits: Column) -> Column:
@@ -112,25 +117,31 @@ def covers(bits: Column, rule_bits: Column) -> Column:
 
 
 def evaluate(seen: DataFrame, rules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """rules with total, positives (of all rows per by), hit and hit_y. Both inputs are bounded by the number of items, not of rows."""
-    totals = seen.groupBy(*by).agg(F.sum("n").alias("total"), F.sum("y").alias("positives"))
-    pairs = seen.join(rules.select("bits").withColumnRenamed("bits", "rule_bits"), covers(F.col("bits"), F.col("rule_bits")))
-    hits = pairs.groupBy(*by, "rule_bits").agg(F.sum("n").alias("hit"), F.sum("y").alias("hit_y"))
-    spread = rules.crossJoin(totals)
-    on = [F.col("bits") == F.col("rule_bits"), *(spread[c] == hits[c] for c in by)]
-    out = spread.join(hits, reduce(lambda a, b: a & b, on), "left")
-    return out.select(*(spread[c] for c in by), *(c for c in rules.columns), "total", "positives", F.coalesce("hit", F.lit(0)).cast("long").alias("hit"), F.coalesce("hit_y", F.lit(0)).cast("long").alias("hit_y"))
+    """rules with total, positives (of all rows per by), hit and hit_y.
+
+    One pass over seen: a pattern visits every rule and is combined before the shuffle. Patterns are bounded by the number
+    of items, and rules by the itemsets of the manifest, whose size the planner knows.
+    """
+    bits = rules.select(F.col("bits").alias("rule_bits")).distinct()
+    hit = covers(F.col("bits"), F.col("rule_bits"))
+    sums = (
+        seen.crossJoin(bits)
+        .groupBy(*by, "rule_bits")
+        .agg(F.sum("n").alias("total"), F.sum("y").alias("positives"), F.sum(F.when(hit, F.col("n")).otherwise(0)).cast("long").alias("hit"), F.sum(F.when(hit, F.col("y")).otherwise(0)).cast("long").alias("hit_y"))
+    )
+    return rules.join(sums, F.col("bits") == F.col("rule_bits"), "inner" if by else "left").select(*by, *rules.columns, "total", "positives", F.coalesce("hit", F.lit(0)).cast("long").alias("hit"), F.coalesce("hit_y", F.lit(0)).cast("long").alias("hit_y"))
 
 
 def measures(evaluated: DataFrame) -> DataFrame:
-    """support (joint), confidence, lift, leverage and conviction of each rule towards the label."""
-    n, base = F.col("total").cast("double"), F.col("positives") / F.col("total")
+    """support (joint), confidence, lift, leverage and conviction of each rule towards the label; no lift where no row has the label."""
+    n = F.nullif(F.col("total").cast("double"), F.lit(0.0))
+    base = F.col("positives") / n
     conf = F.col("hit_y") / F.nullif(F.col("hit"), F.lit(0))
     return evaluated.withColumns(
         {
             "support": F.col("hit_y") / n,
             "confidence": conf,
-            "lift": conf / base,
+            "lift": conf / F.nullif(base, F.lit(0.0)),
             "leverage": F.col("hit_y") / n - F.col("hit") / n * base,
             "conviction": F.when(conf < 1, (1 - base) / (1 - conf)).otherwise(F.when(conf >= 1, F.lit(float("inf")))),
         }

@@ -25,17 +25,17 @@ def score(lift: Column, confidence: Column, support: Column, n_families: Column,
 def mine(train: DataFrame, items: list[I.Item], label: str, sizes: tuple[int, ...] = (2, 3, 4), min_support: float = 0.015, min_lift: float = 1.10) -> DataFrame:
     """All itemsets of these sizes whose joint support and lift reach the floors, from one scan of train."""
     rules = I.rule_table(train.sparkSession, items, sizes)
-    found = I.measures(I.evaluate(I.patterns(train, items, label), rules))
+    found = I.measures(I.settled(I.evaluate(I.patterns(train, items, label), rules)))
     return found.where((F.col("support") >= min_support) & (F.col("lift") >= min_lift))
 
 
 def mine_frequent(train: DataFrame, items: list[I.Item], label: str, min_support: float = 0.015, min_lift: float = 1.10, sizes: tuple[int, int] = (2, 4)) -> DataFrame:
     """The same by frequent-pattern growth, for manifests too wide to enumerate."""
-    baskets = train.select(F.concat(I.hit_items(items), F.when(F.col(label) == 1, F.array(F.lit(TARGET))).otherwise(F.array().cast("array<string>"))).alias("basket"))
-    model = FPGrowth(itemsCol="basket", minSupport=min_support, minConfidence=0.0).fit(baskets.where(F.size("basket") > 0))
+    basket = F.concat(I.hit_items(items), F.when(F.col(label) == 1, F.array(F.lit(TARGET))).otherwise(F.array().cast("array<string>")))
+    baskets = train.select(basket.alias("basket"), F.col(label).cast("double").alias("y"))
     # the model counts non-empty baskets only
-    n, some = baskets.count(), model.itemsetsCount if hasattr(model, "itemsetsCount") else baskets.where(F.size("basket") > 0).count()
-    base = train.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    n, some, base = baskets.agg(F.count(F.lit(1)), F.count_if(F.size("basket") > 0), F.avg("y")).first()
+    model = FPGrowth(itemsCol="basket", minSupport=min_support, minConfidence=0.0).fit(baskets.where(F.size("basket") > 0).select("basket"))
     found = model.associationRules.where((F.col("consequent") == F.array(F.lit(TARGET))) & F.size("antecedent").between(*sizes))
     support = F.col("support") * some / n
     return found.select(joined(F.col("antecedent")).alias("antecedent"), support.alias("support"), "confidence", (F.col("confidence") / base).alias("lift")).where((F.col("lift") >= min_lift) & (F.col("support") >= min_support))
@@ -50,53 +50,55 @@ def ranked(found: DataFrame) -> DataFrame:
 
 def select_diverse(ranked_rules: DataFrame, axis: Column, most: int = 15, axis_caps: dict[str, int] | None = None, default_cap: int = 2, first_family_cap: int = 3, soft: dict[str, int] | None = None) -> list[dict]:
     """Rules taken greedily in rank order: no superset of a rule already taken, capped per axis, one per family signature,
-    capped per first family; then one more of each axis that soft asks for. Candidates are bounded by the manifest
+    capped per first family; then one more, under the same caps but of any signature, for each axis that has fewer than soft
+    asks for. Candidates are bounded by the manifest
     (itemsets above the floors), so they are walked on the driver, one partition at a time.
     """
     caps, taken, signatures, firsts, axes = axis_caps or {}, [], set(), {}, {}
     rows = [r.asDict() for r in ranked_rules.withColumn("axis", axis).orderBy("candidate_rank").toLocalIterator()]
+
+    def fits(r: dict, repeat: bool) -> bool:
+        if any(set(t["items"]) <= set(r["items"]) for t in taken) or (not repeat and "|".join(r["families"]) in signatures):
+            return False
+        return axes.get(r["axis"], 0) < caps.get(r["axis"], default_cap) and firsts.get(r["families"][0], 0) < first_family_cap
+
+    def take(r: dict, rule_set: str) -> None:
+        taken.append(r | {"signature": "|".join(r["families"]), "rule_set": rule_set})
+        signatures.add(taken[-1]["signature"])
+        axes[r["axis"]] = axes.get(r["axis"], 0) + 1
+        firsts[r["families"][0]] = firsts.get(r["families"][0], 0) + 1
+
     for r in rows:
-        r["signature"] = "|".join(r["families"])
         if len(taken) == most:
             break
-        own = set(r["items"])
-        if any(set(t["items"]) <= own for t in taken) or r["signature"] in signatures:
-            continue
-        if axes.get(r["axis"], 0) >= caps.get(r["axis"], default_cap) or firsts.get(r["families"][0], 0) >= first_family_cap:
-            continue
-        taken.append(r)
-        signatures.add(r["signature"])
-        axes[r["axis"]] = axes.get(r["axis"], 0) + 1
-        firsts[r["families"][0]] = firsts.get(r["families"][0], 0) + 1
+        if fits(r, repeat=False):
+            take(r, "primary")
     for name, least in (soft or {}).items():
-        for r in rows:
-            if len(taken) >= most or axes.get(name, 0) >= least:
-                break
-            if r["axis"] == name and r["clarity"] >= 0.85 and r not in taken and not any(set(t["items"]) <= set(r["items"]) for t in taken):
-                r["signature"] = "|".join(r["families"])
-                taken.append(r)
-                axes[name] = axes.get(name, 0) + 1
+        if len(taken) < most and axes.get(name, 0) < least:
+            found = next((r for r in rows if r["axis"] == name and r["clarity"] >= 0.85 and fits(r, repeat=True)), None)
+            if found:
+                take(found, "coverage")
     return taken
 
 
 def replay(test: DataFrame, items: list[I.Item], label: str, rules: DataFrame) -> DataFrame:
     """rules with their test hits, Wilson bounds, risk ratio, exact enrichment p-value and q-value; one scan of test."""
-    seen = I.evaluate(I.patterns(test, items, label), rules)
+    seen = I.settled(I.evaluate(I.patterns(test, items, label), rules))
     return with_evidence(seen)
 
 
 def with_evidence(seen: DataFrame) -> DataFrame:
     low, high = stats.wilson(F.col("hit_y"), F.col("hit"))
-    base = F.col("positives") / F.col("total")
+    base = F.col("positives") / F.nullif(F.col("total"), F.lit(0))
     conf = F.col("hit_y") / F.nullif(F.col("hit"), F.lit(0))
     out = seen.withColumns(
         {
             "base_rate": base,
-            "test_support": F.col("hit") / F.col("total"),
+            "test_support": F.col("hit") / F.nullif(F.col("total"), F.lit(0)),
             "test_confidence": conf,
             "wilson_lower": low,
             "wilson_upper": high,
-            "risk_ratio": conf / base,
+            "risk_ratio": conf / F.nullif(base, F.lit(0.0)),
             "p_value": stats.binomial_tail(F.col("hit_y"), F.col("hit"), base),
         }
     )

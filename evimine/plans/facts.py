@@ -84,7 +84,11 @@ triplets AS (
          (a.clarity + b.clarity + c.clarity) / 3 AS clarity, greatest(a.continuous, b.continuous, c.continuous) AS continuous, 3 AS n_items,
          CAST(a.semantic = b.semantic OR a.semantic = c.semantic OR b.semantic = c.semantic AS INTEGER) AS duplicate,
          a.bit + b.bit AS p1, a.bit + c.bit AS p2, b.bit + c.bit AS p3
-  FROM items a JOIN items b ON a.name < b.name JOIN items c ON b.name < c.name)"""
+  FROM items a JOIN items b ON a.name < b.name JOIN items c ON b.name < c.name),
+quads AS (
+  SELECT a.name || '||' || b.name || '||' || c.name || '||' || d.name AS antecedent, a.bit + b.bit + c.bit + d.bit AS bits, list_sort(list_distinct([a.family, b.family, c.family, d.family])) AS families,
+         (a.clarity + b.clarity + c.clarity + d.clarity) / 4 AS clarity, 4 AS n_items
+  FROM items a JOIN items b ON a.name < b.name JOIN items c ON b.name < c.name JOIN items d ON c.name < d.name)"""
 ROWS_SQL = f"hits AS (SELECT grp, split, y, {bits_sql()} AS bits FROM facts)"
 BASE_SQL = f"WITH {FACTS_SQL}, {ITEMS_SQL}, {RULES_SQL}, {ROWS_SQL}"
 

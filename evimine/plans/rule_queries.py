@@ -11,7 +11,7 @@ from evimine.operators import audit, evidence, profile, rules
 from evimine.operators import items as I
 from evimine.plans.facts import BASE_SQL, DOMAIN, ITEMS, SEMANTIC, bits_sql, evaluated_sql, facts, hit_sql, observed_sql, replay_sql
 
-SUPPORT, LIFT, TRIPLET_HITS, ITERATIONS = 0.015, 1.0, 40, 50
+SUPPORT, LIFT, TRIPLET_HITS, ITERATIONS = 0.015, 1.0, 40, evidence.ITERATIONS
 
 
 def r6(c: Column | str) -> Column:
@@ -32,7 +32,7 @@ def _replayed(spark, sf_dir, sizes=(2,)) -> DataFrame:
 
 
 def _meaning(spark) -> DataFrame:
-    return spark.createDataFrame([(i.name, SEMANTIC.get(i.name, i.name)) for i in ITEMS], "item string, semantic string")
+    return I.local(spark, [(i.name, SEMANTIC.get(i.name, i.name)) for i in ITEMS], "item string, semantic string")
 
 
 def axis() -> Column:
@@ -64,29 +64,29 @@ ORDER_SQL = f"round({SCORE_SQL}, 12) DESC, round(lift, 12) DESC, antecedent"
 
 
 def rule_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mined(spark, sf_dir, (2, 3)).select("antecedent", r6("score").alias("score"), F.col("candidate_rank").cast("long").alias("candidate_rank"))
+    return _mined(spark, sf_dir, (2, 3, 4)).select("antecedent", r6("score").alias("score"), F.col("candidate_rank").cast("long").alias("candidate_rank"))
 
 
-RULE_SCORE_RANK = f"""{BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {evaluated_sql("triplets", "train", "e3")},
-u AS (SELECT antecedent, families, clarity, n_items, support, confidence, lift FROM e2 UNION ALL SELECT antecedent, families, clarity, n_items, support, confidence, lift FROM e3)
+RULE_SCORE_RANK = f"""{BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {evaluated_sql("triplets", "train", "e3")}, {evaluated_sql("quads", "train", "e4")},
+u AS ({" UNION ALL ".join(f"SELECT antecedent, families, clarity, n_items, support, confidence, lift FROM e{n}" for n in (2, 3, 4))})
 SELECT antecedent, round({SCORE_SQL}, 6) AS score, row_number() OVER (ORDER BY {ORDER_SQL}) AS candidate_rank
 FROM u WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE"""
 
 
 def fpgrowth_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.mine_frequent(_split(spark, sf_dir, "train"), ITEMS, "y", SUPPORT, LIFT, (2, 3))
+    found = rules.mine_frequent(_split(spark, sf_dir, "train"), ITEMS, "y", SUPPORT, LIFT, (2, 4))
     return found.select("antecedent", *(r6(c).alias(c) for c in ("support", "confidence", "lift")))
 
 
-FPGROWTH_RULES = f"""{BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {evaluated_sql("triplets", "train", "e3")},
-u AS (SELECT antecedent, support, confidence, lift FROM e2 UNION ALL SELECT antecedent, support, confidence, lift FROM e3)
+FPGROWTH_RULES = f"""{BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {evaluated_sql("triplets", "train", "e3")}, {evaluated_sql("quads", "train", "e4")},
+u AS ({" UNION ALL ".join(f"SELECT antecedent, support, confidence, lift FROM e{n}" for n in (2, 3, 4))})
 SELECT antecedent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM u WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE"""
 
 
 def greedy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = rules.select_diverse(_mined(spark, sf_dir, (2, 3)), axis(), default_cap=3)
+    taken = rules.select_diverse(_mined(spark, sf_dir, (2, 3, 4)), axis(), default_cap=3)
     rows = [(f"R{i + 1:02d}", t["antecedent"], t["axis"], t["signature"], round(t["score"], 6)) for i, t in enumerate(taken)]
-    return spark.createDataFrame(rows, "rule_id string, antecedent string, axis string, signature string, score double")
+    return I.local(spark, rows, "rule_id string, antecedent string, axis string, signature string, score double")
 
 
 REPLAY_COLUMNS = ("test_confidence", "wilson_lower", "wilson_upper", "risk_ratio", "p_value", "q_value")
@@ -122,7 +122,7 @@ SELECT *, round(n_hits / n_rows::DOUBLE, 6) AS hit_rate, round(coalesce(n_unobse
 def _triplets(spark, sf_dir) -> DataFrame:
     train = _split(spark, sf_dir, "train")
     seen = I.patterns(train, ITEMS, "y")
-    found = I.measures(I.evaluate(seen, I.rule_table(spark, ITEMS, (2, 3)))).withColumn("antecedent", rules.joined(F.col("items")))
+    found = I.measures(I.settled(I.evaluate(seen, I.rule_table(spark, ITEMS, (2, 3))))).withColumn("antecedent", rules.joined(F.col("items")))
     return rules.with_parents(found.where("n_items = 3"), found.where("n_items = 2"))
 
 
@@ -205,13 +205,13 @@ def group_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _M = evidence.DRAW_MODULUS
 BOOTSTRAP_SQL = f"""groups AS (SELECT grp, bits, count(*) AS n, sum(y) AS y FROM hits WHERE split = 'train' GROUP BY grp, bits),
-draws AS (SELECT bits, n, y, i AS iteration, (grp * 7919 + i * 104729 + 1) % {_M} AS a FROM groups, range({ITERATIONS}) d(i)),
-weights AS (SELECT bits, iteration, n, y, ((a * a + a * 31 + 17) % {_M}) / {float(_M)}::DOUBLE AS u FROM draws),
-drawn AS (SELECT iteration, bits, sum(n * w) AS n, sum(y * w) AS y FROM (SELECT *, {" + ".join(f"CAST(u >= {p!r}::DOUBLE AS INTEGER)" for p in evidence.POISSON)} AS w FROM weights) GROUP BY iteration, bits),
+seeds AS (SELECT bits, n, y, ('0x' || substr(md5(coalesce(CAST(grp AS VARCHAR), '')), 1, 8))::BIGINT AS s1, ('0x' || substr(md5(coalesce(CAST(grp AS VARCHAR), '')), 9, 8))::BIGINT AS s2 FROM groups),
+weights AS (SELECT bits, i AS iteration, n, y, ((s1 + i * s2) % {_M}) / {float(_M)}::DOUBLE AS u FROM seeds, range({ITERATIONS}) d(i)),
+drawn AS (SELECT iteration, bits, sum(n * w) AS n, sum(y * w) AS y FROM (SELECT *, {" + ".join(f"CAST(u >= {p!r}::DOUBLE AS INTEGER)" for p in evidence.POISSON)} AS w FROM weights) WHERE w > 0 GROUP BY iteration, bits),
 tot AS (SELECT iteration, sum(n) AS total, sum(y) AS positives FROM drawn GROUP BY iteration),
 rep AS (SELECT p.antecedent, t.iteration, coalesce(sum(d.n) FILTER (WHERE (d.bits & p.bits) = p.bits), 0) AS hit, coalesce(sum(d.y) FILTER (WHERE (d.bits & p.bits) = p.bits), 0) AS hit_y, any_value(t.total) AS total, any_value(t.positives) AS positives
         FROM pairs p, drawn d JOIN tot t USING (iteration) GROUP BY p.antecedent, t.iteration),
-boot AS (SELECT antecedent, count(*) FILTER (WHERE hit_y / total::DOUBLE >= 0.8::DOUBLE * 0.015::DOUBLE AND hit_y / nullif(hit, 0)::DOUBLE / (positives / total::DOUBLE) >= 1) AS recurrent, count(*) AS n FROM rep GROUP BY antecedent)"""
+boot AS (SELECT antecedent, count(*) FILTER (WHERE hit / total::DOUBLE >= 0.8::DOUBLE * 0.015::DOUBLE AND hit_y / nullif(hit, 0)::DOUBLE / (positives / total::DOUBLE) >= 1) AS recurrent, count(*) AS n FROM rep WHERE total >= 20 GROUP BY antecedent)"""
 GROUP_BOOTSTRAP = f"""{BASE_SQL}, {BOOTSTRAP_SQL} SELECT antecedent, recurrent, round(recurrent / n::DOUBLE, 6) AS recurrence FROM boot"""
 
 
@@ -238,7 +238,7 @@ def _graded(spark, sf_dir) -> DataFrame:
 
 
 GRADED_SQL = f"""{BASE_SQL}, {replay_sql("pairs", "t")}, {BOOTSTRAP_SQL}, {SENSITIVITY_SQL},
-ev AS (SELECT t.*, least(1::DOUBLE, boot.recurrent / boot.n::DOUBLE * 1.2::DOUBLE) AS recurrence, hit_min, lift_min, coalesce(t.hit >= 1 AND q_value / 20 <= 0.05::DOUBLE AND risk_ratio >= 1, false) AS stat, t.{AXIS_SQL} AS axis
+ev AS (SELECT t.*, boot.recurrent / boot.n::DOUBLE AS recurrence, hit_min, lift_min, coalesce(t.hit >= 1 AND q_value <= 0.05::DOUBLE AND risk_ratio >= 1, false) AS stat, t.{AXIS_SQL} AS axis
        FROM t JOIN boot USING (antecedent) LEFT JOIN sens USING (antecedent)),
 graded AS (SELECT *, CASE WHEN stat AND recurrence >= 0.95::DOUBLE AND hit >= 5 AND continuous = 1 AND coalesce(lift_min >= 1, false) THEN 'core-confirmed'
   WHEN stat AND recurrence >= 0.95::DOUBLE AND hit >= 5 AND continuous = 0 THEN 'binary-stable confirmed' WHEN stat THEN 'statistically confirmed' ELSE 'replayable' END AS tier FROM ev)"""
@@ -272,7 +272,7 @@ AXIS_SUMMARY = f"""{GRADED_SQL} SELECT axis, count(*) AS n_rules, {", ".join(f"c
 
 
 def universe_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axes = spark.createDataFrame([(f,) for f in sorted({i.family for i in ITEMS} | {"unused"})], "axis string")
+    axes = I.local(spark, [(f,) for f in sorted({i.family for i in ITEMS} | {"unused"})], "axis string")
     mined = _mined(spark, sf_dir).withColumn("axis", axis())
     return evidence.spine(axes, {"n_universe": mined, "n_top": mined.where("candidate_rank <= 5"), "n_triplets": _valid_triplets(spark, sf_dir)})
 
@@ -320,7 +320,7 @@ SELECT antecedent, semantic, count(*) AS n_items, string_agg(name, '||' ORDER BY
 
 def usage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     mined = _mined(spark, sf_dir).select(F.explode("items").alias("feature"), "candidate_rank")
-    base = spark.createDataFrame([(i.name, i.family) for i in ITEMS], "feature string, family string")
+    base = I.local(spark, [(i.name, i.family) for i in ITEMS], "feature string, family string")
     unknown = audit.item_replay(facts(spark, sf_dir), ITEMS).groupBy(F.col("item").alias("feature")).agg(F.sum("n_unobserved").alias("n_unobserved"))
     return audit.usage(base.join(unknown, "feature"), {"in_universe": mined, "in_top": mined.where("candidate_rank <= 5")})
 
@@ -334,7 +334,7 @@ FROM items i JOIN un USING (name)"""
 def size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules found by the first N items, N = 4, 6, 8, 10."""
     seen = I.patterns(_split(spark, sf_dir, "train"), ITEMS, "y")
-    found = I.measures(I.evaluate(seen, I.rule_table(spark, ITEMS, (2, 3)))).where((F.col("support") >= SUPPORT) & (F.col("lift") >= LIFT))
+    found = I.measures(I.settled(I.evaluate(seen, I.rule_table(spark, ITEMS, (2, 3))))).where((F.col("support") >= SUPPORT) & (F.col("lift") >= LIFT))
     each = found.select("n_items", "bits", "lift", F.explode(F.array(*map(F.lit, (4, 6, 8, 10)))).alias("n_features")).where(F.col("bits") < F.pow(F.lit(2.0), F.col("n_features")))
     return each.groupBy("n_features").agg(F.count_if(F.col("n_items") == 2).alias("n_pairs"), F.count_if(F.col("n_items") == 3).alias("n_triplets"), r6(F.max("lift")).alias("best_lift"))
 

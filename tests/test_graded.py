@@ -26,3 +26,41 @@ def test_confirmed_tiers_pass_their_limits(graded):
             assert r["q_value"] <= evidence.Q
         if r["tier"] in (evidence.CORE, evidence.BINARY):
             assert r["recurrence"] >= evidence.RECURRENCE
+
+
+def test_no_rule_plan_has_a_cartesian_product(spark):
+    from evimine.operators import items as I
+    from evimine.plans.facts import ITEMS, facts
+
+    seen = I.patterns(facts(spark, SF), ITEMS, "y")
+    plan = I.evaluate(seen, I.rule_table(spark, ITEMS, (2, 3)))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("FileScan") <= 4
+    for name in ("triplet_candidates", "topk_summary", "evidence_tiers"):
+        assert "CartesianProduct" not in rule_queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bootstrap_measures_the_antecedent_and_takes_any_group_id(spark):
+    from evimine.operators import items as I
+
+    items = [I.Item("a", "x", ">", 0.0, "f"), I.Item("b", "x", ">", 1.0, "g")]
+    rows = [(f"group {i}" if i % 7 else None, float(i % 3), int(i % 3 == 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "grp string, x double, y int")
+    table = I.rule_table(spark, items, (1, 2))
+    got = {tuple(r["items"]): r for r in evidence.bootstrap(df, items, "y", "grp", table, 40).collect()}
+    assert got["a", "b"]["recurrence"] == 1.0 and got["a",]["recurrent"] == 40
+    few = evidence.bootstrap(df.limit(5), items, "y", "grp", table, 40).collect()
+    assert all(r["recurrent"] == 0 and r["recurrence"] == 0.0 for r in few)
+    # rare labels: the antecedent is frequent although antecedent and label together are not
+    rare = spark.createDataFrame([(str(i), 2.0 if i % 2 else 0.0, int(i == 1 or i == 3)) for i in range(400)], "grp string, x double, y int")
+    assert evidence.bootstrap(rare, items, "y", "grp", table, 40).where("n_items = 2").first()["recurrence"] > 0.8
+
+
+def test_soft_pass_keeps_all_caps(spark):
+    from pyspark.sql import functions as F
+
+    from evimine.operators import rules
+
+    rows = [(["a", "b"], ["f", "g"], 1.0, 1, "x"), (["a", "c"], ["f", "g"], 1.0, 2, "y"), (["a", "d"], ["f", "g"], 1.0, 3, "y"), (["a", "b", "e"], ["f", "h"], 1.0, 4, "z"), (["e", "h"], ["k"], 0.5, 5, "z")]
+    df = spark.createDataFrame(rows, "items array<string>, families array<string>, clarity double, candidate_rank int, ax string")
+    taken = rules.select_diverse(df, F.col("ax"), soft={"y": 2, "z": 1})
+    assert [(t["candidate_rank"], t["rule_set"]) for t in taken] == [(1, "primary"), (5, "primary"), (2, "coverage")]

@@ -91,7 +91,7 @@ def test_bootstrap_and_tiers(spark):
     table = items.rule_table(spark, ITEMS, (1,)).withColumn("antecedent", rules.joined(F.col("items")))
     got = {r["antecedent"]: r["recurrence"] for r in evidence.bootstrap(df, ITEMS, "label", "g", table, 40).collect()}
     assert got["a"] == 1.0 and 0 <= got["b"] <= 1
-    mean = spark.range(2000).select(F.avg(evidence.multiplicity(F.col("id"), F.lit(3)))).first()[0]
+    mean = spark.range(2000).select(F.avg(evidence.multiplicity(*evidence.draw_seeds(F.col("id")), F.lit(3)))).first()[0]
     assert 0.9 < mean < 1.1
     ladder = [
         (True, 9, 0.01, 1.2, 1.0, 1, 1.1, 9, evidence.CORE), (True, 9, 0.01, 1.2, 1.0, 0, None, None, evidence.BINARY), (True, 4, 0.01, 1.2, 1.0, 1, 1.1, 4, evidence.STATISTICAL),
