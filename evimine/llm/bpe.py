@@ -6,7 +6,7 @@ went), each a logarithmic point update. Short pieces that a batch has not met be
 each per step, over trees stored as rows of one matrix; long pieces go through a tree of their own.
 
 Encoding and decoding run per partition with no shuffle. Texts are read whole. The memory of pieces already encoded is
-bounded and emptied when full, so it cannot grow with the data.
+bounded and emptied when full, so it cannot grow with the data. The rank file is read where the job is planned and sent with it.
 """
 
 from __future__ import annotations
@@ -16,27 +16,31 @@ import gc
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Unicode White_Space, which is what \s of the pattern means.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Every match of the pattern lies inside one match of this.
+# Fixed value: the split pattern of which every match lies inside one match of _COARSE. Texts are split by any other alone.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _COARSE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The same inside and outside of a set of the pattern.
 _SPACE_ESCAPE = r"\p{White_Space}"
 _NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes than this are merged alone.
 LONG_PIECE = 256
-#: Encoded pieces remembered by a worker, and the longest of them in characters.
-REMEMBERED, REMEMBERED_LENGTH = 1_000_000, 64
-#: Pieces merged together.
-ROWS = 1 << 13
+#: Encoded pieces remembered by a worker (about 50 MB), and the longest of them in characters.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
+#: Pieces merged together; characters of text split at once; bytes of text in one batch of results.
+ROWS, SPLIT, BATCH = 1 << 12, 1 << 20, 4 << 20
 
 
 class Vocabulary:
@@ -45,18 +49,27 @@ class Vocabulary:
     def __init__(self, lines: Iterable[bytes], pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.ranks, self.pattern = ranks, regex.compile(pattern.replace(r"\s", _SPACE_ESCAPE))
+        self.coarse = _COARSE if pattern == _SPLIT else None
         self.bytes = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = {}
+        self._place_pairs()
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """What each pair of tokens (left << 32 | right) merges into."""
+        ranks, pairs = self.ranks, {}
         for token, rank in ranks.items():
             for at in range(1, len(token)):
                 left, right = ranks.get(token[:at]), ranks.get(token[at:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
+        return pairs
+
+    def _place_pairs(self) -> None:
+        """Open addressing: at most a few probes instead of a binary search."""
+        pairs = self.pairs
         self._keys = np.array(sorted(pairs), np.int64)
         self._merged = np.array([pairs[k] for k in self._keys.tolist()], np.int32)
-        self.pairs = pairs
-        # open addressing: at most a few probes instead of a binary search
         self._bits = max(4, int(len(pairs) * 4 - 1).bit_length())
         self._slots, self._values = np.full(1 << self._bits, -1, np.int64), np.full(1 << self._bits, _NONE, np.int32)
         todo = np.arange(len(self._keys))
@@ -216,8 +229,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
-        for low, high in _groups(texts, 1 << 22):
-            pieces = [_COARSE.findall(t) for t in texts[low:high]]
+        split = (self.vocabulary.coarse or self.vocabulary.pattern).findall
+        for low, high in _groups(texts, SPLIT):
+            pieces = [split(t) for t in texts[low:high]]
             new: set[str] = set()
             for p in pieces:
                 new.update(p)
@@ -246,24 +260,27 @@ def _groups(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
-_VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}
+_VOCABULARIES: dict[tuple[int, str], Vocabulary] = {}
 
 
-def _vocabulary(path: str, pattern: str) -> Vocabulary:
-    """One per worker process."""
-    if (path, pattern) not in _VOCABULARIES:
-        with open(path, "rb") as lines:
-            _VOCABULARIES[path, pattern] = Vocabulary(lines, pattern)
-    return _VOCABULARIES[path, pattern]
+def _sent(docs: DataFrame, path: str) -> Broadcast:
+    """The rank file, read where the job is planned."""
+    with open(path, "rb") as lines:
+        return docs.sparkSession.sparkContext.broadcast(lines.read())
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def _vocabulary(lines: bytes, pattern: str) -> Vocabulary:
+    """One per worker process."""
+    key = (hash(lines), pattern)
+    if key not in _VOCABULARIES:
+        _VOCABULARIES.clear()
+        _VOCABULARIES[key] = Vocabulary(lines.splitlines(), pattern)
+    return _VOCABULARIES[key]
 
 
-def _slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, limit: int = BATCH) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about limit bytes in a column."""
-    size = np.cumsum([0, *(len(x) if x is not None else 0 for x in batch.column(column).cast(pa.large_binary()).to_pylist())])
+    size = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
     low = 0
     while low < batch.num_rows:
         high = min(batch.num_rows, max(low + 1, int(np.searchsorted(size, size[low] + limit, "right")) - 1))
@@ -271,45 +288,84 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterato
         low = high
 
 
+def _encoded(batch: pa.RecordBatch, encoder: Encoder, text: str, ids: str, n_tokens: str) -> pa.RecordBatch:
+    packed = encoder.encode([t or "" for t in batch.column(text).to_pylist()])
+    columns = [*batch.columns, pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, ids, n_tokens])
+
+
+def _decoded(batch: pa.RecordBatch, vocabulary: Vocabulary, ids: str, decoded: str) -> pa.RecordBatch:
+    token = vocabulary.bytes.__getitem__
+    out = [b"".join(map(token, np.frombuffer(p or b"", "<u4").tolist())) for p in batch.column(ids).to_pylist()]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, decoded])
+
+
+def _counting_only(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """made with the cycle collector at rest: millions of short-lived lists and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield from made
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
     """docs with the ids of every whole text, packed as little-endian unsigned 32-bit integers, and their number.
 
-    path: the rank file, which every executor finds there (a public vocabulary installed with the workers).
+    path: the rank file, on the machine that plans the job. pattern: how texts are split, as the regex module reads it.
     Null and empty texts have no ids. Rows, repeated ones too, and all other columns stay as they are; columns that are
-    already named ids or n_tokens are replaced.
+    already named ids or n_tokens are replaced. An empty table stays empty.
     """
     kept = docs.drop(ids, n_tokens)
     schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())])
+    sent = _sent(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        gc.disable()  # millions of short-lived lists and no cycles; counting references is enough
         for whole in batches:
-            encoder = encoder or Encoder(_vocabulary(path, pattern))
+            encoder = encoder or Encoder(_vocabulary(sent.value, pattern))
             for batch in _slices(whole, text):
-                packed = encoder.encode(_texts(batch.column(text)))
-                columns = [*batch.columns, pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, ids, n_tokens])
+                yield _encoded(batch, encoder, text, ids, n_tokens)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lambda batches: _counting_only(run(batches)), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """encoded with the bytes that its packed ids stand for; null ids decode to no bytes. An unknown id is an error."""
+    """encoded with the bytes that its packed ids stand for; null ids decode to no bytes. An unknown id is an error.
+
+    Repeated rows are decoded each; an empty table stays empty; a column already named decoded is replaced.
+    """
     kept = encoded.drop(decoded)
     schema = T.StructType([*kept.schema.fields, T.StructField(decoded, T.BinaryType())])
+    sent = _sent(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            token = _vocabulary(path, pattern).bytes.__getitem__
             for batch in _slices(whole, ids):
-                out = [b"".join(map(token, np.frombuffer(p or b"", "<u4").tolist())) for p in batch.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, decoded])
+                yield _decoded(batch, _vocabulary(sent.value, pattern), ids, decoded)
 
     return kept.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text of every document."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    """Token counts and digests of the ids and of the decoded text of every document.
+
+    The two operators above in one pass, so that a worker holds one vocabulary and ids need not go back and forth. Null
+    texts count as empty; repeated rows are coded each; an empty table gives no rows.
+    """
+    sent = _sent(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for whole in batches:
+            encoder = encoder or Encoder(_vocabulary(sent.value, pattern))
+            for batch in _slices(whole, "text"):
+                coded = _encoded(batch, encoder, "text", "ids", "n_tokens")
+                yield _decoded(coded.select(["doc_id", "n_tokens", "ids"]), encoder.vocabulary, "ids", "decoded")
+
+    narrow = docs.select("doc_id", "text")
+    schema = T.StructType([narrow.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    coded = narrow.mapInArrow(lambda batches: _counting_only(run(batches)), schema)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
