@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evimine.functions.text import digits
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key (null keys are a key of their own), the first in a total order."""
@@ -44,18 +46,49 @@ def join_by_available(base: DataFrame, other: DataFrame, keys: list[str], order:
     return left_biased(base, keep_first(other, on, order), on)
 
 
-def counterpart(parties: DataFrame, group: str, party: str, order: list[Column]) -> DataFrame:
-    """For each party of a group with others, the best other one: columns group, party, other_<column>. Party is compared as it is.
+def role_priority(own: Column, other: Column) -> Column:
+    """Which counterpart a party prefers: 0 a vulnerable one's other kind, 1 the reverse, 2 its own kind."""
+    return F.when(own & ~other, 0).when(~own & other, 1).otherwise(2)
+
 
-    A group's best party is the counterpart of all but itself, and the second best is its own: two rows per group are
-    ranked, so a group of many parties costs their number, not its square. order speaks of the columns of parties.
+def counterpart(parties: DataFrame, group: str, party: str, vulnerable: Column, order: list[Column]) -> DataFrame:
+    """For each party of a group with others, the one it prefers: columns group, party, vulnerable, other_<column>, other_vulnerable.
+
+    A vulnerable party prefers one that is not, and the reverse; else the first in order, which speaks of the columns of
+    parties. Parties are compared by name, so one that is listed twice, even in two roles, is never its own counterpart.
+    Of each kind only a group's first two parties can be anyone's choice, so a party meets four rows at most, and a
+    group costs the number of its parties, not its square.
+    """
+    once = keep_first(parties.withColumn("_v", F.coalesce(vulnerable, F.lit(False))), [group, party, "_v"], order)
+    placed = once.withColumn("_place", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    first = placed.withColumn("_k", F.row_number().over(W.partitionBy(group, "_v").orderBy("_place"))).where("_k <= 2").drop("_k")
+    names = [c for c in parties.columns if c != group]
+    other = F.struct(*(F.col(c).alias(f"other_{c}") for c in names), F.col("_v").alias("other_vulnerable"))
+    choices = first.select(group, F.col(party).alias("_other"), F.col("_v").alias("_ov"), F.col("_place").alias("_op"), other.alias("_row"))
+    pairs = placed.select(group, party, "_v").join(choices, group).where(F.col(party) != F.col("_other"))
+    preferred = F.struct(role_priority(F.col("_v"), F.col("_ov")), F.col("_op"))
+    best = pairs.groupBy(group, party).agg(F.min_by(F.struct(F.col("_v").alias("vulnerable"), "_row"), preferred).alias("_best"))
+    return best.select(group, party, "_best.vulnerable", "_best._row.*")
+
+
+def recorded_counterpart(records: DataFrame, parties: DataFrame, group: str, party: str, opponent: Column, numbers: list[Column], vulnerable: Column, unnumbered: int = 9999) -> DataFrame:
+    """For each party with a usable record, the opponent that it names: columns group, party, vulnerable, other_party, other_vulnerable.
+
+    The first number in the text of opponent names the other party; records without one, with 0 or with the party itself
+    are left out. The roles of both are looked up in parties (null if unknown), and of several records the preferred
+    pair of roles wins, then the smaller collision numbers (unnumbered if there is none), then the opponent's name.
     """
-    ranked = parties.withColumn("_place", F.row_number().over(W.partitionBy(group).orderBy(*order)))
-    rename = {c: f"other_{c}" for c in parties.columns if c != group}
-    two = ranked.where("_place <= 2").withColumnsRenamed({**rename, "_place": "_other_place"})
-    own = ranked.select(group, party, "_place")
-    pairs = own.join(two, group).where(F.when(F.col("_place") == 1, F.col("_other_place") == 2).otherwise(F.col("_other_place") == 1))
-    return pairs.drop("_place", "_other_place")
+    named = records.withColumn("other_party", digits(opponent))
+    named = named.where(F.col("other_party").isNotNull() & (F.col("other_party") != "0") & (F.col("other_party") != F.col(party).cast("string")))
+    placed = [F.coalesce(digits(n).cast("double"), F.lit(float(unnumbered))).alias(f"_n{i}") for i, n in enumerate(numbers)]
+    named = named.select(group, party, "other_party", *placed)
+    roles = parties.select(group, F.col(party).alias("_p"), F.coalesce(vulnerable, F.lit(False)).alias("_v")).distinct()
+    own = roles.select(group, F.col("_p").alias(party), F.col("_v").alias("vulnerable"))
+    other = roles.select(group, F.col("_p").cast("string").alias("other_party"), F.col("_v").alias("other_vulnerable"))
+    both = named.join(own, [group, party], "left").join(other, [group, "other_party"], "left")
+    known = lambda c: F.coalesce(c, F.lit(False))
+    order = [role_priority(known("vulnerable"), known("other_vulnerable")), *(f"_n{i}" for i in range(len(numbers))), "other_party", F.desc_nulls_last("vulnerable"), F.desc_nulls_last("other_vulnerable")]
+    return keep_first(both, [group, party], order).select(group, party, "vulnerable", "other_party", "other_vulnerable")
 
 
 def overlay(base: DataFrame, exact: DataFrame, on: list[str], columns: list[str]) -> DataFrame:

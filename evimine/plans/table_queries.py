@@ -93,17 +93,20 @@ FIRST_PER_KEY = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_qua
 
 
 def _parties(spark, sf_dir) -> DataFrame:
-    line = _line(spark, sf_dir)
-    return line.groupBy(F.col("l_orderkey").alias("acc"), F.col("l_suppkey").alias("party")).agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("flag"), F.max("l_quantity").alias("qty"))
+    """Parties of an order as they are listed: several times, and in two roles."""
+    vulnerable = F.col("l_returnflag") == "R"
+    return _line(spark, sf_dir).select(F.col("l_orderkey").alias("acc"), F.col("l_suppkey").alias("party"), vulnerable.alias("flag"), F.col("l_quantity").alias("qty"))
 
 
 def _counterparts(spark, sf_dir) -> DataFrame:
-    return cohort.counterpart(_parties(spark, sf_dir), "acc", "party", [F.desc("flag"), F.col("party").cast("string")])
+    order = [F.col("party").cast("string"), F.desc("flag"), F.desc("qty")]
+    return cohort.counterpart(_parties(spark, sf_dir), "acc", "party", F.col("flag"), order).drop("other_flag")
 
 
-PARTIES_SQL = """parties AS (SELECT l_orderkey AS acc, l_suppkey AS party, max(CAST(l_returnflag = 'R' AS INTEGER)) AS flag, max(l_quantity) AS qty FROM lineitem GROUP BY 1, 2),
-best AS (SELECT a.acc, a.party, b.party AS other_party, b.flag AS other_flag, b.qty AS other_qty FROM parties a JOIN parties b ON a.acc = b.acc AND a.party <> b.party
-         QUALIFY row_number() OVER (PARTITION BY a.acc, a.party ORDER BY b.flag DESC, b.party::VARCHAR) = 1)"""
+PRIORITY_SQL = "CASE WHEN {a} AND NOT {b} THEN 0 WHEN NOT {a} AND {b} THEN 1 ELSE 2 END"
+PARTIES_SQL = f"""parties AS (SELECT l_orderkey AS acc, l_suppkey AS party, l_returnflag = 'R' AS flag, max(l_quantity) AS qty FROM lineitem GROUP BY 1, 2, 3),
+best AS (SELECT a.acc, a.party, a.flag AS vulnerable, b.party AS other_party, b.qty AS other_qty, b.flag AS other_vulnerable FROM parties a JOIN parties b ON a.acc = b.acc AND a.party <> b.party
+         QUALIFY row_number() OVER (PARTITION BY a.acc, a.party ORDER BY {PRIORITY_SQL.format(a="a.flag", b="b.flag")}, b.party::VARCHAR, b.flag DESC) = 1)"""
 
 
 def counterparty_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +116,34 @@ def counterparty_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTERPARTY_FALLBACK = f"WITH {PARTIES_SQL} SELECT * FROM best"
 
 
+def _recorded(spark, sf_dir) -> DataFrame:
+    """Records whose text names another party, nobody, or the party itself."""
+    line, said = _line(spark, sf_dir), F.concat(F.lit("No. "), (F.col("l_partkey") % 100).cast("string"), F.lit(" (x)"))
+    opponent = F.when(F.col("l_linenumber") == 1, None).when(F.col("l_quantity") > 45, F.concat(F.col("l_suppkey").cast("string"), F.lit(" itself"))).otherwise(said)
+    second = F.when(F.col("l_tax") != 0, F.concat((F.col("l_linenumber") % 3).cast("string"), F.lit("-b")))
+    records = line.select(F.col("l_orderkey").alias("acc"), F.col("l_suppkey").alias("party"), opponent.alias("opponent"), (F.col("l_linenumber") % 2).cast("string").alias("first"), second.alias("second"))
+    return cohort.recorded_counterpart(records, _parties(spark, sf_dir), "acc", "party", F.col("opponent"), [F.col("first"), F.col("second")], F.col("flag"))
+
+
+def counterparty_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recorded(spark, sf_dir)
+
+
+RECORDED_SQL = f"""records AS (SELECT l_orderkey AS acc, l_suppkey AS party, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_quantity > 45 THEN l_suppkey::VARCHAR ELSE (l_partkey % 100)::VARCHAR END AS other_party,
+  l_linenumber % 2 AS n0, CASE WHEN l_tax <> 0 THEN l_linenumber % 3 ELSE 9999 END AS n1 FROM lineitem),
+recorded AS (SELECT r.acc, r.party, a.flag AS vulnerable, r.other_party, b.flag AS other_vulnerable FROM records r LEFT JOIN parties a ON a.acc = r.acc AND a.party = r.party
+  LEFT JOIN parties b ON b.acc = r.acc AND b.party::VARCHAR = r.other_party WHERE r.other_party <> '0' AND r.other_party <> r.party::VARCHAR
+  QUALIFY row_number() OVER (PARTITION BY r.acc, r.party ORDER BY {PRIORITY_SQL.format(a="coalesce(a.flag, false)", b="coalesce(b.flag, false)")}, n0, n1, r.other_party, a.flag DESC NULLS LAST, b.flag DESC NULLS LAST) = 1)"""
+COUNTERPARTY_RECORDED = f"WITH {PARTIES_SQL}, {RECORDED_SQL} SELECT * FROM recorded"
+
+
 def counterparty_exact_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exact = _line(spark, sf_dir).where("l_linestatus = 'O'").groupBy(F.col("l_orderkey").alias("acc"), F.col("l_suppkey").alias("party")).agg(F.min("l_partkey").alias("other_party"), F.min("l_quantity").alias("other_qty"))
-    return cohort.overlay(_counterparts(spark, sf_dir), exact, ["acc", "party"], ["other_party", "other_qty"])
+    base = _counterparts(spark, sf_dir).withColumn("other_party", F.col("other_party").cast("string"))
+    return cohort.overlay(base, _recorded(spark, sf_dir), ["acc", "party"], ["other_party", "other_vulnerable"])
 
 
-COUNTERPARTY_EXACT_OVERLAY = f"""WITH {PARTIES_SQL}, exact AS (SELECT l_orderkey AS acc, l_suppkey AS party, min(l_partkey) AS e_party, min(l_quantity) AS e_qty FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)
-SELECT acc, party, coalesce(e_party, other_party) AS other_party, other_flag, coalesce(e_qty, other_qty) AS other_qty FROM best LEFT JOIN exact USING (acc, party)"""
+COUNTERPARTY_EXACT_OVERLAY = f"""WITH {PARTIES_SQL}, {RECORDED_SQL}
+SELECT acc, party, best.vulnerable, coalesce(recorded.other_party, best.other_party::VARCHAR) AS other_party, other_qty, coalesce(recorded.other_vulnerable, best.other_vulnerable) AS other_vulnerable FROM best LEFT JOIN recorded USING (acc, party)"""
 
 
 def opponent_dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,7 +480,7 @@ def ml_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = (
-    "flow_audit stage_audit missingness_profile dup_summary dedupe_complete first_per_key counterparty_fallback counterparty_exact_overlay opponent_dim_join two_tier_fill left_biased_join semi_anti "
+    "flow_audit stage_audit missingness_profile dup_summary dedupe_complete first_per_key counterparty_fallback counterparty_recorded counterparty_exact_overlay opponent_dim_join two_tier_fill left_biased_join semi_anti "
     "sentinel_flags first_number keyword_flags temporal_features right_closed_bins coalesce_label bounded_impute one_hot_aligned bounds_audit outlier_audit zero_collapse baseline_table split_audit checks "
     "redundancy_index univariate_signal binned_mi rank_fusion auroc_ap holdout_summary union_widen unseen_levels composition ml_logit ml_forest"
 ).split()

@@ -11,10 +11,32 @@ from evimine.streaming import score
 
 
 def test_counterpart_equals_the_self_join(spark):
-    rows = [(1, "10", 1), (1, "2", 1), (1, "3", 0), (2, "7", 0), (3, "1", 0), (3, "4", 1)]
-    df = spark.createDataFrame(rows, "acc int, party string, flag int")
-    got = {(r["acc"], r["party"]): r["other_party"] for r in cohort.counterpart(df, "acc", "party", [F.desc("flag"), F.col("party")]).collect()}
-    assert got == {(1, "10"): "2", (1, "2"): "10", (1, "3"): "10", (3, "1"): "4", (3, "4"): "1"}
+    import random
+
+    r = random.Random(2)
+    rows = [(g, str(r.randrange(14)), r.randrange(2), k) for g in range(40) for k in range(r.randrange(1, 9))] + [(None, "1", 1, 0), (None, "2", 0, 0), (1, None, 1, 9)]
+    df = spark.createDataFrame(rows, "acc int, party string, flag int, n int")
+    got = {(x["acc"], x["party"]): (x["vulnerable"], x["other_party"], x["other_flag"], x["other_n"]) for x in cohort.counterpart(df, "acc", "party", F.col("flag") == 1, [F.col("party"), F.desc("flag"), F.asc("n")]).collect()}
+    expected = {}
+    for g, p, f, _ in rows:
+        for h, q, e, n in rows:
+            if g is not None and g == h and p is not None and q is not None and p != q:
+                key = (0 if f > e else 1 if f < e else 2, q, -e, n)
+                if (g, p) not in expected or key < expected[g, p][0]:
+                    expected[g, p] = (key, (f == 1, q, e, n))
+    assert got == {k: v for k, (_, v) in expected.items()} and len(got) > 50
+    # a vulnerable party prefers one that is not, although another is first in order
+    three = spark.createDataFrame([(1, "1", 1), (1, "2", 1), (1, "3", 0)], "acc int, party string, flag int")
+    found = cohort.counterpart(three, "acc", "party", F.col("flag") == 1, [F.col("party")]).collect()
+    assert {x["party"]: x["other_party"] for x in found} == {"1": "3", "2": "3", "3": "1"}
+
+
+def test_recorded_counterpart(spark):
+    parties = spark.createDataFrame([(1, "1", 1), (1, "2", 0), (1, "3", 1)], "acc int, party string, flag int")
+    records = [(1, "1", "0-nobody", "1"), (1, "1", "1", "1"), (1, "1", None, "1"), (1, "1", "3", "1"), (1, "1", "No. 2", "5"), (1, "2", "9 unknown", None), (1, "3", "1", "7"), (1, "3", "4", "2"), (2, "1", "2", "1")]
+    df = spark.createDataFrame(records, "acc int, party string, other string, n string")
+    got = cohort.recorded_counterpart(df, parties, "acc", "party", F.col("other"), [F.col("n")], F.col("flag") == 1).collect()
+    assert {(r["acc"], r["party"]): (r["vulnerable"], r["other_party"], r["other_vulnerable"]) for r in got} == {(1, "1"): (True, "2", False), (1, "2"): (False, "9", None), (1, "3"): (True, "4", None), (2, "1"): (None, "2", None)}
 
 
 def test_most_complete_row_wins(spark):
