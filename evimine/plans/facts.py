@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evimine.functions import taxonomy
 from evimine.operators.items import Item
 from evimine.operators.prep import split_by_group
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_extendedprice"]
 
+# Names speak the taxonomy, which gives every item its family and every rule its axis.
 ITEMS = [
-    Item("acctbal_gt_5000", "s_acctbal", ">", 5000.0, "supplier"),
-    Item("discount_gt_5", "disc", ">", 0.05, "price", (0.0,)),
-    Item("price_gt_60000", "price", ">", 60000.0, "price"),
-    Item("qty_gt_30", "qty", ">", 30.0, "quantity", (), "domain"),
-    Item("qty_le_10", "qty", "<=", 10.0, "quantity", (), "exploratory_low"),
-    Item("size_le_20", "p_size", "<=", 20, "part"),
-    Item("status_f", "o_orderstatus", "==", "F", "order"),
-    Item("tax_gt_4", "tax", ">", 0.04, "tax", (0.0,)),
-    Item("urgent", "o_orderpriority", "==", "1-URGENT", "order"),
-    Item("line_open", "l_linestatus", "==", "O", "line"),
+    Item("FEATURE_AGE___GT_5000", "s_acctbal", ">", 5000.0, "age"),
+    Item("FRICTION___GT_0_05", "disc", ">", 0.05, "road_surface", (0.0,)),
+    Item("IMPACT_SPEED___GT_60000", "price", ">", 60000.0, "speed_vk"),
+    Item("INITIAL_SPEED___GT_30", "qty", ">", 30.0, "speed_v0", (), "domain"),
+    Item("INITIAL_SPEED___LE_10", "qty", "<=", 10.0, "speed_v0", (), "exploratory_low"),
+    Item("VEHICLE_LENGTH___LE_20", "p_size", "<=", 20, "vehicle_size"),
+    Item("ROAD_TYPE_F", "o_orderstatus", "==", "F", "road_type"),
+    Item("NIGHT_SHARE___GT_0_04", "tax", ">", 0.04, "light", (0.0,)),
+    Item("AEB_URGENT", "o_orderpriority", "==", "1-URGENT", "safety"),
+    Item("COLLISION_TYPE_O", "l_linestatus", "==", "O", "crash_type"),
 ]
-SEMANTIC = {"qty_gt_30": "volume", "qty_le_10": "volume", "price_gt_60000": "value", "discount_gt_5": "value", "status_f": "order_state", "urgent": "order_state"}
-DOMAIN = {"order": "operations", "line": "operations", "price": "commerce", "tax": "commerce", "quantity": "commerce", "part": "supply", "supplier": "supply"}
+SEMANTIC = {
+    "INITIAL_SPEED___GT_30": "volume", "INITIAL_SPEED___LE_10": "volume", "IMPACT_SPEED___GT_60000": "value", "FRICTION___GT_0_05": "value",
+    "ROAD_TYPE_F": "order_state", "AEB_URGENT": "order_state",
+}
+DOMAIN = {
+    "speed_energy": "speed", "vulnerability_speed": "people", "vehicle_geometry_vulnerability": "people", "road_speed_environment": "speed", "vehicle_geometry_interaction": "vehicles",
+    "lighting_visibility": "roads", "surface_weather_friction": "roads", "safety_assistance": "vehicles", "crash_configuration": "conflicts", "mixed_multimechanism": "mixed",
+}
 BOUNDS = {"qty": (5.0, 45.0), "price": (2000.0, 90000.0), "disc": (0.01, 0.09), "p_size": (2.0, 45.0), "s_acctbal": (0.0, 9000.0), "o_totalprice": (5000.0, 450000.0)}
 NUMBERS = list(BOUNDS)
 
@@ -89,6 +99,21 @@ quads AS (
   SELECT a.name || '||' || b.name || '||' || c.name || '||' || d.name AS antecedent, a.bit + b.bit + c.bit + d.bit AS bits, list_sort(list_distinct([a.family, b.family, c.family, d.family])) AS families,
          (a.clarity + b.clarity + c.clarity + d.clarity) / 4 AS clarity, 4 AS n_items
   FROM items a JOIN items b ON a.name < b.name JOIN items c ON b.name < c.name JOIN items d ON c.name < d.name)"""
+
+
+def axis_sql(table: str = "") -> str:
+    """The mechanism axis of a rule, as taxonomy.mechanism_axis, from its columns families and antecedent."""
+    text, families = f"upper(replace({table}antecedent, '||', ' '))", f"{table}families"
+    holds = {}
+    for key, (own, words) in taxonomy.TRAITS.items():
+        found = f"regexp_matches({text}, '{'|'.join(map(re.escape, words))}')"
+        holds[key] = f"({found} OR list_has_any({families}, [{', '.join(map(repr, own))}]))" if own else found
+    holds["sex"] = f"({holds['sex']} OR regexp_matches({text}, '(^|[_ ])SEX([_ ]|$)'))"
+    holds["speed"] = f"({holds['v0']} OR {holds['vk']})"
+    whens = (f"WHEN {' AND '.join([*(holds[t] for t in needs), *(f'NOT {holds[t]}' for t in lacks)])} THEN '{label}'" for label, needs, lacks in taxonomy.AXES)
+    return f"CASE {' '.join(whens)} ELSE 'mixed_multimechanism' END"
+
+
 ROWS_SQL = f"hits AS (SELECT grp, split, y, {bits_sql()} AS bits FROM facts)"
 BASE_SQL = f"WITH {FACTS_SQL}, {ITEMS_SQL}, {RULES_SQL}, {ROWS_SQL}"
 

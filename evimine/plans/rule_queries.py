@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evimine.functions import stats
+from evimine.functions import stats, taxonomy
 from evimine.operators import audit, evidence, profile, rules
 from evimine.operators import items as I
-from evimine.plans.facts import BASE_SQL, DOMAIN, ITEMS, SEMANTIC, bits_sql, evaluated_sql, facts, hit_sql, observed_sql, replay_sql
+from evimine.plans.facts import BASE_SQL, DOMAIN, ITEMS, SEMANTIC, axis_sql, bits_sql, evaluated_sql, facts, hit_sql, observed_sql, replay_sql
 
+AXIS_LABELS = sorted({a for a, _, _ in taxonomy.AXES} | {"mixed_multimechanism"})
 SUPPORT, LIFT, TRIPLET_HITS, ITERATIONS = 0.015, 1.0, 40, evidence.ITERATIONS
 
 
@@ -36,12 +37,11 @@ def _meaning(spark) -> DataFrame:
 
 
 def axis() -> Column:
-    """The first family, as axis."""
-    return F.get("families", F.lit(0))
+    """The mechanism axis of a rule."""
+    return taxonomy.mechanism_axis(F.col("families"), F.col("items"))
 
 
-AXIS_SQL = "families[1]"
-DOMAIN_SQL = "CASE " + AXIS_SQL + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DOMAIN.items()) + " END"
+DOMAIN_SQL = "CASE axis " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DOMAIN.items()) + " END"
 
 
 def domain() -> Column:
@@ -141,7 +141,7 @@ def triplet_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRIPLETS_SQL = f"""{BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {evaluated_sql("triplets", "train", "e3")},
-full3 AS (SELECT e.*, greatest(a.lift, b.lift, c.lift) AS best_parent_lift, e.lift - greatest(a.lift, b.lift, c.lift) AS incremental_lift, e.{AXIS_SQL} AS axis
+full3 AS (SELECT e.*, greatest(a.lift, b.lift, c.lift) AS best_parent_lift, e.lift - greatest(a.lift, b.lift, c.lift) AS incremental_lift, {axis_sql('e.')} AS axis
           FROM e3 e JOIN e2 a ON a.bits = e.p1 JOIN e2 b ON b.bits = e.p2 JOIN e2 c ON c.bits = e.p3),
 valid AS (SELECT * FROM full3 WHERE duplicate = 0 AND len(families) >= 2 AND support >= {SUPPORT}::DOUBLE AND hit >= {TRIPLET_HITS} AND lift >= {LIFT}::DOUBLE)"""
 TRIPLET_CANDIDATES = f"""{TRIPLETS_SQL} SELECT antecedent, axis, hit, {", ".join(f"round({c}, 6) AS {c}" for c in TRIPLET_COLUMNS)} FROM valid"""
@@ -238,7 +238,7 @@ def _graded(spark, sf_dir) -> DataFrame:
 
 
 GRADED_SQL = f"""{BASE_SQL}, {replay_sql("pairs", "t")}, {BOOTSTRAP_SQL}, {SENSITIVITY_SQL},
-ev AS (SELECT t.*, boot.recurrent / boot.n::DOUBLE AS recurrence, hit_min, lift_min, coalesce(t.hit >= 1 AND q_value <= 0.05::DOUBLE AND risk_ratio >= 1, false) AS stat, t.{AXIS_SQL} AS axis
+ev AS (SELECT t.*, boot.recurrent / boot.n::DOUBLE AS recurrence, hit_min, lift_min, coalesce(t.hit >= 1 AND q_value <= 0.05::DOUBLE AND risk_ratio >= 1, false) AS stat, {axis_sql('t.')} AS axis
        FROM t JOIN boot USING (antecedent) LEFT JOIN sens USING (antecedent)),
 graded AS (SELECT *, CASE WHEN stat AND recurrence >= 0.95::DOUBLE AND hit >= 5 AND continuous = 1 AND coalesce(lift_min >= 1, false) THEN 'core-confirmed'
   WHEN stat AND recurrence >= 0.95::DOUBLE AND hit >= 5 AND continuous = 0 THEN 'binary-stable confirmed' WHEN stat THEN 'statistically confirmed' ELSE 'replayable' END AS tier FROM ev)"""
@@ -272,13 +272,13 @@ AXIS_SUMMARY = f"""{GRADED_SQL} SELECT axis, count(*) AS n_rules, {", ".join(f"c
 
 
 def universe_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axes = I.local(spark, [(f,) for f in sorted({i.family for i in ITEMS} | {"unused"})], "axis string")
+    axes = I.local(spark, [(f,) for f in AXIS_LABELS], "axis string")
     mined = _mined(spark, sf_dir).withColumn("axis", axis())
     return evidence.spine(axes, {"n_universe": mined, "n_top": mined.where("candidate_rank <= 5"), "n_triplets": _valid_triplets(spark, sf_dir)})
 
 
-UNIVERSE_SPINE = f"""{TRIPLETS_SQL}, mined AS (SELECT {AXIS_SQL} AS axis, row_number() OVER (ORDER BY {ORDER_SQL}) AS k FROM e2 WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
-axes AS (SELECT DISTINCT family AS axis FROM items UNION ALL SELECT 'unused')
+UNIVERSE_SPINE = f"""{TRIPLETS_SQL}, mined AS (SELECT {axis_sql()} AS axis, row_number() OVER (ORDER BY {ORDER_SQL}) AS k FROM e2 WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
+axes(axis) AS (VALUES {", ".join(f"('{a}')" for a in AXIS_LABELS)})
 SELECT axis, (SELECT count(*) FROM mined m WHERE m.axis = axes.axis) AS n_universe, (SELECT count(*) FROM mined m WHERE m.axis = axes.axis AND k <= 5) AS n_top, (SELECT count(*) FROM valid v WHERE v.axis = axes.axis) AS n_triplets FROM axes"""
 
 
@@ -304,7 +304,7 @@ def herfindahl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("herfindahl", r6("herfindahl"))
 
 
-HERFINDAHL = f"""{TRIPLETS_SQL}, u AS (SELECT n_items, {AXIS_SQL} AS axis FROM (SELECT n_items, families, support, lift FROM e2 UNION ALL SELECT n_items, families, support, lift FROM e3) WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
+HERFINDAHL = f"""{TRIPLETS_SQL}, u AS (SELECT n_items, {axis_sql()} AS axis FROM (SELECT n_items, antecedent, families, support, lift FROM e2 UNION ALL SELECT n_items, antecedent, families, support, lift FROM e3) WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
 c AS (SELECT n_items, axis, count(*) AS n FROM u GROUP BY ALL), s AS (SELECT n_items, n / sum(n) OVER (PARTITION BY n_items)::DOUBLE AS share FROM c)
 SELECT n_items::BIGINT AS n_items, round(sum(share * share), 6) AS herfindahl, count(*) AS n_categories FROM s GROUP BY n_items"""
 
