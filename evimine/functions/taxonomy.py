@@ -150,6 +150,21 @@ def semantic_group(name: Column) -> Column:
     return F.when(unknown, "unknown_missing_category").otherwise(classify(name, SEMANTIC, F.concat(F.lit("other_unique:"), source_group(name))))
 
 
+def compact(name: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.upper(name), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
+
+
+def is_raw_age(name: Column) -> Column:
+    """Whether a feature is an age in years, not a group of ages."""
+    return compact(name).rlike("(^|_)(ALTER1|AGE_YEARS)$")
+
+
+def is_age_related(name: Column) -> Column:
+    """Whether a feature speaks of age in any form; a vehicle's usage does not."""
+    usage = Decision("", ("USAGE",), ("VEHUSAGE",))
+    return ~usage.column(name) & _AGE.column(name)
+
+
 def threshold_source(name: Column) -> Column:
     return classify(name, THRESHOLD, "train_median_exploratory")
 

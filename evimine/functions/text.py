@@ -55,6 +55,31 @@ def observed_number(value: Column, codes: tuple[float, ...] = ()) -> Column:
     return F.when(~sentinel(value, codes), first_number(value.cast("string")))
 
 
+def within(value: Column, low: float, high: float) -> Column:
+    """value if it lies in the range, ends included; else null."""
+    return F.when(value.between(low, high), value)
+
+
+def short_label(text: Column, most: int = 140) -> Column:
+    """One line of at most so many characters, white space collapsed; `None` of null, as text of nothing."""
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("None")), r"\s+", " ")), 1, most)
+
+
+def count_summary(n: Column, share: Column) -> Column:
+    """`12 (34.5%)`."""
+    return F.format_string("%d (%.1f%%)", n.cast("long"), share * 100)
+
+
+def spread_summary(mean: Column, sd: Column, median: Column, q1: Column, q3: Column) -> Column:
+    """`1.000 ± 0.500; 1.000 [0.500, 1.500]`."""
+    return F.format_string("%.3f ± %.3f; %.3f [%.3f, %.3f]", mean, sd, median, q1, q3)
+
+
+def capped_list(value: Column, most: int = 20, separator: str = "||") -> Column:
+    """Aggregate: the first distinct values in order, joined; at most so many are kept while values are gathered per group."""
+    return F.array_join(F.slice(F.array_sort(F.collect_set(value)), 1, most), separator)
+
+
 def binary(value: Column) -> Column:
     """1 and 0 for the spellings of true and false, else null."""
     text = F.lower(F.trim(value.cast("string")))

@@ -110,3 +110,49 @@ def schema_problems(df: DataFrame, required: dict[str, str]) -> list[str]:
     """Missing columns and those of another type."""
     have = dict(df.dtypes)
     return [f"{c}: missing" if c not in have else f"{c}: {have[c]} instead of {t}" for c, t in required.items() if have.get(c) != t]
+
+
+def same_rows(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: distinct keys that only a has, that only b has, and whether the two sets are equal. Null keys are keys."""
+    both = a.select(*columns, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*columns, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    each = both.groupBy(*columns).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    out = each.agg(F.count_if(F.col("b") == 0).alias("n_only_a"), F.count_if(F.col("a") == 0).alias("n_only_b"))
+    return out.withColumn("equal", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0))
+
+
+#: What a manifest must say of total vehicle mass.
+MASS_NAMES, MASS, NOT_MASS_AXES = ("GEWGES", "碰撞时的总重"), "vehicle_mass", ("crash_configuration", "vehicle_geometry_interaction")
+
+
+def mass_violations(manifest: DataFrame) -> DataFrame:
+    """Manifest rows (source, family, semantic, axis) of total vehicle mass that are labelled as something else, with the reasons."""
+    of_mass = F.col("source").rlike("|".join(MASS_NAMES))
+    wrong = lambda c: F.coalesce(F.col(c), F.lit("")) != MASS
+    reasons = F.concat_ws("|", F.when(wrong("family"), "family!=vehicle_mass"), F.when(wrong("semantic"), "Semantic_Group!=vehicle_mass"), F.when(F.col("axis").isin(*NOT_MASS_AXES), "Mechanism_Axis_forbidden"))
+    return manifest.where(of_mass).withColumn("violation", reasons).where("violation <> ''")
+
+
+def require_manifest(items: list, columns: list[str]) -> list:
+    """items themselves; raises with everything that is wrong with them."""
+    from evimine.operators.items import problems
+
+    if found := problems(items, columns):
+        raise ChecksFailed("; ".join(found))
+    return items
+
+
+def candidate_audit(candidates: dict[str, DataFrame], replayed: dict[str, DataFrame]) -> DataFrame:
+    """Per method: its candidates and how many of them were replayed."""
+    parts = [c.agg(F.count(F.lit(1)).alias("n_candidates")).withColumn("method", F.lit(m)) for m, c in candidates.items()]
+    tests = [r.agg(F.count(F.lit(1)).alias("n_replayed")).withColumn("method", F.lit(m)) for m, r in replayed.items()]
+    return reduce(DataFrame.unionByName, parts).join(reduce(DataFrame.unionByName, tests), "method")
+
+
+def package_checks(ready: bool, excluded: bool, files: list[str], present: list[str], main_rows: int | None) -> list[tuple[str, str]]:
+    """name and status of what a package must hold: all files of an extension that is ready; of one that is not, an empty main table, or none and a note that it is left out."""
+    if ready:
+        missing = [f for f in files if f not in present]
+        return [("files of a ready extension exist", "FAIL: " + "||".join(missing) if missing else "PASS")]
+    if main_rows is not None:
+        return [("main table of an extension that is not ready is empty", "PASS" if main_rows == 0 else "FAIL")]
+    return [("absence of the main table is noted", "PASS" if excluded else "FAIL")]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evimine.functions.text import is_binary_like
+from evimine.functions.text import is_binary_like, observed_number, within
 
 # Names (by fragment) and physical bounds of engineering quantities.
 PHYSICAL_BOUNDS = {
@@ -52,12 +53,12 @@ class Fitted:
     levels: dict[str, list[str]]
 
 
-def fit(train: DataFrame, numbers: dict[str, tuple[float, float]], categories: list[str], most_levels: int = 1000) -> Fitted:
-    """Exact medians of the clipped numbers (0 if all are null) in one pass; the most frequent levels of each category."""
+def fit(train: DataFrame, numbers: dict[str, tuple[float, float]], categories: list[str]) -> Fitted:
+    """Exact medians of the clipped numbers (0 if all are null) in one pass; every level of each category, as each becomes a column."""
     row = train.agg(*(F.median(clipped(F.col(c), b)).alias(c) for c, b in numbers.items())).first() if numbers else {}
     levels = {}
     for c in categories:
-        found = train.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_levels)
+        found = train.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("l")).distinct()
         levels[c] = sorted(r["l"] for r in found.collect())
     return Fitted(dict(numbers), {c: float(row[c]) if row[c] is not None else 0.0 for c in numbers}, levels)
 
@@ -123,3 +124,59 @@ def clean_matrix(df: DataFrame, features: list[str], keep: list[str]) -> DataFra
     number = lambda c: F.col(c).try_cast("double")
     finite = lambda c: F.when(~F.isnan(number(c)) & (F.abs(number(c)) < float("inf")), number(c))
     return df.select(*keep, *(F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in features))
+
+
+def unique_names(names: DataFrame, name: str = "name", place: str = "place") -> DataFrame:
+    """names with `unique_name`: the second and later of one name, in order of place, get `__dup1`, `__dup2`, ..."""
+    again = F.row_number().over(W.partitionBy(name).orderBy(place)) - 1
+    return names.withColumn("unique_name", F.when(again == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("__dup"), again.cast("string"))))
+
+
+def with_schema(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with exactly these columns; those that it lacks are null."""
+    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
+
+
+def over_age(age: Column, limit: float = 60.0) -> Column:
+    """1 above the limit, 0 else and where the age is unknown."""
+    return F.coalesce(age > limit, F.lit(False)).cast("int")
+
+
+def over_age_audit(df: DataFrame, raw: str, split: str = "split", limit: float = 60.0, codes: tuple[float, ...] = ()) -> DataFrame:
+    """Per split: rows, those over the limit and those of unknown age (null, no number, a code for unknown or out of 0 to 120), and their shares. One scan."""
+    age = within(observed_number(F.col(raw), codes), 0, 120)
+    n = F.count(F.lit(1))
+    over, unknown = F.sum(over_age(age, limit)), F.count_if(age.isNull())
+    return df.groupBy(split).agg(n.alias("n_rows"), over.cast("long").alias("n_over"), (over / n).alias("over_rate"), unknown.alias("n_unknown"), (unknown / n).alias("unknown_rate"))
+
+
+class FlagsError(ValueError):
+    """Flags do not match the rows that they belong to."""
+
+
+def with_flags(rows: DataFrame, flags: DataFrame | None, sources: list[str], strict: bool = True, row_id: str = "row_id") -> DataFrame:
+    """rows with one boolean `_unobserved_<source>` per source, from 0/1 flags that belong to rows by row_id.
+
+    strict: no flags, other rows than those, or flags of a column that rows lack raise. Else absent flags and columns say that a value was observed.
+    A flag that is null, or that a row lacks, says that it was not.
+    """
+    if flags is None:
+        if strict:
+            raise FlagsError("no flags")
+        return rows.withColumns({f"_unobserved_{s}": F.lit(False) for s in sources})
+    if strict:
+        require_flags(rows, flags, row_id)
+    have = [s for s in sources if s in flags.columns]
+    joined = rows.join(flags.select(row_id, *(F.col(s).alias(f"_unobserved_{s}") for s in have)), row_id, "left")
+    told = {f"_unobserved_{s}": F.coalesce(F.col(f"_unobserved_{s}") != 0, F.lit(True)) if s in have else F.lit(False) for s in sources}
+    return joined.withColumns(told)
+
+
+def require_flags(rows: DataFrame, flags: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """flags themselves; raises unless they have exactly the rows of rows, once each, and no column that rows lack."""
+    if extra := sorted(set(flags.columns) - set(rows.columns)):
+        raise FlagsError(f"flags of unknown columns: {'||'.join(extra[:20])}")
+    both = rows.select(row_id, F.lit(1).alias("r"), F.lit(0).alias("f")).unionByName(flags.select(row_id, F.lit(0).alias("r"), F.lit(1).alias("f")))
+    if not both.groupBy(row_id).agg(F.sum("r").alias("r"), F.sum("f").alias("f")).where("r <> 1 OR f <> 1").isEmpty():
+        raise FlagsError("flags and rows differ")
+    return flags

@@ -105,6 +105,12 @@ def with_evidence(seen: DataFrame) -> DataFrame:
     return stats.benjamini_hochberg(out, "p_value", "q_value")
 
 
+def resolve_trace(items: Column, known: list[str]) -> Column:
+    """Per rule: `item:resolved` or `item:missing_manifest` of each item, joined by a bar."""
+    said = lambda i: F.concat(i, F.lit(":"), F.when(i.isin(*known), "resolved").otherwise("missing_manifest"))
+    return F.array_join(F.transform(items, said), " | ")
+
+
 def with_parents(triplets: DataFrame, pairs: DataFrame) -> DataFrame:
     """triplets with the lifts of their three pairs, the best of them, and the lift added over it."""
     of = pairs.select(F.col("bits").alias("pair_bits"), F.col("lift").alias("pair_lift"))

@@ -81,8 +81,8 @@ def bits_sql(scale: str = "") -> str:
     return " + ".join(f"CASE WHEN {hit_sql(i, scale)} THEN {1 << n}::BIGINT ELSE 0::BIGINT END" for n, i in enumerate(ITEMS))
 
 
-ITEMS_SQL = "items(name, bit, family, clarity, continuous, semantic) AS (VALUES " + ", ".join(
-    f"('{i.name}', {1 << n}::BIGINT, '{i.family}', {i.clarity}::DOUBLE, {int(i.continuous)}, '{SEMANTIC.get(i.name, i.name)}')" for n, i in enumerate(ITEMS)
+ITEMS_SQL = "items(name, bit, family, clarity, continuous, semantic, source) AS (VALUES " + ", ".join(
+    f"('{i.name}', {1 << n}::BIGINT, '{i.family}', {i.clarity}::DOUBLE, {int(i.continuous)}, '{SEMANTIC.get(i.name, i.name)}', '{i.source}')" for n, i in enumerate(ITEMS)
 ) + ")"
 RULES_SQL = """pairs AS (
   SELECT a.name || '||' || b.name AS antecedent, a.bit + b.bit AS bits, list_sort(list_distinct([a.family, b.family])) AS families,
@@ -93,6 +93,7 @@ triplets AS (
   SELECT a.name || '||' || b.name || '||' || c.name AS antecedent, a.bit + b.bit + c.bit AS bits, list_sort(list_distinct([a.family, b.family, c.family])) AS families,
          (a.clarity + b.clarity + c.clarity) / 3 AS clarity, greatest(a.continuous, b.continuous, c.continuous) AS continuous, 3 AS n_items,
          CAST(a.semantic = b.semantic OR a.semantic = c.semantic OR b.semantic = c.semantic AS INTEGER) AS duplicate,
+         CAST(a.source = b.source OR a.source = c.source OR b.source = c.source AS INTEGER) AS same_source,
          a.bit + b.bit AS p1, a.bit + c.bit AS p2, b.bit + c.bit AS p3
   FROM items a JOIN items b ON a.name < b.name JOIN items c ON b.name < c.name),
 quads AS (

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evimine.functions import stats, taxonomy
-from evimine.operators import audit, evidence, profile, rules
+from evimine.operators import audit, evidence, profile, rules, triplets
 from evimine.operators import items as I
 from evimine.plans.facts import BASE_SQL, DOMAIN, ITEMS, SEMANTIC, axis_sql, bits_sql, evaluated_sql, facts, hit_sql, observed_sql, replay_sql
 
@@ -119,6 +119,12 @@ SELECT *, round(n_hits / n_rows::DOUBLE, 6) AS hit_rate, round(coalesce(n_unobse
   CASE WHEN n_hits = 0 THEN 'never hit' WHEN n_unobserved_hits * 2 >= n_hits THEN 'dominated' WHEN n_unobserved_hits * 5 >= n_hits THEN 'warning' ELSE 'ok' END AS status FROM a"""
 
 
+def item_table(spark: SparkSession) -> DataFrame:
+    """The manifest as rows: item, family, semantic, source, missing and physical."""
+    rows = [(i.name, i.family, SEMANTIC.get(i.name, i.name), i.source, "not_missing_category", 1) for i in ITEMS]
+    return I.local(spark, rows, "item string, family string, semantic string, source string, missing string, physical int")
+
+
 def _triplets(spark, sf_dir) -> DataFrame:
     train = _split(spark, sf_dir, "train")
     seen = I.patterns(train, ITEMS, "y")
@@ -127,10 +133,9 @@ def _triplets(spark, sf_dir) -> DataFrame:
 
 
 def _valid_triplets(spark, sf_dir) -> DataFrame:
-    found = _triplets(spark, sf_dir)
-    duplicated = audit.semantic_duplicates(found, _meaning(spark)).select("antecedent").distinct()
-    found = found.join(duplicated, "antecedent", "left_anti")
-    return found.where((F.size("families") >= 2) & (F.col("support") >= SUPPORT) & (F.col("hit") >= TRIPLET_HITS) & (F.col("lift") >= LIFT)).withColumn("axis", axis())
+    """Admitted triplets whose antecedent is frequent enough, with their axis."""
+    found = triplets.admitted(_triplets(spark, sf_dir), item_table(spark))
+    return found.where((F.col("hit") / F.col("total") >= SUPPORT) & (F.col("hit") >= TRIPLET_HITS) & (F.col("lift") >= LIFT)).withColumn("axis", axis())
 
 
 TRIPLET_COLUMNS = ("support", "confidence", "lift", "best_parent_lift", "incremental_lift")
@@ -143,7 +148,7 @@ def triplet_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRIPLETS_SQL = f"""{BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {evaluated_sql("triplets", "train", "e3")},
 full3 AS (SELECT e.*, greatest(a.lift, b.lift, c.lift) AS best_parent_lift, e.lift - greatest(a.lift, b.lift, c.lift) AS incremental_lift, {axis_sql('e.')} AS axis
           FROM e3 e JOIN e2 a ON a.bits = e.p1 JOIN e2 b ON b.bits = e.p2 JOIN e2 c ON c.bits = e.p3),
-valid AS (SELECT * FROM full3 WHERE duplicate = 0 AND len(families) >= 2 AND support >= {SUPPORT}::DOUBLE AND hit >= {TRIPLET_HITS} AND lift >= {LIFT}::DOUBLE)"""
+valid AS (SELECT * FROM full3 WHERE duplicate = 0 AND same_source = 0 AND len(families) >= 2 AND list_has_any(families, [{", ".join(map(repr, triplets.CORE_FAMILIES))}]) AND hit / total::DOUBLE >= {SUPPORT}::DOUBLE AND hit >= {TRIPLET_HITS} AND lift >= {LIFT}::DOUBLE)"""
 TRIPLET_CANDIDATES = f"""{TRIPLETS_SQL} SELECT antecedent, axis, hit, {", ".join(f"round({c}, 6) AS {c}" for c in TRIPLET_COLUMNS)} FROM valid"""
 
 
@@ -204,14 +209,20 @@ def group_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _M = evidence.DRAW_MODULUS
-BOOTSTRAP_SQL = f"""groups AS (SELECT grp, bits, count(*) AS n, sum(y) AS y FROM hits WHERE split = 'train' GROUP BY grp, bits),
+
+
+def bootstrap_sql(rules: str) -> str:
+    return f"""groups AS (SELECT grp, bits, count(*) AS n, sum(y) AS y FROM hits WHERE split = 'train' GROUP BY grp, bits),
 seeds AS (SELECT bits, n, y, ('0x' || substr(md5(coalesce(CAST(grp AS VARCHAR), '')), 1, 8))::BIGINT AS s1, ('0x' || substr(md5(coalesce(CAST(grp AS VARCHAR), '')), 9, 8))::BIGINT AS s2 FROM groups),
 weights AS (SELECT bits, i AS iteration, n, y, ((s1 + i * s2) % {_M}) / {float(_M)}::DOUBLE AS u FROM seeds, range({ITERATIONS}) d(i)),
 drawn AS (SELECT iteration, bits, sum(n * w) AS n, sum(y * w) AS y FROM (SELECT *, {" + ".join(f"CAST(u >= {p!r}::DOUBLE AS INTEGER)" for p in evidence.POISSON)} AS w FROM weights) WHERE w > 0 GROUP BY iteration, bits),
 tot AS (SELECT iteration, sum(n) AS total, sum(y) AS positives FROM drawn GROUP BY iteration),
 rep AS (SELECT p.antecedent, t.iteration, coalesce(sum(d.n) FILTER (WHERE (d.bits & p.bits) = p.bits), 0) AS hit, coalesce(sum(d.y) FILTER (WHERE (d.bits & p.bits) = p.bits), 0) AS hit_y, any_value(t.total) AS total, any_value(t.positives) AS positives
-        FROM pairs p, drawn d JOIN tot t USING (iteration) GROUP BY p.antecedent, t.iteration),
+        FROM {rules} p, drawn d JOIN tot t USING (iteration) GROUP BY p.antecedent, t.iteration),
 boot AS (SELECT antecedent, count(*) FILTER (WHERE hit / total::DOUBLE >= 0.8::DOUBLE * 0.015::DOUBLE AND hit_y / nullif(hit, 0)::DOUBLE / (positives / total::DOUBLE) >= 1) AS recurrent, count(*) AS n FROM rep WHERE total >= 20 GROUP BY antecedent)"""
+
+
+BOOTSTRAP_SQL = bootstrap_sql("pairs")
 GROUP_BOOTSTRAP = f"""{BASE_SQL}, {BOOTSTRAP_SQL} SELECT antecedent, recurrent, round(recurrent / n::DOUBLE, 6) AS recurrence FROM boot"""
 
 
@@ -220,11 +231,15 @@ def threshold_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("antecedent", "hit_min", *(r6(c).alias(c) for c in ("lift_min", "lift_max", "confidence_min")))
 
 
-SENSITIVITY_SQL = "moved AS (" + " UNION ALL ".join(f"SELECT {i} AS delta, y, {bits_sql(f'(1 + {d!r}::DOUBLE)') if d else bits_sql()} AS bits FROM facts WHERE split = 'test'" for i, d in enumerate(evidence.DELTAS)) + """),
+def sensitivity_sql(rules: str) -> str:
+    return "moved AS (" + " UNION ALL ".join(f"SELECT {i} AS delta, y, {bits_sql(f'(1 + {d!r}::DOUBLE)') if d else bits_sql()} AS bits FROM facts WHERE split = 'test'" for i, d in enumerate(evidence.DELTAS)) + f"""),
 mt AS (SELECT delta, count(*) AS total, sum(y) AS positives FROM moved GROUP BY delta),
 me AS (SELECT p.antecedent, m.delta, count(*) FILTER (WHERE (m.bits & p.bits) = p.bits) AS hit, coalesce(sum(m.y) FILTER (WHERE (m.bits & p.bits) = p.bits), 0) AS hit_y, any_value(mt.total) AS total, any_value(mt.positives) AS positives
-       FROM pairs p, moved m JOIN mt USING (delta) WHERE p.continuous = 1 GROUP BY p.antecedent, m.delta),
+       FROM {rules} p, moved m JOIN mt USING (delta) WHERE p.continuous = 1 GROUP BY p.antecedent, m.delta),
 sens AS (SELECT antecedent, min(hit) AS hit_min, min(hit_y / nullif(hit, 0)::DOUBLE / (positives / total::DOUBLE)) AS lift_min, max(hit_y / nullif(hit, 0)::DOUBLE / (positives / total::DOUBLE)) AS lift_max, min(hit_y / nullif(hit, 0)::DOUBLE) AS confidence_min FROM me GROUP BY antecedent)"""
+
+
+SENSITIVITY_SQL = sensitivity_sql("pairs")
 THRESHOLD_SENSITIVITY = f"""{BASE_SQL}, {SENSITIVITY_SQL}
 SELECT antecedent, hit_min, round(lift_min, 6) AS lift_min, round(lift_max, 6) AS lift_max, round(confidence_min, 6) AS confidence_min FROM pairs LEFT JOIN sens USING (antecedent)"""
 
