@@ -2,15 +2,15 @@
 
 Method: two gated recurrent layers read a text's bytes forwards and backwards; at every position a softmax over the joined
 states labels that byte, and a document's probabilities are the mean over all its bytes. Trained in numpy by backpropagation
-through time on a bounded, seeded sample of labelled rows (SAMPLE rows and, of every language that has fewer than EACH
-among them, rows up to that number, at most SAMPLE_CHARS characters each); the
-network has a fixed size and is all that executors receive. Every byte of every text is read, in segments of SEGMENT
-bytes, a bounded number of segments at a time.
+through time on a bounded, seeded sample of labelled rows: of each language its share of SAMPLE rows, and EACH rows at least if
+it has so many, at most SAMPLE_CHARS characters of each. Rows are drawn by a threshold on their seeded order from the
+counted rows of their language, so tasks send the driver little more than the sample in all. The network has a fixed
+size and is all that executors receive. Every byte of every text is read, in segments of SEGMENT bytes, a bounded number
+of segments at a time; a state starts anew with each segment.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evimine.llm import _text
+from evimine.llm._spark import ship
 
 #: The bound on training rows, and the part of each that is read.
 SAMPLE, SAMPLE_CHARS = 3000, 400
@@ -39,8 +40,10 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return x * (27 + s) / (27 + 9 * s)
 
 
-def _slope(y: np.ndarray) -> np.ndarray:
-    return 1 - y * y
+def _slope(x: np.ndarray) -> np.ndarray:
+    """The derivative of _squash at x."""
+    s = np.minimum(x * x, 9)
+    return ((9 - s) / (9 + 3 * s)) ** 2
 
 
 class Network(NamedTuple):
@@ -57,20 +60,22 @@ def _forward(net: Network, data: np.ndarray, real: np.ndarray, keep: bool = Fals
     """States (time, rows, 2 hidden) and, if wanted, what the way back needs. data, real: time, rows."""
     steps, rows = data.shape
     hidden = net.states.shape[1]
-    states = np.empty((steps, rows, 2 * hidden), np.float32)
+    states = np.empty((steps, rows, 2 * hidden), net.states.dtype)
     trace = []
     for way in (0, 1):
-        h = np.zeros((rows, hidden), np.float32)
+        h = np.zeros((rows, hidden), net.states.dtype)
         part = slice(way * hidden, (way + 1) * hidden)
         for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
             x = net.inputs[way].take(data[t], 0)
             u = h @ net.states[way]
-            gates = 0.5 + 0.5 * _squash(0.5 * (x[:, : 2 * hidden] + u[:, : 2 * hidden]))
+            open_ = 0.5 * (x[:, : 2 * hidden] + u[:, : 2 * hidden])
+            gates = 0.5 + 0.5 * _squash(open_)
             z, r = gates[:, :hidden], gates[:, hidden:]
-            n = _squash(x[:, 2 * hidden :] + r * u[:, 2 * hidden :])
+            fresh = x[:, 2 * hidden :] + r * u[:, 2 * hidden :]
+            n = _squash(fresh)
             new = (n + z * (h - n)) * real[t][:, None]
             if keep:
-                trace.append((way, t, h, z, r, n, u[:, 2 * hidden :]))
+                trace.append((way, t, h, z, r, n, u[:, 2 * hidden :], 0.25 * _slope(open_), _slope(fresh)))
             h = new
             states[t, :, part] = h
     return states, trace
@@ -98,12 +103,12 @@ def _gradients(net: Network, data: np.ndarray, real: np.ndarray, label: np.ndarr
     d_bias = error.sum((0, 1))
     d_states = error @ net.output.T
     d_inputs, d_recurrent = np.zeros_like(net.inputs), np.zeros_like(net.states)
-    carried = [np.zeros((data.shape[1], hidden), np.float32) for _ in (0, 1)]
-    for way, t, h, z, r, n, u in reversed(trace):
+    carried = [np.zeros((data.shape[1], hidden), states.dtype) for _ in (0, 1)]
+    for way, t, h, z, r, n, u, gate_slope, slope in reversed(trace):
         dh = (d_states[t, :, way * hidden : (way + 1) * hidden] + carried[way]) * real[t][:, None]
-        dn = dh * (1 - z) * _slope(n)
-        dz = dh * (h - n) * z * (1 - z)
-        dr = dn * u * r * (1 - r)
+        dn = dh * (1 - z) * slope
+        dz = dh * (h - n) * gate_slope[:, :hidden]
+        dr = dn * u * gate_slope[:, hidden:]
         pre = np.concatenate([dz, dr, dn], 1)
         np.add.at(d_inputs[way], data[t], pre)
         pre[:, 2 * hidden :] *= r
@@ -159,20 +164,26 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", seed: int = 5) -> Network:
-    """A network trained on rows with text and lang for which allowed holds: the first SAMPLE in a seeded order, and the first EACH of every language."""
+    """A network trained on a sample of the rows with a letter in text and a lang for which allowed holds.
+
+    Null texts, null langs and rows for which allowed is null teach nothing; repeated rows may be drawn each; without any row nothing
+    is learned. The number of languages, not of rows, bounds what is counted on the driver.
+    """
+    ship(docs.sparkSession)
     usable = docs.where(F.coalesce(allowed, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    counts = {r["l"]: r["n"] for r in usable.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    quota = {x: min(n, max(EACH, -(-SAMPLE * n // total))) for x, n in counts.items()}
+    # twice the quota and some more lie below the threshold, so that a full quota is all but certain
+    parts = 1 << 30
+    below = [(x, min(parts, parts * (2 * quota[x] + 50) // n), quota[x]) for x, n in counts.items()]
     place = F.pmod(F.xxhash64(F.lit(seed + 1), doc_id), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS)) + 1
     piece = F.substring(F.col(text), place.cast("int"), F.lit(SAMPLE_CHARS))
     order = F.xxhash64(F.lit(seed), doc_id, F.hash(text))
-    drawn = usable.select(piece.alias("t"), F.col(lang).alias("l"), order.alias("o"))
-    rows = drawn.orderBy("o", "l", "t").limit(SAMPLE).collect()
-    have = Counter(r["l"] for r in rows)
-    if len(rows) == SAMPLE:
-        # of languages that the sample has too few of; the rank is cut before rows are shuffled
-        rest = drawn.where(~F.col("l").isin([x for x, n in have.items() if n >= EACH]))
-        ranked = rest.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("o", "t")))
-        few = ranked.where(F.col("k") <= EACH).orderBy("o", "l", "t").collect()
-        rows = sorted([*(r for r in rows if have[r["l"]] >= EACH), *few], key=lambda r: (r["o"], r["l"], r["t"]))
+    limits = F.broadcast(docs.sparkSession.createDataFrame(below, "l string, below long, quota long"))
+    drawn = usable.select(piece.alias("t"), F.col(lang).alias("l"), order.alias("o")).join(limits, "l").where(F.pmod("o", F.lit(parts)) < F.col("below"))
+    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("o", "t"))).where("k <= quota")
+    rows = sorted(ranked.select("o", "l", "t").collect())
     return train([r["t"].encode() for r in rows], [r["l"] for r in rows], seed)
 
 

@@ -234,10 +234,24 @@ def test_language_id_gradients():
         return -(np.log(p[:, np.arange(len(label)), label]) * real).sum() / real.sum()
 
     grads = langid._gradients(net, data, real, label)
-    for part, at in ((2, (1, 0)), (3, (1,))):  # the output layer is exact; below it the squashing slope is approximate
-        weights = [w.copy() for w in net[1:]]
-        weights[part][at] += 1e-5
-        assert (loss(langid.Network(net.languages, *weights)) - loss(net)) / 1e-5 == pytest.approx(grads[part][at], rel=2e-2, abs=1e-5)
+    used = sorted(set(b"hello worldxyz"))
+    for part, weight in enumerate(net[1:]):
+        for at in np.ndindex(weight.shape):
+            if part == 0 and at[1] not in used:
+                assert grads[part][at] == 0
+                continue
+            moved = []
+            for step in (1e-5, -1e-5):
+                weights = [w.copy() for w in net[1:]]
+                weights[part][at] += step
+                moved.append(loss(langid.Network(net.languages, *weights)))
+            assert (moved[0] - moved[1]) / 2e-5 == pytest.approx(grads[part][at], rel=1e-4, abs=1e-8)
+
+
+def test_language_id_squash_has_its_slope():
+    x = np.linspace(-4, 4, 801)
+    x = x[np.abs(np.abs(x) - 3) > 1e-3]
+    assert (langid._squash(x + 1e-6) - langid._squash(x - 1e-6)) / 2e-6 == pytest.approx(langid._slope(x), abs=1e-6)
 
 
 def test_quality_ledger(docs, texts):
