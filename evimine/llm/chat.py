@@ -13,6 +13,8 @@ is broken by a backslash after its first character, which `unescape` takes back.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,13 @@ START, END = "<|turn|>", "<|end|>"
 CONTROLS = (START, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 
 
+_BREAK = "|".join(f"{re.escape(first)}(?={'|'.join(re.escape(c[1:]) for c in CONTROLS if c[0] == first)})" for first in sorted({c[0] for c in CONTROLS}))
+
+
 def escape(text: Column) -> Column:
-    """text without any control string, reversibly."""
-    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for control in CONTROLS:
-        out = F.replace(out, F.lit(control), F.lit(f"{control[0]}\\{control[1:]}"))
-    return out
+    """text without any control string, reversibly; texts without such characters, as most are, cost one search."""
+    broken = F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), f"({_BREAK})", "$1\\\\")
+    return F.when(text.rlike(r"[\\<\[]"), broken).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
@@ -45,18 +48,19 @@ def examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     whole = turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(clean)).alias("turns"))
     head = lambda t: F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n"))
     ends = F.transform("turns", lambda t, i: F.when((t["role"] == "assistant") | (i == F.size("turns") - 1), i + 1))
-    parts = whole.select(
+    # every turn is written once per conversation, below the explode, and examples only join what is written
+    written = whole.select(
         "conv_id",
-        F.explode(F.filter(ends, lambda i: i.isNotNull())).alias("i"),
-        F.transform("turns", lambda t: t["role"] == "assistant").alias("replies"),
-        F.transform("turns", head).alias("heads"),
-        F.transform("turns", lambda t: escape(t["text"])).alias("texts"),
+        F.filter(ends, lambda i: i.isNotNull()).alias("ends"),
+        F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("reply"), head(t).alias("head"), escape(t["text"]).alias("text"))).alias("turns"),
     )
-    pieces = F.transform(F.arrays_zip("heads", "texts"), lambda p: F.concat(p["heads"], p["texts"], F.lit(END + "\n")))
-    each = parts.withColumn("pieces", pieces)
-    context = F.concat(F.array_join(F.slice("pieces", F.lit(1), F.col("i") - 1), ""), F.get("heads", F.col("i") - 1))
-    reply = F.get("replies", F.col("i") - 1)
-    target = F.get("texts", F.col("i") - 1)
+    written = written.withColumn("pieces", F.transform("turns", lambda t: F.concat(t["head"], t["text"], F.lit(END + "\n"))))
+    each = written.select("conv_id", "turns", "pieces", F.explode("ends").alias("i"))
+    last = F.get("turns", F.col("i") - 1)
+    each = each.select("conv_id", "pieces", "i", last["head"].alias("head"), last["text"].alias("target"), last["reply"].alias("trainable"))
+    before = F.array_join(F.slice("pieces", F.lit(1), F.col("i") - 1), "")
+    context = F.concat(before, "head")
+    reply, target = F.col("trainable"), F.col("target")
     return each.select(
         "conv_id",
         (F.col("i") - 1).cast("long").alias("example"),
@@ -64,7 +68,7 @@ def examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
         F.concat(context, target, F.lit(END + "\n")).alias("formatted"),
         F.when(reply, F.length(context)).otherwise(0).cast("long").alias("loss_start"),
         F.when(reply, F.length(target)).otherwise(0).cast("long").alias("loss_chars"),
-        reply.alias("trainable"),
+        reply,
     )
 
 
@@ -81,7 +85,10 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """Per conversation, read back from its examples: turns, what is under the loss mask, and characters written."""
+    """Per conversation, read back from its examples: turns, what is under the loss mask, and characters written.
+
+    Nulls, ties, repeated rows and empty tables as in examples; a conversation without replies has empty loss.
+    """
     made = examples(turns)
     loss = F.when(F.col("trainable"), unescape(F.expr("substring(formatted, int(loss_start) + 1, int(loss_chars))")))
     whole = made.select("conv_id", "example", "formatted", loss.alias("loss")).groupBy("conv_id").agg(
@@ -100,3 +107,19 @@ def digest(turns: DataFrame) -> DataFrame:
         F.sha2("text", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+def oracle(extra: list[tuple[int, int, str, str]]) -> str:
+    """The digest of `conversations` and some more turns in SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    more = ", ".join(f"({c}::BIGINT, {t}::BIGINT, {quote(r)}, {quote(x)})" for c, t, r, x in extra)
+    escaped = "replace(text, '\\', '\\\\')"
+    for c in CONTROLS:
+        escaped = f"replace({escaped}, {quote(c)}, {quote(c[0] + chr(92) + c[1:])})"
+    return f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {more}))),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    length({quote(START)} || url_encode(role) || chr(10) || {escaped} || {quote(END)} || chr(10)) AS chars FROM r),
+a AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS so_far FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    (sum(so_far) FILTER (WHERE role = 'assistant' OR i = n))::BIGINT AS formatted_chars FROM a GROUP BY conv_id"""

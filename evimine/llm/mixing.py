@@ -28,7 +28,11 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """sizes: one row per source with _source and source_size. Adds weight (1, 2, 3, repeating, by code point, null last) and target."""
+    """sizes: one row per source with _source and source_size. Adds weight (1, 2, 3, repeating, by code point, null last) and target.
+
+    Sources of equal cap per weight go in order of name; a source of size 0 has target 0; no sources, no rows. The windows
+    put all sources in one task, so memory grows with their number, not with the documents'.
+    """
     everywhere = W.orderBy(F.col("_source").asc_nulls_last())
     weighed = sizes.withColumn("weight", (F.row_number().over(everywhere) - 1) % 3 + 1)
     weighed = weighed.withColumn("_cap", (F.col("source_size") * max_epochs).cast("double"))
@@ -51,9 +55,11 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
     source_size, target or repeats are replaced.
     """
     clean = docs.drop("source_size", "target", "repeats")
-    place = F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    # 60 bits of a digest, which any engine repeats
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     words = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    keyed = clean.withColumns({"_place": place, "_slice": F.pmod(F.shiftright(place, 20), F.lit(SLICES)).cast("int"), "_words": words})
+    keyed = clean.withColumns({"_place": place, "_slice": F.shiftright(place, 20).bitwiseAND(F.lit(SLICES - 1)).cast("int"), "_words": words})
     narrow = keyed.select(F.col(source).alias("_source"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), "_place", "_slice", "_words")
 
     slices = narrow.groupBy("_source", "_slice").agg(F.sum("_words").alias("_words"))
@@ -88,5 +94,28 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
 
 
 def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as the mix takes it."""
+    """Each row as often as the mix takes it: none of a row with repeats 0 or null, and an empty table stays empty."""
     return mixed.where("repeats > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("_copy")).drop("_copy")
+
+
+def oracle(seed: int = 17, max_epochs: int = 3) -> str:
+    """The same mix of `documents` in SQL, with the words that it takes."""
+    return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents),
+k AS (SELECT *, (place >> 20) & {SLICES - 1} AS slice, coalesce(doc_id::VARCHAR, '') AS id FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, (source_size * {max_epochs})::DOUBLE AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w),
+v AS (SELECT *, CASE WHEN rest > 0 THEN rest / weights ELSE 0 END AS level FROM l),
+water AS (SELECT arg_min(level, cap / weight) AS level FROM v WHERE level * weight <= cap),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM water) * weight, cap)) AS target FROM v),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 1 END::BIGINT AS whole FROM t),
+e AS (SELECT *, greatest(0, target - whole * source_size) AS extra FROM p),
+o AS (SELECT k.*, source_size, target, whole, extra,
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY slice RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_slice,
+    coalesce(sum(size) OVER (PARTITION BY k.source, slice ORDER BY place, id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+c AS (SELECT *, max(slice) FILTER (WHERE before_slice <= extra) OVER (PARTITION BY source) AS cut FROM o),
+x AS (SELECT *, min((place, id)) FILTER (WHERE slice = cut AND before + size / 2 > extra - before_slice) OVER (PARTITION BY source) AS ending FROM c)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN extra > 0 AND (slice < cut OR (slice = cut AND (ending IS NULL OR (place, id) < ending))) THEN 1 ELSE 0 END) AS taken FROM x"""

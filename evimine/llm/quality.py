@@ -107,7 +107,10 @@ def passes(policy: str = "v2") -> Column:
 
 
 def ablation(entries: DataFrame, policy: str = "v2") -> DataFrame:
-    """For each rule of the policy: documents that fail it, that fail only it, and that would be kept without it."""
+    """For each rule of the policy: documents that fail it, that fail only it, and that would be kept without it.
+
+    Repeated rows count each; an empty ledger gives no rows. The rows met here are at most one per pattern of bits.
+    """
     patterns = entries.groupBy("failures").agg(F.count(F.lit(1)).alias("n"))
     whole = mask(POLICIES[policy])
     rule = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(mask((r,))).cast("long").alias("bit")) for r in POLICIES[policy])))
@@ -120,14 +123,41 @@ def ablation(entries: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 def verdicts(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The ledger's verdict on every document, with the base measurements."""
+    """The ledger's verdict on every document, with the base measurements.
+
+    Null and empty texts fail the base rules; repeated rows and rows of one doc_id, or of none, are judged each; an
+    empty table gives no rows; other columns are ignored.
+    """
     base = F.col("failures").bitwiseAND(F.lit(mask(BASE)).cast("long")) != 0
     entries = ledger(docs.select("doc_id", "text"), keep_text=False)
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(policy)).alias("kept"), "failures")
 
 
 def keep(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The rows of docs that the policy and the base rules keep."""
+    """The rows of docs that the policy and the base rules keep, repeated ones each; null and empty texts go, an empty table stays empty."""
     entries = ledger(docs)
     base = F.col("failures").bitwiseAND(F.lit(mask(BASE)).cast("long")) == 0
     return entries.where(base & passes(policy)).select(*docs.columns)
+
+
+def oracle() -> str:
+    """The verdicts on `documents` in SQL."""
+    rules = {
+        "few_words": "n_words < 50",
+        "repeated_words": "100 * n_repeat_words > 50 * n_words",
+        "symbols": "100 * n_symbols > 25 * n_words",
+        "repeated_lines": "100 * n_dup_lines > 60 * n_lines",
+        "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
+        "letterless_words": "100 * n_letter_words < 50 * n_words",
+    }
+    bits = " + ".join(f"CASE WHEN {rules[r]} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULE_NAMES))
+    return f"""WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+g AS (SELECT row_id, unnest(generate_series(1, len(words) - 2)) AS i, words FROM w),
+h AS (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, words[i], words[i + 1], words[i + 2]) AS n FROM g),
+c AS (SELECT row_id, count(DISTINCT place)::BIGINT AS n_repeat_words FROM (SELECT row_id, unnest([i, i + 1, i + 2]) AS place FROM h WHERE n > 1) GROUP BY row_id),
+m AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\\x00-\\x7F]')))::BIGINT AS n_letter_words FROM w LEFT JOIN c USING (row_id)),
+f AS (SELECT *, ({bits})::BIGINT AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {mask(BASE)}) <> 0 AS base_failed, (failures & {mask(BASE) | mask(POLICIES["v2"])}) = 0 AS kept, failures FROM f"""

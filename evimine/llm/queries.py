@@ -12,6 +12,7 @@ from evimine.llm import ann, bpe, chat, langid, licenses, lm, mixing, ngram_join
 from evimine.llm._spark import cut, id_fold, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+OWN_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +61,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its training examples."""
-    said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.createDataFrame(OWN_TURNS, "conv_id long, turn long, role string, text string")
     return chat.digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own))
 
 
@@ -85,4 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": licenses.oracle(),
+    "op7_source_mix": mixing.oracle(),
+    "op9_chat_examples": chat.oracle(OWN_TURNS),
+    "op10_quality_ledger": quality.oracle(),
 }
