@@ -88,19 +88,46 @@ def leakage_matrix(spark, used: dict[str, list[tuple[str, str]]]) -> DataFrame:
     return spark.createDataFrame(rows, "stage string, input string, split string, status string")
 
 
+# What a written file belongs to, by the beginning of its name; the first match wins.
+FILE_CATEGORIES = (
+    ("core_cohort_preprocessing", ("Train_Test", "Preprocess", "Derived", "PostProcess", "Matrix_", "Sentinel_", "Engineering_", "Categorical_")),
+    ("feature_selection", ("Feature_Screener", "Feature_Consensus", "Final_Consensus", "Feature_Family", "Feature_Semantic")),
+    ("primary_rule_mining_replay", ("04_Rule", "Final_Rules", "Rule_", "06C_", "06D_", "06F_", "Governance_", "Main_Text_Rule", "Main_vs_", "Final_Blind_Test_Validation_Report.csv")),
+    ("model_baseline", ("09",)),
+    ("leakage_verification", ("Leakage", "Test_Sanctity", "Final_Verification")),
+    ("triplet_extension", ("Triplet", "Main_Text_Triplet")),
+    ("feature_space_sensitivity", ("Feature_Space_Size",)),
+)
+
+
 def file_category(name: Column) -> Column:
-    """What a written file is, by its name."""
-    low = F.lower(name)
+    """What a written file belongs to; manifests that belong to nothing else are `manifest`, the rest `other`."""
+    chain = F.when(F.lit(False), "")
+    for label, starts in FILE_CATEGORIES:
+        chain = chain.when(reduce(lambda a, b: a | b, (name.startswith(p) for p in starts)), label)
+    return chain.when(name.endswith("_Manifest.json"), "manifest").otherwise("other")
+
+
+def cleanup_reason(name: Column, final: list[str], obsolete: list[str], archive: str, patterns: list[str]) -> Column:
+    """Why a file in the working folder may go: its list, an archive, a manifest, or a pattern (with `*`) of generated files; else `unknown`."""
+    generated = reduce(lambda a, b: a | b, (name.like(p.replace("_", "\\_").replace("*", "%")) for p in patterns), F.lit(False))
     return (
-        F.when(low.endswith("manifest.json"), "manifest")
-        .when(low.rlike("audit|check|verification"), "audit")
-        .when(low.rlike("rule|triplet"), "rules")
-        .when(low.rlike("feature|screener|selection"), "features")
-        .when(low.rlike("model|coefficient|holdout"), "models")
-        .otherwise("other")
+        F.when(name.isin(*obsolete), "obsolete_output")
+        .when(name.isin(*final), "previous_final_package_file")
+        .when(name.endswith(".zip") & (name != archive), "old_zip")
+        .when(name == archive, "previous_final_zip")
+        .when(name.endswith("_Manifest.json"), "stale_manifest")
+        .when(generated, "stale_generated_output")
+        .otherwise("unknown")
     )
 
 
+def generated_files(files: DataFrame, kept: list[str], final: list[str], obsolete: list[str], archive: str, patterns: list[str]) -> DataFrame:
+    """files (name) that a run may remove, with the reason; never those in kept (sources and inputs)."""
+    known = files.where(~F.col("name").isin(*kept)) if kept else files
+    return known.withColumn("reason", cleanup_reason(F.col("name"), final, obsolete, archive, patterns)).where("reason <> 'unknown'")
+
+
 def alias_co_occurrence(rules: DataFrame, aliases: list[str], items: str = "items") -> DataFrame:
     """rules that hold two or more names of one thing."""
     return rules.where(F.size(F.array_intersect(items, F.array(*map(F.lit, aliases)))) > 1)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from evimine.functions import stats
 
+#: Rows of a hash partition within which rows are paired for shuffling.
+PAIRED = 200_000
 # Weights of the consensus score.
 CONSENSUS = {"mean_points": 0.40, "vote_share": 0.24, "stability": 0.14, "permutation": 0.07, "priority": 0.15}
 
@@ -85,24 +87,46 @@ def _assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="_raw").transform(numbers).withColumn("_label", F.col(label).cast("double"))
 
 
-def models(seed: int = 42) -> dict[str, object]:
-    common = {"labelCol": "_label"}
+def models(seed: int = 42, penalty: float = 0.0) -> dict[str, object]:
+    """Estimators by name; penalty is that of a linear model per row. `extra` splits at few random-like edges without resampling rows."""
+    common, linear = {"labelCol": "_label", "weightCol": "_weight"}, {"featuresCol": "_scaled", "maxIter": 100, "regParam": penalty}
     return {
-        "logistic": LogisticRegression(featuresCol="_scaled", maxIter=50, weightCol="_weight", **common),
-        "forest": RandomForestClassifier(featuresCol="_raw", numTrees=50, maxDepth=6, seed=seed, weightCol="_weight", **common),
-        "boosted": GBTClassifier(featuresCol="_raw", maxIter=20, maxDepth=3, seed=seed, weightCol="_weight", **common),
+        "logistic": LogisticRegression(elasticNetParam=0.0, **linear, **common),
+        "lasso": LogisticRegression(elasticNetParam=1.0, **linear, **common),
+        "forest": RandomForestClassifier(featuresCol="_raw", numTrees=50, maxDepth=6, seed=seed, **common),
+        "extra": RandomForestClassifier(featuresCol="_raw", numTrees=50, maxDepth=6, maxBins=16, bootstrap=False, seed=seed, **common),
+        "boosted": GBTClassifier(featuresCol="_raw", maxIter=20, maxDepth=3, seed=seed, **common),
     }
 
 
-def fit_score(train: DataFrame, test: DataFrame, features: list[str], label: str, name: str, keep: list[str], seed: int = 42) -> tuple[object, DataFrame]:
-    """A model fitted on train with balanced classes, and keep, label and score (the positive class's probability) of test."""
+@dataclass
+class Scorer:
+    """A scaler and a model fitted on training rows."""
+
+    features: list[str]
+    scaler: object
+    model: object
+
+    def score(self, df: DataFrame, label: str, keep: list[str]) -> DataFrame:
+        """keep, label and score (the positive class's probability) of df."""
+        scored = self.model.transform(self.scaler.transform(_assembled(df, self.features, label)))
+        return scored.select(*keep, F.col(label).alias("label"), vector_to_array("probability")[1].alias("score"))
+
+
+def fit(train: DataFrame, features: list[str], label: str, name: str, seed: int = 42) -> Scorer:
+    """A model fitted with balanced classes; linear ones with unit strength of regularisation, which is 1 / rows per row."""
     a = _assembled(train, features, label)
-    rate = a.agg(F.avg("_label")).first()[0] or 0.5
+    n, rate = a.agg(F.count(F.lit(1)), F.avg("_label")).first()
+    rate = rate or 0.5
     weight = F.when(F.col("_label") == 1, 0.5 / max(rate, 1e-9)).otherwise(0.5 / max(1 - rate, 1e-9))
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True).fit(a)
-    model = models(seed)[name].fit(scaler.transform(a).withColumn("_weight", weight))
-    scored = model.transform(scaler.transform(_assembled(test, features, label)))
-    return model, scored.select(*keep, F.col(label).alias("label"), vector_to_array("probability")[1].alias("score"))
+    return Scorer(features, scaler, models(seed, 1 / max(n, 1))[name].fit(scaler.transform(a).withColumn("_weight", weight)))
+
+
+def fit_score(train: DataFrame, test: DataFrame, features: list[str], label: str, name: str, keep: list[str], seed: int = 42) -> tuple[object, DataFrame]:
+    """A model fitted on train, and keep, label and score of test."""
+    fitted = fit(train, features, label, name, seed)
+    return fitted.model, fitted.score(test, label, keep)
 
 
 def metric_row(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -134,47 +158,75 @@ def with_fold(df: DataFrame, group: str, folds: int, seed: int = 42) -> DataFram
     return df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), group), F.lit(folds)).cast("int"))
 
 
-def stability(df: DataFrame, features: list[str], label: str, group: str, names: tuple[str, ...] = ("logistic", "forest"), folds: int = 5, top: int = 50) -> dict[str, float]:
+def stability(df: DataFrame, features: list[str], label: str, group: str, names: tuple[str, ...] = ("lasso", "forest"), folds: int = 5, top: int = 50) -> dict[str, float]:
     """Share of fits (folds x models, each without one fold) that rank a feature among their top."""
-    placed = with_fold(df, group, folds).persist()
+    placed = with_fold(df.select(*dict.fromkeys([*features, label, group])), group, folds)
     votes = dict.fromkeys(features, 0)
     for fold in range(folds):
-        train = placed.where(F.col("_fold") != fold)
         for name in names:
-            model, _ = fit_score(train, train.limit(0), features, label, name, [])
+            model = fit(placed.where(F.col("_fold") != fold), features, label, name).model
             for f, v in coefficients(model, features)[:top]:
                 votes[f] += v != 0
-    placed.unpersist()
     return {f: n / (folds * len(names)) for f, n in votes.items()}
 
 
-def shuffled(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """df with the values of one column dealt anew, each as often as before: rows and values are numbered within hash
-    partitions of equal size, so nothing is ordered globally."""
-    place = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), F.lit(64))
-    by_row = W.partitionBy("_p").orderBy(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in df.columns]))
-    by_value = W.partitionBy("_p").orderBy(F.xxhash64(F.lit(seed + 2), *[F.col(c) for c in df.columns]))
-    numbered = df.withColumn("_p", place)
-    rows = numbered.withColumn("_n", F.row_number().over(by_row))
-    values = numbered.select("_p", F.col(column).alias("_v"), F.row_number().over(by_value).alias("_n"))
-    return rows.drop(column).join(values, ["_p", "_n"]).withColumnRenamed("_v", column).select(*df.columns)
+def partnered(df: DataFrame, columns: list[str], seed: int) -> DataFrame:
+    """df with `_s_<column>` from another row each, all columns of one partner; every row is a partner once.
+
+    Rows are paired in the order of a second and a third hash within hash partitions of about PAIRED rows by their count,
+    so a small table is shuffled whole and nothing of a large one is ordered globally. Equal rows share a partition.
+    """
+    parts = -(-df.count() // PAIRED) or 1
+    hash_ = lambda salt: F.xxhash64(F.lit(salt), *[F.col(c) for c in df.columns])
+    numbered = df.withColumn("_p", F.pmod(hash_(seed), F.lit(parts)))
+    place = lambda salt: F.row_number().over(W.partitionBy("_p").orderBy(hash_(salt)))
+    partners = numbered.select("_p", *(F.col(c).alias(f"_s_{c}") for c in columns), place(seed + 2).alias("_n"))
+    return numbered.withColumn("_n", place(seed + 1)).join(partners, ["_p", "_n"]).drop("_p", "_n")
+
+
+def f1_of(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    hit, one = F.col("score") >= 0.5, F.col("label") == 1
+    cells = scored.groupBy(*by).agg(*(F.count_if(c).cast("double").alias(n) for n, c in (("tp", hit & one), ("fp", hit & ~one), ("fn", ~hit & one))))
+    return cells.select(*by, stats.f_beta(F.col("tp"), F.col("fp"), F.col("fn"), 1.0).alias("f1"))
 
 
 def permutation_importance(df: DataFrame, features: list[str], label: str, group: str, name: str = "logistic", folds: int = 3, repeats: int = 2) -> dict[str, float]:
-    """Mean loss of AUROC on held-out folds when a feature's values are shuffled, at least 0."""
-    placed = with_fold(df, group, folds).persist()
+    """Mean loss of F1 on held-out folds of groups when a feature's values are shuffled, at least 0.
+
+    One fit per fold. A repeat pairs every row with another once and scores all features from it in one pass: the row
+    with one value of its partner's, per feature.
+    """
+    placed = with_fold(df.select(*dict.fromkeys([*features, label, group])), group, folds)
     lost = dict.fromkeys(features, 0.0)
     for fold in range(folds):
-        train, test = placed.where(F.col("_fold") != fold), placed.where(F.col("_fold") == fold)
-        base = metric_row(fit_score(train, test, features, label, name, [])[1]).first()["auroc"] or 0.0
-        for f in features:
-            for r in range(repeats):
-                scored = fit_score(train, shuffled(test, f, r), features, label, name, [])[1]
-                lost[f] += base - (metric_row(scored).first()["auroc"] or 0.0)
-    placed.unpersist()
+        test = placed.where(F.col("_fold") == fold).select(*features, F.col(label).alias("_y"))
+        fitted = fit(placed.where(F.col("_fold") != fold), features, label, name)
+        base = f1_of(fitted.score(test, "_y", [])).first()["f1"]
+        for r in range(repeats):
+            pairs = partnered(test, features, 101 * r + fold)
+            each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), *(F.col(f"_s_{c}" if c == f else c).alias(c) for c in features)) for f in features)))
+            moved = pairs.select("_y", each.alias("x")).select("_y", "x.*")
+            for row in f1_of(fitted.score(moved, "_y", ["feature"]), ("feature",)).collect():
+                lost[row["feature"]] += base - row["f1"]
     return {f: max(0.0, v / (folds * repeats)) for f, v in lost.items()}
 
 
+def repeated_holdouts(df: DataFrame, features: list[str], label: str, group: str, names: tuple[str, ...] = ("logistic",), repeats: int = 10, percent: int = 20, seed: int = 42) -> list[dict]:
+    """Metrics of every model fitted anew on each of so many seeded splits by group; one dict per split and model."""
+    out = []
+    for s in range(seed, seed + repeats):
+        held = F.pmod(F.xxhash64(F.lit(s), group), F.lit(100)) < percent
+        for name in names:
+            scored = fit(df.where(~held), features, label, name, s).score(df.where(held), label, [])
+            out.append({"model": name, "seed": s, **metric_row(scored).first().asDict()})
+    return out
+
+
+def feature_sweep(train: DataFrame, test: DataFrame, ranked: list[str], label: str, sizes: tuple[int, ...], names: tuple[str, ...] = ("logistic", "forest", "boosted")) -> list[dict]:
+    """Metrics of every model on test with the first so many of the ranked features."""
+    return [{"n_features": n, "model": m, **metric_row(fit(train, ranked[:n], label, m).score(test, label, [])).first().asDict()} for n in sizes for m in names]
+
+
 def wolf_search(features: list[str], fitness, wolves: int = 8, iterations: int = 8, penalty: float = 0.010, seed: int = 42) -> tuple[list[str], float]:
     """The best subset found by grey-wolf search: positions in [0, 1] per feature, drawn towards the three best, above one
     half is chosen. fitness (of a tuple of features) is computed once per subset; each chosen feature costs penalty / number of features."""
@@ -208,7 +260,7 @@ def wolf_search(features: list[str], fitness, wolves: int = 8, iterations: int =
 
 def method_comparison(chosen: dict[str, list[str]], reference: str, df: DataFrame, label: str, group: str, folds: int = 3) -> list[tuple[str, int, int, float]]:
     """Per method: number of features, overlap with the reference method's, and mean F1.5 over held-out folds."""
-    placed = with_fold(df, group, folds).persist()
+    placed = with_fold(df, group, folds)
     out = []
     for method, features in chosen.items():
         scores = []
@@ -216,7 +268,6 @@ def method_comparison(chosen: dict[str, list[str]], reference: str, df: DataFram
             _, scored = fit_score(placed.where(F.col("_fold") != fold), placed.where(F.col("_fold") == fold), features, label, "logistic", [])
             scores.append(metric_row(scored).first()["f_beta"])
         out.append((method, len(features), len(set(features) & set(chosen[reference])), sum(scores) / folds))
-    placed.unpersist()
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evimine.functions import stats, text
-from evimine.operators import audit, cohort, prep, profile, screening
+from evimine.operators import audit, cohort, items, prep, profile, screening
 from evimine.plans.facts import BOUNDS, FACTS_SQL, NUMBERS, ROW_KEY, facts, read
 
 
@@ -285,7 +285,7 @@ BOUNDS_SQL = "bounds(feature, lo, hi) AS (VALUES " + ", ".join(f"('{k}', {a}::DO
 
 
 def _bounds(spark) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in BOUNDS.items()], "feature string, lo double, hi double")
+    return items.local(spark, [(k, *v) for k, v in BOUNDS.items()], "feature string, lo double, hi double")
 
 
 def bounds_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,7 +379,7 @@ UNIVARIATE_SIGNAL = f"{SIGNAL_SQL} SELECT feature, round(signal, 6) AS signal FR
 
 
 def _edges(spark) -> DataFrame:
-    return spark.createDataFrame([(k, [a + (b - a) * i / 8 for i in range(1, 8)]) for k, (a, b) in BOUNDS.items()], "feature string, cuts array<double>")
+    return items.local(spark, [(k, [a + (b - a) * i / 8 for i in range(1, 8)]) for k, (a, b) in BOUNDS.items()], "feature string, cuts array<double>")
 
 
 def _information(spark, sf_dir) -> DataFrame:
@@ -479,10 +479,37 @@ def ml_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(spark, sf_dir, "forest")
 
 
+def _with_flag(spark, sf_dir) -> DataFrame:
+    return facts(spark, sf_dir).withColumn("flag_n", (F.col("l_returnflag") == "N").cast("int"))
+
+
+def ml_holdouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model fitted anew on ten splits by group, and its mean and spread."""
+    found = screening.repeated_holdouts(_with_flag(spark, sf_dir), ["qty", "price", "flag_n"], "y", "grp")
+    rows = items.local(spark, [(r["model"], r["seed"], r["auroc"]) for r in found], "model string, seed int, auroc double")
+    return screening.holdouts(rows, ["model"])
+
+
+def ml_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of F1 per shuffled feature, and how often a feature is among the first of a sparse linear model."""
+    f, features = _with_flag(spark, sf_dir), ["qty", "price", "disc", "flag_n"]
+    lost = screening.permutation_importance(f, features, "y", "grp")
+    first = screening.stability(f, features, "y", "grp", ("lasso",), folds=3, top=2)
+    return items.local(spark, [(k, float(v), float(first[k])) for k, v in lost.items()], "feature string, lost_f1 double, stability double")
+
+
+def ml_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models on the first features of the univariate ranking."""
+    f = _with_flag(spark, sf_dir)
+    ranked = [r["feature"] for r in _signal(spark, sf_dir).orderBy(F.desc("signal"), "feature").collect()] + ["flag_n"]
+    found = screening.feature_sweep(f.where("split = 'train'"), f.where("split = 'test'"), ranked, "y", (3, 7), ("logistic", "boosted"))
+    return items.local(spark, [(r["n_features"], r["model"], r["auroc"], r["average_precision"]) for r in found], "n_features int, model string, auroc double, average_precision double")
+
+
 NAMES = (
     "flow_audit stage_audit missingness_profile dup_summary dedupe_complete first_per_key counterparty_fallback counterparty_recorded counterparty_exact_overlay opponent_dim_join two_tier_fill left_biased_join semi_anti "
     "sentinel_flags first_number keyword_flags temporal_features right_closed_bins coalesce_label bounded_impute one_hot_aligned bounds_audit outlier_audit zero_collapse baseline_table split_audit checks "
-    "redundancy_index univariate_signal binned_mi rank_fusion auroc_ap holdout_summary union_widen unseen_levels composition ml_logit ml_forest"
+    "redundancy_index univariate_signal binned_mi rank_fusion auroc_ap holdout_summary union_widen unseen_levels composition ml_logit ml_forest ml_holdouts ml_importance ml_sweep"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import re
 import zipfile
-from io import BytesIO
+from io import BytesIO, StringIO, TextIOWrapper
+from itertools import islice
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,17 +48,38 @@ def _garbled(df: DataFrame) -> bool:
     return any("�" in c for c in df.columns) or not df.where(text.contains("�")).isEmpty()
 
 
+def _decoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """All columns as text, decoded by file: a task parses one file as a stream, so quoted line ends stay and only its bytes are held."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    first = files.orderBy("path").select(F.expr("substring(content, 1, 65536)").alias("start")).first()
+    text = bytes(first["start"]).decode(encoding, "replace") if first else ""
+    header = [c.lstrip("\ufeff") for c in next(csv.reader(StringIO(text, newline="")), [])]
+    names = [c or f"_c{i}" for i, c in enumerate(header)]
+    if not names:
+        return spark.createDataFrame([], StructType([]))
+
+    def parse(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = csv.reader(TextIOWrapper(BytesIO(content.as_py()), encoding, "replace", newline=""))
+                next(rows, None)
+                while some := list(islice(rows, 10_000)):
+                    columns = [[(r[i] or None) if i < len(r) else None for r in some if r] for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
+
+    return files.mapInArrow(parse, StructType([StructField(c, StringType()) for c in names]))
+
+
 def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """All columns as text. The first encoding that leaves no replacement character wins, else the last; a byte order mark goes.
+    """All columns as text, empty ones null. The first encoding that leaves no replacement character wins, else the last; a byte order mark goes.
 
-    Encodings beyond Spark's own list are decoded from whole files, which such legacy exports are.
+    To know that a text is clean it is read once; encodings beyond Spark's own list are decoded by file.
     """
     for i, encoding in enumerate(encodings):
         if encoding.upper() in ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16"):
-            df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).csv(path)
+            df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
         else:
-            lines = spark.read.format("binaryFile").load(path).select(F.expr("content")).rdd.flatMap(lambda r: bytes(r[0]).decode(encoding, "replace").splitlines())
-            df = spark.read.option("header", True).csv(lines)
+            df = _decoded_csv(spark, path, encoding)
         if i == len(encodings) - 1 or not _garbled(df):
             return df
     raise ValueError("no encoding given")
@@ -66,6 +90,30 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_csv(df: DataFrame, path: str, encoding: str = "utf-8-sig") -> int:
+    """One file for people, in their encoding (`utf-8-sig` has a byte order mark, `gb18030` is the other); the number of rows.
+
+    Rows pass through the driver a partition at a time, so memory is bounded but time is not: for reports and cohorts.
+    """
+    n = 0
+    with open(path, "w", encoding=encoding, newline="") as f:
+        writer = csv.writer(f)
+        writer.writerow(df.columns)
+        for row in df.toLocalIterator():
+            writer.writerow(["" if v is None else v for v in row])
+            n += 1
+    return n
+
+
+def named_features(df: DataFrame, candidates: tuple[str, ...] = ("Selected_Features", "Feature", "feature"), strict: bool = True) -> DataFrame:
+    """`feature`: the non-blank texts of the first candidate column that there is; without one an error, or the first column unless strict."""
+    found = next((c for c in candidates if c in df.columns), None)
+    if found is None and (strict or not df.columns):
+        raise KeyError(f"none of {candidates}")
+    text = F.trim(F.col(f"`{found or df.columns[0]}`").cast("string"))
+    return df.select(text.alias("feature")).where("feature <> ''")
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Adds rows to a table; columns may be new."""
     df.write.mode("append").option("mergeSchema", True).parquet(path)

@@ -188,12 +188,46 @@ def test_screeners_prefer_the_informative_feature(spark):
     assert votes["signal"] == 1.0
     lost = screening.permutation_importance(df, ["signal", "noise"], "y", "g", "logistic", 2, 1)
     assert lost["signal"] > 0.1 > lost["noise"]
-    moved = screening.shuffled(df, "signal", 3)
-    assert sorted(r[0] for r in moved.select("signal").collect()) == sorted(r[0] for r in df.select("signal").collect())
+    moved = screening.partnered(df, ["signal", "noise"], 3).collect()
+    assert sorted((r["_s_signal"], r["_s_noise"]) for r in moved) == sorted((r["signal"], r["noise"]) for r in df.collect())
+    assert sum(r["_s_noise"] != r["noise"] for r in moved) > 100
     compared = {m: f for m, _, _, f in screening.method_comparison({"good": ["signal"], "bad": ["noise"]}, "good", df, "y", "g", 2)}
     assert compared["good"] == 1.0 > compared["bad"]
 
 
+def test_metrics_equal_their_definitions(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(int(r.random() < 0.3), round(r.random(), 1)) for _ in range(400)]
+    got = screening.metric_row(spark.createDataFrame(rows, "label int, score double")).first()
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    wins = sum((a > b) + (a == b) / 2 for a in pos for b in neg)
+    area, tp, fp = 0.0, 0, 0
+    for cut in sorted({s for _, s in rows}, reverse=True):
+        new = sum(s == cut for s in pos)
+        tp, fp = tp + new, fp + sum(s == cut for s in neg)
+        area += new / len(pos) * tp / (tp + fp)
+    hit = sum(s >= 0.5 for s in pos)
+    false = sum(s >= 0.5 for s in neg)
+    recall, precision = hit / len(pos), hit / (hit + false)
+    expected = {"auroc": wins / len(pos) / len(neg), "average_precision": area, "recall": recall, "precision": precision, "balanced_accuracy": (recall + 1 - false / len(neg)) / 2, "f_beta": 3.25 * precision * recall / (2.25 * precision + recall)}
+    assert {k: got[k] for k in expected} == pytest.approx(expected)
+
+
+def test_models_find_a_plain_signal(spark):
+    """Every model nearly reaches the best possible ranking on held-out groups; the sparse one drops the noise."""
+    raw = spark.range(1500).select((F.col("id") % 50).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("x"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 1000.0).alias("noise"), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1000)) / 1000.0).alias("u"))
+    df = raw.withColumn("y", (F.col("u") < 0.1 + 0.8 * (F.col("x") > 0.5).cast("int")).cast("int"))
+    best = screening.metric_row(df.select(F.col("y").alias("label"), (F.col("x") > 0.5).cast("double").alias("score"))).first()["auroc"]
+    for row in screening.repeated_holdouts(df, ["x", "noise"], "y", "g", ("logistic", "forest", "extra", "boosted"), 1):
+        assert best - 0.06 < row["auroc"] < best + 0.06, row
+    weights = dict(screening.coefficients(screening.fit(df, ["x", "noise"], "y", "lasso").model, ["x", "noise"]))
+    assert abs(weights["x"]) > 10 * abs(weights["noise"])
+    swept = screening.feature_sweep(df.where("g >= 10"), df.where("g < 10"), ["noise", "x"], "y", (1, 2), ("logistic",))
+    assert swept[0]["auroc"] < 0.65 < swept[1]["auroc"]
+
+
 def test_wolf_search_finds_the_useful_features():
     calls = []
 
@@ -211,7 +245,11 @@ def test_audits(spark):
     found = {(r["stage"], r["split"]): r["status"] for r in audit.leakage_matrix(spark, {"mining": [("m", "train"), ("t", "test")], "replay": [("t", "test")]}).collect()}
     assert found == {("mining", "train"): "PASS", ("mining", "test"): "FAIL", ("replay", "test"): "PASS"}
     names = spark.createDataFrame([("02_Run_Manifest.json",), ("Rule_Item_Replay_Audit.csv",), ("x.csv",)], "n string")
-    assert [r[0] for r in names.select(audit.file_category(F.col("n"))).collect()] == ["manifest", "audit", "other"]
+    assert [r[0] for r in names.select(audit.file_category(F.col("n"))).collect()] == ["manifest", "primary_rule_mining_replay", "other"]
+    files = spark.createDataFrame([("a.csv",), ("old.zip",), ("final.zip",), ("x_Manifest.json",), ("Rule_b.csv",), ("c.csv",), ("main.py",), ("gone.csv",)], "name string")
+    found = {r["name"]: r["reason"] for r in audit.generated_files(files, ["main.py"], ["a.csv"], ["gone.csv"], "final.zip", ["Rule_*"]).collect()}
+    assert found == {"a.csv": "previous_final_package_file", "old.zip": "old_zip", "final.zip": "previous_final_zip", "x_Manifest.json": "stale_manifest", "Rule_b.csv": "stale_generated_output", "gone.csv": "obsolete_output"}
+    assert {r[0]: r[1] for r in files.select("name", audit.file_category(F.col("name"))).collect()}["Rule_b.csv"] == "primary_rule_mining_replay"
     assert audit.schema_problems(names, {"n": "int", "m": "int"}) == ["n: string instead of int", "m: missing"]
     with pytest.raises(audit.ChecksFailed):
         audit.require(audit.check(names, "few", "no rows", F.count(F.lit(1)) == 0))
@@ -219,3 +257,21 @@ def test_audits(spark):
     assert [r["antecedent"] for r in evidence.main_table(graded).collect()] == ["b", "a"]
     both = screening.family_coverage(spark.createDataFrame([("f",), ("f",), ("g",)], "family string"), spark.createDataFrame([("f",)], "family string"), {"f": 1}, {"g": 1})
     assert {r["family"]: r["satisfied"] for r in both.collect()} == {"f": True, "g": False}
+
+
+@pytest.mark.parametrize("encoding", ["utf-8-sig", "gb18030"])
+def test_csv_comes_back_in_its_encoding(spark, tmp_path, encoding):
+    rows = [("事故", 'say "x"', 1), ("two\nlines", "a,b", 2), (None, "é", 3)]
+    df = spark.createDataFrame(rows, "name string, said string, n int").coalesce(1)
+    assert tables.export_csv(df, str(tmp_path / "a.csv"), encoding) == 3
+    back = tables.read_csv(spark, str(tmp_path / "a.csv"))
+    assert back.columns == ["name", "said", "n"] and {tuple(r) for r in back.collect()} == {(a, b, str(n)) for a, b, n in rows}
+    assert (tmp_path / "a.csv").read_bytes().startswith(b"\xef\xbb\xbf") == (encoding == "utf-8-sig")
+
+
+def test_named_features(spark):
+    df = spark.createDataFrame([(1, " a "), (2, None), (3, "  "), (4, "b")], "k int, Feature string")
+    assert [r[0] for r in tables.named_features(df).collect()] == ["a", "b"]
+    assert [r[0] for r in tables.named_features(df.drop("Feature"), strict=False).collect()] == ["1", "2", "3", "4"]
+    with pytest.raises(KeyError):
+        tables.named_features(df.drop("Feature"))
