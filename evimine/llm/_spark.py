@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import evimine
 
 _SHIPPED: set[str] = set()
+_FOLDERS: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,20 +35,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="evimine-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
+    """A folder of this application that all executors see, under spark.checkpoint.dir, else under the warehouse; it goes when the driver ends."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/evimine-{context.applicationId}"
+    if path not in _FOLDERS:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _FOLDERS.add(path)
+    return path
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that a lost executor never replays what came before."""
-    path = f"{shared_dir(df.sparkSession)}/evimine-{name}-{uuid.uuid4().hex}"
+    """Write df as a table in the shared folder and read it back, so that a lost executor never replays what came before.
+
+    The driver then collects its garbage: only so does Spark drop the shuffle files of what came before earlier cuts.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def id_fold(column: str, folds: int):

@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 10_000
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -63,7 +63,7 @@ class Chunk(NamedTuple):
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Whole rows, about limit bytes at a time. Null counts as empty."""
+    """Whole rows, about limit bytes and at most CHUNK_ROWS at a time. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -77,7 +77,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
     low = 0
     while low < n:
-        high = min(n, max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1))
+        high = min(n, low + CHUNK_ROWS, max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1))
         yield Chunk(low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
         low = high
 

@@ -14,7 +14,7 @@ from evimine.llm._spark import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: columns a and b, in any order, repeated or not. Returns node and root, the smallest node it reaches, for all nodes that have a link to another and are not that root."""
+    """links: columns a and b, in any order, repeated or not, those with a null end left out; without links no rows. Returns node and root, the smallest node it reaches, for all nodes that have a link to another and are not that root."""
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while not _stars(edges):
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours

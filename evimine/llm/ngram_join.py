@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimine.llm import _sketch, _text
-from evimine.llm._spark import cut
+from evimine.llm._spark import cut, ship
 from evimine.llm.components import components
 
 WIDTH = 5
@@ -372,6 +372,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     ids are null. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bytes_ = int(read.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     parts = max(1, -(-(bytes_ // 6 // 4) // GROUP_POSTINGS))
