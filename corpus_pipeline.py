@@ -16,17 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimine.llm import bpe, mixing, ngram_join, quality, substrings
-from evimine.llm._spark import shared_dir, table
+from evimine.llm._spark import cut, shared_dir, table
 from evimine.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts go with all that fail a rule; repeated rows and rows without id are judged each; an empty table stays empty."""
     return quality.keep(docs).select(COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without id, and texts without words, stay; rows of one id stay or go together; an empty table stays empty."""
     return ngram_join.one_of_each(docs).select(COLUMNS)
 
 
@@ -38,12 +40,13 @@ def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = docs.select(*COLUMNS, mixing.n_words(F.col("text")).alias("size"))
+    """Null sources are one source, null and empty texts have no words and follow their source; an empty table stays empty."""
+    sized = cut(docs.select(*COLUMNS, mixing.n_words(F.col("text")).alias("size")), "sized")
     return mixing.expand(mixing.mix(sized), COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids_sha256 of every row that the mix holds."""
+    """doc_id, n_tokens and ids_sha256 of every row that the mix holds; null and empty texts have no tokens."""
     coded = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
@@ -62,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/evimine-pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
