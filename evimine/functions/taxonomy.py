@@ -201,6 +201,7 @@ TRAITS = {
     "safety": (("safety",), ("SAFETY", "AEB", "LKA", "SPURHAE", "ASSIST", "车道保持", "主动安全")),
     "crash": (("crash_type",), ("CRASH_TYPE", "STOSS", "COLLISION_TYPE", "IMPACT_POINT", "碰撞角", "事故类型")),
 }
+# The scene of governance of each axis.
 SCENES = {
     "speed_energy": "speed enforcement and conflict-speed management",
     "vulnerability_speed": "VRU vulnerability-sensitive speed and crossing protection",

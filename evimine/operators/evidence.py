@@ -131,5 +131,14 @@ def main_table(graded: DataFrame, tiers: tuple[str, ...] = (CORE, BINARY, REPLAY
     return graded.where(F.col("tier").isin(*tiers)).orderBy(*order)
 
 
+def item_usage(graded: DataFrame, items: DataFrame) -> DataFrame:
+    """items (item) with the number of graded rules that hold each, in all and per tier that confirms."""
+    each = graded.select(F.explode("items").alias("item"), "tier")
+    used = each.groupBy("item").agg(F.count(F.lit(1)).alias("n_rules"), *(F.count_if(F.col("tier") == t).alias(n) for n, t in (("n_core", CORE), ("n_binary", BINARY), ("n_statistical", STATISTICAL))))
+    joined = items.join(used, "item", "left")
+    counts = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_rules", "n_core", "n_binary", "n_statistical")}
+    return joined.withColumns(counts).withColumn("used_in_core", (F.col("n_core") + F.col("n_binary") > 0).cast("int"))
+
+
 def recommended_use(evidence: Column) -> Column:
     return F.when(evidence == CORE, "priority governance target").when(evidence == BINARY, "targeted governance signal").when(evidence == STATISTICAL, "confirmatory monitoring signal").when(evidence == REPLAYABLE, "replay reference").otherwise("exploration only")

@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evimine.functions import taxonomy, text
-from evimine.operators import audit, evidence, prep, profile, rules, triplets
+from evimine.operators import audit, evidence, prep, profile, rules, screening, triplets
 from evimine.operators import items as I
 from evimine.plans import rule_queries as R
+from evimine.plans import table_queries
 from evimine.plans.facts import FACTS_SQL, ITEMS, evaluated_sql, facts, read, replay_sql
 
 WITH = f"WITH {FACTS_SQL}"
@@ -270,8 +271,124 @@ def fixed_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FIXED_SCHEMA = "SELECT n_name AS name, NULL::VARCHAR AS absent FROM nation"
 
+# More of texts, items and checks
+
+
+def key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, names and flags as they come, in one form."""
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 6).alias("k"))
+    raw = F.when(F.col("k") == 0, F.concat(F.lit("  "), F.col("event_id").cast("string"), F.lit(".0 "))).when(F.col("k") == 1, "nan").when(F.col("k") == 2, "").when(F.col("k") == 3, "None").when(F.col("k") == 4, "a.0.0")
+    flag = F.when(F.col("k") == 0, " TRUE").when(F.col("k") == 1, "0.0").when(F.col("k") == 2, "1").when(F.col("k") == 3, "false ").when(F.col("k") == 4, "2")
+    threshold = F.col("k") - 2.5
+    operator = F.when(F.col("k") % 3 == 0, ">").when(F.col("k") % 3 == 1, "<=").otherwise("==")
+    return e.select(
+        "event_id",
+        text.normalize_key(raw).alias("key"),
+        text.binary(flag).alias("flag"),
+        text.item_name(F.col("event_type"), operator, threshold).alias("item"),
+        text.sanitized(F.concat(F.lit("(["), F.col("event_type"), F.lit("] ;:"), F.col("k").cast("string"), F.lit(")"))).alias("name"),
+    )
+
+
+KEY_TEXTS = r"""WITH e AS (SELECT event_id, event_type, event_id % 6 AS k FROM events),
+r AS (SELECT *, CASE k WHEN 0 THEN '  ' || event_id || '.0 ' WHEN 1 THEN 'nan' WHEN 2 THEN '' WHEN 3 THEN 'None' WHEN 4 THEN 'a.0.0' END AS raw FROM e)
+SELECT event_id, CASE WHEN regexp_replace(trim(raw), '\.0$', '') NOT IN ('nan', 'None', '', '<NA>') THEN regexp_replace(trim(raw), '\.0$', '') END AS key,
+  CASE k WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS flag,
+  event_type || '___' || CASE k % 3 WHEN 0 THEN 'GT' WHEN 1 THEN 'LE' ELSE 'EQ' END || '_' || translate((k - 2.5)::DOUBLE::VARCHAR, '.-', '_m') AS item, event_type || '_' || k AS name FROM r"""
+
+MEDIANS = [I.Item("INITIAL_SPEED___MEDIAN", "qty", ">", "median", "speed_v0"), I.Item("FRICTION___MEDIAN", "disc", "<=", "median", "road_surface", (0.0,)), I.Item("VEHICLE_LENGTH___MEDIAN", "p_size", ">", "median", "vehicle_size")]
+
+
+def median_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose thresholds are the training medians of observed values, and how often they are hit."""
+    f = facts(spark, sf_dir)
+    fitted = I.fit_thresholds(f.where("split = 'train'"), MEDIANS)
+    at = I.local(spark, [(i.name, float(i.threshold), i.clarity) for i in fitted], "item string, threshold double, clarity double")
+    return audit.item_replay(f, fitted).join(at, "item").select("item", "split", "threshold", "clarity", "n_hits", R.r6("hit_rate").alias("hit_rate"))
+
+
+MEDIAN_ITEMS = f"""{WITH}, long AS ({" UNION ALL ".join(f"SELECT '{i.name}' AS item, split, {i.source}::DOUBLE AS value, {R.observed_sql(i)} AS seen, '{i.operator}' AS op FROM facts" for i in MEDIANS)}),
+m AS (SELECT item, median(value) AS threshold FROM long WHERE split = 'train' AND seen GROUP BY item),
+h AS (SELECT item, split, any_value(threshold) AS threshold, count(*) AS n, count(*) FILTER (WHERE seen AND CASE WHEN op = '>' THEN value > threshold ELSE value <= threshold END) AS n_hits FROM long JOIN m USING (item) GROUP BY item, split)
+SELECT item, split, threshold, 0.7::DOUBLE AS clarity, n_hits, round(n_hits / n::DOUBLE, 6) AS hit_rate FROM h"""
+
+
+def consensus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted blend of what two screeners say; parts that nobody measured count nothing."""
+    fused = table_queries.rank_fusion(spark, sf_dir)
+    parts = {"mean_points": F.col("mean_points"), "vote_share": F.col("votes") / 2, "stability": F.lit(None).cast("double"), "permutation": F.lit(0.0), "priority": F.col("feature").isin("qty", "price").cast("double")}
+    return fused.select("feature", R.r6(screening.consensus(parts)).alias("score"))
+
+
+CONSENSUS_SCORES = f"""WITH f AS ({table_queries.RANK_FUSION}) SELECT feature, round(0.40::DOUBLE * mean_points + 0.24::DOUBLE * (votes / 2.0::DOUBLE) + 0.15::DOUBLE * CASE WHEN feature IN ('qty', 'price') THEN 1 ELSE 0 END, 6) AS score FROM f"""
+
+
+def sweep_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pairs that the first N items give on training rows do on test rows, N = 4, 6, 8, 10."""
+    found = R._mined(spark, sf_dir).select("bits", F.col("lift").alias("train_lift"))
+    both = R._replayed(spark, sf_dir).join(found, "bits")
+    each = both.select("*", F.explode(F.array(*map(F.lit, (4, 6, 8, 10)))).alias("n_features")).where(F.col("bits") < F.pow(F.lit(2.0), F.col("n_features")))
+    return each.groupBy("n_features").agg(
+        F.count(F.lit(1)).alias("n_rules"),
+        F.count_if(F.col("risk_ratio") >= 1).alias("n_risk"),
+        F.count_if(F.col("q_value") <= 0.05).alias("n_significant"),
+        R.r6(F.median("risk_ratio")).alias("median_risk_ratio"),
+        R.r6(F.max("train_lift")).alias("best_train_lift"),
+    )
+
+
+SWEEP_REPLAY = f"""{R.BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {replay_sql("pairs", "t")},
+b AS (SELECT t.*, e2.lift AS train_lift FROM t JOIN e2 USING (bits) WHERE e2.support >= {R.SUPPORT}::DOUBLE AND e2.lift >= {R.LIFT}::DOUBLE)
+SELECT n AS n_features, count(*) AS n_rules, count(*) FILTER (WHERE risk_ratio >= 1) AS n_risk, count(*) FILTER (WHERE q_value <= 0.05::DOUBLE) AS n_significant, round(median(risk_ratio), 6) AS median_risk_ratio,
+  round(max(train_lift), 6) AS best_train_lift FROM b, (VALUES (4), (6), (8), (10)) s(n) WHERE bits < (1 << n) GROUP BY n"""
+
+
+def core_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many graded pairs hold each item, per tier."""
+    return evidence.item_usage(R._graded(spark, sf_dir), R.item_table(spark).select("item", "family"))
+
+
+_TIER_COUNTS = ", ".join(f"count(*) FILTER (WHERE tier = '{t}') AS {n}" for n, t in (("n_core", evidence.CORE), ("n_binary", evidence.BINARY), ("n_statistical", evidence.STATISTICAL)))
+CORE_USAGE = f"""{R.GRADED_SQL}, each AS (SELECT tier, unnest(string_split(antecedent, '||')) AS item FROM graded), u AS (SELECT item, count(*) AS n_rules, {_TIER_COUNTS} FROM each GROUP BY item)
+SELECT name AS item, family, coalesce(n_rules, 0) AS n_rules, coalesce(n_core, 0) AS n_core, coalesce(n_binary, 0) AS n_binary, coalesce(n_statistical, 0) AS n_statistical,
+  CAST(coalesce(n_core, 0) + coalesce(n_binary, 0) > 0 AS INTEGER) AS used_in_core FROM items LEFT JOIN u ON u.item = items.name"""
+
+
+def _rule_checks() -> list[tuple[str, str, str]]:
+    """Name, aggregate condition in Spark, and in DuckDB, over graded pairs."""
+    same = [
+        ("all_pairs_graded", "count(*) = 45"),
+        ("antecedents_unique", "count(DISTINCT antecedent) = count(*)"),
+        ("hits_within_rows", "max(hit) <= min(total) AND min(hit) >= 0"),
+        ("label_within_hits", "min(hit - hit_y) >= 0"),
+        ("confidence_is_a_share", "min(test_confidence) >= 0 AND max(test_confidence) <= 1"),
+        ("wilson_holds_confidence", "max(CASE WHEN wilson_lower > test_confidence + 1e-12 OR wilson_upper < test_confidence - 1e-12 THEN 1 ELSE 0 END) = 0"),
+        ("q_at_least_p", "max(CASE WHEN q_value < p_value - 1e-12 THEN 1 ELSE 0 END) = 0"),
+        ("q_at_most_one", "max(q_value) <= 1"),
+        ("unhit_has_no_p", "max(CASE WHEN hit = 0 AND p_value IS NOT NULL THEN 1 ELSE 0 END) = 0"),
+        ("recurrence_is_a_share", "min(recurrence) >= 0 AND max(recurrence) <= 1"),
+        ("moved_hits_at_most_hits", "max(CASE WHEN hit_min > hit THEN 1 ELSE 0 END) = 0"),
+        ("tiers_known", f"max(CASE WHEN tier IN ({', '.join(map(repr, evidence.TIER_ORDER))}) THEN 0 ELSE 1 END) = 0"),
+        ("axes_known", f"max(CASE WHEN axis IN ({', '.join(map(repr, R.AXIS_LABELS))}) THEN 0 ELSE 1 END) = 0"),
+        ("confirmed_is_significant", f"max(CASE WHEN tier IN ('{evidence.CORE}', '{evidence.BINARY}', '{evidence.STATISTICAL}') AND q_value > 0.05 THEN 1 ELSE 0 END) = 0"),
+        ("core_recurs", f"max(CASE WHEN tier IN ('{evidence.CORE}', '{evidence.BINARY}') AND recurrence < 0.95 THEN 1 ELSE 0 END) = 0"),
+        ("every_rule_significant", "max(q_value) <= 0.05"),
+    ]
+    return [(n, c, c) for n, c in same]
+
+
+def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of the graded pairs in one pass; the last one is not expected to hold."""
+    holds = [(n, F.coalesce(F.expr(c), F.lit(False))) for n, c, _ in _rule_checks()]
+    row = R._graded(spark, sf_dir).agg(*(c.alias(n) for n, c in holds))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.when(F.col(n), "PASS").otherwise("FAIL").alias("status")) for n, _ in holds))))
+
+
+RULE_CHECKS = f"{R.GRADED_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS name, CASE WHEN {c} THEN 'PASS' ELSE 'FAIL' END AS status FROM graded" for n, _, c in _rule_checks())
+
 NAMES = (
-    "name_labels triplet_evidence triplet_report triplet_checks main_rule_table resolve_trace candidate_audit flag_alignment age_over60 unique_names formatted_baseline capped_levels set_equality mass_violations fixed_schema"
+    "name_labels triplet_evidence triplet_report triplet_checks main_rule_table resolve_trace candidate_audit flag_alignment age_over60 unique_names formatted_baseline capped_levels set_equality mass_violations fixed_schema "
+    "key_texts median_items consensus_scores sweep_replay core_usage rule_checks"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}
