@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from evimine.llm import _text
 
 #: Partial blocks merged by one task; names gathered before they are compressed.
-FAN_IN, GATHERED = 64, 1 << 22
+FAN_IN, GATHERED = 64, 1 << 20
 _SCHEMA = "slot long, level int, block int, payload binary"
 
 Names = Callable[[pa.RecordBatch], Iterator[np.ndarray]]

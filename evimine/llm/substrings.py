@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evimine.llm import _sketch, _text
+from evimine.llm._spark import ship
 
 WIDTH = 13
 #: Cells of a row of the sketch are 2**bits: at most 2**30 (a bitmap of 128 MB).
@@ -91,7 +92,7 @@ def _join(*arrays: np.ndarray) -> bytes:
 
 
 def _split(payload: bytes) -> list[np.ndarray]:
-    kinds = (np.uint64, np.uint16, np.uint32, np.uint32, np.int64, np.int32)
+    kinds = (np.uint64, np.uint16, np.uint32, np.uint32, np.int64, np.int64)
     sizes, at, out = np.frombuffer(payload, np.int64, len(kinds)).tolist(), 8 * len(kinds), []
     for kind, size in zip(kinds, sizes, strict=True):
         out.append(np.frombuffer(payload, kind, size, at))
@@ -132,7 +133,8 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     A document may have several rows. Rows with a null doc_id take no part.
     """
-    read = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.hash(text).alias(_KEY))
+    ship(docs.sparkSession)
+    read = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias(_KEY))
     estimate = _estimated_windows(read, "text")
     bits = min(MOST_BITS, max(LEAST_BITS, (int(estimate * 1.5) or 1).bit_length()))
     groups = max(LEAST_GROUPS, -(-estimate // GROUP_WINDOWS))
@@ -164,7 +166,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
             yield rows()
 
     entries = read.mapInArrow(run, "g int, payload binary")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField(_KEY, T.IntegerType()), T.StructField("places", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField(_KEY, T.LongType()), T.StructField("places", T.BinaryType())])
     return entries.groupBy("g").applyInArrow(_settle, schema)
 
 
@@ -179,7 +181,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     clean = docs.drop("n_words", "n_removed", "kept")
     found = repeated_windows(docs, text, doc_id, width).groupBy("doc_id", _KEY).agg(F.collect_list("places").alias("_places"))
     found = found.withColumnsRenamed({"doc_id": "_id", _KEY: "_k"})
-    on = (F.col(doc_id).cast("long") == F.col("_id")) & (F.hash(text) == F.col("_k"))
+    on = (F.col(doc_id).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_k"))
     joined = clean.join(found, on, "left").select(*clean.columns, "_places")
     fields = clean.schema.fields
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
