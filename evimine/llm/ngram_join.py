@@ -438,3 +438,17 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """The rows of docs that are the smallest of their class; rows with a null doc_id stay."""
     first = classes(docs, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(first, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
+
+
+def oracle() -> str:
+    """The classes of `documents` in SQL: all pairs that share a shingle, and the closure of their links."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT r, w, unnest(generate_series(1, greatest(len(w) - {WIDTH - 1}, least(len(w), 1)))) AS i FROM d),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + {WIDTH - 1}), ' ') AS g FROM p),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM c JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * common >= {NUMERATOR} * (a.n + b.n - common)),
+reach AS (SELECT r, r AS t FROM n UNION SELECT reach.r, l.y FROM reach JOIN l ON l.x = reach.t),
+k AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.t GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)"""

@@ -84,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": ngram_join.oracle(),
+    "op3_substring_dedup": substrings.oracle(),
     "op5_license_scan": licenses.oracle(),
     "op7_source_mix": mixing.oracle(),
     "op9_chat_examples": chat.oracle(OWN_TURNS),

@@ -221,3 +221,16 @@ def digest(docs: DataFrame) -> DataFrame:
     """Word counts and a digest of what is kept of every document."""
     done = dedup(docs.select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle(width: int = WIDTH) -> str:
+    """What is left of `documents` in SQL."""
+    last = width - 1
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - {last})) AS i FROM d),
+k AS (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(list_slice(w, i, i + {last}), ' ')) AS first FROM p),
+g AS (SELECT DISTINCT r, unnest(generate_series(i, i + {last})) AS place FROM k WHERE first < doc_id),
+e AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS place FROM d),
+h AS (SELECT r, string_agg(word, ' ' ORDER BY place) AS kept FROM e ANTI JOIN g USING (r, place) GROUP BY r),
+m AS (SELECT r, count(*) AS n FROM g GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN m USING (r) LEFT JOIN h USING (r)"""
