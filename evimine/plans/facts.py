@@ -32,8 +32,10 @@ SEMANTIC = {
     "ROAD_TYPE_F": "order_state", "AEB_URGENT": "order_state",
 }
 DOMAIN = {
-    "speed_energy": "speed", "vulnerability_speed": "people", "vehicle_geometry_vulnerability": "people", "road_speed_environment": "speed", "vehicle_geometry_interaction": "vehicles",
-    "lighting_visibility": "roads", "surface_weather_friction": "roads", "safety_assistance": "vehicles", "crash_configuration": "conflicts", "mixed_multimechanism": "mixed",
+    "speed_energy": "speed", "vulnerability_speed": "people", "vehicle_geometry_vulnerability": "people", "road_speed_environment": "speed",
+        "vehicle_geometry_interaction": "vehicles",
+    "lighting_visibility": "roads", "surface_weather_friction": "roads", "safety_assistance": "vehicles", "crash_configuration": "conflicts",
+        "mixed_multimechanism": "mixed",
 }
 BOUNDS = {"qty": (5.0, 45.0), "price": (2000.0, 90000.0), "disc": (0.01, 0.09), "p_size": (2.0, 45.0), "s_acctbal": (0.0, 9000.0), "o_totalprice": (5000.0, 450000.0)}
 NUMBERS = list(BOUNDS)
@@ -47,7 +49,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lineitem per row with the attributes of its order, part and supplier; sides are broadcast only if the planner's size check says so."""
     line = read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").cast("int").alias("y"),
-        F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"), "l_linestatus", "l_returnflag", "l_shipdate",
+        F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"),
+            "l_linestatus", "l_returnflag", "l_shipdate",
     )
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("grp"), "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate")
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_type", "p_brand")
@@ -97,7 +100,8 @@ triplets AS (
          a.bit + b.bit AS p1, a.bit + c.bit AS p2, b.bit + c.bit AS p3
   FROM items a JOIN items b ON a.name < b.name JOIN items c ON b.name < c.name),
 quads AS (
-  SELECT a.name || '||' || b.name || '||' || c.name || '||' || d.name AS antecedent, a.bit + b.bit + c.bit + d.bit AS bits, list_sort(list_distinct([a.family, b.family, c.family, d.family])) AS families,
+  SELECT a.name || '||' || b.name || '||' || c.name || '||' || d.name AS antecedent, a.bit + b.bit + c.bit + d.bit AS bits,
+  list_sort(list_distinct([a.family, b.family, c.family, d.family])) AS families,
          (a.clarity + b.clarity + c.clarity + d.clarity) / 4 AS clarity, 4 AS n_items
   FROM items a JOIN items b ON a.name < b.name JOIN items c ON b.name < c.name JOIN items d ON c.name < d.name)"""
 
@@ -124,14 +128,19 @@ def evaluated_sql(rules: str, split: str, name: str) -> str:
     return f"""{name} AS (
   SELECT r.*, t.total, t.positives, h.hit, h.hit_y, h.hit_y / t.total::DOUBLE AS support, h.hit_y / nullif(h.hit, 0)::DOUBLE AS confidence,
          h.hit_y / nullif(h.hit, 0)::DOUBLE / (t.positives / t.total::DOUBLE) AS lift
-  FROM (SELECT q.antecedent AS a, count(h.bits)::BIGINT AS hit, coalesce(sum(h.y), 0)::BIGINT AS hit_y FROM {rules} q LEFT JOIN (SELECT * FROM hits WHERE split = '{split}') h ON (h.bits & q.bits) = q.bits GROUP BY q.antecedent) h
+  FROM (SELECT q.antecedent AS a, count(h.bits)::BIGINT AS hit, coalesce(sum(h.y), 0)::BIGINT AS hit_y FROM {rules} q LEFT JOIN (SELECT * FROM hits
+  WHERE split = '{split}') h ON (h.bits & q.bits) = q.bits GROUP BY q.antecedent) h
   JOIN {rules} r ON r.antecedent = h.a, (SELECT count(*)::BIGINT AS total, sum(y)::BIGINT AS positives FROM hits WHERE split = '{split}') t)"""
 
 
-EVIDENCE_SQL = """SELECT antecedent, bits, families, continuous, clarity, n_items, duplicate, hit, hit_y, total, positives, confidence AS test_confidence, lift AS risk_ratio,
-  CASE WHEN hit > 0 THEN greatest(0::DOUBLE, (p + 3.8416::DOUBLE / (2 * n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n)) END AS wilson_lower,
-  CASE WHEN hit > 0 THEN least(1::DOUBLE, (p + 3.8416::DOUBLE / (2 * n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n)) END AS wilson_upper,
-  CASE WHEN hit > 0 THEN least(1::DOUBLE, list_sum(list_transform(range(hit_y, hit + 1), lambda i: exp(lgamma(hit + 1) - lgamma(i + 1) - lgamma(hit - i + 1) + i * ln(b) + (hit - i) * ln(1 - b))))) END AS p_value
+EVIDENCE_SQL = """SELECT antecedent, bits, families, continuous, clarity, n_items, duplicate, hit, hit_y, total, positives,
+  confidence AS test_confidence, lift AS risk_ratio,
+  CASE WHEN hit > 0 THEN greatest(0::DOUBLE,
+  (p + 3.8416::DOUBLE / (2 * n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n)) END AS wilson_lower,
+  CASE WHEN hit > 0 THEN least(1::DOUBLE,
+  (p + 3.8416::DOUBLE / (2 * n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n)) END AS wilson_upper,
+  CASE WHEN hit > 0 THEN least(1::DOUBLE, list_sum(list_transform(range(hit_y, hit + 1),
+  lambda i: exp(lgamma(hit + 1) - lgamma(i + 1) - lgamma(hit - i + 1) + i * ln(b) + (hit - i) * ln(1 - b))))) END AS p_value
   FROM (SELECT *, hit_y / nullif(hit, 0)::DOUBLE AS p, hit::DOUBLE AS n, positives / total::DOUBLE AS b FROM {source})"""
 
 
@@ -140,4 +149,5 @@ def replay_sql(rules: str, name: str) -> str:
     evidence = EVIDENCE_SQL.format(source=f"{name}_seen")
     return f"""{evaluated_sql(rules, "test", name + "_seen")}, {name}_p AS ({evidence}),
 {name}_r AS (SELECT *, row_number() OVER (PARTITION BY p_value IS NOT NULL ORDER BY p_value) AS rk, count(*) OVER (PARTITION BY p_value IS NOT NULL) AS m FROM {name}_p),
-{name} AS (SELECT *, CASE WHEN p_value IS NOT NULL THEN least(1::DOUBLE, min(p_value * m / rk) OVER (PARTITION BY p_value IS NOT NULL ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) END AS q_value FROM {name}_r)"""
+{name} AS (SELECT *, CASE WHEN p_value IS NOT NULL THEN least(1::DOUBLE, min(p_value * m / rk) OVER (PARTITION BY p_value IS NOT NULL
+  ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) END AS q_value FROM {name}_r)"""

@@ -51,7 +51,8 @@ def domain() -> Column:
 
 def pair_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.mine(_split(spark, sf_dir, "train"), ITEMS, "y", (2,), SUPPORT, LIFT)
-    return found.select(rules.joined(F.col("items")).alias("antecedent"), "hit", "hit_y", *(r6(c).alias(c) for c in ("support", "confidence", "lift", "leverage", "conviction")))
+    return found.select(rules.joined(F.col("items")).alias("antecedent"), "hit", "hit_y",
+        *(r6(c).alias(c) for c in ("support", "confidence", "lift", "leverage", "conviction")))
 
 
 PAIR_RULES = f"""{BASE_SQL}, {evaluated_sql("pairs", "train", "e")}
@@ -80,7 +81,8 @@ def fpgrowth_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FPGROWTH_RULES = f"""{BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {evaluated_sql("triplets", "train", "e3")}, {evaluated_sql("quads", "train", "e4")},
 u AS ({" UNION ALL ".join(f"SELECT antecedent, support, confidence, lift FROM e{n}" for n in (2, 3, 4))})
-SELECT antecedent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM u WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE"""
+SELECT antecedent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM u WHERE support >= {SUPPORT}::DOUBLE
+  AND lift >= {LIFT}::DOUBLE"""
 
 
 def greedy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +112,17 @@ SELECT antecedent, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value FR
 
 def item_replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audit.item_replay(facts(spark, sf_dir), ITEMS)
-    return found.select("item", "split", "n_rows", "n_hits", "n_unobserved", "n_unobserved_hits", "low", "high", r6("hit_rate").alias("hit_rate"), r6("unobserved_share").alias("unobserved_share"), "status")
+    return found.select("item", "split", "n_rows", "n_hits", "n_unobserved", "n_unobserved_hits", "low", "high", r6("hit_rate").alias("hit_rate"),
+        r6("unobserved_share").alias("unobserved_share"), "status")
 
 
-ITEM_REPLAY_AUDIT = f"""{BASE_SQL}, long AS ({" UNION ALL ".join(f"SELECT '{i.name}' AS item, split, {hit_sql(i)} AS hit, NOT {observed_sql(i)} AS unobserved, {f'CAST({i.source} AS DOUBLE)' if i.continuous else 'NULL::DOUBLE'} AS value FROM facts" for i in ITEMS)}),
-a AS (SELECT item, split, count(*) AS n_rows, count(*) FILTER (WHERE hit) AS n_hits, count(*) FILTER (WHERE unobserved) AS n_unobserved, count(*) FILTER (WHERE hit AND unobserved) AS n_unobserved_hits, min(value) AS low, max(value) AS high FROM long GROUP BY ALL)
+ITEM_REPLAY_AUDIT = f"""{BASE_SQL},
+  long AS ({" UNION ALL ".join(f"SELECT '{i.name}' AS item, split, {hit_sql(i)} AS hit, NOT {observed_sql(i)} AS unobserved, {f'CAST({i.source} AS DOUBLE)' if i.continuous else 'NULL::DOUBLE'} AS value FROM facts" for i in ITEMS)}),
+a AS (SELECT item, split, count(*) AS n_rows, count(*) FILTER (WHERE hit) AS n_hits, count(*) FILTER (WHERE unobserved) AS n_unobserved,
+  count(*) FILTER (WHERE hit AND unobserved) AS n_unobserved_hits, min(value) AS low, max(value) AS high FROM long GROUP BY ALL)
 SELECT *, round(n_hits / n_rows::DOUBLE, 6) AS hit_rate, round(coalesce(n_unobserved_hits / nullif(n_hits, 0)::DOUBLE, 0), 6) AS unobserved_share,
-  CASE WHEN n_hits = 0 THEN 'never hit' WHEN n_unobserved_hits * 2 >= n_hits THEN 'dominated' WHEN n_unobserved_hits * 5 >= n_hits THEN 'warning' ELSE 'ok' END AS status FROM a"""
+  CASE WHEN n_hits = 0 THEN 'never hit' WHEN n_unobserved_hits * 2 >= n_hits THEN 'dominated' WHEN n_unobserved_hits * 5 >= n_hits THEN 'warning'
+  ELSE 'ok' END AS status FROM a"""
 
 
 def item_table(spark: SparkSession) -> DataFrame:
@@ -148,7 +154,9 @@ def triplet_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRIPLETS_SQL = f"""{BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {evaluated_sql("triplets", "train", "e3")},
 full3 AS (SELECT e.*, greatest(a.lift, b.lift, c.lift) AS best_parent_lift, e.lift - greatest(a.lift, b.lift, c.lift) AS incremental_lift, {axis_sql('e.')} AS axis
           FROM e3 e JOIN e2 a ON a.bits = e.p1 JOIN e2 b ON b.bits = e.p2 JOIN e2 c ON c.bits = e.p3),
-valid AS (SELECT * FROM full3 WHERE duplicate = 0 AND same_source = 0 AND len(families) >= 2 AND list_has_any(families, [{", ".join(map(repr, triplets.CORE_FAMILIES))}]) AND hit / total::DOUBLE >= {SUPPORT}::DOUBLE AND hit >= {TRIPLET_HITS} AND lift >= {LIFT}::DOUBLE)"""
+valid AS (SELECT * FROM full3 WHERE duplicate = 0 AND same_source = 0 AND len(families) >= 2 AND list_has_any(families,
+  [{", ".join(map(repr, triplets.CORE_FAMILIES))}]) AND hit / total::DOUBLE >= {SUPPORT}::DOUBLE AND hit >= {TRIPLET_HITS}
+  AND lift >= {LIFT}::DOUBLE)"""
 TRIPLET_CANDIDATES = f"""{TRIPLETS_SQL} SELECT antecedent, axis, hit, {", ".join(f"round({c}, 6) AS {c}" for c in TRIPLET_COLUMNS)} FROM valid"""
 
 
@@ -169,11 +177,13 @@ def unconstrained_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _triplets(spark, sf_dir).where((F.col("support") >= SUPPORT) & (F.col("hit") >= TRIPLET_HITS) & (F.col("lift") >= LIFT))
     rank = F.row_number().over(W.orderBy(F.desc(F.round("lift", 12)), F.desc(F.round("confidence", 12)), "antecedent"))
     ranked = found.withColumn("train_rank", rank.cast("long"))
-    return ranked.select("antecedent", "hit", r6("lift").alias("lift"), "train_rank", (F.col("train_rank") <= 20).alias("in_top20"), (F.col("train_rank") <= 50).alias("in_top50"))
+    return ranked.select("antecedent", "hit", r6("lift").alias("lift"), "train_rank", (F.col("train_rank") <= 20).alias("in_top20"),
+        (F.col("train_rank") <= 50).alias("in_top50"))
 
 
 UNCONSTRAINED_TRIPLETS = f"""{TRIPLETS_SQL},
-a AS (SELECT *, row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent) AS train_rank FROM full3 WHERE support >= {SUPPORT}::DOUBLE AND hit >= {TRIPLET_HITS} AND lift >= {LIFT}::DOUBLE)
+a AS (SELECT *, row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent) AS train_rank FROM full3
+  WHERE support >= {SUPPORT}::DOUBLE AND hit >= {TRIPLET_HITS} AND lift >= {LIFT}::DOUBLE)
 SELECT antecedent, hit, round(lift, 6) AS lift, train_rank, train_rank <= 20 AS in_top20, train_rank <= 50 AS in_top50 FROM a"""
 
 
@@ -190,12 +200,15 @@ def topk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = unconstrained_triplets(spark, sf_dir).select("antecedent", "train_rank")
     both = ranked.join(_replayed(spark, sf_dir, (3,)), "antecedent")
     each = both.select("*", F.explode(F.array(F.lit(20), F.lit(50))).alias("k")).where(F.col("train_rank") <= F.col("k"))
-    return each.groupBy("k").agg(F.count(F.lit(1)).alias("n_rules"), F.count_if(F.col("risk_ratio") >= 1).alias("n_risk"), F.count_if(F.col("p_value") <= 0.05).alias("n_nominal"), r6(F.median("risk_ratio")).alias("median_risk_ratio"))
+    return each.groupBy("k").agg(F.count(F.lit(1)).alias("n_rules"), F.count_if(F.col("risk_ratio") >= 1).alias("n_risk"),
+        F.count_if(F.col("p_value") <= 0.05).alias("n_nominal"), r6(F.median("risk_ratio")).alias("median_risk_ratio"))
 
 
 TOPK_SUMMARY = f"""{TRIPLETS_SQL}, {replay_sql("triplets", "t").replace("continuous, clarity, n_items, duplicate,", "")},
-a AS (SELECT antecedent, row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent) AS train_rank FROM full3 WHERE support >= {SUPPORT}::DOUBLE AND hit >= {TRIPLET_HITS} AND lift >= {LIFT}::DOUBLE)
-SELECT k, count(*) AS n_rules, count(*) FILTER (WHERE risk_ratio >= 1) AS n_risk, count(*) FILTER (WHERE p_value <= 0.05::DOUBLE) AS n_nominal, round(median(risk_ratio), 6) AS median_risk_ratio
+a AS (SELECT antecedent, row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent) AS train_rank FROM full3
+  WHERE support >= {SUPPORT}::DOUBLE AND hit >= {TRIPLET_HITS} AND lift >= {LIFT}::DOUBLE)
+SELECT k, count(*) AS n_rules, count(*) FILTER (WHERE risk_ratio >= 1) AS n_risk, count(*) FILTER (WHERE p_value <= 0.05::DOUBLE) AS n_nominal,
+  round(median(risk_ratio), 6) AS median_risk_ratio
 FROM a JOIN t USING (antecedent), (VALUES (20), (50)) ks(k) WHERE train_rank <= k GROUP BY k"""
 
 
@@ -213,13 +226,17 @@ _M = evidence.DRAW_MODULUS
 
 def bootstrap_sql(rules: str) -> str:
     return f"""groups AS (SELECT grp, bits, count(*) AS n, sum(y) AS y FROM hits WHERE split = 'train' GROUP BY grp, bits),
-seeds AS (SELECT bits, n, y, ('0x' || substr(md5(coalesce(CAST(grp AS VARCHAR), '')), 1, 8))::BIGINT AS s1, ('0x' || substr(md5(coalesce(CAST(grp AS VARCHAR), '')), 9, 8))::BIGINT AS s2 FROM groups),
+seeds AS (SELECT bits, n, y, ('0x' || substr(md5(coalesce(CAST(grp AS VARCHAR), '')), 1, 8))::BIGINT AS s1,
+  ('0x' || substr(md5(coalesce(CAST(grp AS VARCHAR), '')), 9, 8))::BIGINT AS s2 FROM groups),
 weights AS (SELECT bits, i AS iteration, n, y, ((s1 + i * s2) % {_M}) / {float(_M)}::DOUBLE AS u FROM seeds, range({ITERATIONS}) d(i)),
-drawn AS (SELECT iteration, bits, sum(n * w) AS n, sum(y * w) AS y FROM (SELECT *, {" + ".join(f"CAST(u >= {p!r}::DOUBLE AS INTEGER)" for p in evidence.POISSON)} AS w FROM weights) WHERE w > 0 GROUP BY iteration, bits),
+drawn AS (SELECT iteration, bits, sum(n * w) AS n, sum(y * w) AS y FROM (SELECT *,
+  {" + ".join(f"CAST(u >= {p!r}::DOUBLE AS INTEGER)" for p in evidence.POISSON)} AS w FROM weights) WHERE w > 0 GROUP BY iteration, bits),
 tot AS (SELECT iteration, sum(n) AS total, sum(y) AS positives FROM drawn GROUP BY iteration),
-rep AS (SELECT p.antecedent, t.iteration, coalesce(sum(d.n) FILTER (WHERE (d.bits & p.bits) = p.bits), 0) AS hit, coalesce(sum(d.y) FILTER (WHERE (d.bits & p.bits) = p.bits), 0) AS hit_y, any_value(t.total) AS total, any_value(t.positives) AS positives
+rep AS (SELECT p.antecedent, t.iteration, coalesce(sum(d.n) FILTER (WHERE (d.bits & p.bits) = p.bits), 0) AS hit,
+  coalesce(sum(d.y) FILTER (WHERE (d.bits & p.bits) = p.bits), 0) AS hit_y, any_value(t.total) AS total, any_value(t.positives) AS positives
         FROM {rules} p, drawn d JOIN tot t USING (iteration) GROUP BY p.antecedent, t.iteration),
-boot AS (SELECT antecedent, count(*) FILTER (WHERE hit / total::DOUBLE >= 0.8::DOUBLE * 0.015::DOUBLE AND hit_y / nullif(hit, 0)::DOUBLE / (positives / total::DOUBLE) >= 1) AS recurrent, count(*) AS n FROM rep WHERE total >= 20 GROUP BY antecedent)"""
+boot AS (SELECT antecedent, count(*) FILTER (WHERE hit / total::DOUBLE >= 0.8::DOUBLE * 0.015::DOUBLE AND hit_y / nullif(hit,
+  0)::DOUBLE / (positives / total::DOUBLE) >= 1) AS recurrent, count(*) AS n FROM rep WHERE total >= 20 GROUP BY antecedent)"""
 
 
 BOOTSTRAP_SQL = bootstrap_sql("pairs")
@@ -234,14 +251,18 @@ def threshold_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sensitivity_sql(rules: str) -> str:
     return "moved AS (" + " UNION ALL ".join(f"SELECT {i} AS delta, y, {bits_sql(f'(1 + {d!r}::DOUBLE)') if d else bits_sql()} AS bits FROM facts WHERE split = 'test'" for i, d in enumerate(evidence.DELTAS)) + f"""),
 mt AS (SELECT delta, count(*) AS total, sum(y) AS positives FROM moved GROUP BY delta),
-me AS (SELECT p.antecedent, m.delta, count(*) FILTER (WHERE (m.bits & p.bits) = p.bits) AS hit, coalesce(sum(m.y) FILTER (WHERE (m.bits & p.bits) = p.bits), 0) AS hit_y, any_value(mt.total) AS total, any_value(mt.positives) AS positives
+me AS (SELECT p.antecedent, m.delta, count(*) FILTER (WHERE (m.bits & p.bits) = p.bits) AS hit,
+  coalesce(sum(m.y) FILTER (WHERE (m.bits & p.bits) = p.bits), 0) AS hit_y, any_value(mt.total) AS total, any_value(mt.positives) AS positives
        FROM {rules} p, moved m JOIN mt USING (delta) WHERE p.continuous = 1 GROUP BY p.antecedent, m.delta),
-sens AS (SELECT antecedent, min(hit) AS hit_min, min(hit_y / nullif(hit, 0)::DOUBLE / (positives / total::DOUBLE)) AS lift_min, max(hit_y / nullif(hit, 0)::DOUBLE / (positives / total::DOUBLE)) AS lift_max, min(hit_y / nullif(hit, 0)::DOUBLE) AS confidence_min FROM me GROUP BY antecedent)"""
+sens AS (SELECT antecedent, min(hit) AS hit_min, min(hit_y / nullif(hit, 0)::DOUBLE / (positives / total::DOUBLE)) AS lift_min,
+  max(hit_y / nullif(hit, 0)::DOUBLE / (positives / total::DOUBLE)) AS lift_max, min(hit_y / nullif(hit, 0)::DOUBLE) AS confidence_min FROM me
+  GROUP BY antecedent)"""
 
 
 SENSITIVITY_SQL = sensitivity_sql("pairs")
 THRESHOLD_SENSITIVITY = f"""{BASE_SQL}, {SENSITIVITY_SQL}
-SELECT antecedent, hit_min, round(lift_min, 6) AS lift_min, round(lift_max, 6) AS lift_max, round(confidence_min, 6) AS confidence_min FROM pairs LEFT JOIN sens USING (antecedent)"""
+SELECT antecedent, hit_min, round(lift_min, 6) AS lift_min, round(lift_max, 6) AS lift_max, round(confidence_min, 6) AS confidence_min FROM pairs
+  LEFT JOIN sens USING (antecedent)"""
 
 
 def _graded(spark, sf_dir) -> DataFrame:
@@ -253,18 +274,22 @@ def _graded(spark, sf_dir) -> DataFrame:
 
 
 GRADED_SQL = f"""{BASE_SQL}, {replay_sql("pairs", "t")}, {BOOTSTRAP_SQL}, {SENSITIVITY_SQL},
-ev AS (SELECT t.*, boot.recurrent / boot.n::DOUBLE AS recurrence, hit_min, lift_min, coalesce(t.hit >= 1 AND q_value <= 0.05::DOUBLE AND risk_ratio >= 1, false) AS stat, {axis_sql('t.')} AS axis
+ev AS (SELECT t.*, boot.recurrent / boot.n::DOUBLE AS recurrence, hit_min, lift_min, coalesce(t.hit >= 1 AND q_value <= 0.05::DOUBLE
+  AND risk_ratio >= 1, false) AS stat, {axis_sql('t.')} AS axis
        FROM t JOIN boot USING (antecedent) LEFT JOIN sens USING (antecedent)),
 graded AS (SELECT *, CASE WHEN stat AND recurrence >= 0.95::DOUBLE AND hit >= 5 AND continuous = 1 AND coalesce(lift_min >= 1, false) THEN 'core-confirmed'
-  WHEN stat AND recurrence >= 0.95::DOUBLE AND hit >= 5 AND continuous = 0 THEN 'binary-stable confirmed' WHEN stat THEN 'statistically confirmed' ELSE 'replayable' END AS tier FROM ev)"""
+  WHEN stat AND recurrence >= 0.95::DOUBLE AND hit >= 5 AND continuous = 0 THEN 'binary-stable confirmed' WHEN stat THEN 'statistically confirmed'
+  ELSE 'replayable' END AS tier FROM ev)"""
 
 
 def evidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graded(spark, sf_dir).select("antecedent", "tier", evidence.threshold_stable().alias("threshold_stable"), evidence.reporting_role(F.col("tier")).alias("role"))
+    return _graded(spark, sf_dir).select("antecedent", "tier", evidence.threshold_stable().alias("threshold_stable"),
+        evidence.reporting_role(F.col("tier")).alias("role"))
 
 
 EVIDENCE_TIERS = f"""{GRADED_SQL} SELECT antecedent, tier, CAST(coalesce(continuous = 1 AND lift_min >= 1 AND hit_min >= 5, false) AS INTEGER) AS threshold_stable,
-  CASE WHEN tier IN ('core-confirmed', 'binary-stable confirmed') THEN 'main text' WHEN tier = 'statistically confirmed' THEN 'monitoring' ELSE 'supplement' END AS role FROM graded"""
+  CASE WHEN tier IN ('core-confirmed', 'binary-stable confirmed') THEN 'main text' WHEN tier = 'statistically confirmed' THEN 'monitoring'
+  ELSE 'supplement' END AS role FROM graded"""
 
 
 def physical_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +307,8 @@ def axis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: r6(c) for c in ("median_risk_ratio", "best_risk_ratio")})
 
 
-AXIS_SUMMARY = f"""{GRADED_SQL} SELECT axis, count(*) AS n_rules, {", ".join(f"count(*) FILTER (WHERE tier = '{t}') AS {n}" for n, t in (("n_core", evidence.CORE), ("n_binary", evidence.BINARY), ("n_statistical", evidence.STATISTICAL), ("n_replayable", evidence.REPLAYABLE)))},
+AXIS_SUMMARY = f"""{GRADED_SQL} SELECT axis, count(*) AS n_rules,
+  {", ".join(f"count(*) FILTER (WHERE tier = '{t}') AS {n}" for n, t in (("n_core", evidence.CORE), ("n_binary", evidence.BINARY), ("n_statistical", evidence.STATISTICAL), ("n_replayable", evidence.REPLAYABLE)))},
   round(median(risk_ratio), 6) AS median_risk_ratio, round(max(risk_ratio), 6) AS best_risk_ratio FROM graded GROUP BY axis"""
 
 
@@ -292,9 +318,11 @@ def universe_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.spine(axes, {"n_universe": mined, "n_top": mined.where("candidate_rank <= 5"), "n_triplets": _valid_triplets(spark, sf_dir)})
 
 
-UNIVERSE_SPINE = f"""{TRIPLETS_SQL}, mined AS (SELECT {axis_sql()} AS axis, row_number() OVER (ORDER BY {ORDER_SQL}) AS k FROM e2 WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
+UNIVERSE_SPINE = f"""{TRIPLETS_SQL}, mined AS (SELECT {axis_sql()} AS axis, row_number() OVER (ORDER BY {ORDER_SQL}) AS k FROM e2
+  WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
 axes(axis) AS (VALUES {", ".join(f"('{a}')" for a in AXIS_LABELS)})
-SELECT axis, (SELECT count(*) FROM mined m WHERE m.axis = axes.axis) AS n_universe, (SELECT count(*) FROM mined m WHERE m.axis = axes.axis AND k <= 5) AS n_top, (SELECT count(*) FROM valid v WHERE v.axis = axes.axis) AS n_triplets FROM axes"""
+SELECT axis, (SELECT count(*) FROM mined m WHERE m.axis = axes.axis) AS n_universe, (SELECT count(*) FROM mined m WHERE m.axis = axes.axis
+  AND k <= 5) AS n_top, (SELECT count(*) FROM valid v WHERE v.axis = axes.axis) AS n_triplets FROM axes"""
 
 
 def domain_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,14 +330,16 @@ def domain_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOMAIN_ROLLUP = f"""{GRADED_SQL} SELECT {DOMAIN_SQL} AS domain, count(*) AS n_rules,
-  min_by(tier, CASE tier {" ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(evidence.TIER_ORDER))} END) AS best_tier, string_agg(antecedent, '; ' ORDER BY antecedent) AS rules FROM graded GROUP BY 1"""
+  min_by(tier, CASE tier {" ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(evidence.TIER_ORDER))} END) AS best_tier, string_agg(antecedent, '; '
+  ORDER BY antecedent) AS rules FROM graded GROUP BY 1"""
 
 
 def family_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.family_distribution(_mined(spark, sf_dir, (2, 3)).withColumn("n_items", F.col("n_items").cast("long")), ["n_items"])
 
 
-FAMILY_DISTRIBUTION = f"""{TRIPLETS_SQL}, u AS (SELECT n_items, unnest(families) AS family FROM (SELECT n_items, families, support, lift FROM e2 UNION ALL SELECT n_items, families, support, lift FROM e3) WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
+FAMILY_DISTRIBUTION = f"""{TRIPLETS_SQL}, u AS (SELECT n_items, unnest(families) AS family FROM (SELECT n_items, families, support, lift FROM e2
+  UNION ALL SELECT n_items, families, support, lift FROM e3) WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
 c AS (SELECT n_items, family, count(*) AS n FROM u GROUP BY ALL)
 SELECT n_items::BIGINT AS n_items, string_agg(family || ':' || n, '||' ORDER BY family || ':' || n) AS distribution, count(*) AS n_families FROM c GROUP BY n_items"""
 
@@ -319,7 +349,8 @@ def herfindahl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("herfindahl", r6("herfindahl"))
 
 
-HERFINDAHL = f"""{TRIPLETS_SQL}, u AS (SELECT n_items, {axis_sql()} AS axis FROM (SELECT n_items, antecedent, families, support, lift FROM e2 UNION ALL SELECT n_items, antecedent, families, support, lift FROM e3) WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
+HERFINDAHL = f"""{TRIPLETS_SQL}, u AS (SELECT n_items, {axis_sql()} AS axis FROM (SELECT n_items, antecedent, families, support, lift FROM e2
+  UNION ALL SELECT n_items, antecedent, families, support, lift FROM e3) WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
 c AS (SELECT n_items, axis, count(*) AS n FROM u GROUP BY ALL), s AS (SELECT n_items, n / sum(n) OVER (PARTITION BY n_items)::DOUBLE AS share FROM c)
 SELECT n_items::BIGINT AS n_items, round(sum(share * share), 6) AS herfindahl, count(*) AS n_categories FROM s GROUP BY n_items"""
 
@@ -329,8 +360,10 @@ def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.semantic_duplicates(table, _meaning(spark))
 
 
-SEMANTIC_DUPLICATES = f"""{BASE_SQL}, u AS (SELECT antecedent FROM pairs UNION ALL SELECT antecedent FROM triplets), each AS (SELECT antecedent, unnest(string_split(antecedent, '||')) AS name FROM u)
-SELECT antecedent, semantic, count(*) AS n_items, string_agg(name, '||' ORDER BY name) AS duplicated FROM each JOIN items USING (name) GROUP BY antecedent, semantic HAVING count(*) > 1"""
+SEMANTIC_DUPLICATES = f"""{BASE_SQL}, u AS (SELECT antecedent FROM pairs UNION ALL SELECT antecedent FROM triplets), each AS (SELECT antecedent,
+  unnest(string_split(antecedent, '||')) AS name FROM u)
+SELECT antecedent, semantic, count(*) AS n_items, string_agg(name, '||' ORDER BY name) AS duplicated FROM each JOIN items USING (name)
+  GROUP BY antecedent, semantic HAVING count(*) > 1"""
 
 
 def usage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,9 +373,11 @@ def usage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.usage(base.join(unknown, "feature"), {"in_universe": mined, "in_top": mined.where("candidate_rank <= 5")})
 
 
-USAGE_AUDIT = f"""{TRIPLETS_SQL}, mined AS (SELECT bits, row_number() OVER (ORDER BY {ORDER_SQL}) AS k FROM e2 WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
+USAGE_AUDIT = f"""{TRIPLETS_SQL}, mined AS (SELECT bits, row_number() OVER (ORDER BY {ORDER_SQL}) AS k FROM e2 WHERE support >= {SUPPORT}::DOUBLE
+  AND lift >= {LIFT}::DOUBLE),
 un AS ({" UNION ALL ".join(f"SELECT '{i.name}' AS name, count(*) FILTER (WHERE NOT {observed_sql(i)}) AS n_unobserved FROM facts" for i in ITEMS)})
-SELECT name AS feature, family, n_unobserved, CAST(EXISTS (SELECT 1 FROM mined m WHERE (m.bits & i.bit) > 0) AS INTEGER) AS in_universe, CAST(EXISTS (SELECT 1 FROM mined m WHERE (m.bits & i.bit) > 0 AND k <= 5) AS INTEGER) AS in_top
+SELECT name AS feature, family, n_unobserved, CAST(EXISTS (SELECT 1 FROM mined m WHERE (m.bits & i.bit) > 0) AS INTEGER) AS in_universe,
+  CAST(EXISTS (SELECT 1 FROM mined m WHERE (m.bits & i.bit) > 0 AND k <= 5) AS INTEGER) AS in_top
 FROM items i JOIN un USING (name)"""
 
 
@@ -350,12 +385,16 @@ def size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules found by the first N items, N = 4, 6, 8, 10."""
     seen = I.patterns(_split(spark, sf_dir, "train"), ITEMS, "y")
     found = I.measures(I.settled(I.evaluate(seen, I.rule_table(spark, ITEMS, (2, 3))))).where((F.col("support") >= SUPPORT) & (F.col("lift") >= LIFT))
-    each = found.select("n_items", "bits", "lift", F.explode(F.array(*map(F.lit, (4, 6, 8, 10)))).alias("n_features")).where(F.col("bits") < F.pow(F.lit(2.0), F.col("n_features")))
-    return each.groupBy("n_features").agg(F.count_if(F.col("n_items") == 2).alias("n_pairs"), F.count_if(F.col("n_items") == 3).alias("n_triplets"), r6(F.max("lift")).alias("best_lift"))
+    each = found.select("n_items", "bits", "lift",
+        F.explode(F.array(*map(F.lit, (4, 6, 8, 10)))).alias("n_features")).where(F.col("bits") < F.pow(F.lit(2.0), F.col("n_features")))
+    return each.groupBy("n_features").agg(F.count_if(F.col("n_items") == 2).alias("n_pairs"), F.count_if(F.col("n_items") == 3).alias("n_triplets"),
+        r6(F.max("lift")).alias("best_lift"))
 
 
-SIZE_SWEEP = f"""{TRIPLETS_SQL}, u AS (SELECT n_items, bits, lift FROM (SELECT n_items, bits, support, lift FROM e2 UNION ALL SELECT n_items, bits, support, lift FROM e3) WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE)
-SELECT n AS n_features, count(*) FILTER (WHERE n_items = 2) AS n_pairs, count(*) FILTER (WHERE n_items = 3) AS n_triplets, round(max(lift), 6) AS best_lift FROM u, (VALUES (4), (6), (8), (10)) s(n) WHERE bits < (1 << n) GROUP BY n"""
+SIZE_SWEEP = f"""{TRIPLETS_SQL}, u AS (SELECT n_items, bits, lift FROM (SELECT n_items, bits, support, lift FROM e2 UNION ALL SELECT n_items, bits,
+  support, lift FROM e3) WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE)
+SELECT n AS n_features, count(*) FILTER (WHERE n_items = 2) AS n_pairs, count(*) FILTER (WHERE n_items = 3) AS n_triplets, round(max(lift),
+  6) AS best_lift FROM u, (VALUES (4), (6), (8), (10)) s(n) WHERE bits < (1 << n) GROUP BY n"""
 
 NAMES = (
     "pair_rules rule_score_rank fpgrowth_rules greedy_rules rule_replay bh_qvalues item_replay_audit triplet_candidates triplet_axis_cap unconstrained_triplets arm_triplets topk_summary "

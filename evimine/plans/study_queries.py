@@ -103,24 +103,32 @@ FLAGS = "fixed_hit_ok threshold_hit_ok threshold_lift_ok threshold_stable physic
 
 
 def triplet_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evidence(spark, sf_dir).select("rule_id", "antecedent", "axis", "hit", R.r6("recurrence").alias("recurrence"), "tier", "use", "physical_tier", "value", *FLAGS)
+    return _evidence(spark, sf_dir).select("rule_id", "antecedent", "axis", "hit", R.r6("recurrence").alias("recurrence"), "tier", "use",
+        "physical_tier", "value", *FLAGS)
 
 
-_TIER_SQL = f"""CASE WHEN stat AND recurrence >= 0.95::DOUBLE AND fixed_hit_ok = 1 AND threshold_hit_ok = 1 AND threshold_lift_ok = 1 THEN CASE WHEN continuous = 1 THEN '{evidence.CORE}' ELSE '{evidence.BINARY}' END
+_TIER_SQL = f"""CASE WHEN stat AND recurrence >= 0.95::DOUBLE AND fixed_hit_ok = 1 AND threshold_hit_ok = 1
+  AND threshold_lift_ok = 1 THEN CASE WHEN continuous = 1 THEN '{evidence.CORE}' ELSE '{evidence.BINARY}' END
   WHEN stat THEN '{evidence.STATISTICAL}' ELSE '{evidence.REPLAYABLE}' END"""
 EVIDENCE_SQL = f"""{R.TRIPLETS_SQL},
 capped AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent) AS k FROM valid),
-placed AS (SELECT antecedent, axis, lift AS train_lift, best_parent_lift, row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent) AS n FROM capped WHERE k <= 3),
+placed AS (SELECT antecedent, axis, lift AS train_lift, best_parent_lift, row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence,
+  12) DESC, antecedent) AS n FROM capped WHERE k <= 3),
 picked AS (SELECT triplets.* FROM triplets JOIN placed USING (antecedent) WHERE n <= 20),
 {replay_sql("picked", "t")}, {R.bootstrap_sql("picked")}, {R.sensitivity_sql("picked")},
 shares AS ({" UNION ALL ".join(f"SELECT '{i.name}' AS name, coalesce(count(*) FILTER (WHERE {R.hit_sql(i)} AND NOT {R.observed_sql(i)}) / nullif(count(*) FILTER (WHERE {R.hit_sql(i)}), 0)::DOUBLE, 0) AS share FROM facts WHERE split = 'test'" for i in ITEMS)}),
-worst AS (SELECT antecedent, max(share) AS share FROM (SELECT antecedent, unnest(string_split(antecedent, '||')) AS name FROM picked) JOIN shares USING (name) GROUP BY antecedent),
-ev AS (SELECT t.*, boot.recurrent / boot.n::DOUBLE AS recurrence, coalesce(t.hit >= 1 AND q_value <= 0.05::DOUBLE AND risk_ratio >= 1, false) AS stat, CAST(t.hit >= 5 AS INTEGER) AS fixed_hit_ok,
-  CAST(coalesce(continuous = 0 OR hit_min >= 5, false) AS INTEGER) AS threshold_hit_ok, CAST(coalesce(continuous = 0 OR lift_min >= 1, false) AS INTEGER) AS threshold_lift_ok,
-  CAST(worst.share < 0.5 AND duplicate = 0 AS INTEGER) AS physical_valid, printf('T%02d', placed.n) AS rule_id, placed.axis, CASE WHEN train_lift - best_parent_lift > 0 THEN 'incremental_lift' ELSE 'scene_context_only' END AS value
+worst AS (SELECT antecedent, max(share) AS share FROM (SELECT antecedent, unnest(string_split(antecedent, '||')) AS name FROM picked)
+  JOIN shares USING (name) GROUP BY antecedent),
+ev AS (SELECT t.*, boot.recurrent / boot.n::DOUBLE AS recurrence, coalesce(t.hit >= 1 AND q_value <= 0.05::DOUBLE AND risk_ratio >= 1,
+  false) AS stat, CAST(t.hit >= 5 AS INTEGER) AS fixed_hit_ok,
+  CAST(coalesce(continuous = 0 OR hit_min >= 5, false) AS INTEGER) AS threshold_hit_ok, CAST(coalesce(continuous = 0 OR lift_min >= 1,
+  false) AS INTEGER) AS threshold_lift_ok,
+  CAST(worst.share < 0.5 AND duplicate = 0 AS INTEGER) AS physical_valid, printf('T%02d', placed.n) AS rule_id, placed.axis,
+  CASE WHEN train_lift - best_parent_lift > 0 THEN 'incremental_lift' ELSE 'scene_context_only' END AS value
   FROM t JOIN boot USING (antecedent) LEFT JOIN sens USING (antecedent) JOIN worst USING (antecedent) JOIN placed USING (antecedent)),
 tiers AS (SELECT *, threshold_hit_ok * threshold_lift_ok AS threshold_stable, {_TIER_SQL} AS tier FROM ev),
-flagged AS (SELECT *, CASE tier {" ".join(f"WHEN '{t}' THEN '{u}'" for t, u in triplets.USES.items())} END AS use, CASE WHEN physical_valid = 1 THEN tier ELSE '{triplets.INVALID_TIER}' END AS physical_tier,
+flagged AS (SELECT *, CASE tier {" ".join(f"WHEN '{t}' THEN '{u}'" for t, u in triplets.USES.items())} END AS use,
+  CASE WHEN physical_valid = 1 THEN tier ELSE '{triplets.INVALID_TIER}' END AS physical_tier,
   CAST(physical_valid = 1 AND tier IN ('{evidence.CORE}', '{evidence.BINARY}', '{evidence.STATISTICAL}') AS INTEGER) AS manuscript,
   CAST(physical_valid = 1 AND tier IN ('{evidence.CORE}', '{evidence.BINARY}') AND threshold_stable = 1 AS INTEGER) AS main_text FROM tiers),
 done AS (SELECT *, CAST(main_text = 0 OR tier NOT IN ('{evidence.CORE}', '{evidence.BINARY}') AS INTEGER) AS supplementary FROM flagged)"""
@@ -136,15 +144,18 @@ def triplet_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCENE_SQL = "CASE axis " + " ".join(f"WHEN '{a}' THEN '{s}'" for a, s in taxonomy.SCENES.items()) + " END"
-TRIPLET_REPORT = f"""{EVIDENCE_SQL}, ranked AS (SELECT rule_id, row_number() OVER (ORDER BY CASE WHEN tier = '{evidence.CORE}' THEN 0 ELSE 1 END, risk_ratio DESC NULLS LAST, hit DESC NULLS LAST, rule_id) AS place FROM done WHERE main_text = 1)
-SELECT rule_id, tier, {_SCENE_SQL} AS scene, CASE WHEN tier = '{evidence.STATISTICAL}' AND threshold_stable = 0 THEN '{triplets.SENSITIVE}' ELSE {_SCENE_SQL} END AS interpretation, place FROM done LEFT JOIN ranked USING (rule_id)"""
+TRIPLET_REPORT = f"""{EVIDENCE_SQL}, ranked AS (SELECT rule_id, row_number() OVER (ORDER BY CASE WHEN tier = '{evidence.CORE}' THEN 0 ELSE 1 END,
+  risk_ratio DESC NULLS LAST, hit DESC NULLS LAST, rule_id) AS place FROM done WHERE main_text = 1)
+SELECT rule_id, tier, {_SCENE_SQL} AS scene, CASE WHEN tier = '{evidence.STATISTICAL}' AND threshold_stable = 0 THEN '{triplets.SENSITIVE}'
+  ELSE {_SCENE_SQL} END AS interpretation, place FROM done LEFT JOIN ranked USING (rule_id)"""
 
 
 def triplet_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triplets.output_checks(_evidence(spark, sf_dir))
 
 
-_CHECKS = ("no purely missing item in a reported rule", "no repeated meaning in a reported rule", "no item dominated by unknown values in a reported rule", "main text holds valid confirmed rules only")
+_CHECKS = ("no purely missing item in a reported rule", "no repeated meaning in a reported rule",
+    "no item dominated by unknown values in a reported rule", "main text holds valid confirmed rules only")
 TRIPLET_CHECKS = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', 'PASS', 0::BIGINT)" for c in _CHECKS) + ") v(name, status, n_bad)"
 
 
@@ -152,11 +163,15 @@ def main_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that a main table reports, in its order."""
     graded = R._graded(spark, sf_dir)
     place = F.row_number().over(W.orderBy(evidence.tier_rank(F.col("tier")), F.desc_nulls_last("risk_ratio"), F.desc_nulls_last("hit"), F.asc("antecedent")))
-    return evidence.main_table(graded).select(place.alias("place"), "antecedent", "tier", R.r6("risk_ratio").alias("risk_ratio"), "hit", evidence.recommended_use(F.col("tier")).alias("use"))
+    return evidence.main_table(graded).select(place.alias("place"), "antecedent", "tier", R.r6("risk_ratio").alias("risk_ratio"), "hit",
+        evidence.recommended_use(F.col("tier")).alias("use"))
 
 
-MAIN_RULE_TABLE = f"""{R.GRADED_SQL} SELECT row_number() OVER (ORDER BY CASE tier {" ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(evidence.TIER_ORDER))} END, risk_ratio DESC NULLS LAST, hit DESC NULLS LAST, antecedent) AS place,
-  antecedent, tier, round(risk_ratio, 6) AS risk_ratio, hit, CASE tier WHEN '{evidence.CORE}' THEN 'priority governance target' WHEN '{evidence.BINARY}' THEN 'targeted governance signal' ELSE 'replay reference' END AS use
+MAIN_RULE_TABLE = f"""{R.GRADED_SQL} SELECT row_number() OVER (ORDER BY CASE tier {" ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(evidence.TIER_ORDER))} END,
+  risk_ratio DESC NULLS LAST, hit DESC NULLS LAST, antecedent) AS place,
+  antecedent, tier, round(risk_ratio, 6) AS risk_ratio, hit,
+  CASE tier WHEN '{evidence.CORE}' THEN 'priority governance target' WHEN '{evidence.BINARY}' THEN 'targeted governance signal'
+  ELSE 'replay reference' END AS use
 FROM graded WHERE tier IN ('{evidence.CORE}', '{evidence.BINARY}', '{evidence.REPLAYABLE}')"""
 
 
@@ -165,19 +180,24 @@ def resolve_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = [i.name for i in ITEMS if i.continuous]
     table = R._pair_table(spark)
     kept = triplets.without_items(table, [i.name for i in ITEMS if not i.continuous]).select("antecedent", F.lit(1).alias("kept"))
-    return table.select("antecedent", rules.resolve_trace(F.col("items"), known).alias("trace")).join(kept, "antecedent", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return table.select("antecedent", rules.resolve_trace(F.col("items"), known).alias("trace")).join(kept, "antecedent", "left").withColumn("kept",
+        F.coalesce("kept", F.lit(0)))
 
 
-RESOLVE_TRACE = f"""{R.BASE_SQL}, each AS (SELECT antecedent, name, continuous FROM (SELECT antecedent, unnest(string_split(antecedent, '||')) AS name FROM pairs) JOIN items USING (name))
-SELECT antecedent, string_agg(name || ':' || CASE WHEN continuous = 1 THEN 'resolved' ELSE 'missing_manifest' END, ' | ' ORDER BY name) AS trace, min(continuous) AS kept FROM each GROUP BY antecedent"""
+RESOLVE_TRACE = f"""{R.BASE_SQL}, each AS (SELECT antecedent, name, continuous FROM (SELECT antecedent, unnest(string_split(antecedent,
+  '||')) AS name FROM pairs) JOIN items USING (name))
+SELECT antecedent, string_agg(name || ':' || CASE WHEN continuous = 1 THEN 'resolved' ELSE 'missing_manifest' END, ' | ' ORDER BY name) AS trace,
+  min(continuous) AS kept FROM each GROUP BY antecedent"""
 
 
 def candidate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     free, mined = R.unconstrained_triplets(spark, sf_dir), R.arm_triplets(spark, sf_dir)
-    return audit.candidate_audit({"unconstrained": free, "association": mined}, {"unconstrained": free.where("in_top50"), "association": mined.orderBy(F.desc("lift"), "antecedent").limit(50)})
+    return audit.candidate_audit({"unconstrained": free, "association": mined},
+        {"unconstrained": free.where("in_top50"), "association": mined.orderBy(F.desc("lift"), "antecedent").limit(50)})
 
 
-CANDIDATE_AUDIT = f"""{R.TRIPLETS_SQL}, a AS (SELECT count(*) AS n FROM full3 WHERE support >= {R.SUPPORT}::DOUBLE AND hit >= {R.TRIPLET_HITS} AND lift >= {R.LIFT}::DOUBLE), b AS (SELECT count(*) AS n FROM e3 WHERE support >= {R.SUPPORT}::DOUBLE AND lift >= {R.LIFT}::DOUBLE)
+CANDIDATE_AUDIT = f"""{R.TRIPLETS_SQL}, a AS (SELECT count(*) AS n FROM full3 WHERE support >= {R.SUPPORT}::DOUBLE AND hit >= {R.TRIPLET_HITS}
+  AND lift >= {R.LIFT}::DOUBLE), b AS (SELECT count(*) AS n FROM e3 WHERE support >= {R.SUPPORT}::DOUBLE AND lift >= {R.LIFT}::DOUBLE)
 SELECT 'unconstrained' AS method, n AS n_candidates, least(n, 50) AS n_replayed FROM a UNION ALL SELECT 'association', n, least(n, 50) FROM b"""
 
 
@@ -189,7 +209,8 @@ def flag_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "value", "event_type")
     flags = rows.where("row_id % 11 <> 0").select("row_id", F.when(F.col("row_id") % 7 != 0, (F.col("row_id") % 5 == 0).cast("int")).alias("value"))
     told = prep.with_flags(rows, flags, ["value", "event_type"], strict=False)
-    return told.groupBy("_unobserved_value", "_unobserved_event_type").agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({"_unobserved_value": "value", "_unobserved_event_type": "event_type"})
+    return told.groupBy("_unobserved_value",
+        "_unobserved_event_type").agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({"_unobserved_value": "value", "_unobserved_event_type": "event_type"})
 
 
 FLAG_ALIGNMENT = "SELECT event_id % 11 = 0 OR event_id % 7 = 0 OR event_id % 5 = 0 AS value, false AS event_type, count(*) AS n FROM events GROUP BY 1"
@@ -197,7 +218,8 @@ FLAG_ALIGNMENT = "SELECT event_id % 11 = 0 OR event_id % 7 = 0 OR event_id % 5 =
 
 def age_over60(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ages as they are typed: with words, coded as unknown, beyond all ages, or absent."""
-    raw = F.when(F.col("p_size") > 45, "999-未知").when(F.col("p_size") > 40, "130").when(F.col("p_size") == 1, None).otherwise(F.concat((F.col("p_size") * 2).cast("string"), F.lit(" years")))
+    raw = F.when(F.col("p_size") > 45, "999-未知").when(F.col("p_size") > 40, "130").when(F.col("p_size") == 1,
+        None).otherwise(F.concat((F.col("p_size") * 2).cast("string"), F.lit(" years")))
     found = prep.over_age_audit(facts(spark, sf_dir).select("split", raw.alias("age")), "age")
     return found.withColumns({c: R.r6(c) for c in ("over_rate", "unknown_rate")})
 
@@ -212,7 +234,8 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.unique_names(part)
 
 
-UNIQUE_NAMES = """WITH n AS (SELECT p_partkey AS place, concat_ws('_', p_type, p_size) AS name, row_number() OVER (PARTITION BY p_type, p_size ORDER BY p_partkey) - 1 AS k FROM part)
+UNIQUE_NAMES = """WITH n AS (SELECT p_partkey AS place, concat_ws('_', p_type, p_size) AS name, row_number() OVER (PARTITION BY p_type, p_size
+  ORDER BY p_partkey) - 1 AS k FROM part)
 SELECT place, name, CASE WHEN k = 0 THEN name ELSE name || '__dup' || k END AS unique_name FROM n"""
 
 
@@ -221,16 +244,20 @@ def formatted_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts(spark, sf_dir).withColumn("open", (F.col("l_linestatus") == "O").cast("int"))
     s = profile.summary(profile.long_form(f, ["split"], ["qty", "p_size", "open"]), ["split", "feature"])
     of_flag = text.count_summary(F.round(F.col("mean") * F.col("n")), F.col("mean"))
-    return s.select("split", "feature", F.when(F.col("feature") == "open", of_flag).otherwise(text.spread_summary(*(F.col(c) for c in ("mean", "sd", "median", "q1", "q3")))).alias("cell"))
+    return s.select("split", "feature",
+        F.when(F.col("feature") == "open", of_flag).otherwise(text.spread_summary(*(F.col(c) for c in ("mean", "sd", "median", "q1", "q3")))).alias("cell"))
 
 
-FORMATTED_BASELINE = f"""{WITH}, v AS (SELECT split, 'qty' AS feature, qty::DOUBLE AS value FROM facts UNION ALL SELECT split, 'p_size', p_size FROM facts UNION ALL SELECT split, 'open', CAST(l_linestatus = 'O' AS INTEGER) FROM facts)
+FORMATTED_BASELINE = f"""{WITH}, v AS (SELECT split, 'qty' AS feature, qty::DOUBLE AS value FROM facts UNION ALL SELECT split, 'p_size', p_size
+  FROM facts UNION ALL SELECT split, 'open', CAST(l_linestatus = 'O' AS INTEGER) FROM facts)
 SELECT split, feature, CASE WHEN feature = 'open' THEN printf('%d (%.1f%%)', sum(value)::BIGINT, avg(value) * 100)
-  ELSE printf('%.3f ± %.3f; %.3f [%.3f, %.3f]', avg(value), stddev_samp(value), median(value), quantile_cont(value, 0.25), quantile_cont(value, 0.75)) END AS cell FROM v GROUP BY split, feature"""
+  ELSE printf('%.3f ± %.3f; %.3f [%.3f, %.3f]', avg(value), stddev_samp(value), median(value), quantile_cont(value, 0.25), quantile_cont(value,
+  0.75)) END AS cell FROM v GROUP BY split, feature"""
 
 
 def capped_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").groupBy("p_type").agg(text.capped_list(F.concat_ws(" ", "p_brand", "p_size"), 20).alias("levels"), text.short_label(F.concat(F.lit("  all\n of "), F.first("p_type")), 9).alias("label"))
+    return read(spark, sf_dir, "part").groupBy("p_type").agg(text.capped_list(F.concat_ws(" ", "p_brand", "p_size"), 20).alias("levels"),
+        text.short_label(F.concat(F.lit("  all\n of "), F.first("p_type")), 9).alias("label"))
 
 
 CAPPED_LEVELS = """SELECT p_type, array_to_string(list_slice(list_sort(list(DISTINCT p_brand || ' ' || p_size)), 1, 20), '||') AS levels, left('all of ' || p_type, 9) AS label FROM part GROUP BY p_type"""
@@ -244,13 +271,15 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-SET_EQUALITY = """WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders), d AS (SELECT (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT k FROM o)) AS n_only_a, (SELECT count(*) FROM o WHERE k NOT IN (SELECT c_custkey FROM customer)) AS n_only_b)
+SET_EQUALITY = """WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders), d AS (SELECT (SELECT count(*) FROM customer
+  WHERE c_custkey NOT IN (SELECT k FROM o)) AS n_only_a, (SELECT count(*) FROM o WHERE k NOT IN (SELECT c_custkey FROM customer)) AS n_only_b)
 SELECT 'customers of orders' AS name, n_only_a, n_only_b, n_only_a + n_only_b = 0 AS equal FROM d UNION ALL SELECT 'orders twice', 0, 0, true"""
 
 
 _MASS = [
     ("VEH_GEWGES", "vehicle_mass", "vehicle_mass", "vehicle_mass_speed_energy"), ("x_碰撞时的总重", "vehicle_size", "vehicle_mass", "crash_configuration"),
-    ("GEWGES_2", "crash_type", "other_unique:x", "speed_energy"), ("VEH_LAENGE", "vehicle_size", "vehicle_geometry_length", "vehicle_geometry_interaction"), ("GEWGES_3", None, "vehicle_mass", None),
+    ("GEWGES_2", "crash_type", "other_unique:x", "speed_energy"),
+        ("VEH_LAENGE", "vehicle_size", "vehicle_geometry_length", "vehicle_geometry_interaction"), ("GEWGES_3", None, "vehicle_mass", None),
 ]
 
 
@@ -259,8 +288,10 @@ def mass_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MASS_VIOLATIONS = """WITH m(source, family, semantic, axis) AS (VALUES """ + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _MASS) + """),
-v AS (SELECT source, concat_ws('|', CASE WHEN coalesce(family, '') <> 'vehicle_mass' THEN 'family!=vehicle_mass' END, CASE WHEN coalesce(semantic, '') <> 'vehicle_mass' THEN 'Semantic_Group!=vehicle_mass' END,
-  CASE WHEN axis IN ('crash_configuration', 'vehicle_geometry_interaction') THEN 'Mechanism_Axis_forbidden' END) AS violation FROM m WHERE regexp_matches(source, 'GEWGES|碰撞时的总重'))
+v AS (SELECT source, concat_ws('|', CASE WHEN coalesce(family, '') <> 'vehicle_mass' THEN 'family!=vehicle_mass' END, CASE WHEN coalesce(semantic,
+  '') <> 'vehicle_mass' THEN 'Semantic_Group!=vehicle_mass' END,
+  CASE WHEN axis IN ('crash_configuration', 'vehicle_geometry_interaction') THEN 'Mechanism_Axis_forbidden' END) AS violation FROM m
+  WHERE regexp_matches(source, 'GEWGES|碰撞时的总重'))
 SELECT source, violation FROM v WHERE violation <> ''"""
 
 
@@ -277,7 +308,8 @@ FIXED_SCHEMA = "SELECT n_name AS name, NULL::VARCHAR AS absent FROM nation"
 def key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys, names and flags as they come, in one form."""
     e = read(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 6).alias("k"))
-    raw = F.when(F.col("k") == 0, F.concat(F.lit("  "), F.col("event_id").cast("string"), F.lit(".0 "))).when(F.col("k") == 1, "nan").when(F.col("k") == 2, "").when(F.col("k") == 3, "None").when(F.col("k") == 4, "a.0.0")
+    raw = F.when(F.col("k") == 0, F.concat(F.lit("  "), F.col("event_id").cast("string"), F.lit(".0 "))).when(F.col("k") == 1,
+        "nan").when(F.col("k") == 2, "").when(F.col("k") == 3, "None").when(F.col("k") == 4, "a.0.0")
     flag = F.when(F.col("k") == 0, " TRUE").when(F.col("k") == 1, "0.0").when(F.col("k") == 2, "1").when(F.col("k") == 3, "false ").when(F.col("k") == 4, "2")
     threshold = F.col("k") - 2.5
     operator = F.when(F.col("k") % 3 == 0, ">").when(F.col("k") % 3 == 1, "<=").otherwise("==")
@@ -296,7 +328,9 @@ SELECT event_id, CASE WHEN regexp_replace(trim(raw), '\.0$', '') NOT IN ('nan',
   CASE k WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS flag,
   event_type || '___' || CASE k % 3 WHEN 0 THEN 'GT' WHEN 1 THEN 'LE' ELSE 'EQ' END || '_' || translate((k - 2.5)::DOUBLE::VARCHAR, '.-', '_m') AS item, event_type || '_' || k AS name FROM r"""
 
-MEDIANS = [I.Item("INITIAL_SPEED___MEDIAN", "qty", ">", "median", "speed_v0"), I.Item("FRICTION___MEDIAN", "disc", "<=", "median", "road_surface", (0.0,)), I.Item("VEHICLE_LENGTH___MEDIAN", "p_size", ">", "median", "vehicle_size")]
+MEDIANS = [I.Item("INITIAL_SPEED___MEDIAN", "qty", ">", "median", "speed_v0"),
+    I.Item("FRICTION___MEDIAN", "disc", "<=", "median", "road_surface", (0.0,)),
+    I.Item("VEHICLE_LENGTH___MEDIAN", "p_size", ">", "median", "vehicle_size")]
 
 
 def median_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,16 +341,19 @@ def median_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.item_replay(f, fitted).join(at, "item").select("item", "split", "threshold", "clarity", "n_hits", R.r6("hit_rate").alias("hit_rate"))
 
 
-MEDIAN_ITEMS = f"""{WITH}, long AS ({" UNION ALL ".join(f"SELECT '{i.name}' AS item, split, {i.source}::DOUBLE AS value, {R.observed_sql(i)} AS seen, '{i.operator}' AS op FROM facts" for i in MEDIANS)}),
+MEDIAN_ITEMS = f"""{WITH},
+  long AS ({" UNION ALL ".join(f"SELECT '{i.name}' AS item, split, {i.source}::DOUBLE AS value, {R.observed_sql(i)} AS seen, '{i.operator}' AS op FROM facts" for i in MEDIANS)}),
 m AS (SELECT item, median(value) AS threshold FROM long WHERE split = 'train' AND seen GROUP BY item),
-h AS (SELECT item, split, any_value(threshold) AS threshold, count(*) AS n, count(*) FILTER (WHERE seen AND CASE WHEN op = '>' THEN value > threshold ELSE value <= threshold END) AS n_hits FROM long JOIN m USING (item) GROUP BY item, split)
+h AS (SELECT item, split, any_value(threshold) AS threshold, count(*) AS n, count(*) FILTER (WHERE seen AND CASE WHEN op = '>' THEN value > threshold
+  ELSE value <= threshold END) AS n_hits FROM long JOIN m USING (item) GROUP BY item, split)
 SELECT item, split, threshold, 0.7::DOUBLE AS clarity, n_hits, round(n_hits / n::DOUBLE, 6) AS hit_rate FROM h"""
 
 
 def consensus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weighted blend of what two screeners say; parts that nobody measured count nothing."""
     fused = table_queries.rank_fusion(spark, sf_dir)
-    parts = {"mean_points": F.col("mean_points"), "vote_share": F.col("votes") / 2, "stability": F.lit(None).cast("double"), "permutation": F.lit(0.0), "priority": F.col("feature").isin("qty", "price").cast("double")}
+    parts = {"mean_points": F.col("mean_points"), "vote_share": F.col("votes") / 2, "stability": F.lit(None).cast("double"),
+        "permutation": F.lit(0.0), "priority": F.col("feature").isin("qty", "price").cast("double")}
     return fused.select("feature", R.r6(screening.consensus(parts)).alias("score"))
 
 
@@ -339,7 +376,8 @@ def sweep_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SWEEP_REPLAY = f"""{R.BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {replay_sql("pairs", "t")},
 b AS (SELECT t.*, e2.lift AS train_lift FROM t JOIN e2 USING (bits) WHERE e2.support >= {R.SUPPORT}::DOUBLE AND e2.lift >= {R.LIFT}::DOUBLE)
-SELECT n AS n_features, count(*) AS n_rules, count(*) FILTER (WHERE risk_ratio >= 1) AS n_risk, count(*) FILTER (WHERE q_value <= 0.05::DOUBLE) AS n_significant, round(median(risk_ratio), 6) AS median_risk_ratio,
+SELECT n AS n_features, count(*) AS n_rules, count(*) FILTER (WHERE risk_ratio >= 1) AS n_risk,
+  count(*) FILTER (WHERE q_value <= 0.05::DOUBLE) AS n_significant, round(median(risk_ratio), 6) AS median_risk_ratio,
   round(max(train_lift), 6) AS best_train_lift FROM b, (VALUES (4), (6), (8), (10)) s(n) WHERE bits < (1 << n) GROUP BY n"""
 
 
@@ -348,9 +386,12 @@ def core_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.item_usage(R._graded(spark, sf_dir), R.item_table(spark).select("item", "family"))
 
 
-_TIER_COUNTS = ", ".join(f"count(*) FILTER (WHERE tier = '{t}') AS {n}" for n, t in (("n_core", evidence.CORE), ("n_binary", evidence.BINARY), ("n_statistical", evidence.STATISTICAL)))
-CORE_USAGE = f"""{R.GRADED_SQL}, each AS (SELECT tier, unnest(string_split(antecedent, '||')) AS item FROM graded), u AS (SELECT item, count(*) AS n_rules, {_TIER_COUNTS} FROM each GROUP BY item)
-SELECT name AS item, family, coalesce(n_rules, 0) AS n_rules, coalesce(n_core, 0) AS n_core, coalesce(n_binary, 0) AS n_binary, coalesce(n_statistical, 0) AS n_statistical,
+_TIER_COUNTS = ", ".join(f"count(*) FILTER (WHERE tier = '{t}') AS {n}" for n,
+    t in (("n_core", evidence.CORE), ("n_binary", evidence.BINARY), ("n_statistical", evidence.STATISTICAL)))
+CORE_USAGE = f"""{R.GRADED_SQL}, each AS (SELECT tier, unnest(string_split(antecedent, '||')) AS item FROM graded), u AS (SELECT item,
+  count(*) AS n_rules, {_TIER_COUNTS} FROM each GROUP BY item)
+SELECT name AS item, family, coalesce(n_rules, 0) AS n_rules, coalesce(n_core, 0) AS n_core, coalesce(n_binary, 0) AS n_binary,
+  coalesce(n_statistical, 0) AS n_statistical,
   CAST(coalesce(n_core, 0) + coalesce(n_binary, 0) > 0 AS INTEGER) AS used_in_core FROM items LEFT JOIN u ON u.item = items.name"""
 
 
@@ -370,7 +411,8 @@ def _rule_checks() -> list[tuple[str, str, str]]:
         ("moved_hits_at_most_hits", "max(CASE WHEN hit_min > hit THEN 1 ELSE 0 END) = 0"),
         ("tiers_known", f"max(CASE WHEN tier IN ({', '.join(map(repr, evidence.TIER_ORDER))}) THEN 0 ELSE 1 END) = 0"),
         ("axes_known", f"max(CASE WHEN axis IN ({', '.join(map(repr, R.AXIS_LABELS))}) THEN 0 ELSE 1 END) = 0"),
-        ("confirmed_is_significant", f"max(CASE WHEN tier IN ('{evidence.CORE}', '{evidence.BINARY}', '{evidence.STATISTICAL}') AND q_value > 0.05 THEN 1 ELSE 0 END) = 0"),
+        ("confirmed_is_significant",
+            f"max(CASE WHEN tier IN ('{evidence.CORE}', '{evidence.BINARY}', '{evidence.STATISTICAL}') AND q_value > 0.05 THEN 1 ELSE 0 END) = 0"),
         ("core_recurs", f"max(CASE WHEN tier IN ('{evidence.CORE}', '{evidence.BINARY}') AND recurrence < 0.95 THEN 1 ELSE 0 END) = 0"),
         ("every_rule_significant", "max(q_value) <= 0.05"),
     ]
@@ -384,7 +426,8 @@ def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.when(F.col(n), "PASS").otherwise("FAIL").alias("status")) for n, _ in holds))))
 
 
-RULE_CHECKS = f"{R.GRADED_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS name, CASE WHEN {c} THEN 'PASS' ELSE 'FAIL' END AS status FROM graded" for n, _, c in _rule_checks())
+RULE_CHECKS = f"{R.GRADED_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS name, CASE WHEN {c} THEN 'PASS' ELSE 'FAIL' END AS status FROM graded" for n,
+    _, c in _rule_checks())
 
 NAMES = (
     "name_labels triplet_evidence triplet_report triplet_checks main_rule_table resolve_trace candidate_audit flag_alignment age_over60 unique_names formatted_baseline capped_levels set_equality mass_violations fixed_schema "

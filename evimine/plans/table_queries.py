@@ -28,7 +28,9 @@ WITH = f"WITH {FACTS_SQL}"
 
 
 def _steps() -> list[tuple[str, Column]]:
-    return [("priced", F.col("price") > 2000), ("observed discount", F.col("disc") != 0), ("keyword", text.contains_any(F.col("p_type"), ("PROMO", "STANDARD", "LARGE"))), ("recent", F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp"))]
+    return [("priced", F.col("price") > 2000), ("observed discount", F.col("disc") != 0),
+        ("keyword", text.contains_any(F.col("p_type"), ("PROMO", "STANDARD", "LARGE"))),
+        ("recent", F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp"))]
 
 
 def flow_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,8 @@ def flow_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _C = ["price > 2000", "disc <> 0", "regexp_matches(p_type, 'PROMO|STANDARD|LARGE')", "l_shipdate >= TIMESTAMP '1996-01-01'"]
 _N = ["priced", "observed discount", "keyword", "recent"]
 FLOW_AUDIT = f"{WITH} " + " UNION ALL ".join(
-    f"SELECT {i + 1} AS step, '{n}' AS name, count(*) FILTER (WHERE {' AND '.join(f'({c})' for c in _C[:i]) or 'true'}) AS n_before, count(*) FILTER (WHERE {' AND '.join(f'({c})' for c in _C[: i + 1])}) AS n_after FROM facts" for i, n in enumerate(_N)
+    f"SELECT {i + 1} AS step, '{n}' AS name, count(*) FILTER (WHERE {' AND '.join(f'({c})' for c in _C[:i]) or 'true'}) AS n_before, count(*) FILTER (WHERE {' AND '.join(f'({c})' for c in _C[: i + 1])}) AS n_after FROM facts" for i,
+        n in enumerate(_N)
 )
 
 
@@ -49,13 +52,15 @@ def stage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STAGE_AUDIT = f"""WITH first AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {FIRST_SQL}) = 1)
-SELECT 'raw' AS stage, count(*) AS n_rows, 11::BIGINT AS n_columns, count(DISTINCT l_orderkey) AS n_keys_1, count(DISTINCT (l_orderkey, l_linenumber)) AS n_keys_2 FROM lineitem
+SELECT 'raw' AS stage, count(*) AS n_rows, 11::BIGINT AS n_columns, count(DISTINCT l_orderkey) AS n_keys_1, count(DISTINCT (l_orderkey,
+  l_linenumber)) AS n_keys_2 FROM lineitem
 UNION ALL SELECT 'first per key', count(*), 11::BIGINT, count(DISTINCT l_orderkey), count(DISTINCT (l_orderkey, l_linenumber)) FROM first"""
 
 
 def _sparse(spark, sf_dir) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    line = _line(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity", F.nullif("l_tax", F.lit(0.0)).alias("l_tax"), F.nullif("l_discount", F.lit(0.0)).alias("l_discount"))
+    line = _line(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity", F.nullif("l_tax", F.lit(0.0)).alias("l_tax"),
+        F.nullif("l_discount", F.lit(0.0)).alias("l_discount"))
     return orders.join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
 
@@ -65,7 +70,8 @@ def missingness_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MISSINGNESS_PROFILE = "WITH s AS (SELECT o_orderstatus, l_linenumber, l_quantity, nullif(l_tax, 0) AS l_tax, nullif(l_discount, 0) AS l_discount FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey) " + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, count(*) AS n_rows, count(*) - count({c}) AS n_missing, round((count(*) - count({c})) / count(*)::DOUBLE, 6) AS missing_rate, count(DISTINCT {c}) AS n_distinct FROM s" for c in ("o_orderstatus", "l_linenumber", "l_quantity", "l_tax", "l_discount")
+    f"SELECT '{c}' AS feature, count(*) AS n_rows, count(*) - count({c}) AS n_missing, round((count(*) - count({c})) / count(*)::DOUBLE, 6) AS missing_rate, count(DISTINCT {c}) AS n_distinct FROM s" for c in ("o_orderstatus",
+        "l_linenumber", "l_quantity", "l_tax", "l_discount")
 )
 
 
@@ -81,7 +87,8 @@ def dedupe_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.keep_most_complete(line, ["l_orderkey", "l_linenumber"], _order()).drop("l_shipdate")
 
 
-DEDUPE_COMPLETE = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, nullif(l_tax, 0) AS tax, nullif(l_discount, 0) AS disc FROM lineitem
+DEDUPE_COMPLETE = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, nullif(l_tax, 0) AS tax, nullif(l_discount,
+  0) AS disc FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY CAST(l_tax <> 0 AS INTEGER) + CAST(l_discount <> 0 AS INTEGER) DESC, {FIRST_SQL}) = 1"""
 
 
@@ -105,7 +112,8 @@ def _counterparts(spark, sf_dir) -> DataFrame:
 
 PRIORITY_SQL = "CASE WHEN {a} AND NOT {b} THEN 0 WHEN NOT {a} AND {b} THEN 1 ELSE 2 END"
 PARTIES_SQL = f"""parties AS (SELECT l_orderkey AS acc, l_suppkey AS party, l_returnflag = 'R' AS flag, max(l_quantity) AS qty FROM lineitem GROUP BY 1, 2, 3),
-best AS (SELECT a.acc, a.party, a.flag AS vulnerable, b.party AS other_party, b.qty AS other_qty, b.flag AS other_vulnerable FROM parties a JOIN parties b ON a.acc = b.acc AND a.party <> b.party
+best AS (SELECT a.acc, a.party, a.flag AS vulnerable, b.party AS other_party, b.qty AS other_qty, b.flag AS other_vulnerable FROM parties a
+  JOIN parties b ON a.acc = b.acc AND a.party <> b.party
          QUALIFY row_number() OVER (PARTITION BY a.acc, a.party ORDER BY {PRIORITY_SQL.format(a="a.flag", b="b.flag")}, b.party::VARCHAR, b.flag DESC) = 1)"""
 
 
@@ -121,7 +129,8 @@ def _recorded(spark, sf_dir) -> DataFrame:
     line, said = _line(spark, sf_dir), F.concat(F.lit("No. "), (F.col("l_partkey") % 100).cast("string"), F.lit(" (x)"))
     opponent = F.when(F.col("l_linenumber") == 1, None).when(F.col("l_quantity") > 45, F.concat(F.col("l_suppkey").cast("string"), F.lit(" itself"))).otherwise(said)
     second = F.when(F.col("l_tax") != 0, F.concat((F.col("l_linenumber") % 3).cast("string"), F.lit("-b")))
-    records = line.select(F.col("l_orderkey").alias("acc"), F.col("l_suppkey").alias("party"), opponent.alias("opponent"), (F.col("l_linenumber") % 2).cast("string").alias("first"), second.alias("second"))
+    records = line.select(F.col("l_orderkey").alias("acc"), F.col("l_suppkey").alias("party"), opponent.alias("opponent"),
+        (F.col("l_linenumber") % 2).cast("string").alias("first"), second.alias("second"))
     return cohort.recorded_counterpart(records, _parties(spark, sf_dir), "acc", "party", F.col("opponent"), [F.col("first"), F.col("second")], F.col("flag"))
 
 
@@ -129,11 +138,14 @@ def counterparty_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recorded(spark, sf_dir)
 
 
-RECORDED_SQL = f"""records AS (SELECT l_orderkey AS acc, l_suppkey AS party, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_quantity > 45 THEN l_suppkey::VARCHAR ELSE (l_partkey % 100)::VARCHAR END AS other_party,
+RECORDED_SQL = f"""records AS (SELECT l_orderkey AS acc, l_suppkey AS party,
+  CASE WHEN l_linenumber = 1 THEN NULL WHEN l_quantity > 45 THEN l_suppkey::VARCHAR ELSE (l_partkey % 100)::VARCHAR END AS other_party,
   l_linenumber % 2 AS n0, CASE WHEN l_tax <> 0 THEN l_linenumber % 3 ELSE 9999 END AS n1 FROM lineitem),
-recorded AS (SELECT r.acc, r.party, a.flag AS vulnerable, r.other_party, b.flag AS other_vulnerable FROM records r LEFT JOIN parties a ON a.acc = r.acc AND a.party = r.party
+recorded AS (SELECT r.acc, r.party, a.flag AS vulnerable, r.other_party, b.flag AS other_vulnerable FROM records r LEFT
+  JOIN parties a ON a.acc = r.acc AND a.party = r.party
   LEFT JOIN parties b ON b.acc = r.acc AND b.party::VARCHAR = r.other_party WHERE r.other_party <> '0' AND r.other_party <> r.party::VARCHAR
-  QUALIFY row_number() OVER (PARTITION BY r.acc, r.party ORDER BY {PRIORITY_SQL.format(a="coalesce(a.flag, false)", b="coalesce(b.flag, false)")}, n0, n1, r.other_party, a.flag DESC NULLS LAST, b.flag DESC NULLS LAST) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY r.acc, r.party ORDER BY {PRIORITY_SQL.format(a="coalesce(a.flag, false)", b="coalesce(b.flag, false)")},
+  n0, n1, r.other_party, a.flag DESC NULLS LAST, b.flag DESC NULLS LAST) = 1)"""
 COUNTERPARTY_RECORDED = f"WITH {PARTIES_SQL}, {RECORDED_SQL} SELECT * FROM recorded"
 
 
@@ -143,7 +155,8 @@ def counterparty_exact_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COUNTERPARTY_EXACT_OVERLAY = f"""WITH {PARTIES_SQL}, {RECORDED_SQL}
-SELECT acc, party, best.vulnerable, coalesce(recorded.other_party, best.other_party::VARCHAR) AS other_party, other_qty, coalesce(recorded.other_vulnerable, best.other_vulnerable) AS other_vulnerable FROM best LEFT JOIN recorded USING (acc, party)"""
+SELECT acc, party, best.vulnerable, coalesce(recorded.other_party, best.other_party::VARCHAR) AS other_party, other_qty,
+  coalesce(recorded.other_vulnerable, best.other_vulnerable) AS other_vulnerable FROM best LEFT JOIN recorded USING (acc, party)"""
 
 
 def opponent_dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,12 +175,15 @@ def two_tier_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.two_tier(base, fine, ["l_orderkey", "l_suppkey"], coarse, ["l_suppkey"], ["best_qty"])
 
 
-TWO_TIER_FILL = """WITH fine AS (SELECT l_orderkey, l_suppkey, max(l_quantity) AS a FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), coarse AS (SELECT l_suppkey, max(l_quantity) AS b FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
-SELECT l_orderkey, l_suppkey, coalesce(a, b) AS best_qty FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) LEFT JOIN fine USING (l_orderkey, l_suppkey) LEFT JOIN coarse USING (l_suppkey)"""
+TWO_TIER_FILL = """WITH fine AS (SELECT l_orderkey, l_suppkey, max(l_quantity) AS a FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+  coarse AS (SELECT l_suppkey, max(l_quantity) AS b FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+SELECT l_orderkey, l_suppkey, coalesce(a, b) AS best_qty FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) LEFT JOIN fine USING (l_orderkey,
+  l_suppkey) LEFT JOIN coarse USING (l_suppkey)"""
 
 
 def left_biased_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.lit("taken from the right").alias("o_orderstatus"), "c_nationkey")
+    customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment",
+        F.lit("taken from the right").alias("o_orderstatus"), "c_nationkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
     joined = cohort.left_biased(cohort.left_biased(orders, customer, ["o_custkey"]), nation, ["c_nationkey"])
@@ -180,7 +196,8 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_na
 
 def semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, line = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), _line(spark, sf_dir).select(F.col("l_orderkey").alias("o_orderkey"))
-    sides = [orders.join(line, "o_orderkey", how).groupBy("o_orderstatus").agg(F.lit(how).alias("side"), F.count(F.lit(1)).alias("n")) for how in ("left_semi", "left_anti")]
+    sides = [orders.join(line, "o_orderkey", how).groupBy("o_orderstatus").agg(F.lit(how).alias("side"),
+        F.count(F.lit(1)).alias("n")) for how in ("left_semi", "left_anti")]
     return sides[0].unionByName(sides[1])
 
 
@@ -190,22 +207,31 @@ UNION ALL SELECT o_orderstatus, 'left_anti', count(*) FROM orders WHERE o_orderk
 
 def sentinel_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts(spark, sf_dir)
-    raw = f.select("split", F.col("tax").cast("string").alias("tax"), F.col("disc").cast("string").alias("disc"), F.when(F.col("qty") > 45, "99-未知").otherwise(F.col("qty").cast("string")).alias("qty"))
+    raw = f.select("split", F.col("tax").cast("string").alias("tax"), F.col("disc").cast("string").alias("disc"),
+        F.when(F.col("qty") > 45, "99-未知").otherwise(F.col("qty").cast("string")).alias("qty"))
     codes = {"tax": (0.0,), "disc": (0.0,), "qty": ()}
-    long = raw.select("split", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), text.sentinel(F.col(c), v).alias("s"), text.observed_number(F.col(c), v).alias("v")) for c, v in codes.items()))).alias("x")).select("split", "x.*")
-    return long.groupBy("split", "feature").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("s").alias("n_sentinel"), r6(F.count_if("s") / F.count(F.lit(1))).alias("sentinel_rate"), F.count_if(F.col("v").isNull()).alias("n_missing_after"))
+    long = raw.select("split",
+        F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), text.sentinel(F.col(c), v).alias("s"), text.observed_number(F.col(c), v).alias("v")) for c, v in codes.items()))).alias("x")).select("split",
+        "x.*")
+    return long.groupBy("split", "feature").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("s").alias("n_sentinel"),
+        r6(F.count_if("s") / F.count(F.lit(1))).alias("sentinel_rate"), F.count_if(F.col("v").isNull()).alias("n_missing_after"))
 
 
-SENTINEL_FLAGS = f"{WITH} " + " UNION ALL ".join(f"SELECT split, '{c}' AS feature, count(*) AS n_rows, count(*) FILTER (WHERE {w}) AS n_sentinel, round(count(*) FILTER (WHERE {w}) / count(*)::DOUBLE, 6) AS sentinel_rate, count(*) FILTER (WHERE {w}) AS n_missing_after FROM facts GROUP BY split" for c, w in (("tax", "tax = 0"), ("disc", "disc = 0"), ("qty", "qty > 45")))
+SENTINEL_FLAGS = f"{WITH} " + " UNION ALL ".join(f"SELECT split, '{c}' AS feature, count(*) AS n_rows, count(*) FILTER (WHERE {w}) AS n_sentinel, round(count(*) FILTER (WHERE {w}) / count(*)::DOUBLE, 6) AS sentinel_rate, count(*) FILTER (WHERE {w}) AS n_missing_after FROM facts GROUP BY split" for c,
+    w in (("tax", "tax = 0"), ("disc", "disc = 0"), ("qty", "qty > 45")))
 
 
 def first_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
-    return part.select("p_partkey", text.first_number(F.col("p_brand")).alias("brand_no"), text.digits(F.col("p_brand")).alias("brand_digits"), text.code_digit(F.col("p_brand")).alias("code"), text.normalize_key(F.col("p_size").cast("double")).alias("size_key"), text.sanitized(F.concat(F.col("p_name"), F.lit(" (x)"))).alias("clean_name"))
+    return part.select("p_partkey", text.first_number(F.col("p_brand")).alias("brand_no"), text.digits(F.col("p_brand")).alias("brand_digits"),
+        text.code_digit(F.col("p_brand")).alias("code"), text.normalize_key(F.col("p_size").cast("double")).alias("size_key"),
+        text.sanitized(F.concat(F.col("p_name"), F.lit(" (x)"))).alias("clean_name"))
 
 
-FIRST_NUMBER = r"""SELECT p_partkey, TRY_CAST(nullif(regexp_extract(p_brand, '(-?\d+\.?\d*)', 1), '') AS DOUBLE) AS brand_no, nullif(regexp_extract(p_brand, '(\d+)', 1), '') AS brand_digits,
-CAST(nullif(nullif(regexp_extract(p_brand, '(\d)', 1), ''), '9') AS INTEGER) AS code, p_size::VARCHAR AS size_key, replace(p_name, ' ', '_') || '_x' AS clean_name FROM part"""
+FIRST_NUMBER = r"""SELECT p_partkey, TRY_CAST(nullif(regexp_extract(p_brand, '(-?\d+\.?\d*)', 1), '') AS DOUBLE) AS brand_no,
+  nullif(regexp_extract(p_brand, '(\d+)', 1), '') AS brand_digits,
+CAST(nullif(nullif(regexp_extract(p_brand, '(\d)', 1), ''), '9') AS INTEGER) AS code, p_size::VARCHAR AS size_key, replace(p_name, ' ',
+  '_') || '_x' AS clean_name FROM part"""
 
 
 def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,12 +240,14 @@ def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", text.contains_any(F.col("p_name"), ("ring", "bolt")).alias("is_fastener"), *(c.alias(n) for n, c in text.powertrain(energy).items()))
 
 
-KEYWORD_FLAGS = "SELECT p_partkey, regexp_matches(p_name, 'ring|bolt') AS is_fastener, " + ", ".join(f"CASE WHEN p_type IN ('PROMO', 'LARGE', 'SMALL') THEN CAST(p_type = '{t}' AS INTEGER) ELSE 0 END AS {n}" for n, t in (("electric", "LARGE"), ("hybrid", "PROMO"), ("fuel_only", "SMALL"))) + " FROM part"
+KEYWORD_FLAGS = "SELECT p_partkey, regexp_matches(p_name, 'ring|bolt') AS is_fastener, " + ", ".join(f"CASE WHEN p_type IN ('PROMO', 'LARGE', 'SMALL') THEN CAST(p_type = '{t}' AS INTEGER) ELSE 0 END AS {n}" for n,
+    t in (("electric", "LARGE"), ("hybrid", "PROMO"), ("fuel_only", "SMALL"))) + " FROM part"
 
 
 def temporal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    raw = F.when(F.col("event_id") % 7 == 0, "not a time").when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy/MM/dd HH:mm"))
+    raw = F.when(F.col("event_id") % 7 == 0, "not a time").when(F.col("event_id") % 2 == 0,
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy/MM/dd HH:mm"))
     return events.select("event_id", *(c.alias(n) for n, c in text.time_parts(text.parsed_time(raw)).items()))
 
 
@@ -254,7 +282,8 @@ def bounded_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _observed(facts(spark, sf_dir))
     train = prep.require_training_only(f.where("split = 'train'"))
     done = prep.transform(f, prep.fit(train, {k: BOUNDS[k] for k in ("qty", "price", "disc")}, []), ["split"])
-    return done.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *(r6(F.avg(c)).alias(f"{c}_mean") for c in ("qty", "price", "disc")), *(F.min(c).alias(f"{c}_low") for c in ("qty", "price", "disc")), *(F.max(c).alias(f"{c}_high") for c in ("qty", "price", "disc")))
+    return done.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *(r6(F.avg(c)).alias(f"{c}_mean") for c in ("qty", "price", "disc")),
+        *(F.min(c).alias(f"{c}_low") for c in ("qty", "price", "disc")), *(F.max(c).alias(f"{c}_high") for c in ("qty", "price", "disc")))
 
 
 def _clip_sql(c: str) -> str:
@@ -262,9 +291,12 @@ def _clip_sql(c: str) -> str:
     return f"CASE WHEN {c} IS NOT NULL THEN greatest({lo}::DOUBLE, least({hi}::DOUBLE, {c})) END"
 
 
-BOUNDED_IMPUTE = f"""{WITH}, o AS (SELECT split, qty, price, nullif(disc, 0) AS disc FROM facts), c AS (SELECT split, {", ".join(f"{_clip_sql(c)} AS {c}" for c in ("qty", "price", "disc"))} FROM o),
-m AS (SELECT {", ".join(f"median({c}) AS m_{c}" for c in ("qty", "price", "disc"))} FROM c WHERE split = 'train'), x AS (SELECT split, {", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in ("qty", "price", "disc"))} FROM c, m)
-SELECT split, count(*) AS n, {", ".join(f"round(avg({c}), 6) AS {c}_mean, min({c}) AS {c}_low, max({c}) AS {c}_high" for c in ("qty", "price", "disc"))} FROM x GROUP BY split"""
+BOUNDED_IMPUTE = f"""{WITH}, o AS (SELECT split, qty, price, nullif(disc, 0) AS disc FROM facts), c AS (SELECT split,
+  {", ".join(f"{_clip_sql(c)} AS {c}" for c in ("qty", "price", "disc"))} FROM o),
+m AS (SELECT {", ".join(f"median({c}) AS m_{c}" for c in ("qty", "price", "disc"))} FROM c WHERE split = 'train'), x AS (SELECT split,
+  {", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in ("qty", "price", "disc"))} FROM c, m)
+SELECT split, count(*) AS n,
+  {", ".join(f"round(avg({c}), 6) AS {c}_mean, min({c}) AS {c}_low, max({c}) AS {c}_high" for c in ("qty", "price", "disc"))} FROM x GROUP BY split"""
 
 
 def one_hot_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +305,8 @@ def one_hot_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in done.columns if c != "split"))
 
 
-ONE_HOT_ALIGNED = f"{WITH} SELECT split, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c} = '{v}') AS {c}_{v}" for c, vs in (("p_type", ("ECONOMY", "LARGE", "MEDIUM", "SMALL", "STANDARD")), ("o_orderstatus", "FOP")) for v in vs) + " FROM facts GROUP BY split"
+ONE_HOT_ALIGNED = f"{WITH} SELECT split, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c} = '{v}') AS {c}_{v}" for c,
+    vs in (("p_type", ("ECONOMY", "LARGE", "MEDIUM", "SMALL", "STANDARD")), ("o_orderstatus", "FOP")) for v in vs) + " FROM facts GROUP BY split"
 
 
 def _long(spark, sf_dir, features=NUMBERS) -> DataFrame:
@@ -323,11 +356,16 @@ def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(smd, "feature").select("feature", "binary", "n", *(r6(c).alias(c) for c in ("mean", "sd", "q1", "median", "q3")), "smd")
 
 
-BASELINE_TABLE = f"""{WITH}, v AS ({" UNION ALL ".join(f"SELECT split, '{n}' AS feature, CAST({c} AS DOUBLE) AS value FROM facts" for n, c in (("qty", "qty"), ("disc", "disc"), ("p_size", "p_size"), ("open", "CAST(l_linestatus = 'O' AS INTEGER)")))}),
-a AS (SELECT feature, CAST(min(CAST(value IN (0, 1) AS INTEGER)) AS INTEGER) AS "binary", avg(value) FILTER (WHERE split = 'train') AS m1, avg(value) FILTER (WHERE split = 'test') AS m2, var_samp(value) FILTER (WHERE split = 'train') AS v1, var_samp(value) FILTER (WHERE split = 'test') AS v2 FROM v GROUP BY feature),
-s AS (SELECT feature, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3 FROM v WHERE split = 'train' GROUP BY feature)
+BASELINE_TABLE = f"""{WITH},
+  v AS ({" UNION ALL ".join(f"SELECT split, '{n}' AS feature, CAST({c} AS DOUBLE) AS value FROM facts" for n, c in (("qty", "qty"), ("disc", "disc"), ("p_size", "p_size"), ("open", "CAST(l_linestatus = 'O' AS INTEGER)")))}),
+a AS (SELECT feature, CAST(min(CAST(value IN (0, 1) AS INTEGER)) AS INTEGER) AS "binary", avg(value) FILTER (WHERE split = 'train') AS m1,
+  avg(value) FILTER (WHERE split = 'test') AS m2, var_samp(value) FILTER (WHERE split = 'train') AS v1,
+  var_samp(value) FILTER (WHERE split = 'test') AS v2 FROM v GROUP BY feature),
+s AS (SELECT feature, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.25) AS q1, median(value) AS median,
+  quantile_cont(value, 0.75) AS q3 FROM v WHERE split = 'train' GROUP BY feature)
 SELECT feature, "binary", n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
-round(CASE WHEN "binary" = 1 THEN (m1 - m2) / sqrt((m1 * (1 - m1) + m2 * (1 - m2)) / 2) ELSE (m1 - m2) / sqrt((v1 + v2) / 2) END, 6) AS smd FROM s JOIN a USING (feature)"""
+round(CASE WHEN "binary" = 1 THEN (m1 - m2) / sqrt((m1 * (1 - m1) + m2 * (1 - m2)) / 2) ELSE (m1 - m2) / sqrt((v1 + v2) / 2) END, 6) AS smd FROM s
+  JOIN a USING (feature)"""
 
 
 def split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +390,8 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CHECKS = f"""{WITH} SELECT 'split_overlap' AS name, 'no group in both splits' AS required, CASE WHEN max(k) = 1 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT count(DISTINCT split) AS k FROM facts GROUP BY grp)
+CHECKS = f"""{WITH} SELECT 'split_overlap' AS name, 'no group in both splits' AS required, CASE WHEN max(k) = 1 THEN 'PASS' ELSE 'FAIL' END AS status
+  FROM (SELECT count(DISTINCT split) AS k FROM facts GROUP BY grp)
 UNION ALL SELECT 'label_binary', 'label is 0 or 1', CASE WHEN count(*) FILTER (WHERE y NOT IN (0, 1)) = 0 THEN 'PASS' ELSE 'FAIL' END FROM facts
 UNION ALL SELECT 'quantity_bounds', 'quantity within 1 and 50', CASE WHEN min(qty) >= 1 AND max(qty) <= 50 THEN 'PASS' ELSE 'FAIL' END FROM facts
 UNION ALL SELECT 'line_key_unique', 'order and line name a row', CASE WHEN count(DISTINCT (grp, line)) = count(*) THEN 'PASS' ELSE 'FAIL' END FROM facts"""
@@ -393,20 +432,26 @@ def binned_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CUTS = {k: [a + (b - a) * i / 8 for i in range(1, 8)] for k, (a, b) in BOUNDS.items()}
 MI_SQL = f"""binned AS ({" UNION ALL ".join(f"SELECT '{k}' AS feature, y, {' + '.join(f'CAST({k} > {c!r}::DOUBLE AS INTEGER)' for c in cuts)} AS bin FROM facts WHERE split = 'train'" for k, cuts in _CUTS.items())}),
 cells AS (SELECT feature, bin, y, count(*)::DOUBLE AS n FROM binned GROUP BY ALL),
-terms AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) * ln(n * sum(n) OVER (PARTITION BY feature) / (sum(n) OVER (PARTITION BY feature, bin) * sum(n) OVER (PARTITION BY feature, y))) AS t FROM cells),
+terms AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) * ln(n * sum(n) OVER (PARTITION BY feature) / (sum(n) OVER (PARTITION BY feature,
+  bin) * sum(n) OVER (PARTITION BY feature, y))) AS t FROM cells),
 mi AS (SELECT feature, sum(t) AS information FROM terms GROUP BY feature)"""
 BINNED_MI = f"{WITH}, {MI_SQL} SELECT feature, round(information, 9) AS information FROM mi"
 
 
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rankings = _signal(spark, sf_dir).select(F.lit("signal").alias("method"), "feature", F.round("signal", 12).alias("score")).unionByName(_information(spark, sf_dir).select(F.lit("information").alias("method"), "feature", F.round("information", 12).alias("score")))
+    rankings = _signal(spark, sf_dir).select(F.lit("signal").alias("method"), "feature", F.round("signal",
+        12).alias("score")).unionByName(_information(spark, sf_dir).select(F.lit("information").alias("method"), "feature",
+        F.round("information", 12).alias("score")))
     found = profile.fuse(rankings, 3)
     return found.select("feature", "votes", *(r6(c).alias(c) for c in ("mean_rank", "mean_points", "mean_norm")))
 
 
-RANK_FUSION = f"""{SIGNAL_SQL}, {MI_SQL}, u AS (SELECT 'signal' AS method, feature, round(signal, 12) AS score FROM sig UNION ALL SELECT 'information', feature, round(information, 12) FROM mi),
-k AS (SELECT method, feature, rank() OVER (PARTITION BY method ORDER BY score DESC) AS rk, count(*) OVER (PARTITION BY method) AS n, (score - min(score) OVER (PARTITION BY method)) / (max(score) OVER (PARTITION BY method) - min(score) OVER (PARTITION BY method)) AS norm FROM u)
-SELECT feature, count(*) FILTER (WHERE rk <= 3) AS votes, round(avg(rk), 6) AS mean_rank, round(avg((n - rk + 1) / n::DOUBLE), 6) AS mean_points, round(avg(norm), 6) AS mean_norm FROM k GROUP BY feature"""
+RANK_FUSION = f"""{SIGNAL_SQL}, {MI_SQL}, u AS (SELECT 'signal' AS method, feature, round(signal, 12) AS score FROM sig
+  UNION ALL SELECT 'information', feature, round(information, 12) FROM mi),
+k AS (SELECT method, feature, rank() OVER (PARTITION BY method ORDER BY score DESC) AS rk, count(*) OVER (PARTITION BY method) AS n,
+  (score - min(score) OVER (PARTITION BY method)) / (max(score) OVER (PARTITION BY method) - min(score) OVER (PARTITION BY method)) AS norm FROM u)
+SELECT feature, count(*) FILTER (WHERE rk <= 3) AS votes, round(avg(rk), 6) AS mean_rank, round(avg((n - rk + 1) / n::DOUBLE), 6) AS mean_points,
+  round(avg(norm), 6) AS mean_norm FROM k GROUP BY feature"""
 
 
 def auroc_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,11 +461,16 @@ def auroc_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 METRIC_SQL = """g AS (SELECT {by}, score, sum(label) AS pos, sum(1 - label) AS neg FROM s GROUP BY ALL),
-c AS (SELECT *, sum(pos) OVER (PARTITION BY {by} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(neg) OVER (PARTITION BY {by} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp FROM g),
-ranking AS (SELECT {by}, sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS auroc, sum(pos * (tp / (tp + fp)::DOUBLE)) / sum(pos) AS average_precision FROM c GROUP BY {by})"""
+c AS (SELECT *, sum(pos) OVER (PARTITION BY {by} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(neg) OVER (PARTITION BY {by}
+  ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp FROM g),
+ranking AS (SELECT {by}, sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS auroc,
+  sum(pos * (tp / (tp + fp)::DOUBLE)) / sum(pos) AS average_precision FROM c GROUP BY {by})"""
 AUROC_AP = f"""{WITH}, s AS (SELECT split, y AS label, qty / 50.0::DOUBLE AS score FROM facts), {METRIC_SQL.format(by="split")},
-cell AS (SELECT split, (count(*) FILTER (WHERE score >= 0.5 AND label = 1))::DOUBLE AS tp, (count(*) FILTER (WHERE score >= 0.5 AND label = 0))::DOUBLE AS fp, (count(*) FILTER (WHERE score < 0.5 AND label = 1))::DOUBLE AS fn, (count(*) FILTER (WHERE score < 0.5 AND label = 0))::DOUBLE AS tn FROM s GROUP BY split)
-SELECT split, round(auroc, 6) AS auroc, round(average_precision, 6) AS average_precision, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp), 6) AS precision, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
+cell AS (SELECT split, (count(*) FILTER (WHERE score >= 0.5 AND label = 1))::DOUBLE AS tp, (count(*) FILTER (WHERE score >= 0.5
+  AND label = 0))::DOUBLE AS fp, (count(*) FILTER (WHERE score < 0.5 AND label = 1))::DOUBLE AS fn, (count(*) FILTER (WHERE score < 0.5
+  AND label = 0))::DOUBLE AS tn FROM s GROUP BY split)
+SELECT split, round(auroc, 6) AS auroc, round(average_precision, 6) AS average_precision, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp),
+  6) AS precision, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
 round(3.25::DOUBLE * tp / (3.25::DOUBLE * tp + 2.25::DOUBLE * fn + fp), 6) AS f_beta FROM ranking JOIN cell USING (split)"""
 
 
@@ -432,7 +482,8 @@ def holdout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.holdouts(metrics, ["model"]).select("model", r6("auroc_mean").alias("auroc_mean"), r6("auroc_sd").alias("auroc_sd"), "n")
 
 
-HOLDOUT_SUMMARY = f"""{WITH}, s AS (SELECT 'a' AS model, grp % 10 AS fold, y AS label, qty / 50.0::DOUBLE AS score FROM facts UNION ALL SELECT 'b', grp % 10, y, disc * 10 FROM facts), {METRIC_SQL.format(by="model, fold")}
+HOLDOUT_SUMMARY = f"""{WITH}, s AS (SELECT 'a' AS model, grp % 10 AS fold, y AS label, qty / 50.0::DOUBLE AS score FROM facts UNION ALL SELECT 'b',
+  grp % 10, y, disc * 10 FROM facts), {METRIC_SQL.format(by="model, fold")}
 SELECT model, round(avg(auroc), 6) AS auroc_mean, round(stddev_samp(auroc), 6) AS auroc_sd, count(*) AS n FROM ranking GROUP BY model"""
 
 
@@ -446,7 +497,8 @@ UNION_WIDEN = "SELECT n_nationkey::BIGINT AS key, n_name AS name, NULL::VARCHAR
 
 
 def unseen_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir).withColumn("p_brand", F.when((F.col("split") == "train") & (F.col("p_size") > 25), None).otherwise(F.concat("p_brand", F.lit("-"), (F.col("p_size") > 25).cast("string"))))
+    f = facts(spark, sf_dir).withColumn("p_brand",
+        F.when((F.col("split") == "train") & (F.col("p_size") > 25), None).otherwise(F.concat("p_brand", F.lit("-"), (F.col("p_size") > 25).cast("string"))))
     return prep.unseen_levels(f.where("split = 'train'"), f.where("split = 'test'"), ["p_brand", "o_orderstatus"])
 
 
@@ -461,7 +513,8 @@ def _candidates(spark, sf_dir) -> list[dict]:
 
 def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen, _ = screening.compose(_candidates(spark, sf_dir), screening.Limits(size=4, family_min={"price": 1, "part": 1}, family_cap={"price": 1}))
-    return spark.createDataFrame([(i + 1, c["feature"], c["family"], float(c["score"])) for i, c in enumerate(chosen)], "place int, feature string, family string, score double")
+    return spark.createDataFrame([(i + 1, c["feature"], c["family"], float(c["score"])) for i, c in enumerate(chosen)],
+        "place int, feature string, family string, score double")
 
 
 def _model(spark, sf_dir, name) -> DataFrame:
@@ -503,7 +556,8 @@ def ml_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _with_flag(spark, sf_dir)
     ranked = [r["feature"] for r in _signal(spark, sf_dir).orderBy(F.desc("signal"), "feature").collect()] + ["flag_n"]
     found = screening.feature_sweep(f.where("split = 'train'"), f.where("split = 'test'"), ranked, "y", (3, 7), ("logistic", "boosted"))
-    return items.local(spark, [(r["n_features"], r["model"], r["auroc"], r["average_precision"]) for r in found], "n_features int, model string, auroc double, average_precision double")
+    return items.local(spark, [(r["n_features"], r["model"], r["auroc"], r["average_precision"]) for r in found],
+        "n_features int, model string, auroc double, average_precision double")
 
 
 NAMES = (
