@@ -91,6 +91,24 @@ def greedy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.local(spark, rows, "rule_id string, antecedent string, axis string, signature string, score double")
 
 
+_UNION_SQL = " UNION ALL ".join(f"SELECT antecedent, families, clarity, n_items, support, confidence, lift FROM e{n}" for n in (2, 3, 4))
+GREEDY_RULES = f"""{BASE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, {evaluated_sql("pairs", "train", "e2")}, {evaluated_sql("triplets", "train", "e3")},
+{evaluated_sql("quads", "train", "e4")}, u AS ({_UNION_SQL}),
+ranked AS (SELECT antecedent, string_split(antecedent, '||') AS names, {axis_sql()} AS axis, array_to_string(families, '|') AS signature,
+  families[1] AS family, {SCORE_SQL} AS score, row_number() OVER (ORDER BY {ORDER_SQL}) AS k
+  FROM u WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken, []::VARCHAR[][] AS sets, []::VARCHAR[] AS signatures, []::VARCHAR[] AS axes, []::VARCHAR[] AS firsts
+  UNION ALL
+  SELECT k, CASE WHEN ok THEN list_append(taken, k) ELSE taken END, CASE WHEN ok THEN list_append(sets, names) ELSE sets END,
+    CASE WHEN ok THEN list_append(signatures, signature) ELSE signatures END, CASE WHEN ok THEN list_append(axes, axis) ELSE axes END,
+    CASE WHEN ok THEN list_append(firsts, family) ELSE firsts END
+  FROM (SELECT r.k, w.taken, w.sets, w.signatures, w.axes, w.firsts, r.names, r.signature, r.axis, r.family,
+      len(w.taken) < 15 AND NOT list_contains(w.signatures, r.signature) AND len(list_filter(w.axes, lambda x: x = r.axis)) < 3
+      AND len(list_filter(w.firsts, lambda x: x = r.family)) < 3 AND len(list_filter(w.sets, lambda x: list_has_all(r.names, x))) = 0 AS ok
+    FROM walk w JOIN ranked r ON r.k = w.k + 1)),
+last AS (SELECT unnest(taken) AS k, unnest(generate_series(1, len(taken))) AS i FROM walk QUALIFY walk.k = max(walk.k) OVER ())
+SELECT printf('R%02d', i) AS rule_id, antecedent, axis, signature, round(score, 6) AS score FROM last JOIN ranked USING (k)"""
+
 REPLAY_COLUMNS = ("test_confidence", "wilson_lower", "wilson_upper", "risk_ratio", "p_value", "q_value")
 
 
