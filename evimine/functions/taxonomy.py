@@ -135,7 +135,8 @@ def family(name: Column) -> Column:
 
 
 def missing_category(name: Column) -> Column:
-    return classify(name, MISSING, "not_missing_category")
+    in_parts = name.contains("具体未知") & name.rlike("有|存在")
+    return F.when(in_parts, "partial_unknown_detail").otherwise(classify(name, MISSING, "not_missing_category"))
 
 
 def source_group(name: Column) -> Column:
@@ -240,21 +241,46 @@ def scene(axis: Column) -> Column:
     return F.coalesce(table[axis], F.lit(SCENES["mixed_multimechanism"]))
 
 
-#: Semantic groups with a display form.
+# Semantic groups with a display form in two languages, and their unit.
 DISPLAY = {
-    "precrash_speed": ("Initial speed", " km/h"),
-    "impact_speed": ("Impact speed", " km/h"),
-    "vehicle_geometry_length": ("Vehicle length", " mm"),
-    "vehicle_geometry_height": ("Vehicle height", " mm"),
-    "vehicle_geometry_width": ("Vehicle width", " mm"),
-    "vehicle_mass": ("Vehicle total weight", ""),
+    "precrash_speed": ("Initial speed", "初始速度", " km/h"),
+    "impact_speed": ("Impact speed", "碰撞速度", " km/h"),
+    "vehicle_geometry_length": ("Vehicle length", "车辆长度", " mm"),
+    "vehicle_geometry_height": ("Vehicle height", "车辆高度", " mm"),
+    "vehicle_geometry_width": ("Vehicle width", "车辆宽度", " mm"),
+    "vehicle_mass": ("Vehicle total weight", "车辆总重", ""),
 }
+PLAIN = {"age": ("Age > 60 years", "年龄 > 60岁"), "sex": ("Male", "男性")}
+LANGUAGES = ("en", "zh")
 
 
-def display_label(semantic: Column, item: Column, operator: Column, threshold: Column) -> Column:
-    """A readable form of an item; the item itself if there is none. Thresholds are written without trailing zeros."""
+def display_label(source: Column, item: Column, operator: Column, threshold: Column, language: str = "en") -> Column:
+    """A readable form of an item; the item itself if there is none, or if it has a display form but no operator. Thresholds are written without trailing zeros."""
+    at = LANGUAGES.index(language)
+    semantic = semantic_group(source)
+    male = F.upper(source).contains("GESCHL") & (source.contains("1-") | source.endswith("_1") | source.contains("男性"))
     number = F.regexp_replace(F.format_string("%f", threshold), r"\.?0+$", "")
-    chain = F.when(semantic == "age_over60", "Age > 60 years")
-    for group, (name, unit) in DISPLAY.items():
-        chain = chain.when((semantic == group) & operator.isNotNull(), F.concat(F.lit(f"{name} "), operator, F.lit(" "), number, F.lit(unit)))
+    chain = F.when((source == "FEATURE_Age_Over60") | (semantic == "age_over60"), PLAIN["age"][at]).when(male, PLAIN["sex"][at])
+    for group, form in DISPLAY.items():
+        chain = chain.when((semantic == group) & operator.isNotNull(), F.concat(F.lit(f"{form[at]} "), operator, F.lit(" "), number, F.lit(form[2])))
     return chain.otherwise(item)
+
+
+# What the families of a rule ask for, in order.
+ACTIONS = (
+    (("speed_v0", "speed_vk"), "speed management and conflict-speed reduction"),
+    (("light",), "lighting or night-visibility treatment"),
+    (("road_surface", "weather"), "surface-friction and adverse-weather countermeasures"),
+    (("road_env", "road_type", "lane"), "road-space/channelization redesign"),
+    (("vehicle_size", "safety"), "vehicle-geometry and active-safety intervention"),
+    (("age", "bio"), "VRU vulnerability-sensitive protection"),
+    (("crash_type",), "crash-configuration-specific prevention"),
+)
+NO_ACTION = "case review before policy use"
+
+
+def interpretation(families: Column) -> Column:
+    """The actions that a rule's families ask for, joined by semicolons."""
+    each = [F.when(F.arrays_overlap(families, F.array(*map(F.lit, own))), action) for own, action in ACTIONS]
+    joined = F.concat_ws("; ", *each)
+    return F.when(joined == "", NO_ACTION).otherwise(joined)

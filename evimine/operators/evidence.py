@@ -142,3 +142,44 @@ def item_usage(graded: DataFrame, items: DataFrame) -> DataFrame:
 
 def recommended_use(evidence: Column) -> Column:
     return F.when(evidence == CORE, "priority governance target").when(evidence == BINARY, "targeted governance signal").when(evidence == STATISTICAL, "confirmatory monitoring signal").when(evidence == REPLAYABLE, "replay reference").otherwise("exploration only")
+
+
+# What a rule or domain with this highest tier is called, and where it may be reported.
+STRENGTH = {CORE: "priority governance target", BINARY: "stable categorical governance target", STATISTICAL: "audit-level governance cue", REPLAYABLE: "audit-level governance cue", EXPLORATORY: "hypothesis-generating governance cue"}
+NO_STRENGTH = "mechanism covered but not supported by current replay evidence"
+PLACE = {
+    CORE: "can enter main result discussion",
+    BINARY: "can enter main result discussion",
+    STATISTICAL: "replayable: only as auditable governance cue",
+    REPLAYABLE: "replayable: only as auditable governance cue",
+    EXPLORATORY: "exploratory: supplementary hypothesis only",
+}
+NO_PLACE = "no evidence: mechanism coverage only, not a result finding"
+
+
+def strength_label(highest: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in STRENGTH.items() for x in kv))[highest], F.lit(NO_STRENGTH))
+
+
+def manuscript_place(highest: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in PLACE.items() for x in kv))[highest], F.lit(NO_PLACE))
+
+
+def coverage_role(n_core: Column, n_binary: Column, n_replayable: Column, n_exploratory: Column, n_universe: Column) -> Column:
+    """What an axis contributes, from the numbers of its rules."""
+    return (
+        F.when(n_core + n_binary > 0, "confirmed primary evidence")
+        .when(n_replayable > 0, "replayable governance cue")
+        .when(n_exploratory > 0, "hypothesis-generating only")
+        .when(n_universe > 0, "present in train-mined universe but not confirmed")
+        .otherwise("not observed under current train-only candidate criteria")
+    )
+
+
+def complexity_class(n_missing_families: Column, n_triplets: Column, herfindahl: Column, n_selected: Column, balance: int = 25) -> Column:
+    return (
+        F.when(n_missing_families > 0, "undercovered_mechanism_space")
+        .when((n_triplets > 5000) | (herfindahl > 0.45), "higher_rule_complexity_or_axis_concentration")
+        .when(n_selected == balance, "primary_balance_point")
+        .otherwise("sensitivity_comparator_only")
+    )

@@ -28,7 +28,7 @@ def _words(pattern: str) -> str:
 
 def label_names() -> list[str]:
     """Names that meet every decision, alone, within a longer name, and next to one that comes before it."""
-    found = {"", "plain_name_here", "a_b_c_d", "VEHUSAGE_AGE", "V0_VKREG", "VKREG", "ALTER1", "x(ALTER1)", "FEATURE_AGE_YEARS"}
+    found = {"", "plain_name_here", "a_b_c_d", "VEHUSAGE_AGE", "V0_VKREG", "VKREG", "ALTER1", "x(ALTER1)", "FEATURE_AGE_YEARS", "有x具体未知", "具体未知"}
     for d in (*taxonomy.FAMILY, *taxonomy.MISSING, *taxonomy.SOURCE, *taxonomy.SEMANTIC, *taxonomy.THRESHOLD):
         for w in (*map(_words, d.words), *d.parts, *d.letters, *d.texts):
             found |= {w, f"VEH_{w}_1", f"x{w.lower()}y"}
@@ -66,7 +66,7 @@ _REST = f"CASE WHEN len({_PARTS}) >= 3 THEN array_to_string(list_slice({_PARTS},
 NAME_LABELS = f"""WITH n AS (SELECT name, upper(name) AS capitals, regexp_replace(upper(name), '[^A-Z0-9]+', '_', 'g') AS compact
   FROM (VALUES {", ".join(f"('{n}')" for n in label_names())}) v(name)),
 s AS (SELECT *, CASE WHEN name = 'FEATURE_Age_Over60' THEN name ELSE {_classify_sql(taxonomy.SOURCE, _REST)} END AS source,
-  {_classify_sql(taxonomy.MISSING, "'not_missing_category'")} AS missing FROM n)
+  CASE WHEN contains(name, '具体未知') AND regexp_matches(name, '有|存在') THEN 'partial_unknown_detail' ELSE {_classify_sql(taxonomy.MISSING, "'not_missing_category'")} END AS missing FROM n)
 SELECT name, {_classify_sql(taxonomy.FAMILY, "'other'")} AS family, missing, source,
   CASE WHEN missing = 'pure_missing_unknown' THEN 'unknown_missing_category' ELSE {_classify_sql(taxonomy.SEMANTIC, "'other_unique:' || source")} END AS semantic,
   {_classify_sql(taxonomy.THRESHOLD, "'train_median_exploratory'")} AS threshold,
@@ -429,9 +429,55 @@ def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULE_CHECKS = f"{R.GRADED_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS name, CASE WHEN {c} THEN 'PASS' ELSE 'FAIL' END AS status FROM graded" for n,
     _, c in _rule_checks())
 
+def rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every graded pair is called, asks for, and where it may be reported."""
+    g = R._graded(spark, sf_dir)
+    labels = {"interpretation": taxonomy.interpretation(F.col("families")), "strength": evidence.strength_label(F.col("tier")), "place": evidence.manuscript_place(F.col("tier"))}
+    return g.select("antecedent", *(c.alias(n) for n, c in labels.items()))
+
+
+def _mapped(table: dict[str, str], otherwise: str) -> str:
+    return "CASE tier " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{otherwise}' END"
+
+
+_ACTIONS = ", ".join(f"CASE WHEN list_has_any(families, [{', '.join(map(repr, own))}]) THEN '{action}' END" for own, action in taxonomy.ACTIONS)
+RULE_LABELS = f"""{R.GRADED_SQL} SELECT antecedent, coalesce(nullif(concat_ws('; ', {_ACTIONS}), ''), '{taxonomy.NO_ACTION}') AS interpretation,
+  {_mapped(evidence.STRENGTH, evidence.NO_STRENGTH)} AS strength, {_mapped(evidence.PLACE, evidence.NO_PLACE)} AS place FROM graded"""
+
+
+def axis_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every axis with the numbers of its graded and mined pairs, and what it contributes."""
+    axes = I.local(spark, [(a,) for a in R.AXIS_LABELS], "axis string")
+    graded = evidence.axis_summary(R._graded(spark, sf_dir)).select("axis", "n_core", "n_binary", "n_statistical", "n_replayable")
+    counted = evidence.spine(axes, {"n_universe": R._mined(spark, sf_dir).withColumn("axis", R.axis())}).join(graded, "axis", "left")
+    counted = counted.na.fill(0, ["n_core", "n_binary", "n_statistical", "n_replayable"])
+    return counted.withColumn("role", evidence.coverage_role(F.col("n_core"), F.col("n_binary"), F.col("n_replayable"), F.lit(0), F.col("n_universe")))
+
+
+AXIS_ROLES = f"""{R.GRADED_SQL}, {evaluated_sql("pairs", "train", "e2")}, axes(axis) AS (VALUES {", ".join(f"('{a}')" for a in R.AXIS_LABELS)}),
+m AS (SELECT {R.axis_sql()} AS axis, count(*) AS n_universe FROM e2 WHERE support >= {R.SUPPORT}::DOUBLE AND lift >= {R.LIFT}::DOUBLE GROUP BY 1),
+g AS (SELECT axis, {_TIER_COUNTS}, count(*) FILTER (WHERE tier = '{evidence.REPLAYABLE}') AS n_replayable FROM graded GROUP BY axis),
+j AS (SELECT axis, coalesce(n_universe, 0) AS n_universe, coalesce(n_core, 0) AS n_core, coalesce(n_binary, 0) AS n_binary, coalesce(n_statistical, 0) AS n_statistical, coalesce(n_replayable, 0) AS n_replayable
+  FROM axes LEFT JOIN m USING (axis) LEFT JOIN g USING (axis))
+SELECT *, CASE WHEN n_core + n_binary > 0 THEN 'confirmed primary evidence' WHEN n_replayable > 0 THEN 'replayable governance cue' WHEN n_universe > 0 THEN 'present in train-mined universe but not confirmed'
+  ELSE 'not observed under current train-only candidate criteria' END AS role FROM j"""
+
+
+def complexity_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the first N items compare as a space of rules."""
+    sweep = R.size_sweep(spark, sf_dir).select("n_features", "n_triplets")
+    concentration = R.herfindahl(spark, sf_dir).where("n_items = 3").select("herfindahl")
+    label = evidence.complexity_class(F.lit(0), F.col("n_triplets"), F.col("herfindahl"), F.col("n_features"), balance=10)
+    return sweep.crossJoin(F.broadcast(concentration)).select("n_features", "n_triplets", label.alias("complexity"))  # one row
+
+
+COMPLEXITY_CLASSES = f"""WITH s AS ({R.SIZE_SWEEP}), h AS ({R.HERFINDAHL})
+SELECT n_features, n_triplets, CASE WHEN n_triplets > 5000 OR herfindahl > 0.45::DOUBLE THEN 'higher_rule_complexity_or_axis_concentration' WHEN n_features = 10 THEN 'primary_balance_point'
+  ELSE 'sensitivity_comparator_only' END AS complexity FROM s, h WHERE n_items = 3"""
+
 NAMES = (
     "name_labels triplet_evidence triplet_report triplet_checks main_rule_table resolve_trace candidate_audit flag_alignment age_over60 unique_names formatted_baseline capped_levels set_equality mass_violations fixed_schema "
-    "key_texts median_items consensus_scores sweep_replay core_usage rule_checks"
+    "key_texts median_items consensus_scores sweep_replay core_usage rule_checks rule_labels axis_roles complexity_classes"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}

@@ -94,7 +94,7 @@ def test_texts(spark):
 def test_item_names_and_labels(spark):
     df = spark.createDataFrame([("V0", ">", 50.0, "precrash_speed"), ("x", "<=", -0.5, "other")], "s string, o string, t double, g string")
     name = text.item_name(F.col("s"), F.col("o"), F.col("t"))
-    got = df.select(name, taxonomy.display_label(F.col("g"), name, F.col("o"), F.col("t"))).collect()
+    got = df.select(name, taxonomy.display_label(F.col("s"), name, F.col("o"), F.col("t"))).collect()
     assert [tuple(r) for r in got] == [("V0___GT_50_0", "Initial speed > 50 km/h"), ("x___LE_m0_5", "x___LE_m0_5")]
 
 

@@ -149,3 +149,34 @@ def test_checks(spark):
 
     with pytest.raises(audit.ChecksFailed):
         audit.require_manifest([Item("a", "nowhere", ">", 1.0)], ["x"])
+
+
+def test_published_display_labels(spark):
+    # Source feature, operator, threshold, and its labels; all others keep their item's name.
+    cases = [
+        ("FEATURE_Age_Over60", "==", 1.0, "Age > 60 years", "年龄 > 60岁"),
+        ("VEH_意识到危险前的初始速度_V0", ">", 50.0, "Initial speed > 50 km/h", "初始速度 > 50 km/h"),
+        ("VEH_车高_HOEHE", ">", 1495.0, "Vehicle height > 1495 mm", "车辆高度 > 1495 mm"),
+        ("VEH_车长_LAENGE", ">", 4598.5, "Vehicle length > 4598.5 mm", "车辆长度 > 4598.5 mm"),
+        ("VEH_碰撞时的总重_GEWGES", ">", 1497.5, "Vehicle total weight > 1497.5", "车辆总重 > 1497.5"),
+        ("性别_GESCHL_3-男性", "==", 1.0, "Male", "男性"),
+        ("体重估计_GEWPG", ">", 70.0, "item", "item"),
+        ("VEH_碰撞速度_VK", None, None, "item", "item"),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "source string, op string, t double")
+    each = [taxonomy.display_label(F.col("source"), F.lit("item"), F.col("op"), F.col("t"), x) for x in taxonomy.LANGUAGES]
+    assert [tuple(r) for r in df.select(*each).collect()] == [c[3:] for c in cases]
+
+
+def test_rule_labels(spark):
+    df = spark.createDataFrame([(["light", "speed_v0"], evidence.CORE), (["other"], None), (["weather", "bio"], evidence.EXPLORATORY)], "families array<string>, tier string")
+    got = df.select(taxonomy.interpretation(F.col("families")), evidence.strength_label(F.col("tier")), evidence.manuscript_place(F.col("tier"))).collect()
+    assert tuple(got[0]) == ("speed management and conflict-speed reduction; lighting or night-visibility treatment", "priority governance target", "can enter main result discussion")
+    assert tuple(got[1]) == (taxonomy.NO_ACTION, evidence.NO_STRENGTH, evidence.NO_PLACE)
+    assert got[2][0] == "surface-friction and adverse-weather countermeasures; VRU vulnerability-sensitive protection"
+    roles = spark.createDataFrame([(1, 0, 0, 0, 0), (0, 0, 2, 0, 0), (0, 0, 0, 3, 0), (0, 0, 0, 0, 4), (0, 0, 0, 0, 0)], "a int, b int, c int, d int, e int")
+    found = [r[0].split()[0] for r in roles.select(evidence.coverage_role(*(F.col(c) for c in "abcde"))).collect()]
+    assert found == ["confirmed", "replayable", "hypothesis-generating", "present", "not"]
+    sizes = spark.createDataFrame([(1, 9, 0.1, 25), (0, 5001, 0.1, 25), (0, 9, 0.5, 25), (0, 9, 0.1, 25), (0, 9, 0.1, 20)], "m int, t int, h double, n int")
+    found = [r[0].split("_")[0] for r in sizes.select(evidence.complexity_class(*(F.col(c) for c in "mthn"))).collect()]
+    assert found == ["undercovered", "higher", "higher", "primary", "sensitivity"]
