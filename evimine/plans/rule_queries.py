@@ -195,23 +195,25 @@ def unconstrained_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _triplets(spark, sf_dir).where((F.col("support") >= SUPPORT) & (F.col("hit") >= TRIPLET_HITS) & (F.col("lift") >= LIFT))
     rank = F.row_number().over(W.orderBy(F.desc(F.round("lift", 12)), F.desc(F.round("confidence", 12)), "antecedent"))
     ranked = found.withColumn("train_rank", rank.cast("long"))
-    return ranked.select("antecedent", "hit", r6("lift").alias("lift"), "train_rank", (F.col("train_rank") <= 20).alias("in_top20"),
+    rule_id = F.format_string("UA%03d", "train_rank").alias("rule_id")
+    return ranked.select(rule_id, "antecedent", "hit", r6("lift").alias("lift"), "train_rank", (F.col("train_rank") <= 20).alias("in_top20"),
         (F.col("train_rank") <= 50).alias("in_top50"))
 
 
 UNCONSTRAINED_TRIPLETS = f"""{TRIPLETS_SQL},
 a AS (SELECT *, row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent) AS train_rank FROM full3
   WHERE support >= {SUPPORT}::DOUBLE AND hit >= {TRIPLET_HITS} AND lift >= {LIFT}::DOUBLE)
-SELECT antecedent, hit, round(lift, 6) AS lift, train_rank, train_rank <= 20 AS in_top20, train_rank <= 50 AS in_top50 FROM a"""
+SELECT printf('UA%03d', train_rank) AS rule_id, antecedent, hit, round(lift, 6) AS lift, train_rank, train_rank <= 20 AS in_top20, train_rank <= 50 AS in_top50 FROM a"""
 
 
 def arm_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.mine_frequent(_split(spark, sf_dir, "train"), ITEMS, "y", SUPPORT, LIFT, (3, 3))
-    return found.select("antecedent", r6("support").alias("support"), r6("lift").alias("lift"))
+    place = F.row_number().over(W.orderBy(F.desc(F.round("lift", 12)), F.desc(F.round("confidence", 12)), "antecedent"))
+    return found.select(F.format_string("ARM%03d", place).alias("rule_id"), "antecedent", r6("support").alias("support"), r6("lift").alias("lift"))
 
 
 ARM_TRIPLETS = f"""{BASE_SQL}, {evaluated_sql("triplets", "train", "e")}
-SELECT antecedent, round(support, 6) AS support, round(lift, 6) AS lift FROM e WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE"""
+SELECT printf('ARM%03d', row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent)) AS rule_id, antecedent, round(support, 6) AS support, round(lift, 6) AS lift FROM e WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE"""
 
 
 def topk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
