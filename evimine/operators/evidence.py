@@ -53,16 +53,25 @@ def bootstrap(train: DataFrame, items: list[I.Item], label: str, group: str, rul
     return rules.join(I.settled(counts), "bits", "left").withColumns(none)
 
 
-def sensitivity(test: DataFrame, items: list[I.Item], label: str, rules: DataFrame, deltas: tuple[float, ...] = DELTAS) -> DataFrame:
-    """rules with the least hits and the range of lifts as thresholds move; null for rules without a threshold. One scan."""
+def moved_patterns(test: DataFrame, items: list[I.Item], label: str, deltas: tuple[float, ...] = DELTAS) -> DataFrame:
+    """delta (place in deltas), bits, n and y of the patterns that rows have as thresholds move; one scan."""
     at = F.explode(F.array(*(F.struct(F.lit(i).alias("delta"), I.pattern(items, d).alias("bits")) for i, d in enumerate(deltas))))
     each = test.select(F.col(label).alias("y"), at.alias("d")).select("y", "d.delta", "d.bits")
-    seen = each.groupBy("delta", "bits").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("y"))
-    found = I.measures(I.evaluate(seen, rules.where("continuous = 1").select("bits"), by=("delta",)))
+    return each.groupBy("delta", "bits").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("y"))
+
+
+def sensitivity_of(moved: DataFrame, rules: DataFrame) -> DataFrame:
+    """rules with the least hits and the range of lifts over moved patterns; null for rules without a threshold."""
+    found = I.measures(I.evaluate(moved, rules.where("continuous = 1").select("bits"), by=("delta",)))
     least = found.groupBy("bits").agg(F.min("hit").alias("hit_min"), F.min("lift").alias("lift_min"), F.max("lift").alias("lift_max"), F.min("confidence").alias("confidence_min"))
     return rules.join(I.settled(least), "bits", "left")
 
 
+def sensitivity(test: DataFrame, items: list[I.Item], label: str, rules: DataFrame, deltas: tuple[float, ...] = DELTAS) -> DataFrame:
+    """sensitivity_of the patterns of test."""
+    return sensitivity_of(moved_patterns(test, items, label, deltas), rules)
+
+
 def tier(require_hit_stability: bool = False) -> Column:
     """The evidence ladder over resolved, hit, q_value, risk_ratio, recurrence, continuous, lift_min and hit_min; null compares false."""
     ok = lambda c: F.coalesce(c, F.lit(False))

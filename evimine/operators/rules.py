@@ -83,8 +83,12 @@ def select_diverse(ranked_rules: DataFrame, axis: Column, most: int = 15, axis_c
 
 def replay(test: DataFrame, items: list[I.Item], label: str, rules: DataFrame) -> DataFrame:
     """rules with their test hits, Wilson bounds, risk ratio, exact enrichment p-value and q-value; one scan of test."""
-    seen = I.settled(I.evaluate(I.patterns(test, items, label), rules))
-    return with_evidence(seen)
+    return replay_of(I.patterns(test, items, label), rules)
+
+
+def replay_of(seen: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same from patterns (bits, n, y)."""
+    return with_evidence(I.settled(I.evaluate(seen, rules)))
 
 
 def with_evidence(seen: DataFrame) -> DataFrame:

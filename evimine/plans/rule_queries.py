@@ -285,11 +285,21 @@ SELECT antecedent, hit_min, round(lift_min, 6) AS lift_min, round(lift_max, 6) A
   LEFT JOIN sens USING (antecedent)"""
 
 
+def _moved(spark, sf_dir) -> DataFrame:
+    """Patterns of test rows as thresholds move: at most 2**10 for each delta, as there are ten items."""
+    return I.settled(evidence.moved_patterns(_split(spark, sf_dir, "test"), ITEMS, "y"))
+
+
+def unmoved(patterns: DataFrame) -> DataFrame:
+    return patterns.where(F.col("delta") == evidence.DELTAS.index(0.0)).select("bits", "n", "y")
+
+
 def _graded(spark, sf_dir) -> DataFrame:
-    """Pairs with all evidence, graded by the ladder's own limits."""
-    seen = _replayed(spark, sf_dir).withColumn("resolved", F.lit(True))
+    """Pairs with all evidence, graded by the ladder's own limits; training and test rows are scanned once each."""
+    test = _moved(spark, sf_dir)
+    seen = rules.replay_of(unmoved(test), _pair_table(spark)).withColumn("resolved", F.lit(True))
     boot = evidence.bootstrap(_split(spark, sf_dir, "train"), ITEMS, "y", "grp", _pair_table(spark), ITERATIONS).select("antecedent", "recurrence")
-    moved = evidence.sensitivity(_split(spark, sf_dir, "test"), ITEMS, "y", _pair_table(spark)).select("antecedent", "hit_min", "lift_min")
+    moved = evidence.sensitivity_of(test, _pair_table(spark)).select("antecedent", "hit_min", "lift_min")
     return seen.join(boot, "antecedent").join(moved, "antecedent").withColumns({"tier": evidence.tier(), "axis": axis()})
 
 

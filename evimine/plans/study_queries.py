@@ -89,10 +89,11 @@ def _picked(spark, sf_dir) -> DataFrame:
 def _evidence(spark, sf_dir) -> DataFrame:
     picked = _picked(spark, sf_dir)
     train, test = R._split(spark, sf_dir, "train"), R._split(spark, sf_dir, "test")
-    seen = rules.replay(test, ITEMS, "y", picked).withColumn("resolved", F.lit(True))
+    patterns = R._moved(spark, sf_dir)
+    seen = rules.replay_of(R.unmoved(patterns), picked).withColumn("resolved", F.lit(True))
     table = picked.select("antecedent", "items", "bits", "continuous")
     boot = evidence.bootstrap(train, ITEMS, "y", "grp", table, R.ITERATIONS)
-    moved = evidence.sensitivity(test, ITEMS, "y", table)
+    moved = evidence.sensitivity_of(patterns, table)
     items = audit.item_replay(test, ITEMS).select("item", "unobserved_share").join(R.item_table(spark), "item")
     rows = triplets.with_validity(triplets.graded(seen, boot, moved), items)
     rows = rows.withColumn("value", triplets.value_flag(F.col("train_lift"), F.col("best_parent_lift")))
