@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evimine.llm import _text
+from evimine.llm._spark import forget
 
 #: Partial blocks merged by one task; names gathered before they are compressed.
 FAN_IN, GATHERED = 64, 1 << 20
@@ -121,6 +122,7 @@ def repeated(df: DataFrame, names: Names, bits: int, depth: int = 2, blocks: int
         return np.packbits(seen).tobytes()
 
     found = _tree(df.mapInArrow(partial, _SCHEMA), merge, finish)
+    forget(df.sparkSession)
     out = [np.zeros((1 << bits) // 8 or 1, np.uint8) for _ in range(depth)]
     for (row, block), bitmap in found.items():
         part = np.frombuffer(bitmap, np.uint8)
@@ -169,6 +171,7 @@ def counts(df: DataFrame, names: Names, bits: int, blocks: int = 16) -> np.ndarr
         return _narrow(total)
 
     found = _tree(df.mapInArrow(partial, _SCHEMA), merge, lambda payload: payload)
+    forget(df.sparkSession)
     out = np.zeros((blocks, each), np.uint32)
     for (_, block), part in found.items():
         out[block] = _wide(part)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -48,15 +49,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that a lost executor never replays what came before.
+def forget(spark: SparkSession) -> None:
+    """Let the driver notice what is no longer used, frames held in cycles first: only then does Spark drop the shuffle files behind it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
 
-    The driver then collects its garbage: only so does Spark drop the shuffle files of what came before earlier cuts.
-    """
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write df as a table in the shared folder and read it back, so that a lost executor never replays what came before; what earlier cuts were made of is forgotten first."""
     spark = df.sparkSession
+    forget(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

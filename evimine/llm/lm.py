@@ -10,7 +10,8 @@ All training words are counted exactly, and so is every bigram seen LEAST times
 occur once before they are counted, and none that occurs twice. Executors receive the automaton only: its states and arcs
 are bounded by HEAD and ARCS (those above a power of two that leaves at most so many), its failure weights come from all
 arcs. What is beyond it is looked up by shuffle: the count and failure weight of words that are no state, and per
-remaining bigram its gain over the failure arc and the root. All of it is a sum per document, so the score is that of the
+remaining bigram its gain over the failure arc and the root. A stretch of text asks each part for its names once, keeps
+the places where they occur, and adds up what it is told; so what moves follows the text, and the score is that of the
 whole model, whatever the bounds.
 """
 
@@ -21,15 +22,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimine.llm import _packed, _sketch, _text
-from evimine.llm._spark import cut
+from evimine.llm._spark import cut, forget, ship
 
 #: Most states and arcs of the automaton; fewest occurrences of an arc; discount.
 HEAD, ARCS, LEAST, DISCOUNT = 1 << 19, 1 << 20, 2, 0.75
-STRETCH_BYTES, GROUP_WORDS, SENT_BYTES = 16 << 20, 6_000_000, 2 << 20
+COUNT_BYTES, STRETCH_BYTES, STRETCH_TEXTS, GROUP_WORDS, SENT_BYTES = 8 << 20, 4 << 20, 50_000, 2_500_000, 2 << 20
 _START = 1 << 20  # a state beyond any word's
 _END = _START + 1
 #: Cells of a row of the sketch are 2**bits.
@@ -118,23 +120,22 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[_text.Chunk, _text.Words, np
         yield chunk, found, _text.hashes(chunk, found, lower=True)
 
 
-def _in_batches(made: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """part and payload, a bounded number of bytes (or one payload) at a time."""
-    held: list[tuple[int, bytes]] = []
-    size = 0
-
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], names=["part", "payload"])
-
-    for p, payload in made:
-        held.append((p, payload))
-        size += len(payload)
-        if size >= SENT_BYTES:
-            yield rows()
-            held.clear()
-            size = 0
+def _some(made: Iterator, size) -> Iterator[list]:
+    """Lists of what is made, a bounded number of bytes (or one of them) at a time."""
+    held, total = [], 0
+    for one in made:
+        held.append(one)
+        total += size(one)
+        if total >= SENT_BYTES:
+            yield held
+            held, total = [], 0
     if held:
-        yield rows()
+        yield held
+
+
+def _in_batches(made: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for held in _some(made, lambda r: len(r[1])):
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], names=["part", "payload"])
 
 
 def _counted(texts: DataFrame, keys, parts: int, least: int) -> DataFrame:
@@ -154,7 +155,7 @@ def _counted(texts: DataFrame, keys, parts: int, least: int) -> DataFrame:
             for chunk, found, names in _words(batch):
                 held.append(keys(found, names))
                 size += len(chunk.data)
-                if size >= STRETCH_BYTES:
+                if size >= COUNT_BYTES:
                     yield from rows()
                     size = 0
         if held:
@@ -164,16 +165,30 @@ def _counted(texts: DataFrame, keys, parts: int, least: int) -> DataFrame:
         pieces = _packed.unpack_all(t.column("payload").to_pylist(), (np.uint64, np.uint32))
         names, counts = _packed.summed(np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]).astype(np.int64))
         names, counts = names[counts >= least], counts[counts >= least]
-        sizes = np.bincount(np.frexp(counts)[1], minlength=65)  # by power of two
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "names": [names.tobytes()], "counts": [counts.tobytes()], "total": pa.array([int(counts.sum())], pa.int64()), "kinds": pa.array([len(names)], pa.int64()), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64()))})
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "names": [names.tobytes()], "counts": [counts.tobytes()], "total": pa.array([int(counts.sum())], pa.int64()), "kinds": pa.array([len(names)], pa.int64())})
+
+    return texts.mapInArrow(run, "part int, payload binary").groupBy("part").applyInArrow(merge, "part int, names binary, counts binary, total long, kinds long")
+
+
+def _names_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for names, counts in zip(batch.column("names").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            yield np.frombuffer(names, np.uint64), np.frombuffer(counts, np.int64)
 
-    return texts.mapInArrow(run, "part int, payload binary").groupBy("part").applyInArrow(merge, "part int, names binary, counts binary, total long, kinds long, sizes array<long>")
 
+def _largest(counted: DataFrame, most: int, each) -> tuple[np.ndarray, np.ndarray]:
+    """Names and counts (each: of batches of counted) from the smallest power of two that leaves at most so many, by name.
 
-def _largest(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Names and counts from the smallest power of two that leaves at most so many; the sum and number of all."""
-    sizes = counted.select(F.posexplode("sizes").alias("power", "n")).groupBy("power").agg(F.sum("n").alias("n")).collect()
-    total = counted.agg(F.sum("total"), F.sum("kinds")).first()
+    Two passes of one Python step each: steps in a row would hold a worker of their own per task.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(65, np.int64)
+        for _, counts in each(batches):
+            total += np.bincount(np.frexp(counts)[1], minlength=65)  # by power of two
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["sizes"])
+
+    sizes = counted.mapInArrow(tally, "sizes array<long>").select(F.posexplode("sizes").alias("power", "n")).groupBy("power").agg(F.sum("n").alias("n")).collect()
     by_power, power, left = {r["power"]: r["n"] for r in sizes}, 65, 0
     while power > 0 and left + by_power.get(power - 1, 0) <= most:
         power -= 1
@@ -181,20 +196,24 @@ def _largest(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int
     least = 2 ** (power - 1) if power else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for names, counts in zip(batch.column("names").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                names, counts = np.frombuffer(names, np.uint64), np.frombuffer(counts, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([names[counts >= least].tobytes()]), pa.array([counts[counts >= least].tobytes()])], names=["names", "counts"])
+        for names, counts in each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([names[counts >= least].tobytes()]), pa.array([counts[counts >= least].tobytes()])], names=["names", "counts"])
 
-    rows = counted.select("names", "counts").mapInArrow(run, "names binary, counts binary").collect()
+    rows = counted.mapInArrow(run, "names binary, counts binary").collect()
     names = np.frombuffer(b"".join(bytes(r["names"]) for r in rows), np.uint64)
     counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.int64)
     order = np.argsort(names, kind="stable")
-    return names[order], counts[order], int(total[0] or 0), int(total[1] or 0)
+    return names[order], counts[order]
 
 
-def _counted_pairs(texts: DataFrame, bitmaps, bits: int, parts: int) -> DataFrame:
-    """part, both names and counts (packed) of all bigrams that occur LEAST times or more, and their number."""
+_SENT_PAIRS = (np.uint64, np.uint32, np.uint64, np.uint64, np.uint32)
+
+
+def _counted_pairs(texts: DataFrame, bitmaps, head, bits: int, parts: int) -> DataFrame:
+    """part, both names and counts (packed) of all bigrams that occur LEAST times or more, and their number.
+
+    Bigrams of two states (head: their names, sent) travel as the states' numbers, others as two names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -205,7 +224,12 @@ def _counted_pairs(texts: DataFrame, bitmaps, bits: int, parts: int) -> DataFram
             held.clear()
             names, at, counts = np.unique(_pair(before, now), return_index=True, return_counts=True)
             before, now, counts = before[at], now[at], counts.astype(np.uint32)
-            yield from _in_batches((p, _packed.pack(before[r], now[r], counts[r])) for p, r in _packed.runs(names, parts))
+            n = len(head.value)
+            from_ = np.where(before == START_NAME, n, _at(head.value, before))
+            to = np.where(now == END_NAME, n, _at(head.value, now))
+            short, key = (from_ >= 0) & (to >= 0), (from_ << 21 | to).astype(np.uint64)
+            pick = lambda r: (key[r][short[r]], counts[r][short[r]], before[r][~short[r]], now[r][~short[r]], counts[r][~short[r]])
+            yield from _in_batches((p, _packed.pack(*pick(r))) for p, r in _packed.runs(names, parts))
 
         for batch in batches:
             for chunk, found, names in _words(batch):
@@ -213,15 +237,19 @@ def _counted_pairs(texts: DataFrame, bitmaps, bits: int, parts: int) -> DataFram
                 may = _sketch.maybe(bitmaps.value, _pair(before, now), bits)
                 held.append((before[may], now[may]))
                 size += len(chunk.data)
-                if size >= STRETCH_BYTES:
+                if size >= COUNT_BYTES:
                     yield from rows()
                     size = 0
         if held:
             yield from rows()
 
     def merge(t: pa.Table) -> pa.Table:
-        pieces = _packed.unpack_all(t.column("payload").to_pylist(), (np.uint64, np.uint64, np.uint32))
-        before, now, each = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        pieces = _packed.unpack_all(t.column("payload").to_pylist(), _SENT_PAIRS)
+        key, often, before, now, each = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        key = key.astype(np.int64)
+        before = np.concatenate([before, np.append(head.value, START_NAME)[key >> 21]])
+        now = np.concatenate([now, np.append(head.value, END_NAME)[key & ((1 << 21) - 1)]])
+        each = np.concatenate([each, often])
         _, at, back = np.unique(_pair(before, now), return_index=True, return_inverse=True)
         counts = np.bincount(back, each, len(at)).astype(np.int64)
         keep = counts >= LEAST
@@ -341,10 +369,12 @@ def _gains(pairs: DataFrame, words: DataFrame, sent, parts: int) -> DataFrame:
 
 def learn(training: DataFrame, parts: int, bits: int) -> tuple[Automaton, DataFrame, DataFrame | None, object]:
     """The automaton of training (column text), all words, the gains of bigrams beyond it if there are any, and the sketch (sent)."""
+    ship(training.sparkSession)
     context = training.sparkSession.sparkContext
     texts = training.count()
     vocabulary = cut(_counted(training, lambda found, names: names, parts, 1), "vocabulary")
-    names, counts, total, kinds = _largest(vocabulary, HEAD)
+    names, counts = _largest(vocabulary.select("names", "counts"), HEAD, _names_and_counts)
+    total, kinds = (int(x or 0) for x in vocabulary.agg(F.sum("total"), F.sum("kinds")).first())
     empty = np.zeros(0)
     model = Automaton(names, empty, empty, empty, empty, total + texts, kinds + (texts > 0))
 
@@ -353,9 +383,9 @@ def learn(training: DataFrame, parts: int, bits: int) -> tuple[Automaton, DataFr
             yield _pair(*_named(words, found.first))
 
     bitmaps = context.broadcast(_sketch.repeated(training, seen, bits, DEPTH))
-    pairs = cut(_counted_pairs(training, bitmaps, bits, parts), "bigrams")
-    words = cut(_with_arcs(vocabulary, pairs, parts), "words")
     head = context.broadcast(names)
+    pairs = cut(_counted_pairs(training, bitmaps, head, bits, parts), "bigrams")
+    words = cut(_with_arcs(vocabulary, pairs, parts), "words")
 
     def of_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,21 +394,19 @@ def learn(training: DataFrame, parts: int, bits: int) -> tuple[Automaton, DataFr
                 at = _at(head.value, who)
                 yield pa.RecordBatch.from_arrays([pa.array([at[at >= 0].astype(np.int32).tobytes()]), pa.array([much[at >= 0].tobytes()]), pa.array([start], pa.float64())], names=["at", "kept", "start"])
 
-    def between_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def between_states(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = len(head.value)
         for before, now, often in _each_pair(batches):
             from_ = np.where(before == START_NAME, n, _at(head.value, before))
             to = np.where(now == END_NAME, n, _at(head.value, now))
             both = (from_ >= 0) & (to >= 0)
-            often = often[both]
-            sizes = np.bincount(np.frexp(often)[1], minlength=65)
-            yield pa.RecordBatch.from_arrays([pa.array([(from_ << 21 | to)[both].astype(np.uint64).tobytes()]), pa.array([often.tobytes()]), pa.array([int(often.sum())], pa.int64()), pa.array([len(often)], pa.int64()), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["names", "counts", "total", "kinds", "sizes"])
+            yield (from_ << 21 | to)[both].astype(np.uint64), often[both]
 
     kept = np.zeros(len(names) + 1)
     for r in words.select("names", "kept", "start").mapInArrow(of_states, "at binary, kept binary, start double").collect():
         kept[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["kept"], np.float64)
         kept[-1] += r["start"]
-    arcs, often, _, _ = _largest(pairs.mapInArrow(between_states, "names binary, counts binary, total long, kinds long, sizes array<long>"), ARCS)
+    arcs, often = _largest(pairs, ARCS, between_states)
     arcs = arcs.astype(np.int64)
     from_, to = arcs >> 21, arcs & ((1 << 21) - 1)
     state_count = np.append(counts, texts).astype(np.float64)
@@ -400,73 +428,88 @@ def fit(training: DataFrame, parts: int, bits: int = LEAST_BITS) -> tuple[Automa
     return learn(training, parts, bits)[:2]
 
 
-_KINDS = (np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
-_ROW = "id long, row_key long, rows long, n_tokens long, n_known long, base double, score double"
-
-
-def _grouped(names: np.ndarray, docs: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, slice]]:
-    """Names, documents and times, each pair once, and the run of each part."""
-    order = np.lexsort((docs, names))
-    names, docs = names[order], docs[order]
-    first = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (docs[1:] != docs[:-1]))) if len(names) else np.zeros(0, np.int64)
-    times = np.diff(np.append(first, len(names))).astype(np.uint32)
-    names, docs = names[first], docs[first]
-    mixed = _text.mix(names)
-    order = np.argsort(mixed, kind="stable")
-    return names[order], docs[order], times[order], dict(_packed.runs(mixed[order], parts))
+#: What a stretch keeps: entries per name, documents and times of words, then of bigrams; ids, flags, tokens, known, base and score of its rows.
+_HELD = (np.uint32, np.uint16, np.uint32) * 2 + (np.int64, np.uint8, np.int64, np.int64, np.float64, np.float64)
+_ASKED, _TOLD = (np.uint64, np.uint64), (np.int64, np.float64, np.float64)
+_NO_ID, _HELD_OUT = 1, 2
 
 
 class _Stretch:
-    """Scores so far of some documents, and the words and bigrams that are still to be looked up."""
+    """Scores so far of some rows, and the words and bigrams that are still to be looked up."""
 
     def __init__(self) -> None:
         self.names, self.docs, self.pairs, self.pair_docs, self.done, self.count, self.bytes = [], [], [], [], [], 0, 0
 
-    def payloads(self, parts: int) -> Iterator[tuple[int, bytes]]:
-        ids, keys, n_tokens, known, base, score = (np.concatenate(x) for x in zip(*self.done, strict=True))
-        # lookups go to the part that has the word or the bigram
-        names, docs, times, runs = _grouped(np.concatenate(self.names), np.concatenate(self.docs), parts)
-        pairs, pair_docs, pair_times, pair_runs = _grouped(np.concatenate(self.pairs), np.concatenate(self.pair_docs), parts)
-        self.names, self.docs, self.pairs, self.pair_docs = [], [], [], []
-        home = np.arange(len(ids)) % parts
-        for p in range(parts):
-            look, also = runs.get(p, slice(0, 0)), pair_runs.get(p, slice(0, 0))
-            own = np.flatnonzero(home == p)
-            used, doc = np.unique(np.append(docs[look], pair_docs[also]), return_inverse=True)
-            if len(doc) or len(own):
-                doc, n = doc.astype(np.uint32), len(docs[look])
-                yield p, _packed.pack(names[look], doc[:n], times[look], pairs[also], doc[n:], pair_times[also], ids[used], keys[used], ids[own], keys[own], n_tokens[own], known[own], base[own], score[own])
-
-
-def _look_up(model_scale: tuple[int, int]):
+    def rows(self, parts: int) -> Iterator[tuple[int, bool, bytes]]:
+        """part, whether it is a question, and payload: what is asked of each part, every name once, and what the stretch keeps until it is told."""
+        asked, held = [], []
+        for names, docs in ((self.names, self.docs), (self.pairs, self.pair_docs)):
+            names, docs = np.concatenate(names), np.concatenate(docs)
+            mixed = _text.mix(names)
+            order = np.lexsort((docs, mixed))  # parts rise with the mixed name
+            names, docs, mixed = names[order], docs[order], mixed[order]
+            new = np.append(True, mixed[1:] != mixed[:-1])[: len(mixed)]
+            first = np.flatnonzero(new | np.append(True, docs[1:] != docs[:-1])[: len(docs)])
+            times = np.diff(np.append(first, len(docs))).astype(np.uint32)
+            names, docs, new = names[first], docs[first], np.flatnonzero(new[first])
+            held += [np.diff(np.append(new, len(docs))).astype(np.uint32), docs.astype(np.uint16), times]
+            asked.append((names[new], dict(_packed.runs(mixed[first][new], parts))))
+        (words, in_words), (pairs, in_pairs) = asked
+        none = slice(0, 0)
+        for p in sorted(in_words.keys() | in_pairs.keys()):
+            yield p, True, _packed.pack(words[in_words.get(p, none)], pairs[in_pairs.get(p, none)])
+        done = [np.concatenate(x) for x in zip(*self.done, strict=True)]
+        yield int(done[0][0]) % parts, False, _packed.pack(*held, *done)
+
+
+def _look_up(counted: pa.Table, wanted: pa.Table) -> pa.Table:
+    """Answers to all questions of a part: counts and failure weights of words, and gains of bigrams; what stretches keep passes through (part -1)."""
+    columns = [np.frombuffer(b"".join(x or b"" for x in counted.column(c).to_pylist()), k) for c, k in (("names", np.uint64), ("counts", np.int64), ("kept", np.float64), ("pairs", np.uint64), ("gains", np.float64))]
+    # the last of each stands for what is not there
+    names, pairs = columns[0], columns[3]
+    counts, kept, gains = (np.append(c, 0) for c in (columns[1], columns[2], columns[4]))
+    failure = np.log10(np.where(counts > 0, (counts - kept) / np.maximum(counts, 1), 1.0))
+    part, out = [], []
+    for p, question, payload in zip(*(wanted.column(c).to_pylist() for c in ("part", "question", "payload")), strict=True):
+        if question:
+            asked, asked_pairs = _packed.unpack(payload, _ASKED)
+            at = _at(names, asked)
+            payload = _packed.pack(counts[at], failure[at], gains[_at(pairs, asked_pairs)])
+        part.append(p if question else -1)
+        out.append(payload)
+    return pa.table({"home": wanted.column("home"), "part": pa.array(part, pa.int32()), "payload": pa.array(out, pa.binary())})
+
+
+def _finish(model_scale: tuple[int, int]):
     tokens, kinds = model_scale
     unigram = Automaton(*[np.zeros(0)] * 5, tokens, kinds).unigram
 
-    def run(counted: pa.Table, wanted: pa.Table) -> pa.Table:
-        columns = [np.frombuffer(b"".join(x or b"" for x in counted.column(c).to_pylist()), k) for c, k in (("names", np.uint64), ("counts", np.int64), ("kept", np.float64), ("pairs", np.uint64), ("gains", np.float64))]
-        # the last of each stands for what is not there
-        names, pairs = columns[0], columns[3]
-        counts, kept, gains = (np.append(c, 0) for c in (columns[1], columns[2], columns[4]))
-        failure = np.log10(np.where(counts > 0, (counts - kept) / np.maximum(counts, 1), 1.0))
-        out = []
-        for payload in wanted.column("payload").to_pylist():
-            asked, doc, times, asked_pairs, pair_doc, pair_times, ids, keys, own_ids, own_keys, n_tokens, known, base, score = _packed.unpack(payload, _KINDS)
-            at = _at(names, asked)
-            c = counts[at]
-            more = np.bincount(doc, unigram(c.astype(np.float64)) * times, len(ids))
-            less = np.bincount(doc, failure[at] * times, len(ids)) + np.bincount(pair_doc, gains[_at(pairs, asked_pairs)] * pair_times, len(ids))
-            there = np.bincount(doc, (c > 0) * times.astype(np.int64), len(ids)).astype(np.int64)
-            none = np.zeros(len(ids), np.int64)
-            out.append((ids, keys, none, none, there, more, more + less))
-            out.append((own_ids, own_keys, np.ones(len(own_ids), np.int64), n_tokens, known, base, score))
-        fields = ("id", "row_key", "rows", "n_tokens", "n_known", "base", "score")
-        kinds_ = [pa.int64()] * 5 + [pa.float64()] * 2
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 7
-        return pa.table({f: pa.array(c, k) for f, c, k in zip(fields, columns, kinds_, strict=True)})
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("part").to_pylist(), t.column("payload").to_pylist(), strict=True), key=lambda r: r[0])
+        times, docs, often, pair_times, pair_docs, pair_often, ids, flags, n_tokens, known, base, score = _packed.unpack(rows[0][1], _HELD)
+        told = [_packed.unpack(payload, _TOLD) for _, payload in rows[1:]]
+        counts, failure, gains = (np.concatenate([x[i] for x in told]) if told else np.zeros(0, k) for i, k in enumerate(_TOLD))
+        n, each = len(ids), np.repeat(np.arange(len(times)), times)
+        more = np.bincount(docs, unigram(counts.astype(np.float64))[each] * often, n)
+        less = np.bincount(docs, failure[each] * often, n) + np.bincount(pair_docs, gains[np.repeat(np.arange(len(pair_times)), pair_times)] * pair_often, n)
+        there = np.bincount(docs, (counts > 0)[each] * often.astype(np.int64), n).astype(np.int64)
+        columns = {
+            "doc_id": pa.array(ids, pa.int64(), mask=(flags & _NO_ID) > 0),
+            "held_out": pa.array((flags & _HELD_OUT) > 0),
+            "n_tokens": pa.array(n_tokens),
+            "n_known": pa.array(known + there),
+            "train_tokens": pa.array(np.full(n, tokens, np.int64)),
+            "base_score": pa.array(base + more),
+            "score": pa.array(score + more + less),
+        }
+        return pa.table(columns)
 
     return run
 
 
+_ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 
@@ -477,21 +520,26 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     """
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
-    no_id = F.lit(1 << 40).cast("long")
-    key = F.hash(text).cast("long") + F.when(F.col(doc_id).isNull(), no_id).otherwise(0) + F.when(held, F.lit(1 << 41).cast("long")).otherwise(0)
-    read = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), key.alias("row_key"), F.col(text).alias("text"), held.alias("held"))
+    flags = F.when(F.col(doc_id).isNull(), _NO_ID).otherwise(0) + F.when(held, _HELD_OUT).otherwise(0)
+    read = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), flags.cast("byte").alias("flags"), F.col(text).alias("text"), held.alias("held"))
     words = int(read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     parts = max(1, -(-3 * words // GROUP_WORDS))  # a token is looked up as a word, as what comes before, and in a bigram
     bits = min(MOST_BITS, max(LEAST_BITS, words.bit_length()))
     model, vocabulary, gains, bitmaps = learn(read.where(~F.col("held")).select("text"), parts, bits)
     beyond = gains is not None
+    forget(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretch = _Stretch()
+        stretch, home = _Stretch(), TaskContext.get().partitionId() << 32
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for made in _some(stretch.rows(parts), lambda r: len(r[2])):
+                part, question, payload = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([home] * len(part), pa.int64()), pa.array(question), pa.array(payload, pa.binary())], names=["part", "home", "question", "payload"])
 
         for batch in batches:
-            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row_key"))
+            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "flags"))
             for chunk, found, names in _words(batch):
                 automaton = sent.value
                 states = automaton.states(names)
@@ -499,42 +547,28 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
                 rest = np.flatnonzero(states < 0)
                 stretch.names.append(names[rest])
                 stretch.docs.append((found.rows[rest] + stretch.count).astype(np.uint32))
-                pairs = np.zeros(0, np.uint64)
+                pairs, look = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if beyond:
                     pairs = _pair(*_named(names, found.first))
                     look = np.flatnonzero(~arc & _sketch.maybe(bitmaps.value, pairs, bits))
                     pairs = pairs[look]
-                    stretch.pair_docs.append((np.repeat(np.arange(len(found.counts)), found.counts + 1)[look] + stretch.count).astype(np.uint32))
-                else:
-                    stretch.pair_docs.append(np.zeros(0, np.uint32))
                 stretch.pairs.append(pairs)
+                stretch.pair_docs.append((np.repeat(np.arange(len(found.counts)), found.counts + 1)[look] + stretch.count).astype(np.uint32))
                 seen = _text.per_row(states >= 0, found.first) + (automaton.tokens > 0)
-                stretch.done.append((ids[chunk.low : chunk.high], keys[chunk.low : chunk.high], found.counts + 1, seen, base, total))
+                own = slice(chunk.low, chunk.high)
+                stretch.done.append((ids[own], marks[own].astype(np.uint8), found.counts + 1, seen, base, total))
                 stretch.count += chunk.high - chunk.low
                 stretch.bytes += len(chunk.data)
-                if stretch.bytes >= STRETCH_BYTES:
-                    yield from _in_batches(stretch.payloads(parts))
-                    stretch = _Stretch()
+                if stretch.bytes >= STRETCH_BYTES or stretch.count >= STRETCH_TEXTS:
+                    yield from rows()
+                    stretch, home = _Stretch(), home + 1
         if stretch.count:
-            yield from _in_batches(stretch.payloads(parts))
+            yield from rows()
 
-    wanted = read.select("id", "row_key", "text").mapInArrow(run, "part int, payload binary")
+    wanted = read.select("id", "flags", "text").mapInArrow(run, "part int, home long, question boolean, payload binary")
     none = F.lit(None).cast("binary")
     known = vocabulary.select("part", "names", "counts", "kept", none.alias("pairs"), none.alias("gains"))
     if beyond:
         known = known.union(gains.select("part", none, none, none, "pairs", "gains"))
-    found = known.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_look_up((model.tokens, model.kinds)), _ROW)
-    sums = found.groupBy("id", "row_key").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")))
-    # rows equal in id and text were added up together
-    each = lambda c: (F.col(c) / F.col("rows"))
-    rows = sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_i"))
-    bit = lambda n: F.shiftright(F.col("row_key") + F.lit(1 << 32).cast("long"), n).bitwiseAND(F.lit(1).cast("long")) == 1
-    return rows.select(
-        F.when(~bit(40), F.col("id")).alias("doc_id"),
-        bit(41).alias("held_out"),
-        each("n_tokens").cast("long").alias("n_tokens"),
-        each("n_known").cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        each("base").alias("base_score"),
-        each("score").alias("score"),
-    )
+    told = known.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_look_up, "home long, part int, payload binary")
+    return told.groupBy("home").applyInArrow(_finish((model.tokens, model.kinds)), _ROW)
