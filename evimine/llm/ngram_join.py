@@ -13,6 +13,8 @@ that two of them can add: the sets of the smaller visit blocks of the larger, an
 link, from exact intersections with all its sets at once. No link that could join two components is lost, and no pair of
 sets is a row.
 
+Sets are named by 64 bits and told apart by 64 more: should two have one name, all are named anew under another salt.
+
 Postings travel packed and meet in groups of shingles whose number follows the input; copies are dropped where the text is
 read, so a group of copies is posted once per stretch of text.
 """
@@ -46,6 +48,8 @@ SLOTS = 1 << 21
 STRETCH_BYTES, STRETCH_ROWS, GROUP_POSTINGS = 8 << 20, 30_000, 2_000_000
 #: Shingles of a component's block, and of the sets that visit a block at once.
 BLOCK, VISIT = 1 << 17, 1 << 20
+#: Salt of the second fingerprint, which tells sets apart that have one fingerprint by chance.
+CHECK = 1 << 32
 
 
 def shingle_sets(chunk: _text.Chunk, width: int = WIDTH) -> list[np.ndarray]:
@@ -65,8 +69,8 @@ def shingle_sets(chunk: _text.Chunk, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def _fingerprint(shingles: np.ndarray) -> int:
-    total = np.array([_text.mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)
+def _fingerprint(shingles: np.ndarray, salt: int) -> int:
+    total = np.array([_text.mix(shingles + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)
     return int(_text.mix(total).view(np.int64)[0])
 
 
@@ -242,17 +246,30 @@ def _set_rows(batch: pa.RecordBatch) -> Iterator[tuple[_text.Chunk, list[np.ndar
         yield chunk, shingle_sets(chunk)
 
 
-def members(read: DataFrame, order, bits: int) -> DataFrame:
-    """doc_id, set (its fingerprint), n_shingles and grp of every row of read."""
+def members(read: DataFrame, order, bits: int, salt: int = 0) -> DataFrame:
+    """doc_id, set (its fingerprint), check (another one), n_shingles and grp of every row of read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for _, part in _set_rows(batch) for s in part]
             groups = [_group(prefix(s, order.value, bits), len(s)) if len(s) else 0 for s in sets]
-            columns = [batch.column("doc_id"), pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(groups, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "n_shingles", "grp"])
+            names, checks = ([_fingerprint(s, x) for s in sets] for x in (salt, CHECK + salt))
+            columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (names, checks, [len(s) for s in sets], groups))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "check", "n_shingles", "grp"])
+
+    return read.mapInArrow(run, "doc_id long, set long, check long, n_shingles long, grp long")
+
 
-    return read.mapInArrow(run, "doc_id long, set long, n_shingles long, grp long")
+def _identified(read: DataFrame, order, bits: int) -> tuple[DataFrame, DataFrame, int]:
+    """members, their distinct sets per group (set, grp, first_id, n), and a salt under which no two different sets have one fingerprint."""
+    salt = 0
+    while True:
+        member = cut(members(read, order, bits, salt), "members")
+        some = member.where("n_shingles > 0").groupBy("set", "grp")
+        known = cut(some.agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi")), "known")
+        if known.groupBy("set").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").isEmpty():
+            return member, known.drop("lo", "hi"), salt
+        salt += 1
 
 
 def candidates(read: DataFrame, order, bits: int, parts: int) -> DataFrame:
@@ -283,7 +300,7 @@ def candidates(read: DataFrame, order, bits: int, parts: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(_pair, _FOUND)
 
 
-def _sets(read: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
+def _sets(read: DataFrame, wanted: DataFrame, known: DataFrame, salt: int) -> DataFrame:
     """set and shingles of the wanted sets, and of a few more. known: set and the id of one of its documents."""
     ids = wanted.distinct().join(known, "set").select(F.col("first_id").alias("doc_id"))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
@@ -295,16 +312,16 @@ def _sets(read: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
         for batch in batches:
             some = batch.filter(pa.array(sent.value[batch.column("slot").to_numpy(zero_copy_only=False)]))
             for _, part in _set_rows(some):
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in part], pa.int64()), pa.array([s.tobytes() for s in part], pa.binary())], names=["set", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s, salt) for s in part], pa.int64()), pa.array([s.tobytes() for s in part], pa.binary())], names=["set", "shingles"])
 
     # copies have the same set; the joins leave out what passed the slots by chance
     held = read.select("text", slot.alias("slot")).mapInArrow(sets, "set long, shingles binary")
     return cut(held.groupBy("set").agg(F.min("shingles").alias("shingles")), "sets")
 
 
-def _verified(read: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _verified(read: DataFrame, pairs: DataFrame, known: DataFrame, salt: int) -> DataFrame:
     """Those pairs (a, b: fingerprints) whose sets link. known: set and the id of one of its documents."""
-    held = _sets(read, pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))), known)
+    held = _sets(read, pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))), known, salt)
     both = pairs.join(held.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(held.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -341,7 +358,7 @@ def _first_links(asking: pa.Table, block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def _across(read: DataFrame, meet: DataFrame, member_of: DataFrame, known: DataFrame) -> DataFrame:
+def _across(read: DataFrame, meet: DataFrame, member_of: DataFrame, known: DataFrame, salt: int) -> DataFrame:
     """Links (a, b) that join the components rx and ry of meet wherever they have any, the sets of rx visiting blocks of ry.
 
     member_of: set, n, root and l, the largest set it can link with. Blocks and visits are of bounded size, however large
@@ -357,7 +374,7 @@ def _across(read: DataFrame, meet: DataFrame, member_of: DataFrame, known: DataF
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = asking.join(load.select("ry", "visits"), "ry").select("ry", "set", some("visits").alias("visit"), each("blocks").alias("block"))
     holds = member_of.select(F.col("root").alias("ry"), "set").join(load, "ry").select("ry", "set", some("blocks").alias("block"), each("visits").alias("visit"))
-    held = _sets(read, asked.select("set").union(holds.select("set")), known)
+    held = _sets(read, asked.select("set").union(holds.select("set")), known, salt)
     asked = asked.join(held, "set").groupBy("ry", "block", "visit")
     holds = holds.toDF("y", "other", "part", "turn").join(held.toDF("other", "has"), "other").groupBy("y", "part", "turn")
     return asked.cogroup(holds).applyInArrow(_first_links, "a long, b long")
@@ -382,9 +399,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
             yield np.concatenate(sets)
 
     order = spark.sparkContext.broadcast(_sketch.counts(read.select("text"), names, ORDER_BITS))
-    member = cut(members(read, order, ORDER_BITS), "members")
-    known = member.where("n_shingles > 0").groupBy("set", "grp").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
-    known = cut(known, "known")
+    member, known, salt = _identified(read, order, ORDER_BITS)
     found = cut(candidates(read, order, ORDER_BITS, parts), "candidates")
 
     # group pairs to pairs of their members' sets; a group of several sets is a list of its own
@@ -398,7 +413,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     pairs = pairs.select("sa", "sb").unionByName(within_pairs)
     pairs = cut(pairs.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct(), "pairs")
     first_of = known.select("set", "first_id")
-    links = cut(_verified(read, pairs, first_of), "verified")
+    links = cut(_verified(read, pairs, first_of, salt), "verified")
     root = components(links)
 
     # what long lists still hold across components
@@ -422,7 +437,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     meet = meet.select(F.when(swap, F.col("ry")).otherwise(F.col("rx")).alias("rx"), F.when(swap, F.col("rx")).otherwise(F.col("ry")).alias("ry"))
     meet = cut(meet, "meet")
     if not meet.isEmpty():
-        found_more = _across(read, meet, member_of, first_of)
+        found_more = _across(read, meet, member_of, first_of, salt)
         root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found_more))
 
     rooted = known.groupBy("set").agg(F.min("first_id").alias("first_id")).join(root.withColumnRenamed("node", "set"), "set", "left")

@@ -114,3 +114,18 @@ def test_groups_of_links_of_many_sizes(spark):
             rows.append((family * 100 + k, " ".join(text)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.classes(df).collect()) == brute_classes(rows)
+
+
+def test_sets_of_one_fingerprint_are_named_anew(docs, texts, monkeypatch):
+    """Under the first salt all names are one; the rows are those of brute force all the same."""
+    real, seen = ngram_join.members, []
+
+    def narrow(read, order, bits, salt=0):
+        seen.append(salt)
+        made = real(read, order, bits, salt)
+        return made.withColumn("set", F.lit(5).cast("long")) if salt == 0 else made
+
+    monkeypatch.setattr(ngram_join, "members", narrow)
+    got = ngram_join.classes(docs).collect()
+    assert seen == [0, 1]
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_classes(texts)
