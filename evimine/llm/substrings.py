@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evimine.llm import _sketch, _text
-from evimine.llm._spark import ship
+from evimine.llm._spark import cut, ship
 
 WIDTH = 13
 #: Cells of a row of the sketch are 2**bits: at most 2**30 (a bitmap of 128 MB).
@@ -179,7 +179,8 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     against each other. All other columns stay; columns named n_words, n_removed or kept are replaced.
     """
     clean = docs.drop("n_words", "n_removed", "kept")
-    found = repeated_windows(docs, text, doc_id, width).groupBy("doc_id", _KEY).agg(F.collect_list("places").alias("_places"))
+    # written, so that the entries are gone from disk before texts move
+    found = cut(repeated_windows(docs, text, doc_id, width).groupBy("doc_id", _KEY).agg(F.collect_list("places").alias("_places")), "places")
     found = found.withColumnsRenamed({"doc_id": "_id", _KEY: "_k"})
     on = (F.col(doc_id).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_k"))
     joined = clean.join(found, on, "left").select(*clean.columns, "_places")
