@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import evimine
 
 _SHIPPED: set[str] = set()
-_FOLDERS: set[str] = set()
+_FOLDERS: dict[tuple[str, str | None], str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,17 +36,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application that all executors see, under spark.checkpoint.dir, else under the warehouse; it goes when the driver ends."""
+    """A folder of this application that all executors see; it goes when the driver ends.
+
+    It lies under spark.checkpoint.dir, else under the warehouse, or in a temporary folder if driver and executors are one process.
+    """
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/evimine-{context.applicationId}"
-    if path not in _FOLDERS:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    key = (context.applicationId, base)
+    if key not in _FOLDERS:
+        alone = context.master == "local" or context.master.startswith("local[")
+        under = base or (tempfile.mkdtemp(prefix="evimine-") if alone else spark.conf.get("spark.sql.warehouse.dir"))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{under.rstrip('/')}/evimine-{context.applicationId}")
         files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(folder)
         files.deleteOnExit(folder)
-        _FOLDERS.add(path)
-    return path
+        _FOLDERS[key] = folder.toString()
+    return _FOLDERS[key]
 
 
 def forget(spark: SparkSession) -> None:
