@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evimine.llm import ann, bpe, chat, langid, licenses, lm, mixing, ngram_join, quality, substrings
+from evimine.llm import ann, bpe, chat, distinct, langid, licenses, lm, mixing, ngram_join, quality, substrings
 from evimine.llm._spark import cut, id_fold, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -70,6 +70,15 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op13_theta_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients of two kinds of click in two weeks, counted exactly and estimated from sketches, for every day.
+
+    Clicks without client, kind or time take no part; repeated ones count once; no clicks give no rows.
+    """
+    clicks = table(spark, sf_dir, "clicks")
+    return distinct.window_pairs(clicks.select(F.col("client_id").alias("id"), "kind", F.unix_date(F.to_date("ts")).alias("day")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -81,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_examples": op9_chat_examples,
     "op10_quality_ledger": op10_quality_ledger,
+    "op13_theta_windows": op13_theta_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {
