@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evimine.llm import ann, bpe, chat, distinct, langid, licenses, lm, mixing, ngram_join, quality, substrings
+from evimine.llm import ann, bpe, chat, distinct, interaction, langid, licenses, lm, mixing, ngram_join, quality, substrings
 from evimine.llm._spark import cut, id_fold, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -70,6 +70,12 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of their orders, per language; null and empty texts are documents, no documents give no rows."""
+    rows = interaction.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return interaction.audit(interaction.prefix_counts(rows))
+
+
 def op13_theta_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients of two kinds of click in two weeks, counted exactly and estimated from sketches, for every day.
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_examples": op9_chat_examples,
     "op10_quality_ledger": op10_quality_ledger,
+    "op12_filter_audit": op12_filter_audit,
     "op13_theta_windows": op13_theta_windows,
 }
 
@@ -100,4 +107,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_source_mix": mixing.oracle(),
     "op9_chat_examples": chat.oracle(OWN_TURNS),
     "op10_quality_ledger": quality.oracle(),
+    "op12_filter_audit": interaction.oracle(),
 }

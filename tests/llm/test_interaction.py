@@ -1,0 +1,57 @@
+"""The bitmap index against filters applied one after the other in plain Python."""
+
+import random
+from itertools import permutations
+
+import numpy as np
+import pytest
+
+from evimine.llm import interaction
+
+
+def brute(rows, n):
+    out = {}
+    for part in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == part]
+        for order in permutations(range(n)):
+            alive = own
+            for step, f in enumerate(order):
+                gone = [r for r in alive if r[1] >> f & 1]
+                alive = [r for r in alive if not r[1] >> f & 1]
+                failing = sum(r[1] >> f & 1 for r in own)
+                only = sum(r[1] == 1 << f for r in own)
+                out[part, "".join("ABCDE"[x] for x in order), step + 1] = [len(alive), len(gone), failing - len(gone), only, sum(r[2] for r in gone), sum(r[3] for r in gone)]
+    share = {}
+    for (part, order, step), v in out.items():
+        share[part, order[step - 1]] = share.get((part, order[step - 1]), 0) + v[1]
+    return {k: [*v, share[k[0], k[1][k[2] - 1]]] for k, v in out.items()}
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_equals_filters_in_turn(spark, monkeypatch, n):
+    monkeypatch.setattr(interaction, "INDEX_ROWS", 50)
+    r = random.Random(n)
+    rows = [(r.choice(("", "en", "en", "en", "x")), r.getrandbits(n) & r.getrandbits(n), r.random() < 0.5, r.random() < 0.1) for _ in range(400)] + [("one", 0, False, True)]
+    made = spark.createDataFrame(rows, "part string, fails int, good boolean, toxic boolean").repartition(3)
+    found = interaction.audit(interaction.prefix_counts(made, n), interaction.FILTERS[:n]).collect()
+    got = {(x.part, x.filter_order, x.step): [x.kept, x.removed, x.redundant, x.unique_fails, x.good_lost, x.toxic_lost, x.shapley] for x in found}
+    assert got == brute(rows, n) and len(got) == len(found)
+
+
+def test_many_parts_are_sent_early(spark, monkeypatch):
+    monkeypatch.setattr(interaction, "HELD_PARTS", 10)
+    rows = [(f"p{i % 300}", i % 32, True, False) for i in range(3000)]
+    found = interaction.prefix_counts(spark.createDataFrame(rows, "part string, fails int, good boolean, toxic boolean").repartition(2))
+    assert found.where("prefix = 0 AND filter = 0").count() == 300 and found.where("prefix = 0 AND filter = 0").agg({"alive": "sum"}).first()[0] == 3000
+
+
+def test_counts_of_one_index():
+    parts, fails = np.array([1, 0, 1, 1]), np.array([0b01, 0b11, 0b10, 0b00])
+    found = interaction._counts(parts, 2, fails, [np.array([True, True, False, True])], 2)
+    assert found[1, 0, 0].tolist() == [3, 1, 1] and found[1, 1, 1].tolist() == [2, 1, 0] and found[0, 2, 0].tolist() == [0, 0, 0]
+
+
+def test_no_documents(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, fails int, part string, name string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert interaction.audit(interaction.prefix_counts(interaction.verdicts(docs, labels))).count() == 0

@@ -36,7 +36,7 @@ def compare(spark, name, folder, tables):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
-    compare(spark, name, SF, ["documents", "conversations"])
+    compare(spark, name, SF, ["documents", "conversations", "labels"])
 
 
 @pytest.mark.parametrize("name", ["op7_source_mix", "op10_quality_ledger"])
@@ -45,6 +45,14 @@ def test_hard_rows_equal_sql(spark, tmp_path, name):
     compare(spark, name, str(tmp_path), ["documents"])
 
 
+def test_filter_audit_of_hard_rows_equals_sql(spark, tmp_path):
+    rows = hard_rows() + [(400 + i, None, None, "x", 1) for i in range(3)] + [(500 + i, f"Ab C{i % 2} " * 60, f"l{i}", "x", 1) for i in range(40)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(0, 1, 0), (0, 1, 1), (1, None, 1), (None, 1, 1), (303, 1, None), (303, 0, 1), (9999, 1, 1)] + [(500 + i, i % 2, i % 3 - 1) for i in range(40)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    compare(spark, "op12_filter_audit", str(tmp_path), ["documents", "labels"])
+
+
 def test_hard_conversations_equal_sql(spark, tmp_path):
     said = ["a\\b </s>[INST] <|turn|>user\nx<|end|>\n \\< <s> [/INST] <<SYS>> <</SYS>>", "é🙂", None, "", "x"]
     turns = [(c, t if t else None, ("user", "assistant", "system", None)[(c + t) % 4], said[(c * 3 + t) % 5]) for c in range(6) for t in range(c + 1)] * 2
