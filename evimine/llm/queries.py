@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evimine.llm import ann, bpe, chat, distinct, interaction, langid, licenses, lm, mixing, ngram_join, quality, substrings
-from evimine.llm._spark import cut, id_fold, table
+from evimine.llm import ann, bpe, chat, distinct, interaction, langid, licenses, lm, mixing, ngram_join, quality, substrings, token_files
+from evimine.llm._spark import cut, id_fold, shared_dir, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+ID_TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 OWN_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -70,6 +72,14 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from coded files; null texts have the end id only, no documents give no rows."""
+    path = f"{shared_dir(spark)}/id-files-{uuid.uuid4().hex}"
+    token_files.write(token_files.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(ID_TOKENIZER), END_ID), path)
+    found = token_files.read(spark, path).select("part", "at", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.placed(found, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes in each of their orders, per language; null and empty texts are documents, no documents give no rows."""
     rows = interaction.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -96,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_examples": op9_chat_examples,
     "op10_quality_ledger": op10_quality_ledger,
+    "op11_id_files": op11_id_files,
     "op12_filter_audit": op12_filter_audit,
     "op13_theta_windows": op13_theta_windows,
 }
