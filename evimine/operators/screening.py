@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evimine.functions import stats
+from evimine.operators import ranks
+from evimine.sources.scratch import stored
 
 #: Rows of a hash partition within which rows are paired for shuffling.
 PAIRED = 200_000
@@ -131,7 +133,8 @@ def fit_score(train: DataFrame, test: DataFrame, features: list[str], label: str
 
 def metric_row(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """auroc, average precision, recall, precision, balanced accuracy and F1.5 at one half."""
-    ranking = stats.ranking_metrics(stats.score_counts(scored, "score", "label", by), "score", by)
+    scored = stored(scored.select(*by, "score", "label"))
+    ranking = ranks.ranking_metrics(stats.score_counts(scored, "score", "label", by), "score", by)
     hit = F.col("score") >= 0.5
     one = F.col("label") == 1
     cells = scored.groupBy(*by).agg(*(F.count_if(c).cast("double").alias(n) for n, c in (("tp", hit & one), ("fp", hit & ~one), ("fn", ~hit & one), ("tn", ~hit & ~one))))

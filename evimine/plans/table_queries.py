@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evimine.functions import stats, text
-from evimine.operators import audit, cohort, items, prep, profile, screening
+from evimine.operators import audit, cohort, folds, items, prep, profile, ranks, screening
 from evimine.plans.facts import BOUNDS, FACTS_SQL, NUMBERS, ROW_KEY, facts, read
+from evimine.sources.scratch import stored
 
 
 def r6(c: Column | str) -> Column:
@@ -350,7 +351,7 @@ ZERO_COLLAPSE = f"{WITH} " + " UNION ALL ".join(
 def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts(spark, sf_dir).withColumn("open", (F.col("l_linestatus") == "O").cast("int"))
     features = ["qty", "disc", "p_size", "open"]
-    values = profile.long_form(f, ["split"], features)
+    values = profile.long_form(stored(f.select("split", *features)), ["split"], features)
     smd = profile.balance(values).select("feature", "binary", r6("smd").alias("smd"))
     s = profile.summary(values.where("split = 'train'"), ["feature"])
     return s.join(smd, "feature").select("feature", "binary", "n", *(r6(c).alias(c) for c in ("mean", "sd", "q1", "median", "q3")), "smd")
@@ -369,12 +370,30 @@ round(CASE WHEN "binary" = 1 THEN (m1 - m2) / sqrt((m1 * (1 - m1) + m2 * (1 - m2
 
 
 def split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
-    both = f.groupBy("grp").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_overlap"))
-    return f.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("grp").alias("n_groups"), r6(F.avg("y")).alias("label_rate")).crossJoin(both)
-
-
-SPLIT_AUDIT = f"{WITH} SELECT split, count(*) AS n_rows, count(DISTINCT grp) AS n_groups, round(avg(y), 6) AS label_rate, 0::BIGINT AS n_overlap FROM facts GROUP BY split"
+    """Rows, groups and label rate on both sides of a stratified split that keeps orders whole, and orders on both sides."""
+    f = facts(spark, sf_dir).select("grp", "y")
+    placed = stored(f.join(folds.assign(f, "grp", "y"), "grp").select("grp", "y", F.when(F.col("fold") == 0, "test").otherwise("train").alias("split")))
+    both = placed.groupBy("grp").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_overlap"))
+    sides = placed.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("grp").alias("n_groups"), r6(F.avg("y")).alias("label_rate"))
+    return sides.crossJoin(both)
+
+
+FOLDS_SQL = """per_group AS (SELECT grp, count(*)::BIGINT AS n, sum(y)::BIGINT AS y, md5('42:' || grp) AS place FROM facts GROUP BY grp),
+shapes AS (SELECT n, y, count(*) AS m, count(*) // 5 AS each, count(*) % 5 AS more, n - y AS neg FROM per_group GROUP BY n, y),
+totals AS (SELECT sum(m * neg)::DOUBLE AS tn, sum(m * y)::DOUBLE AS tp, sum(each * neg)::BIGINT AS bn, sum(each * y)::BIGINT AS bp FROM shapes),
+rest AS (SELECT n, y, neg, row_number() OVER (ORDER BY abs(neg - y) DESC, n DESC, y DESC, i) AS k FROM shapes, LATERAL (SELECT unnest(range(more)) AS i)),
+walk AS (SELECT 0::BIGINT AS k, 0::BIGINT AS n, 0::BIGINT AS y, -1::BIGINT AS fold, [bn, bn, bn, bn, bn] AS fn, [bp, bp, bp, bp, bp] AS fp FROM totals
+  UNION ALL SELECT k, n, y, pick - 1, list_transform(fn, lambda v, i: v + CASE WHEN i = pick THEN neg ELSE 0 END),
+    list_transform(fp, lambda v, i: v + CASE WHEN i = pick THEN y ELSE 0 END)
+  FROM (SELECT r.*, w.fn, w.fp, list_position(costs, list_min(costs))::BIGINT AS pick FROM (
+      SELECT r.k, list_transform(range(1, 6), lambda i: w.fn[i] * r.neg / (t.tn * t.tn) + w.fp[i] * r.y / (t.tp * t.tp)) AS costs FROM walk w JOIN rest r ON r.k = w.k + 1, totals t) c
+    JOIN rest r USING (k) JOIN walk w ON w.k = r.k - 1)),
+quota AS (SELECT s.n, s.y, f.fold, s.each + count(w.k) AS q FROM shapes s, (SELECT unnest(range(5)) AS fold) f LEFT JOIN walk w ON w.n = s.n AND w.y = s.y AND w.fold = f.fold AND w.k > 0 GROUP BY s.n, s.y, s.each, f.fold),
+ends AS (SELECT n, y, fold, sum(q) OVER (PARTITION BY n, y ORDER BY fold) AS last, sum(q) OVER (PARTITION BY n, y ORDER BY fold) - q AS first FROM quota),
+folds AS (SELECT grp, fold FROM (SELECT *, row_number() OVER (PARTITION BY n, y ORDER BY place) AS spot FROM per_group) g JOIN ends e ON e.n = g.n AND e.y = g.y AND spot > first AND spot <= last)"""
+SPLIT_AUDIT = f"""{WITH.replace("WITH ", "WITH RECURSIVE ", 1)}, {FOLDS_SQL}, placed AS (SELECT grp, facts.y, CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS split FROM facts JOIN folds USING (grp))
+SELECT split, count(*) AS n_rows, count(DISTINCT grp) AS n_groups, round(avg(y), 6) AS label_rate,
+  (SELECT count(*) FROM (SELECT grp FROM placed GROUP BY grp HAVING count(DISTINCT split) > 1)) AS n_overlap FROM placed GROUP BY split"""
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -478,7 +497,7 @@ def holdout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts(spark, sf_dir).select("grp", F.col("y").alias("label"), (F.col("qty") / 50.0).alias("a"), (F.col("disc") * 10).alias("b"))
     each = f.select("grp", "label", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in "ab"))))
     held = each.withColumn("fold", (F.col("grp") % 10).cast("long"))
-    metrics = stats.ranking_metrics(stats.score_counts(held, "score", "label", ("model", "fold")), "score", ("model", "fold"))
+    metrics = ranks.ranking_metrics(stats.score_counts(held, "score", "label", ("model", "fold")), "score", ("model", "fold"))
     return screening.holdouts(metrics, ["model"]).select("model", r6("auroc_mean").alias("auroc_mean"), r6("auroc_sd").alias("auroc_sd"), "n")
 
 
