@@ -6,9 +6,9 @@ documents. Files are Parquet: a row is a frame, whose payload holds documents, b
 commits, splits and column pruning serve writers and readers, on any store. Rows of one doc_id are spread by their place in
 the input, so that a range may begin and end within them.
 
-Encoding repeats itself: a piece of text from one blank to the next has the same ids wherever it stands, so each is encoded once and
-then looked up. Texts are cut only where a blank stands between two characters that are not white space, which is always a
-border of the byte-level pattern's matches.
+Encoding repeats itself: a piece of text from one blank to the next has the same ids wherever it stands, so the library encodes
+each once in some megabytes of text, and the others are looked up, after their bytes have been compared. Texts are cut only where a blank
+stands between two characters that surely are no white space, which is always a border of the byte-level pattern's matches.
 """
 
 from __future__ import annotations
@@ -18,85 +18,108 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evimine.llm import idcoder
+from evimine.llm import _text, idcoder
 from evimine.llm._spark import cut, ship
 
-#: Ids of a frame, unless one document has more; characters and pieces that are worked on at once; pieces a worker remembers.
-FRAME_IDS, SLICE_CHARS, REMEMBERED = idcoder.BLOCK * idcoder.LANES, 1 << 20, 300_000
+#: Ids of a frame, unless one document has more, and bytes of text within which pieces are looked up.
+FRAME_IDS, SLICE_BYTES = idcoder.BLOCK * idcoder.LANES, 1 << 24
+
+
+def _safe(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a character that ends, or begins, at each byte surely is no white space: ASCII signs, and letters of two bytes."""
+    sign = (data > 0x20) & (data < 0x7F)
+    lead = (data >= 0xC3) & (data <= 0xDF)
+    ends = sign.copy()
+    ends[1:] |= lead[:-1]
+    return ends, sign | lead
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them, without special tokens, whose strings are ordinary text."""
+    """Ids of texts as the tokenizers library gives them, without special tokens, whose strings are ordinary text.
+
+    The vocabulary is one of byte-level BPE: the bytes of its tokens, one after the other, are the text.
+    """
 
     def __init__(self, config: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > idcoder.IDS:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= idcoder.IDS:
             raise ValueError(f"more than {idcoder.IDS} ids")
-        self.known: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """ids of blank and piece, for pieces that neither begin nor end with white space; None for others."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        whole = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(whole, self._ids([f" {p}" for p in whole]), strict=True))
-
-    def _joined(self, pieces: list[str]) -> list[str]:
-        """The text of pieces again, cut at safe blanks only."""
-        out = [pieces[0]]
-        for p in pieces[1:]:
-            if out[-1] and not out[-1][-1].isspace() and p and not p[0].isspace():
-                out.append(f" {p}")
-            else:
-                out[-1] += f" {p}"
-        return out
-
-    def _slices(self, text: str) -> Iterator[str]:
+        self.bytes = np.zeros(idcoder.IDS, np.int64)  # a token's characters stand for one byte each
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 16-bit integers; null is the empty text."""
+        return [ids for chunk in _text.chunks(texts, SLICE_BYTES) for ids in self._encode(chunk)]
+
+    def _encode(self, chunk: _text.Chunk) -> list[bytes]:
+        data, edges = chunk.data, chunk.offsets
+        n = len(edges) - 1
+        ends, begins = _safe(data)
+        blank = np.flatnonzero(data == 0x20)
+        blank = blank[(blank > 0) & (blank < len(data) - 1)]
+        blank = blank[ends[blank - 1] & begins[blank + 1]]
+        border = np.zeros(len(data) + 1, bool)
+        border[edges] = True
+        cut = border.copy()
+        cut[blank[~border[blank + 1]]] = True
+        starts = np.flatnonzero(cut[:-1])
+        stops = np.append(starts[1:], len(data)).astype(np.int64)[: len(starts)]
+        # pieces from blank to blank, which may stand one after the other in any order
+        loose = (data[starts] == 0x20) & begins[np.minimum(starts + 1, max(len(data) - 1, 0))] & (stops - starts > 1) & ends[stops - 1] if len(starts) else np.zeros(0, bool)
+        ids, first, size = self._looked_up(chunk, starts, stops, loose)
+        out = np.repeat(first - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()) if len(starts) else np.zeros(0, np.int64)
+        coded, place = ids[out], np.append(0, np.cumsum(size))
+        row = place[np.searchsorted(starts, edges)]
+        return [coded[row[i] : row[i + 1]].astype("<u2").tobytes() for i in range(n)]
+
+    def _looked_up(self, chunk: _text.Chunk, starts: np.ndarray, stops: np.ndarray, loose: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each piece where its own begin there and how many they are. Equal loose pieces share theirs; each is encoded once."""
+        data, sizes = chunk.data, stops - starts
+        first, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        own = np.flatnonzero(loose)
+        names = _text.hashes(chunk, _text.Words(starts[own], stops[own], np.array([0, len(own)])), lower=False)
+        _, distinct, which = np.unique(names, return_index=True, return_inverse=True)
+        shown = own[distinct][which]
+        if (sizes[own] != sizes[shown]).any() or not self._same(data, starts[own], starts[shown], sizes[own]):
+            distinct, which = np.arange(len(own)), np.arange(len(own))  # two pieces of one name
+        picked = own[distinct]
+        text = data[np.repeat(starts[picked] - np.append(0, np.cumsum(sizes[picked])[:-1]), sizes[picked]) + np.arange(sizes[picked].sum())] if len(picked) else data[:0]
+        found = self._ids([text.tobytes().decode()])[0]
+        until = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum(sizes[picked]), "left") + 1
+        begin = np.append(0, until)[:-1]
+        first[own], size[own] = begin[which], (until - begin)[which]
+        others = np.flatnonzero(~loose)
+        each = self._ids([data[a:b].tobytes().decode() for a, b in zip(starts[others], stops[others], strict=True)])
+        size[others] = [len(e) for e in each]
+        first[others] = len(found) + np.append(0, np.cumsum(size[others]))[:-1]
+        return np.concatenate([found, *each]), first, size
+
+    @staticmethod
+    def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
+        """Whether the bytes at a and b agree, so that no name stands for two pieces."""
         low = 0
-        while len(text) - low > SLICE_CHARS:
-            at = text.find(" ", low + SLICE_CHARS)
-            while 0 < at < len(text) - 1 and (text[at - 1].isspace() or text[at + 1].isspace()):
-                at = text.find(" ", at + 1)
-            if not 0 < at < len(text) - 1:
-                break
-            yield text[low:at]
-            low = at
-        yield text[low:]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit integers."""
-        parts = [list(self._slices(t)) for t in texts]
-        coded = iter(self._encode([s for p in parts for s in p]))
-        return [b"".join(next(coded) for _ in p) for p in parts]
-
-    def _encode(self, slices: list[str]) -> Iterator[bytes]:
-        low = 0
-        while low < len(slices):
-            high, chars = low, 0
-            while high < len(slices) and chars < SLICE_CHARS:
-                chars += len(slices[high])
-                high += 1
-            split = [s.split(" ") for s in slices[low:high]]
-            self._learn({p for pieces in split for p in pieces[1:]})
-            firsts = iter(self._ids([pieces[0] for pieces in split]))
-            for pieces in split:
-                first, rest = next(firsts), list(map(self.known.__getitem__, pieces[1:]))
-                odd = None in rest or (rest and pieces[0] and pieces[0][-1].isspace())
-                yield b"".join(self._ids(self._joined(pieces))) if odd else first + b"".join(rest)
+        while low < len(a):
+            high = max(low + 1, int(np.searchsorted(np.cumsum(sizes[low : low + 200_000]), 1 << 21)) + low)
+            n = sizes[low:high]
+            step = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
+            if (data[np.repeat(a[low:high], n) + step] != data[np.repeat(b[low:high], n) + step]).any():
+                return False
             low = high
+        return True
 
 
 @lru_cache(maxsize=1)
@@ -104,6 +127,16 @@ def _encoder(config: str) -> Encoder:
     return Encoder(config)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about SLICE_BYTES of text."""
+    size = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    low = 0
+    while low < batch.num_rows:
+        high = min(batch.num_rows, max(low + 1, int(np.searchsorted(size, size[low] + SLICE_BYTES, "right")) - 1))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 16-bit integers) of every whole text of docs, end_id last.
 
@@ -117,9 +150,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                batch = whole.slice(low, 500)
-                ids = [i + end for i in _encoder(config.value).encode([t or "" for t in batch.column("text").to_pylist()])]
+            for batch in _slices(whole):
+                ids = [i + end for i in _encoder(config.value).encode(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
