@@ -28,7 +28,7 @@ from evimine.llm import _text, idcoder
 from evimine.llm._spark import cut, ship
 
 #: Ids of a frame, unless one document has more, and bytes of text within which pieces are looked up.
-FRAME_IDS, SLICE_BYTES = idcoder.BLOCK * idcoder.LANES, 1 << 24
+FRAME_IDS, SLICE_BYTES = idcoder.BLOCK * idcoder.LANES, 1 << 22
 
 
 def _safe(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
