@@ -1,0 +1,73 @@
+"""Bitmap blocks against rows counted one by one."""
+
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evimine.operators import bitmaps
+from evimine.operators.items import Item
+
+NAMES = [f"I{i:02d}" for i in range(70)]
+ITEMS = [Item(n, f"c{i}", "==", 1, f"f{i % 5}") for i, n in enumerate(NAMES)]
+
+
+def table(n, width, seed):
+    r = random.Random(seed)
+    return [(r.choice(("train", "train", "test", None)), r.choice((0, 1, None)), *(r.choice((0, 0, 1, None)) if i % 3 else int(r.random() < 0.7) for i in range(width))) for _ in range(n)]
+
+
+def frame(spark, rows, width):
+    return spark.createDataFrame(rows, f"split string, y int, {', '.join(f'c{i} int' for i in range(width))}").repartition(3)
+
+
+def brute(rows, chosen, split):
+    own = [r for r in rows if r[0] == split]
+    hit = [r for r in own if all(r[2 + i] == 1 for i in chosen)]
+    return len(own), sum(r[1] == 1 for r in own), len(hit), sum(r[1] == 1 for r in hit)
+
+
+@pytest.mark.parametrize("block", [1 << 16, 37])
+def test_counts_equal_rows(spark, block):
+    rows, width = table(400, 70, 1), 70
+    blocks = bitmaps.index(frame(spark, rows, width), ITEMS, "y", block=block)
+    assert blocks.agg(F.max("n")).first()[0] <= max(block, 400) and blocks.agg(F.sum("n")).first()[0] == 400
+    sets = [(3,), (0, 69), (0, 3, 6), (0, 3, 66), (1, 2, 4, 5), (64, 67)]
+    found = {(r.split, r.k): (r.total, r.positives, r.hit, r.hit_y) for r in bitmaps.counts(blocks, sets).collect()}
+    assert found == {(s, k): brute(rows, c, s) for s in ("train", "test", None) for k, c in enumerate(sets)}
+
+
+@pytest.mark.parametrize("block", [1 << 16, 50])
+def test_frequent_sets_are_whole(spark, block):
+    rows, width, support = table(300, 12, 2), 12, 0.05
+    blocks = bitmaps.index(frame(spark, rows, width), ITEMS[:width], "y", block=block).where("split = 'train'")
+    found = bitmaps.frequent_sets(blocks, (2, 4), support)
+    total = brute(rows, (), "train")[0]
+    want = {c for k in (2, 3, 4) for c in combinations(range(width), k) if brute(rows, c, "train")[3] >= support * total}
+    assert want <= set(found) and len(found) == len(set(found))
+    if block > 300:
+        assert len(found) < len(bitmaps.all_sets(width, 2) + bitmaps.all_sets(width, 3) + bitmaps.all_sets(width, 4))
+    exact = {found[r.k] for r in bitmaps.counts(blocks, found).where(F.col("hit_y") >= support * F.col("total")).collect()}
+    assert exact == want
+
+
+def test_extension_is_pruned():
+    label = np.array([0xFF], np.uint64)
+    hits = np.array([[0x0F], [0xF0], [0xFF], [0x01]], np.uint64)
+    assert set(bitmaps._frequent(label, hits, 4, 3)) == {(0,), (1,), (2,), (0, 2), (1, 2)}
+
+
+def test_rules_of_sets(spark):
+    rows = table(50, 4, 3)
+    blocks = bitmaps.index(frame(spark, rows, 4), ITEMS[:4], "y")
+    found = bitmaps.evaluate(blocks.where("split = 'train'"), ITEMS, [(2, 0)]).first()
+    assert (found.antecedent, found.families, found.n_items, found.hit) == ("I00||I02", ["f0", "f2"], 2, brute(rows, (0, 2), "train")[2])
+
+
+def test_no_rows_and_no_sets(spark):
+    none = frame(spark, table(5, 3, 4), 3).where("false")
+    blocks = bitmaps.index(none, ITEMS[:3], "y")
+    assert blocks.count() == 0 and bitmaps.frequent_sets(blocks, (1, 3), 0.1) == [] and bitmaps.counts(blocks, [(0,)]).count() == 0
+    assert bitmaps.counts(bitmaps.index(frame(spark, table(5, 3, 4), 3), ITEMS[:3], "y"), []).count() == 0
