@@ -38,7 +38,12 @@ def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     ok = F.col(vec_id).isNotNull() & v.isNotNull() & (F.size(v) > 0)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(ok & finite & F.exists(v, lambda x: x != 0)).select(F.col(vec_id).cast("long").alias("id"), v.alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    once = rows.groupBy("id").agg(F.min("v").alias("v"))
+    if single:
+        return once
+    # a power of two off the length changes no cosine, and squares of what is left neither overflow nor vanish
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("v", F.abs)))))
+    return once.withColumn("scale", scale).select("id", F.transform("v", lambda x: x / F.col("scale")).alias("v"))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:

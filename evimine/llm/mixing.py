@@ -7,7 +7,8 @@ target is then met by whole repetitions of all its documents plus one more of th
 
 Only DataFrame functions. One aggregation per source (combined before the shuffle) and one per source and slice of
 the seeded order; documents themselves are never sorted or collected per source: they meet one row of their source, which is broadcast if
-the counted number of sources allows it, and else joined by the planner, which splits skewed sources. Only the documents of the one slice in which a source's extra repetition ends are put in order.
+the counted number of sources allows it, and else joined by the planner, which splits skewed sources. Only the documents of the one
+slice in which a source's extra repetition ends are put in order, by ranges of it, as all rows of one id, or of none, lie in one slice.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evimine.llm._spark import cut
+from evimine.operators import ranks
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slices of the seeded order; sources up to which their table is broadcast (a few MB).
@@ -51,51 +53,52 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
 
     size: a column with each row's words. docs is read four times, so give it a written table. Nulls make a source of
     their own, last in order; null sizes count 0; a row without words follows its source's repetitions. Repeated
-    rows are rows of their own; those equal in id and size are taken alike. An empty table stays empty. Columns named
-    source_size, target or repeats are replaced.
+    rows, and rows of one id or of none, are rows of their own: the cut goes between them, and rows that are equal in every column
+    are taken in any order. An empty table stays empty. Columns named source_size, target or repeats are replaced; all others stay,
+    whatever their names.
     """
     clean = docs.drop("source_size", "target", "repeats")
-    # 60 bits of a digest, which any engine repeats
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     words = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    keyed = clean.withColumns({"_place": place, "_slice": F.shiftright(place, 20).bitwiseAND(F.lit(SLICES - 1)).cast("int"), "_words": words})
-    narrow = keyed.select(F.col(source).alias("_source"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), "_place", "_slice", "_words")
+    keyed = clean.select(F.struct(*clean.columns).alias("row"), F.col(source).alias("source"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), words.alias("words"))
+    # 60 bits of a digest, which any engine repeats
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id"))), 1, 15), 16, 10).cast("long")
+    keyed = keyed.withColumn("place", place).withColumn("slice", F.shiftright("place", 20).bitwiseAND(F.lit(SLICES - 1)).cast("int"))
 
-    slices = narrow.groupBy("_source", "_slice").agg(F.sum("_words").alias("_words"))
-    plan = targets(slices.groupBy("_source").agg(F.sum("_words").alias("source_size")), max_epochs)
+    slices = keyed.groupBy("source", "slice").agg(F.sum("words").alias("words"))
+    sizes = slices.groupBy("source").agg(F.sum("words").alias("source_size"))
+    plan = targets(sizes.withColumnRenamed("source", "_source"), max_epochs).withColumnRenamed("_source", "source")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.when(F.col("target").isNotNull(), 1))
-    plan = plan.withColumn("_whole", whole.cast("long")).withColumn("_extra", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
+    plan = plan.withColumn("whole", whole.cast("long")).withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
 
     # the slice in which the extra repetition ends, and what is left to take in it
-    running = W.partitionBy("_source").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    cumulated = slices.withColumn("_before", F.coalesce(F.sum("_words").over(running), F.lit(0)))
-    same = lambda a, b: a["_source"].eqNullSafe(b["_source"])
-    at = cumulated.join(plan.select(F.col("_source").alias("_s"), "_extra"), F.col("_source").eqNullSafe(F.col("_s")))
-    at = at.where(F.col("_before") <= F.col("_extra")).groupBy("_source").agg(F.max("_slice").alias("_cut"), F.min(F.col("_extra") - F.col("_before")).alias("_left"))
-
-    # the first document in that slice that no longer fits
-    a, b = narrow.alias("a"), at.alias("b")
-    inside = a.join(b, F.col("a._source").eqNullSafe(F.col("b._source")) & (F.col("a._slice") == F.col("b._cut"))).select("a._source", "_place", "_id", "_words", "_left")
-    ordered = W.partitionBy("_source").orderBy("_place", "_id", "_words").rowsBetween(W.unboundedPreceding, -1)
-    over = F.coalesce(F.sum("_words").over(ordered), F.lit(0)) + F.col("_words") / 2 > F.col("_left")
-    end = inside.withColumn("_over", over).where("_over").groupBy("_source").agg(F.min(F.struct("_place", "_id")).alias("_end"))
-
-    per_source = plan.join(at, same(plan, at), "left").select(plan["_source"], "source_size", "target", "_whole", "_extra", "_cut")
-    per_source = per_source.join(end, same(per_source, end), "left").select(per_source["_source"], "source_size", "target", "_whole", "_extra", "_cut", "_end")
+    running = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    cumulated = slices.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
+    at = cumulated.join(plan.select(F.col("source").alias("_s"), "extra"), F.col("source").eqNullSafe(F.col("_s")))
+    at = at.where(F.col("before") <= F.col("extra")).groupBy("_s").agg(F.max("slice").alias("cut"), F.min(F.col("extra") - F.col("before")).alias("left"))
+    per_source = plan.join(at, plan["source"].eqNullSafe(at["_s"]), "left").select(plan["source"].alias("_source"), "source_size", "target", "whole", "extra", "cut", "left")
     per_source = cut(per_source, "sources")
     if per_source.count() <= FEW_SOURCES:
         per_source = F.broadcast(per_source)
-    key = F.struct(F.col("_place"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"))
-    more = (F.col("_slice") < F.col("_cut")) | ((F.col("_slice") == F.col("_cut")) & (F.col("_end").isNull() | (key < F.col("_end"))))
-    taken = F.col("_whole") + F.when((F.col("_extra") > 0) & more, 1).otherwise(0)
-    joined = keyed.join(per_source, F.col(source).eqNullSafe(F.col("_source")), "left")
-    return joined.select(*clean.columns, "source_size", "target", taken.cast("long").alias("repeats"))
+    joined = keyed.join(per_source, F.col("source").eqNullSafe(F.col("_source")), "left")
+
+    hashed = [F.col("row")[name] for name, kind in clean.dtypes if "map<" not in kind and "variant" not in kind]  # those have no hash
+    # in that slice, rows are counted off in order: equal ids, which a source may have by the million, by ranges too
+    ends = (F.col("extra") > 0) & F.col("slice").eqNullSafe(F.col("cut"))
+    columns = ["row", "source_size", "target", "whole", "extra", "slice", "cut"]
+    inside = joined.where(ends).select(*columns, "left", "_source", "place", "id", "words", F.xxhash64(*hashed).alias("digest"), F.monotonically_increasing_id().alias("at"))
+    order = [F.col(c).asc() for c in ("place", "id", "words", "digest", "at")]
+    counted = ranks.running(inside, ["_source"], order, {"upto": ("sum", "words")})
+    fits = (F.col("upto") - F.col("words") + F.col("words") / 2 <= F.col("left")).cast("long")
+    outside = joined.where(~F.coalesce(ends, F.lit(False))).select(*columns)
+    more = F.when((F.col("extra") > 0) & (F.col("slice") < F.col("cut")), 1).otherwise(0).cast("long")
+    both = outside.select("row", "source_size", "target", (F.col("whole") + more).alias("repeats")).union(counted.select("row", "source_size", "target", (F.col("whole") + fits).alias("repeats")))
+    return both.select("row.*", "source_size", "target", "repeats")
 
 
 def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as the mix takes it: none of a row with repeats 0 or null, and an empty table stays empty."""
-    return mixed.where("repeats > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("_copy")).drop("_copy")
+    """Each row as often as the mix takes it: none of a row with repeats 0 or null, and an empty table stays empty. Any names of columns."""
+    taken = mixed.where("repeats > 0").select(F.struct(*columns).alias("row"), F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy"))
+    return taken.select("row.*")
 
 
 def oracle(seed: int = 17, max_epochs: int = 3) -> str:
@@ -116,6 +119,5 @@ o AS (SELECT k.*, source_size, target, whole, extra,
     coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY slice RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_slice,
     coalesce(sum(size) OVER (PARTITION BY k.source, slice ORDER BY place, id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
     FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
-c AS (SELECT *, max(slice) FILTER (WHERE before_slice <= extra) OVER (PARTITION BY source) AS cut FROM o),
-x AS (SELECT *, min((place, id)) FILTER (WHERE slice = cut AND before + size / 2 > extra - before_slice) OVER (PARTITION BY source) AS ending FROM c)
-SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN extra > 0 AND (slice < cut OR (slice = cut AND (ending IS NULL OR (place, id) < ending))) THEN 1 ELSE 0 END) AS taken FROM x"""
+c AS (SELECT *, max(slice) FILTER (WHERE before_slice <= extra) OVER (PARTITION BY source) AS cut FROM o)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN extra > 0 AND (slice < cut OR (slice = cut AND before + size / 2 <= extra - before_slice)) THEN 1 ELSE 0 END) AS taken FROM c"""

@@ -450,9 +450,14 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that are the smallest of their class; rows with a null doc_id stay."""
+    """The rows of docs that are the smallest of their class.
+
+    Rows with a null doc_id, and those whose text is null or has no words, stay; rows of one doc_id stay or go together; an empty
+    table stays empty. All columns stay, whatever their names.
+    """
     first = classes(docs, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("own"))
+    return rows.join(first, F.col("own") == F.col("_id"), "left_anti").select("row.*")
 
 
 def oracle() -> str:

@@ -176,26 +176,24 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     spaced: kept then leaves the text between kept words as it was (an untouched text stays equal to itself).
     Null and empty texts, and texts of fewer than width words, lose nothing; kept of a null text is empty (null if
     spaced). Rows with a null doc_id neither lose words nor make others lose them. Rows with one doc_id do not count
-    against each other. All other columns stay; columns named n_words, n_removed or kept are replaced.
+    against each other. All other columns stay, whatever their names; columns named n_words, n_removed or kept are replaced.
     """
     clean = docs.drop("n_words", "n_removed", "kept")
     # written, so that the entries are gone from disk before texts move
     found = cut(repeated_windows(docs, text, doc_id, width).groupBy("doc_id", _KEY).agg(F.collect_list("places").alias("_places")), "places")
     found = found.withColumnsRenamed({"doc_id": "_id", _KEY: "_k"})
-    on = (F.col(doc_id).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_k"))
-    joined = clean.join(found, on, "left").select(*clean.columns, "_places")
-    fields = clean.schema.fields
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    names = [f.name for f in fields]
+    rows = clean.select(F.struct(*clean.columns).alias("row"), F.col(doc_id).cast("long").alias("own"), F.xxhash64(text).alias("own_text"))
+    joined = rows.join(found, (F.col("own") == F.col("_id")) & (F.col("own_text") == F.col("_k")), "left").select("row", "_places")
+    schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = batch.column(text).cast(pa.binary()), batch.column("_places")
+            texts, places = batch.column("row").field(text).cast(pa.binary()), batch.column("_places")
             out = [_cut(t.as_py(), p.as_py(), width, spaced) for t, p in zip(texts, places, strict=True)]
             n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).select("row.*", "n_words", "n_removed", "kept")
 
 
 def _cut(text: bytes | None, places: list[bytes] | None, width: int, spaced: bool) -> tuple[int, int, bytes | None]:
