@@ -386,11 +386,12 @@ SELECT n_items::BIGINT AS n_items, round(sum(share * share), 6) AS herfindahl, c
 
 
 def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = I.rule_table(spark, ITEMS, (2, 3)).withColumn("antecedent", rules.joined(F.col("items")))
-    return audit.semantic_duplicates(table, _meaning(spark))
+    """Mined pairs and triplets that say one thing twice."""
+    return audit.semantic_duplicates(_mined(spark, sf_dir, (2, 3)), _meaning(spark))
 
 
-SEMANTIC_DUPLICATES = f"""{BASE_SQL}, u AS (SELECT antecedent FROM pairs UNION ALL SELECT antecedent FROM triplets), each AS (SELECT antecedent,
+SEMANTIC_DUPLICATES = f"""{BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, {evaluated_sql("triplets", "train", "e3")},
+u AS ({" UNION ALL ".join(f"SELECT antecedent FROM e{n} WHERE support >= {SUPPORT}::DOUBLE AND lift >= {LIFT}::DOUBLE" for n in (2, 3))}), each AS (SELECT antecedent,
   unnest(string_split(antecedent, '||')) AS name FROM u)
 SELECT antecedent, semantic, count(*) AS n_items, string_agg(name, '||' ORDER BY name) AS duplicated FROM each JOIN items USING (name)
   GROUP BY antecedent, semantic HAVING count(*) > 1"""

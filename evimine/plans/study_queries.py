@@ -36,7 +36,11 @@ def label_names() -> list[str]:
 
 
 def name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = I.local(spark, [(n,) for n in label_names()], "name string")
+    """The labels of a name per part: one that meets a decision, every third with the part's type behind it."""
+    known = F.array(*map(F.lit, label_names()))
+    at = F.get(known, (F.col("p_partkey") % len(label_names())).cast("int"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(at, F.lit("_"), F.coalesce("p_type", F.lit("")))).otherwise(at)
+    names = read(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
     n = F.col("name")
     labels = {
         "family": taxonomy.family(n),
@@ -47,7 +51,7 @@ def name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "raw_age": taxonomy.is_raw_age(n),
         "age_related": taxonomy.is_age_related(n),
     }
-    return names.select("name", *(c.alias(k) for k, c in labels.items()))
+    return names.select("p_partkey", "name", *(c.alias(k) for k, c in labels.items()))
 
 
 def _decision_sql(d: taxonomy.Decision) -> str:
@@ -64,10 +68,11 @@ def _classify_sql(decisions: tuple[taxonomy.Decision, ...], otherwise: str) -> s
 _PARTS = "list_filter(string_split(name, '_'), lambda p: p <> '')"
 _REST = f"CASE WHEN len({_PARTS}) >= 3 THEN array_to_string(list_slice({_PARTS}, 1, greatest(1, len({_PARTS}) - 1)), '_') ELSE name END"
 NAME_LABELS = f"""WITH n AS (SELECT name, upper(name) AS capitals, regexp_replace(upper(name), '[^A-Z0-9]+', '_', 'g') AS compact
-  FROM (VALUES {", ".join(f"('{n}')" for n in label_names())}) v(name)),
+  , p_partkey FROM (SELECT p_partkey, l || CASE WHEN p_partkey % 3 = 0 THEN '_' || coalesce(p_type, '') ELSE '' END AS name FROM (
+    SELECT p_partkey, p_type, ([{", ".join(f"'{n}'" for n in label_names())}])[p_partkey % {len(label_names())} + 1] AS l FROM part))),
 s AS (SELECT *, CASE WHEN name = 'FEATURE_Age_Over60' THEN name ELSE {_classify_sql(taxonomy.SOURCE, _REST)} END AS source,
   CASE WHEN contains(name, '具体未知') AND regexp_matches(name, '有|存在') THEN 'partial_unknown_detail' ELSE {_classify_sql(taxonomy.MISSING, "'not_missing_category'")} END AS missing FROM n)
-SELECT name, {_classify_sql(taxonomy.FAMILY, "'other'")} AS family, missing, source,
+SELECT p_partkey, name, {_classify_sql(taxonomy.FAMILY, "'other'")} AS family, missing, source,
   CASE WHEN missing = 'pure_missing_unknown' THEN 'unknown_missing_category' ELSE {_classify_sql(taxonomy.SEMANTIC, "'other_unique:' || source")} END AS semantic,
   {_classify_sql(taxonomy.THRESHOLD, "'train_median_exploratory'")} AS threshold,
   regexp_matches(trim(compact, '_'), '(^|_)(ALTER1|AGE_YEARS)$') AS raw_age,
@@ -157,7 +162,10 @@ def triplet_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CHECKS = ("no purely missing item in a reported rule", "no repeated meaning in a reported rule",
     "no item dominated by unknown values in a reported rule", "main text holds valid confirmed rules only")
-TRIPLET_CHECKS = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', 'PASS', 0::BIGINT)" for c in _CHECKS) + ") v(name, status, n_bad)"
+_BAD_SQL = ("false", "duplicate = 1 AND manuscript = 1", "worst.share >= 0.5 AND manuscript = 1",
+    f"main_text = 1 AND NOT (worst.share < 0.5 AND duplicate = 0 AND tier IN ('{evidence.CORE}', '{evidence.BINARY}'))")
+TRIPLET_CHECKS = f"""{EVIDENCE_SQL}, counted AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) FILTER (WHERE {b})::BIGINT AS n_bad FROM done JOIN worst USING (antecedent)" for c, b in zip(_CHECKS, _BAD_SQL, strict=True))})
+SELECT name, CASE WHEN n_bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status, n_bad FROM counted"""
 
 
 def main_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,29 +185,33 @@ FROM graded WHERE tier IN ('{evidence.CORE}', '{evidence.BINARY}', '{evidence.RE
 
 
 def resolve_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the items of every pair are found in a manifest that lacks some, and which pairs are left without those."""
+    """How the items of every mined pair are found in a manifest that lacks some, and which pairs are left without those."""
     known = [i.name for i in ITEMS if i.continuous]
-    table = R._pair_table(spark)
+    table = R._mined(spark, sf_dir).select("antecedent", "items")
     kept = triplets.without_items(table, [i.name for i in ITEMS if not i.continuous]).select("antecedent", F.lit(1).alias("kept"))
     return table.select("antecedent", rules.resolve_trace(F.col("items"), known).alias("trace")).join(kept, "antecedent", "left").withColumn("kept",
         F.coalesce("kept", F.lit(0)))
 
 
-RESOLVE_TRACE = f"""{R.BASE_SQL}, each AS (SELECT antecedent, name, continuous FROM (SELECT antecedent, unnest(string_split(antecedent,
-  '||')) AS name FROM pairs) JOIN items USING (name))
+RESOLVE_TRACE = f"""{R.BASE_SQL}, {evaluated_sql("pairs", "train", "e2")}, each AS (SELECT antecedent, name, continuous FROM (SELECT antecedent, unnest(string_split(antecedent,
+  '||')) AS name FROM e2 WHERE support >= {R.SUPPORT}::DOUBLE AND lift >= {R.LIFT}::DOUBLE) JOIN items USING (name))
 SELECT antecedent, string_agg(name || ':' || CASE WHEN continuous = 1 THEN 'resolved' ELSE 'missing_manifest' END, ' | ' ORDER BY name) AS trace,
   min(continuous) AS kept FROM each GROUP BY antecedent"""
 
 
 def candidate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     free, mined = R.unconstrained_triplets(spark, sf_dir), R.arm_triplets(spark, sf_dir)
-    return audit.candidate_audit({"unconstrained": free, "association": mined},
-        {"unconstrained": free.where("in_top50"), "association": mined.orderBy(F.desc("lift"), "antecedent").limit(50)})
+    first = {"unconstrained": free.where("in_top50"), "association": mined.where(F.substring("rule_id", 4, 9).cast("int") <= 50)}
+    test = R._replayed(spark, sf_dir, (3,)).where("hit > 0").select("antecedent")
+    return audit.candidate_audit({"unconstrained": free, "association": mined}, {m: f.join(test, "antecedent") for m, f in first.items()})
 
 
-CANDIDATE_AUDIT = f"""{R.TRIPLETS_SQL}, a AS (SELECT count(*) AS n FROM full3 WHERE support >= {R.SUPPORT}::DOUBLE AND hit >= {R.TRIPLET_HITS}
-  AND lift >= {R.LIFT}::DOUBLE), b AS (SELECT count(*) AS n FROM e3 WHERE support >= {R.SUPPORT}::DOUBLE AND lift >= {R.LIFT}::DOUBLE)
-SELECT 'unconstrained' AS method, n AS n_candidates, least(n, 50) AS n_replayed FROM a UNION ALL SELECT 'association', n, least(n, 50) FROM b"""
+_PLACE_SQL = "row_number() OVER (ORDER BY round(lift, 12) DESC, round(confidence, 12) DESC, antecedent) AS place"
+CANDIDATE_AUDIT = f"""{R.TRIPLETS_SQL}, {replay_sql("triplets", "t").replace("continuous, clarity, n_items, duplicate,", "")},
+a AS (SELECT antecedent, {_PLACE_SQL} FROM full3 WHERE support >= {R.SUPPORT}::DOUBLE AND hit >= {R.TRIPLET_HITS} AND lift >= {R.LIFT}::DOUBLE),
+b AS (SELECT antecedent, {_PLACE_SQL} FROM e3 WHERE support >= {R.SUPPORT}::DOUBLE AND lift >= {R.LIFT}::DOUBLE),
+u AS (SELECT 'unconstrained' AS method, * FROM a UNION ALL SELECT 'association', * FROM b)
+SELECT method, count(*) AS n_candidates, count(*) FILTER (WHERE place <= 50 AND t.hit > 0) AS n_replayed FROM u LEFT JOIN t USING (antecedent) GROUP BY method"""
 
 
 # Flags, ages, formats and checks
@@ -285,15 +297,20 @@ _MASS = [
 
 
 def mass_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.mass_violations(I.local(spark, _MASS, "source string, family string, semantic string, axis string")).select("source", "violation")
+    """A row of a manifest per part: which of them call total mass something else."""
+    names = ("source", "family", "semantic", "axis")
+    known = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(names, row, strict=True))) for row in _MASS))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.get(known, (F.col("p_partkey") % len(_MASS)).cast("int")).alias("m")).select("p_partkey", "m.*")
+    return audit.mass_violations(rows).select("p_partkey", "source", "violation")
 
 
-MASS_VIOLATIONS = """WITH m(source, family, semantic, axis) AS (VALUES """ + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _MASS) + """),
-v AS (SELECT source, concat_ws('|', CASE WHEN coalesce(family, '') <> 'vehicle_mass' THEN 'family!=vehicle_mass' END, CASE WHEN coalesce(semantic,
+MASS_VIOLATIONS = """WITH k(i, source, family, semantic, axis) AS (VALUES """ + ", ".join(f"({i}, " + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for i, r in enumerate(_MASS)) + f"""),
+m AS (SELECT p_partkey, k.* FROM part JOIN k ON k.i = p_partkey % {len(_MASS)}),
+v AS (SELECT p_partkey, source, concat_ws('|', CASE WHEN coalesce(family, '') <> 'vehicle_mass' THEN 'family!=vehicle_mass' END, CASE WHEN coalesce(semantic,
   '') <> 'vehicle_mass' THEN 'Semantic_Group!=vehicle_mass' END,
   CASE WHEN axis IN ('crash_configuration', 'vehicle_geometry_interaction') THEN 'Mechanism_Axis_forbidden' END) AS violation FROM m
   WHERE regexp_matches(source, 'GEWGES|碰撞时的总重'))
-SELECT source, violation FROM v WHERE violation <> ''"""
+SELECT p_partkey, source, violation FROM v WHERE violation <> ''"""
 
 
 def fixed_schema(spark: SparkSession, sf_dir: str) -> DataFrame:

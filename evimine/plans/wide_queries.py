@@ -141,7 +141,7 @@ SELECT antecedent, e3.hit, e3.hit_y, tq.hit AS test_hit, round(lift, 6) AS lift,
 FROM e3 JOIN parents USING (bits) JOIN tq USING (bits), (SELECT total FROM tot WHERE split = 'train') t"""
 
 
-def size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests of 15 to 35 items: sets of two and three, rules above the floors on training rows, and what those do on test rows."""
     blocks = _index(spark, sf_dir, max(SIZES))
     sets = bitmaps.frequent_sets(blocks.where("split = 'train'"), (2, 3), SUPPORT)
@@ -156,7 +156,7 @@ def size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_items_used", (n * (n - 1) / 2).cast("long").alias("n_pairs"), (n * (n - 1) * (n - 2) / 6).cast("long").alias("n_triplets"), *found.columns[1:])
 
 
-SIZE_SWEEP = f"""{_manifest_sql(max(SIZES))}, {_sets_sql(3, _FLOOR)}, u AS ({" UNION ALL ".join(_RULE_SQL.format(source=f"s{k}") for k in (2, 3))}),
+WIDE_SWEEP = f"""{_manifest_sql(max(SIZES))}, {_sets_sql(3, _FLOOR)}, u AS ({" UNION ALL ".join(_RULE_SQL.format(source=f"s{k}") for k in (2, 3))}),
 v AS (SELECT * FROM u WHERE lift >= {LIFT}::DOUBLE), th AS ({_TEST_SQL.format(source="v")}), tp AS ({_evidence_sql("th")}),
 w AS (SELECT n_items_used, tp.*, v.lift FROM tp JOIN v USING (bits), (VALUES {", ".join(f"({n})" for n in SIZES)}) ns(n_items_used) WHERE tp.bits < (1::BIGINT << n_items_used)),
 tr AS (SELECT *, row_number() OVER (PARTITION BY n_items_used, p_value IS NOT NULL ORDER BY p_value) AS rk, count(*) OVER (PARTITION BY n_items_used, p_value IS NOT NULL) AS m FROM w),
@@ -165,6 +165,6 @@ SELECT n_items_used, (n_items_used * (n_items_used - 1) // 2)::BIGINT AS n_pairs
   count(*) FILTER (WHERE hit > 0) AS n_replayable, count(*) FILTER (WHERE risk_ratio >= 1) AS n_risk, count(*) FILTER (WHERE q_value <= 0.05::DOUBLE) AS n_significant,
   round(median(risk_ratio), 6) AS median_risk_ratio, round(max(lift), 6) AS best_lift FROM tq GROUP BY n_items_used"""
 
-NAMES = "wide_rules wide_triplets size_sweep".split()
+NAMES = "wide_rules wide_triplets wide_sweep".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in NAMES}
