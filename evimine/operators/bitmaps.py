@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evimine.operators.items import Item
-from evimine.sources.scratch import stored
+from evimine.sources.scratch import ship, stored
 
 #: Rows of a block at most: a bitset of 8 kB.
 BLOCK = 1 << 16
@@ -41,6 +41,7 @@ def index(rows: DataFrame, items: Sequence[Item], label: str, by: str = "split",
 
     by is a column of few values; null is one of them. A null label counts as 0. An empty table has no blocks.
     """
+    ship(rows.sparkSession)
     flags = [f"_{i}" for i in range(len(items))]
     wide = rows.select(F.col(by), F.coalesce(F.col(label) == 1, F.lit(False)).alias("_y"), *(item.column().alias(f) for item, f in zip(items, flags, strict=True)))
 

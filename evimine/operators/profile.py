@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evimine.functions import stats
-from evimine.operators import quantiles
+from evimine.operators import gram, quantiles
 
 
 def long_form(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -103,10 +103,11 @@ def fuse(rankings: DataFrame, top: int) -> DataFrame:
 
 
 def redundancy(df: DataFrame, features: list[str]) -> DataFrame:
-    """The mean absolute correlation of all pairs of features (none counts as 0); one pass for all pairs."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    found = df.agg(*(F.coalesce(F.abs(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))), F.lit(0.0)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
-    return found.select((sum((F.col(f"c{i}") for i in range(len(pairs))), F.lit(0.0)) / max(1, len(pairs))).alias("redundancy"), F.lit(len(pairs)).cast("long").alias("n_pairs"))
+    """The mean absolute correlation of all pairs of features (none counts as 0), from one scan for any number of features; nulls count as 0."""
+    pairs = gram.correlations(df, features)
+    n = len(features) * (len(features) - 1) // 2
+    found = pairs.agg(F.coalesce(F.sum(F.abs("corr")), F.lit(0.0)).alias("s"))
+    return found.select((F.col("s") / max(1, n)).alias("redundancy"), F.lit(n).cast("long").alias("n_pairs"))
 
 
 def herfindahl(df: DataFrame, by: list[str], category: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimine.functions import stats
-from evimine.operators import folds, neighbours, profile, ranks
+from evimine.operators import extra_trees, folds, gram, neighbours, profile, ranks, wrapper
 from evimine.plans.facts import FACTS_SQL, NUMBERS, facts, read
 from evimine.plans.table_queries import FOLDS_SQL, LONG_SQL, r6
 
@@ -60,6 +60,38 @@ def neighbour_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INFORMATION = neighbours.oracle("(SELECT feature, value, y AS label FROM long WHERE split = 'train')")
 NEIGHBOUR_INFORMATION = f"{WITH}, {LONG_SQL}, found AS ({_INFORMATION}) SELECT feature, round(information, 6) AS information FROM found"
 
-NAMES = "order_ranks part_enrichment stratified_folds neighbour_information".split()
+def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlation of every pair of numbers, from one scan."""
+    pairs = gram.correlations(facts(spark, sf_dir), [*NUMBERS, "tax", "line"])
+    names = F.array(*(F.lit(n) for n in [*NUMBERS, "tax", "line"]))
+    return pairs.select(F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"), F.round("corr", 6).alias("corr"))
+
+
+_COLUMNS = [*NUMBERS, "tax", "line"]
+CORRELATION_PAIRS = f"{WITH} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr(coalesce({a}, 0), coalesce({b}, 0)), 6) AS corr FROM facts" for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i + 1 :])
+
+
+def _with_flag(spark, sf_dir) -> DataFrame:
+    f = facts(spark, sf_dir).where("split = 'train'").select("grp", "y", *NUMBERS, "tax", "l_returnflag")
+    return f.withColumn("flag_n", (F.col("l_returnflag") == "N").cast("int"))
+
+
+def wrapper_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subset of numbers that a wolf search finds best for a linear model; whoever has the flag needs nothing else."""
+    features = [*NUMBERS, "flag_n"]
+    m = wrapper.matrix(_with_flag(spark, sf_dir), features, "y", "grp")
+    best, value, recurrent = wrapper.search(m, len(features), wolves=8, iterations=5)
+    rows = [(f, int(i in best), float(recurrent[i]), float(value)) for i, f in enumerate(features)]
+    return spark.createDataFrame(rows, "feature string, chosen int, recurrence double, value double")
+
+
+def random_split_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of each number to extremely randomised trees."""
+    forest = extra_trees.grow(_with_flag(spark, sf_dir), [*NUMBERS, "tax", "flag_n"], "y", trees=50, depth=6)
+    return spark.createDataFrame([(f, float(v)) for f, v in forest.importances().items()], "feature string, importance double")
+
+
+NAMES = "correlation_pairs wrapper_search random_split_importance order_ranks part_enrichment stratified_folds neighbour_information".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}

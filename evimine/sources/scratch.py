@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+import evimine
+
+_SHIPPED: set[str] = set()
 _FOLDERS: dict[str, str] = {}
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the workers import this package wherever they start, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(evimine.__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="evimine-code-")) / "evimine_operators.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+
+
 def folder(spark: SparkSession) -> str:
     """A folder of this application under spark.checkpoint.dir, gone when the driver ends.
 

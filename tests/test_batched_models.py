@@ -1,0 +1,120 @@
+"""Blocked correlations, batched subset search and random-split trees against plain computations."""
+
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evimine.operators import extra_trees, gram, wrapper
+
+
+def test_correlations_of_many_columns(spark):
+    """2,318 columns in one job."""
+    k, n = 2318, 120
+    x = np.random.default_rng(1).standard_normal((n, k)) + 1e6
+    x[:, 5] = 3.0
+    x[:, 7] = -x[:, 6]
+    df = spark.createDataFrame([(row.tolist(),) for row in x], "v array<double>").repartition(3)
+    found = gram.correlations(df, F.col("v"), k).toArrow()
+    assert found.num_rows == k * (k - 1) // 2
+    a, b, corr = (found.column(c).to_numpy() for c in ("a", "b", "corr"))
+    with np.errstate(invalid="ignore"):
+        want = np.corrcoef(x.T)[a, b]
+    assert (np.isnan(corr) == ((a == 5) | (b == 5))).all() and np.allclose(corr, want, atol=1e-8, equal_nan=True)
+
+
+@pytest.mark.parametrize("block", [64, 2])
+def test_correlations_of_odd_values(spark, block):
+    rows = [(1.0, None, float("nan")), (2.0, 4.0, 1.0), (5.0, 0.0, float("inf")), (None, 1.0, 2.0)]
+    found = gram.correlations(spark.createDataFrame(rows, "a double, b double, c double").repartition(2), ["a", "b", "c"], block=block).collect()
+    clean = np.array([[0.0 if v is None or not np.isfinite(v) else v for v in r] for r in rows])
+    assert {(r.a, r.b): round(r["corr"], 9) for r in found} == {(i, j): round(np.corrcoef(clean.T)[i, j], 9) for i, j in combinations(range(3), 2)}
+    assert gram.correlations(spark.createDataFrame([], "a double, b double"), ["a", "b"]).count() == 0
+
+
+def labelled(spark, n=900, seed=2):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        y = int(r.random() < 0.35)
+        rows.append((i // 3, y, r.gauss(1.6 * y, 1), r.gauss(0, 1), None if r.random() < 0.1 else r.gauss(0.8 * y, 1), 7.0, r.random()))
+    return spark.createDataFrame(rows, "g long, y int, f0 double, f1 double, f2 double, f3 double, f4 double").repartition(4)
+
+
+FEATURES = ["f0", "f1", "f2", "f3", "f4"]
+
+
+def test_newton_finds_the_optimum(spark):
+    m = wrapper.matrix(labelled(spark), FEATURES, "y", "g")
+    fitted = wrapper.fit(m, [(0, 2), (1,)])
+    rows = m.rows.toPandas()
+    x, y, fold = np.array(rows["x"].tolist(), float), rows["y"].to_numpy(), rows["fold"].to_numpy()
+    for t in range(3):
+        used = fold != t
+        assert np.allclose(m.scale.medians[t], np.nanmedian(x[used], axis=0)) and np.allclose(m.scale.scaled(x[used], t)[:, [0, 1, 2, 4]].std(0), 1)
+        z = np.column_stack([np.ones(used.sum()), m.scale.scaled(x[used], t)[:, [0, 2]]])
+        w = np.where(y[used] == 1, used.sum() / 2 / y[used].sum(), used.sum() / 2 / (1 - y[used]).sum())
+        beta = fitted[0, t]
+        gradient = z.T @ (w * (y[used] - 1 / (1 + np.exp(-z @ beta)))) - np.array([0, *beta[1:]])
+        assert np.abs(gradient).max() < 1e-4
+
+
+def test_search_finds_the_known_optimum(spark):
+    m = wrapper.matrix(labelled(spark), FEATURES, "y", "g")
+    every = [s for k in range(1, 6) for s in combinations(range(5), k)]
+    values = {s: v - 0.01 * len(s) / 5 for s, v in zip(every, wrapper.fitness(m, every), strict=True)}
+    best, value, recurrent = wrapper.search(m, 5, wolves=10, iterations=6)
+    assert value == pytest.approx(values[best]) and value >= max(values.values()) - 0.005 and 0 in best and recurrent[0] == 1
+    assert wrapper.fitness(m, [(), (0,)])[0] == 0.0
+
+
+def by_hand(x, y, trees, depth, tries, least, seed):
+    """The same trees, one node after the other over lists of rows."""
+    total = np.zeros(x.shape[1])
+    for tree in range(trees):
+        own = np.zeros(x.shape[1])
+
+        def split(rows, node, bounds, level, tree=tree, own=own):
+            n, p = int((y[rows] == 0).sum()), int((y[rows] == 1).sum())
+            if level == depth or not n or not p or n + p < 2 * least:
+                return
+            left, best = list(range(x.shape[1])), (1e-9, None, None)
+            for attempt in range(tries):
+                a, b = extra_trees.draw(seed, tree, node, attempt)
+                f = left.pop(int(a * len(left)))
+                cut = bounds[f][0] + b * (bounds[f][1] - bounds[f][0])
+                up = x[rows, f] > cut
+                sides = [[int(((y[rows] == c) & (up == s)).sum()) for c in (0, 1)] for s in (False, True)]
+                gain = extra_trees.gini_gain(*sides) if min(map(sum, sides)) >= least else 0.0
+                if gain > best[0]:
+                    best = gain, f, cut
+            if best[1] is not None:
+                gain, f, cut = best
+                own[f] += gain
+                for s in (0, 1):
+                    inside = list(bounds)
+                    inside[f] = (bounds[f][0], cut) if s == 0 else (cut, bounds[f][1])
+                    split(rows[(x[rows, f] > cut) == s], 2 * node + s, inside, level + 1)
+
+        split(np.arange(len(y)), 1, list(zip(x.min(0), x.max(0), strict=True)), 0)
+        total += own / own.sum() if own.sum() else 0
+    return total / trees
+
+
+def test_trees_equal_those_grown_by_hand(spark):
+    df = labelled(spark)
+    forest = extra_trees.grow(df, FEATURES, "y", trees=12, depth=5, tries=2, least=3, seed=9)
+    rows = df.na.fill(0.0).toPandas()
+    want = by_hand(rows[FEATURES].to_numpy(), rows["y"].to_numpy(), 12, 5, 2, 3, 9)
+    assert np.allclose(list(forest.importances().values()), want) and max(forest.importances(), key=forest.importances().get) == "f0"
+    scored = extra_trees.score(df, forest, ["g", "y"]).groupBy("y").agg(F.avg("score").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("y").collect()
+    assert scored[1].s > scored[0].s + 0.1 and scored[0].n + scored[1].n == 900
+
+
+def test_trees_of_nothing(spark):
+    df = labelled(spark)
+    for empty in (df.where("false"), df.where("y = 1")):
+        forest = extra_trees.grow(empty, FEATURES, "y", trees=2, depth=3)
+        assert set(forest.importances().values()) == {0.0} and forest.splits == [{}, {}]
