@@ -7,16 +7,16 @@ import json
 import os
 import re
 import zipfile
-from io import BytesIO, StringIO, TextIOWrapper
-from itertools import islice
+from io import BytesIO
 from xml.etree import ElementTree
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from evimine.sources import csv_splits
+
 ENCODINGS = ("UTF-8", "GB18030")
 
 
@@ -43,46 +43,16 @@ def first_existing(spark: SparkSession, folders: list[str], name: str) -> str |
     return None
 
 
-def _garbled(df: DataFrame) -> bool:
-    text = F.concat_ws("", *(F.col(f"`{c}`") for c in df.columns))
-    return any("�" in c for c in df.columns) or not df.where(text.contains("�")).isEmpty()
-
-
-def _decoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """All columns as text, decoded by file: a task parses one file as a stream, so quoted line ends stay and only its bytes are held."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    first = files.orderBy("path").select(F.expr("substring(content, 1, 65536)").alias("start")).first()
-    text = bytes(first["start"]).decode(encoding, "replace") if first else ""
-    header = [c.lstrip("\ufeff") for c in next(csv.reader(StringIO(text, newline="")), [])]
-    names = [c or f"_c{i}" for i, c in enumerate(header)]
-    if not names:
-        return spark.createDataFrame([], StructType([]))
-
-    def parse(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                rows = csv.reader(TextIOWrapper(BytesIO(content.as_py()), encoding, "replace", newline=""))
-                next(rows, None)
-                while some := list(islice(rows, 10_000)):
-                    columns = [[(r[i] or None) if i < len(r) else None for r in some if r] for i in range(len(names))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
-
-    return files.mapInArrow(parse, StructType([StructField(c, StringType()) for c in names]))
-
-
 def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """All columns as text, empty ones null. The first encoding that leaves no replacement character wins, else the last; a byte order mark goes.
+    """All columns as text, empty ones null. The first encoding that all bytes allow wins, else the last; a byte order mark goes.
 
-    To know that a text is clean it is read once; encodings beyond Spark's own list are decoded by file.
+    Files are split among tasks, whatever their quoted line ends; UTF-16, whose bytes cannot be split so, is read a file at a time.
     """
-    for i, encoding in enumerate(encodings):
-        if encoding.upper() in ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16"):
-            df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
-        else:
-            df = _decoded_csv(spark, path, encoding)
-        if i == len(encodings) - 1 or not _garbled(df):
-            return df
-    raise ValueError("no encoding given")
+    if not encodings:
+        raise ValueError("no encoding given")
+    if any(e.upper().startswith("UTF-16") for e in encodings):
+        return spark.read.option("header", True).option("encoding", encodings[0]).option("multiLine", True).option("escape", '"').csv(path)
+    return csv_splits.read(spark, path, encodings)
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
