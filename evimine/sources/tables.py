@@ -8,6 +8,7 @@ import os
 import re
 import zipfile
 from io import BytesIO
+from itertools import islice
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +120,8 @@ def package(files: list[str], path: str) -> list[str]:
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+_ROW, _OPEN = re.compile(rb"<row(?:\s[^>]*)?(?:/>|(?<!/)>(.*?)</row>)", re.DOTALL), re.compile(rb"<row[\s/>]")
+_HEAD = f'<row xmlns="{_MAIN[1:-1]}">'.encode()
 
 
 class Workbook:
@@ -134,19 +137,35 @@ class Workbook:
             for item in ElementTree.fromstring(self.zip.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si"):
                 self.shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
 
-    def rows(self, sheet: str):
-        """Lists of texts; None for empty cells."""
+    def raw_rows(self, sheet: str):
+        """The XML between the tags of each row, a megabyte of the sheet at a time."""
         with self.zip.open(self.paths[sheet]) as f:
-            for _, row in ElementTree.iterparse(f):
-                if row.tag == f"{_MAIN}row":
-                    out: list[str | None] = []
-                    for cell in row.iter(f"{_MAIN}c"):
-                        letters = re.match("[A-Z]+", cell.get("r", "") or "")
-                        at = sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters[0]))) - 1 if letters else len(out)
-                        out += [None] * (at + 1 - len(out))
-                        out[at] = self._text(cell)
-                    yield out
-                    row.clear()
+            left = b""
+            while True:
+                more = f.read(1 << 20)
+                left += more
+                done = 0
+                for found in _ROW.finditer(left):
+                    yield found[1] or b""
+                    done = found.end()
+                # what no row can begin in goes
+                left = left[done:] if _OPEN.search(left, done) else left[max(done, len(left) - 8) :]
+                if not more:
+                    return
+
+    def count(self, sheet: str) -> int:
+        return sum(1 for _ in self.raw_rows(sheet))
+
+    def rows(self, sheet: str, low: int = 0, high: int | None = None):
+        """Lists of texts, None for empty cells, of the rows from low to before high; only those are parsed."""
+        for raw in islice(self.raw_rows(sheet), low, high):
+            out: list[str | None] = []
+            for cell in ElementTree.fromstring(_HEAD + raw + b"</row>").iter(f"{_MAIN}c"):
+                letters = re.match("[A-Z]+", cell.get("r", "") or "")
+                at = sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters[0]))) - 1 if letters else len(out)
+                out += [None] * (at + 1 - len(out))
+                out[at] = self._text(cell)
+            yield out
 
     def _text(self, cell) -> str | None:
         kind, value = cell.get("t"), cell.find(f"{_MAIN}v")
@@ -160,7 +179,8 @@ class Workbook:
 class XlsxSource(DataSource):
     """`spark.read.format("xlsx").option("path", ...).option("sheet", ...)`: one sheet, its first row the header, all columns text.
 
-    Options: path (seen by all workers), and sheet or keywords (comma-separated, see find_sheet).
+    Options: path (seen by all workers), sheet or keywords (comma-separated, see find_sheet), and rows, how many a task parses (50,000). Tasks
+    unpack the sheet up to their rows; the texts that cells share are held by each.
     """
 
     @classmethod
@@ -184,18 +204,23 @@ class XlsxSource(DataSource):
         return _XlsxReader(self, len(schema.fields))
 
 
+class _Rows(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
 class _XlsxReader(DataSourceReader):
     def __init__(self, source: XlsxSource, width: int):
         self.source, self.width = source, width
 
     def partitions(self):
-        return [InputPartition(0)]
+        book, sheet = self.source._open()
+        n, each = book.count(sheet), int(self.source.options.get("rows", "50000"))
+        return [_Rows(low, min(n, low + each)) for low in range(1, n, each)] or [_Rows(1, 1)]
 
     def read(self, partition):
         book, sheet = self.source._open()
-        rows = book.rows(sheet)
-        next(rows, None)
-        for row in rows:
+        for row in book.rows(sheet, partition.low, partition.high):
             yield tuple((row + [None] * self.width)[: self.width])
 
 
