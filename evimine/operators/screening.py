@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evimine.functions import stats
-from evimine.operators import ranks
+from evimine.operators import quantiles, ranks
+from evimine.operators.triplets import PARTIAL, PURE
 from evimine.sources.scratch import stored
 
 #: Rows of a hash partition within which rows are paired for shuffling.
@@ -36,6 +37,7 @@ class Limits:
     semantic_cap: int = 1
     semantic_caps: dict[str, int] = field(default_factory=lambda: {"crash_contact_geometry": 2})
     source_cap: int = 1
+    strict: tuple[str, ...] = ("age_over60",)
     forced: tuple[str, ...] = ()
     excluded: tuple[str, ...] = ()
 
@@ -43,8 +45,10 @@ class Limits:
 def compose(candidates: list[dict], limits: Limits) -> tuple[list[dict], list[tuple[str, str]]]:
     """Features chosen in passes, and why others were not.
 
-    candidates: feature, family, semantic, source and score, from a screening table of a few thousand rows. Passes: forced
-    features; family minimums; all caps; without family cap; without source cap; without semantic cap. Ties go by name.
+    candidates: feature, family, semantic, source and score, from a screening table of a few thousand rows, and where it applies: raw (a raw
+    column that a derived feature stands for: never chosen), alias_of (not chosen beside that feature), missing (PURE is never chosen,
+    PARTIAL in the last pass only). Passes: forced features; family minimums; all caps; without family cap; without source cap; without semantic
+    cap, which strict meanings keep; partial ones. Ties go by name.
     """
     order = sorted(candidates, key=lambda c: (-c["score"], c["feature"]))
     chosen: list[dict] = []
@@ -58,9 +62,17 @@ def compose(candidates: list[dict], limits: Limits) -> tuple[list[dict], list[tu
             return "chosen"
         if c["feature"] in limits.excluded:
             return "excluded"
+        if c.get("raw"):
+            return "raw column"
+        if c.get("alias_of") and any(x["feature"] == c["alias_of"] for x in chosen):
+            return "alias of a chosen feature"
+        if c.get("missing") == PURE:
+            return "purely missing"
+        if c.get("missing") == PARTIAL and "partial" not in relaxed:
+            return "partly unknown"
         if "family" not in relaxed and count("family", c["family"]) >= limits.family_cap.get(c["family"], limits.default_cap):
             return "family cap"
-        if "semantic" not in relaxed and count("semantic", c["semantic"]) >= limits.semantic_caps.get(c["semantic"], limits.semantic_cap):
+        if ("semantic" not in relaxed or c["semantic"] in limits.strict) and count("semantic", c["semantic"]) >= limits.semantic_caps.get(c["semantic"], limits.semantic_cap):
             return "semantic cap"
         if "source" not in relaxed and count("source", c["source"]) >= limits.source_cap:
             return "source cap"
@@ -80,12 +92,14 @@ def compose(candidates: list[dict], limits: Limits) -> tuple[list[dict], list[tu
     for family, least in limits.family_min.items():
         take([c for c in order if c["family"] == family], set(), least - count("family", family))
     for relaxed in (set(), {"family"}, {"family", "source"}, {"family", "source", "semantic"}):
-        take(order, relaxed, limits.size)
+        take([c for c in order if c.get("missing") != PARTIAL or not relaxed], relaxed, limits.size)
+    take([c for c in order if c.get("missing") == PARTIAL], {"family", "source", "semantic", "partial"}, limits.size)
     return chosen, list(dict.fromkeys(audit))
 
 
-def _assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    numbers = df.select("*", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x_{c}") for c in features))
+def _assembled(df: DataFrame, features: list[str], label: str, medians: dict[str, float]) -> DataFrame:
+    """df with its features as one vector; nulls become the medians of the rows that a model is fitted on, or 0 where there is none."""
+    numbers = df.select("*", *(F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c, 0.0))).alias(f"_x_{c}") for c in features))
     return VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="_raw").transform(numbers).withColumn("_label", F.col(label).cast("double"))
 
 
@@ -106,23 +120,25 @@ class Scorer:
     """A scaler and a model fitted on training rows."""
 
     features: list[str]
+    medians: dict[str, float]
     scaler: object
     model: object
 
     def score(self, df: DataFrame, label: str, keep: list[str]) -> DataFrame:
         """keep, label and score (the positive class's probability) of df."""
-        scored = self.model.transform(self.scaler.transform(_assembled(df, self.features, label)))
+        scored = self.model.transform(self.scaler.transform(_assembled(df, self.features, label, self.medians)))
         return scored.select(*keep, F.col(label).alias("label"), vector_to_array("probability")[1].alias("score"))
 
 
 def fit(train: DataFrame, features: list[str], label: str, name: str, seed: int = 42) -> Scorer:
     """A model fitted with balanced classes; linear ones with unit strength of regularisation, which is 1 / rows per row."""
-    a = _assembled(train, features, label)
+    medians = quantiles.medians(train, {c: F.col(c) for c in features}) if features else {}
+    a = _assembled(train, features, label, medians)
     n, rate = a.agg(F.count(F.lit(1)), F.avg("_label")).first()
     rate = rate or 0.5
     weight = F.when(F.col("_label") == 1, 0.5 / max(rate, 1e-9)).otherwise(0.5 / max(1 - rate, 1e-9))
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True).fit(a)
-    return Scorer(features, scaler, models(seed, 1 / max(n, 1))[name].fit(scaler.transform(a).withColumn("_weight", weight)))
+    return Scorer(features, medians, scaler, models(seed, 1 / max(n, 1))[name].fit(scaler.transform(a).withColumn("_weight", weight)))
 
 
 def fit_score(train: DataFrame, test: DataFrame, features: list[str], label: str, name: str, keep: list[str], seed: int = 42) -> tuple[object, DataFrame]:

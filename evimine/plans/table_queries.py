@@ -524,18 +524,57 @@ def unseen_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNSEEN_LEVELS = f"{WITH}, v AS (SELECT split, CASE WHEN split = 'train' AND p_size > 25 THEN NULL ELSE p_brand || '-' || CAST(p_size > 25 AS VARCHAR) END AS level FROM facts) SELECT DISTINCT 'p_brand' AS feature, level FROM v WHERE split = 'test' AND level IS NOT NULL AND level NOT IN (SELECT level FROM v WHERE split = 'train' AND level IS NOT NULL)"
 
 
+#: Candidates of the composition: family, meaning, source, and what keeps them back.
+CANDIDATES = {
+    "qty": ("quantity", "volume", "qty", None, None), "price": ("price", "value", "price", None, None), "disc": ("price", "rebate", "disc", None, None), "p_size": ("part", "size", "p_size", None, None),
+    "s_acctbal": ("supplier", "balance", "s_acctbal", None, None), "o_totalprice": ("order", "value", "o_totalprice", None, None), "tax": ("order", "duty", "tax", "partial_unknown_detail", None),
+    "line": ("order", "place", "line", "raw", None), "half": ("quantity", "half", "qty", None, None), "size_group": ("part", "size_group", "p_size", None, "p_size"), "unknown": ("other", "unknown", "unknown", "pure_missing_unknown", None),
+}
+LIMITS = screening.Limits(size=8, family_min={"price": 1, "order": 1}, family_cap={"price": 1, "quantity": 1}, forced=("p_size",))
+
+
 def _candidates(spark, sf_dir) -> list[dict]:
-    rows = _signal(spark, sf_dir).collect()
-    family = {"qty": "quantity", "price": "price", "disc": "price", "p_size": "part", "s_acctbal": "supplier", "o_totalprice": "order"}
-    return [{"feature": r["feature"], "family": family[r["feature"]], "semantic": r["feature"], "source": r["feature"], "score": r["signal"]} for r in rows]
+    f = facts(spark, sf_dir).where("split = 'train'").withColumns({"half": F.col("qty") * F.col("disc"), "size_group": F.floor(F.col("p_size") / 10), "unknown": F.col("disc").isNull().cast("int") + F.col("line") * 0.1})
+    rows = profile.label_signal(profile.long_form(f, ["y"], list(CANDIDATES)), "y").collect()
+    names = ("family", "semantic", "source", "missing", "alias_of")
+    out = [{"feature": r["feature"], "score": r["signal"], **dict(zip(names, CANDIDATES[r["feature"]], strict=True))} for r in rows]
+    return [c | {"raw": c["missing"] == "raw"} for c in out]
 
 
 def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen, _ = screening.compose(_candidates(spark, sf_dir), screening.Limits(size=4, family_min={"price": 1, "part": 1}, family_cap={"price": 1}))
-    return spark.createDataFrame([(i + 1, c["feature"], c["family"], float(c["score"])) for i, c in enumerate(chosen)],
+    """Features chosen under all rules, in order, from the ranking of training rows."""
+    chosen, _ = screening.compose(_candidates(spark, sf_dir), LIMITS)
+    return spark.createDataFrame([(i + 1, c["feature"], c["family"], round(float(c["score"]), 6)) for i, c in enumerate(chosen)],
         "place int, feature string, family string, score double")
 
 
+def _composition_sql() -> str:
+    text = lambda v: "NULL::VARCHAR" if v is None else f"'{v}'"
+    known = ", ".join(f"('{f}', {', '.join(map(text, v))})" for f, v in CANDIDATES.items())
+    signals = " UNION ALL ".join(f"SELECT y, '{c}' AS feature, {e}::DOUBLE AS value FROM facts WHERE split = 'train'" for c, e in {**{c: c for c in CANDIDATES}, "half": "qty * disc", "size_group": "floor(p_size / 10)", "unknown": "(disc IS NULL)::INTEGER + line * 0.1"}.items())
+    passes = ["(0, 'forced', 1, 1, 1, 0)", *(f"({i + 1}, '{f}', 0, 0, 0, 0)" for i, f in enumerate(LIMITS.family_min)), "(10, 'all', 0, 0, 0, 0)", "(11, 'all', 1, 0, 0, 0)", "(12, 'all', 1, 1, 0, 0)", "(13, 'all', 1, 1, 1, 0)", "(14, 'all', 1, 1, 1, 1)"]
+    caps = "CASE c.family " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LIMITS.family_cap.items()) + f" ELSE {LIMITS.default_cap} END"
+    least = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LIMITS.family_min.items()) + " END"
+    count = lambda c: f"len(list_filter(w.{c}, lambda x: x = c.{c}))"
+    return f"""{WITH.replace("WITH ", "WITH RECURSIVE ", 1)}, v AS ({signals}),
+g AS (SELECT feature, abs((avg(value) FILTER (WHERE y = 1) - avg(value) FILTER (WHERE y = 0)) / sqrt((var_samp(value) FILTER (WHERE y = 1) + var_samp(value) FILTER (WHERE y = 0)) / 2)) AS score FROM v GROUP BY feature),
+k(feature, family, semantic, source, missing, alias_of) AS (VALUES {known}),
+p(pass, kind, rf, rs, rm, rp) AS (VALUES {", ".join(passes)}),
+a AS (SELECT p.*, k.*, score, row_number() OVER (ORDER BY pass, score DESC, feature) AS i FROM p, k JOIN g USING (feature)
+  WHERE CASE kind WHEN 'forced' THEN feature IN ({", ".join(map(repr, LIMITS.forced))}{"," if not LIMITS.forced else ""}) WHEN 'all' THEN (rp = 1) = (missing IS NOT DISTINCT FROM 'partial_unknown_detail') ELSE family = kind END),
+walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS feature, []::VARCHAR[] AS family, []::VARCHAR[] AS semantic, []::VARCHAR[] AS source
+  UNION ALL SELECT i, CASE WHEN ok THEN list_append(fs, f) ELSE fs END, CASE WHEN ok THEN list_append(fams, fam) ELSE fams END, CASE WHEN ok THEN list_append(sems, sem) ELSE sems END, CASE WHEN ok THEN list_append(srcs, src) ELSE srcs END
+  FROM (SELECT c.i, w.feature AS fs, w.family AS fams, w.semantic AS sems, w.source AS srcs, c.feature AS f, c.family AS fam, c.semantic AS sem, c.source AS src,
+    len(w.feature) < {LIMITS.size} AND NOT list_contains(w.feature, c.feature) AND coalesce(c.missing, '') NOT IN ('raw', 'pure_missing_unknown') AND NOT coalesce(list_contains(w.feature, c.alias_of), false)
+    AND (coalesce(c.missing, '') <> 'partial_unknown_detail' OR c.rp = 1) AND (c.rf = 1 OR {count("family")} < {caps}) AND (c.rm = 1 OR {count("semantic")} < 1) AND (c.rs = 1 OR {count("source")} < 1)
+    AND coalesce({count("family")} < {least}, true) AS ok FROM walk w JOIN a c ON c.i = w.i + 1)),
+done AS (SELECT * FROM walk QUALIFY i = max(i) OVER ())
+SELECT place::INTEGER AS place, feature[place] AS feature, family[place] AS family, (SELECT round(score, 6) FROM g WHERE g.feature = done.feature[place]) AS score FROM done, LATERAL (SELECT unnest(range(1, len(feature) + 1)) AS place)"""
+
+
+COMPOSITION = _composition_sql()
+
+
 def _model(spark, sf_dir, name) -> DataFrame:
     f = facts(spark, sf_dir).withColumn("flag_n", (F.col("l_returnflag") == "N").cast("int"))
     train, test = f.where("split = 'train'"), f.where("split = 'test'")
