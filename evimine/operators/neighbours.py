@@ -73,11 +73,11 @@ def mutual_information(values: DataFrame, k: int = 3, block: int = BLOCK, ranges
 def oracle(rows: str, k: int = 3) -> str:
     """The same in SQL from a table expression with feature, value and label."""
     entries = ", ".join(f"{{'far': abs({w}(value, {j}) OVER o - value), 'n': {w}(n, {j}) OVER o}}" for j in range(1, k + 1) for w in ("lag", "lead"))
-    reach = "list_filter(range(1, len(es) + 1), lambda i: list_sum([e.n FOR e IN es[1:i]]) >= k - n + 1)[1]"
+    reach = "list_filter(range(1, len(es) + 1), lambda i: list_sum([one.n FOR one IN es[1:i]]) >= k - n + 1)[1]"
     return f"""WITH d AS (SELECT feature, label, value::DOUBLE AS value, count(*)::BIGINT AS n FROM {rows} WHERE value IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY feature, label)::BIGINT AS n_class FROM d),
 z AS (SELECT *, least({k}, n_class - 1) AS k FROM c WHERE n_class > 1),
-e AS (SELECT *, list_sort(list_filter([{entries}], lambda e: e.far IS NOT NULL)) AS es FROM z WINDOW o AS (PARTITION BY feature, label ORDER BY value)),
+e AS (SELECT *, list_sort(list_filter([{entries}], lambda one: one.far IS NOT NULL)) AS es FROM z WINDOW o AS (PARTITION BY feature, label ORDER BY value)),
 r AS (SELECT *, CASE WHEN n > k THEN 0 ELSE es[{reach}].far END AS radius FROM e),
 p AS (SELECT feature, value AS x, sum(n)::BIGINT AS n FROM r GROUP BY ALL), u AS (SELECT feature, x, sum(n) OVER (PARTITION BY feature ORDER BY x)::BIGINT AS upto, n FROM p),
 q AS (SELECT r.*, value - radius AS lo, value + radius AS hi FROM r),

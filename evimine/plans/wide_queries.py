@@ -14,7 +14,7 @@ from evimine.plans.rule_queries import SCORE_SQL, r6
 
 #: Items of the primary manifest, sizes that are compared, and floors of a rule.
 PRIMARY, SIZES = 25, (15, 20, 25, 30, 35)
-SUPPORT, LIFT, HITS = 0.015, 1.10, 40
+SUPPORT, LIFT, HITS = 0.015, 1.0, 40
 
 WIDE = [
     *ITEMS,
