@@ -228,6 +228,8 @@ def mechanism_axis(families: Column, names: Column) -> Column:
     for key, (own, words) in TRAITS.items():
         by_family = F.arrays_overlap(families, F.array(*map(F.lit, own))) if own else F.lit(False)
         trait[key] = F.coalesce(by_family, F.lit(False)) | text.rlike("|".join(map(re.escape, words)))
+    # a token of its own, where USAGE has been taken out
+    trait["age"] = trait["age"] | F.regexp_replace(text, r"(^|_)USAGE(_|$)", " ").rlike(r"(^|_)AGE(_|$)")
     trait["sex"] = trait["sex"] | text.rlike(r"(^|[_ ])SEX([_ ]|$)")
     trait["speed"] = trait["v0"] | trait["vk"]
     chain = F.when(F.lit(False), "")

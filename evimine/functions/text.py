@@ -76,7 +76,7 @@ def spread_summary(mean: Column, sd: Column, median: Column, q1: Column, q3: Col
 
 
 def capped_list(value: Column, most: int = 20, separator: str = "||") -> Column:
-    """Aggregate: the first distinct values in order, joined; at most so many are kept while values are gathered per group."""
+    """Aggregate: the first distinct values in order, joined. All distinct values of a group are gathered before the list is cut, so they have to be few."""
     return F.array_join(F.slice(F.array_sort(F.collect_set(value)), 1, most), separator)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evimine.functions import stats
 from evimine.operators import items as I
+from evimine.sources.scratch import stored
 
 TARGET = "__TARGET__"
 SEPARATOR = "||"
@@ -32,7 +33,8 @@ def mine(train: DataFrame, items: list[I.Item], label: str, sizes: tuple[int, ..
 def mine_frequent(train: DataFrame, items: list[I.Item], label: str, min_support: float = 0.015, min_lift: float = 1.10, sizes: tuple[int, int] = (2, 4)) -> DataFrame:
     """The same by frequent-pattern growth, for manifests too wide to enumerate."""
     basket = F.concat(I.hit_items(items), F.when(F.col(label) == 1, F.array(F.lit(TARGET))).otherwise(F.array().cast("array<string>")))
-    baskets = train.select(basket.alias("basket"), F.col(label).cast("double").alias("y"))
+    # written, as the counts and every pass of the model read them
+    baskets = stored(train.select(basket.alias("basket"), F.col(label).cast("double").alias("y")))
     # the model counts non-empty baskets only
     n, some, base = baskets.agg(F.count(F.lit(1)), F.count_if(F.size("basket") > 0), F.avg("y")).first()
     model = FPGrowth(itemsCol="basket", minSupport=min_support, minConfidence=0.0).fit(baskets.where(F.size("basket") > 0).select("basket"))

@@ -113,6 +113,7 @@ def axis_sql(table: str = "") -> str:
     for key, (own, words) in taxonomy.TRAITS.items():
         found = f"regexp_matches({text}, '{'|'.join(map(re.escape, words))}')"
         holds[key] = f"({found} OR list_has_any({families}, [{', '.join(map(repr, own))}]))" if own else found
+    holds["age"] = f"({holds['age']} OR regexp_matches(regexp_replace({text}, '(^|_)USAGE(_|$)', ' ', 'g'), '(^|_)AGE(_|$)'))"
     holds["sex"] = f"({holds['sex']} OR regexp_matches({text}, '(^|[_ ])SEX([_ ]|$)'))"
     holds["speed"] = f"({holds['v0']} OR {holds['vk']})"
     whens = (f"WHEN {' AND '.join([*(holds[t] for t in needs), *(f'NOT {holds[t]}' for t in lacks)])} THEN '{label}'" for label, needs, lacks in taxonomy.AXES)

@@ -101,3 +101,11 @@ def test_item_names_and_labels(spark):
 def test_bins_are_closed_on_the_right(spark):
     df = spark.createDataFrame([(18.0,), (18.1,), (60.0,), (151.0,), (None,)], "v double")
     assert [r[0] for r in df.select(text.right_closed(F.col("v"), (-1, 18, 60, 150), ("a", "b", "c"))).collect()] == ["a", "b", "b", None, None]
+
+
+def test_age_as_a_token_of_its_own(spark):
+    from evimine.functions import taxonomy
+
+    rows = [(["vehicle_mass", "vehicle_size"], ["GEWGES_AGE_X", "VEHICLE_LENGTH___GT_40"]), (["vehicle_mass", "vehicle_size"], ["GEWGES_USAGE_X", "VEHICLE_LENGTH___GT_40"])]
+    found = [r[0] for r in spark.createDataFrame(rows, "f array<string>, n array<string>").select(taxonomy.mechanism_axis(F.col("f"), F.col("n"))).collect()]
+    assert found[0] != found[1] and "vulnerability" in found[0]
