@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +16,7 @@ from evimine.llm import idcoder, queries, token_files
 CONFIG = public_tokenizers.path(queries.ID_TOKENIZER)
 
 
+@lru_cache
 def library():
     t = Tokenizer.from_file(CONFIG)
     t.encode_special_tokens = True
