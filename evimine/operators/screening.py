@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -138,7 +138,15 @@ def fit(train: DataFrame, features: list[str], label: str, name: str, seed: int
     rate = rate or 0.5
     weight = F.when(F.col("_label") == 1, 0.5 / max(rate, 1e-9)).otherwise(0.5 / max(1 - rate, 1e-9))
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True).fit(a)
-    return Scorer(features, medians, scaler, models(seed, 1 / max(n, 1))[name].fit(scaler.transform(a).withColumn("_weight", weight)))
+    model = models(seed, 1 / max(n, 1))[name].fit(scaler.transform(a).withColumn("_weight", weight))
+    return Scorer(features, medians, scaler, _without_summary(model))
+
+
+def _without_summary(model):
+    """model without the summary of its training, which holds the session: once a session has observed metrics, no task can carry it."""
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
 
 
 def fit_score(train: DataFrame, test: DataFrame, features: list[str], label: str, name: str, keep: list[str], seed: int = 42) -> tuple[object, DataFrame]:

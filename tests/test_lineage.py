@@ -60,3 +60,15 @@ def test_a_broken_row_is_found(spark, tmp_path):
     broken = {(r.table, r.name): r.n_bad for r in check_queries.table_checks(spark, str(tmp_path)).collect()}
     changed = {k for k in clean if clean[k] != broken[k]}
     assert {("facts", "quantity_bounds"), ("facts", "lines_differ")} <= changed <= {("facts", c) for c in (*check_queries.ROWS["facts"], *check_queries.GROUPS["facts"][1])}
+
+
+@pytest.mark.parametrize("name", ["logistic", "lasso", "forest", "boosted"])
+def test_models_score_after_metrics_were_observed(spark, rows, name):
+    """A session that has observed metrics no longer fits into a task, so models must not bring it along."""
+    from evimine.operators import screening
+
+    ledger = lineage.Ledger()
+    fitted = screening.fit(ledger.reads("models", name, rows.where("v IS NOT NULL").withColumn("y", (F.col("v") == 1).cast("int"))), ["id"], "y", name)
+    ledger.matrix(spark)
+    assert fitted.score(rows.withColumn("y", F.lit(0)), "y", []).count() == 101
+    assert screening.fit_score(rows.withColumn("y", (F.col("v") == 1).cast("int")).where("v IS NOT NULL"), rows.withColumn("y", F.lit(0)), ["id"], "y", name, [])[1].count() == 101
