@@ -56,12 +56,12 @@ class Fitted:
 
 def fit(train: DataFrame, numbers: dict[str, tuple[float, float]], categories: list[str]) -> Fitted:
     """Exact medians of the clipped numbers (0 if all are null) in the same few passes; every level of each category, as each becomes a column."""
-    found = quantiles.medians(train, {c: clipped(F.col(c), b) for c, b in numbers.items()}) if numbers else {}
+    medians = quantiles.medians(train, {c: clipped(F.col(c), b) for c, b in numbers.items()}) if numbers else {}
     levels = {}
     for c in categories:
         found = train.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("l")).distinct()
         levels[c] = sorted(r["l"] for r in found.collect())
-    return Fitted(dict(numbers), {c: found.get(c, 0.0) for c in numbers}, levels)
+    return Fitted(dict(numbers), {c: medians.get(c, 0.0) for c in numbers}, levels)
 
 
 def clipped(value: Column, bounds: tuple[float, float]) -> Column:
