@@ -38,14 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application that all executors see; it goes when the driver ends.
 
-    It lies under spark.checkpoint.dir, else under the warehouse, or in a temporary folder if driver and executors are one process.
+    It lies under spark.checkpoint.dir. Without that setting a temporary folder serves if driver and executors are one process; on a cluster it is
+    an error, as each host would write to its own disk.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     key = (context.applicationId, base)
     if key not in _FOLDERS:
         alone = context.master == "local" or context.master.startswith("local[")
-        under = base or (tempfile.mkdtemp(prefix="evimine-") if alone else spark.conf.get("spark.sql.warehouse.dir"))
+        if not (base or alone):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        under = base or tempfile.mkdtemp(prefix="evimine-")
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{under.rstrip('/')}/evimine-{context.applicationId}")
         files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(folder)

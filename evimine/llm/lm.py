@@ -440,8 +440,11 @@ class _Stretch:
     def __init__(self) -> None:
         self.names, self.docs, self.pairs, self.pair_docs, self.done, self.count, self.bytes = [], [], [], [], [], 0, 0
 
-    def rows(self, parts: int) -> Iterator[tuple[int, bool, bytes]]:
-        """part, whether it is a question, and payload: what is asked of each part, every name once, and what the stretch keeps until it is told."""
+    def rows(self, parts: int, home: int) -> Iterator[tuple[int, bool, bytes]]:
+        """part, whether it is a question, and payload: what is asked of each part, every name once, and what the stretch keeps until it is told.
+
+        What is kept passes through a part that only the stretch's own number (home) chooses, so that neither null nor evenly spaced ids gather in one.
+        """
         asked, held = [], []
         for names, docs in ((self.names, self.docs), (self.pairs, self.pair_docs)):
             names, docs = np.concatenate(names), np.concatenate(docs)
@@ -459,7 +462,7 @@ class _Stretch:
         for p in sorted(in_words.keys() | in_pairs.keys()):
             yield p, True, _packed.pack(words[in_words.get(p, none)], pairs[in_pairs.get(p, none)])
         done = [np.concatenate(x) for x in zip(*self.done, strict=True)]
-        yield int(done[0][0]) % parts, False, _packed.pack(*held, *done)
+        yield int(_text.mix(np.array([home + 1], np.uint64))[0]) % parts, False, _packed.pack(*held, *done)
 
 
 def _look_up(counted: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -534,7 +537,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         stretch, home = _Stretch(), TaskContext.get().partitionId() << 32
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for made in _some(stretch.rows(parts), lambda r: len(r[2])):
+            for made in _some(stretch.rows(parts, home), lambda r: len(r[2])):
                 part, question, payload = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([home] * len(part), pa.int64()), pa.array(question), pa.array(payload, pa.binary())], names=["part", "home", "question", "payload"])
 
