@@ -238,9 +238,81 @@ def mechanism_axis(families: Column, names: Column) -> Column:
     return chain.otherwise("mixed_multimechanism")
 
 
+# What an axis is suited for, and the domain of governance that it belongs to, in the order in which domains are reported.
+TEMPLATES = {
+    "speed_energy": "速度-碰撞能量轴线，适合支持限速、速度执法、冲突区速度管理和碰撞速度降低策略。",
+    "vulnerability_speed": "易损个体-速度轴线，适合支持老年/体弱VRU高暴露场景下的速度控制、过街保护和预警设施。",
+    "vulnerability_body": "个体脆弱性-体格轴线，适合作为伤害易感性分层线索，不应解释为可直接干预因果因素。",
+    "vulnerability_demographic": "个体脆弱性—人口学分层轴线，适合作为年龄/性别等人群分层下的风险识别线索，不应解释为体格或可直接干预因素。",
+    "vulnerability_demographic_speed": "个体脆弱性—人口学/速度分层轴线，适合作为速度暴露下的人群分层风险线索，不应解释为体格机制。",
+    "road_speed_environment": "道路环境-速度轴线，适合支持普通路段、交叉口/路段过渡区、车道组织和VRU通行空间治理。",
+    "vehicle_geometry_interaction": "车辆几何-VRU交互轴线，适合支持车辆前端几何、盲区、车辆类型和VRU保护设计讨论。",
+    "vehicle_mass_speed_energy": "车辆总重—速度能量轴线，适合作为车辆质量/惯性与速度共同作用下的审计级治理线索。",
+    "vehicle_geometry_vulnerability": "车辆几何—脆弱性分层轴线，适合作为车辆几何与VRU脆弱性共同出现的风险线索。",
+    "lighting_visibility": "照明-可视性轴线，适合支持夜间照明、路灯状态、反光设施和主动警示治理。",
+    "surface_weather_friction": "路面附着-天气轴线，适合支持湿滑/低附着道路、恶劣天气和路面维护治理。",
+    "safety_assistance": "车辆安全配置轴线，适合支持AEB、LKA、VRU检测等车辆端主动安全配置讨论。",
+    "crash_configuration": "碰撞构型轴线，适合支持冲突类型识别、交通组织和道路空间再设计。",
+    "mixed_multimechanism": "多机制混合轴线，适合作为跨机制治理线索，需结合证据等级审慎解释。",
+}
+DOMAINS = {
+    "speed_energy": "speed management and conflict-speed reduction",
+    "vulnerability_speed": "vulnerable-user-sensitive crossing protection",
+    "vulnerability_body": "injury susceptibility stratification",
+    "vulnerability_demographic": "individual demographic risk stratification",
+    "vulnerability_demographic_speed": "demographic speed-risk stratification",
+    "road_speed_environment": "road-space and channelization governance",
+    "vehicle_geometry_interaction": "vehicle geometry, blind-zone, and VRU protection design",
+    "vehicle_mass_speed_energy": "vehicle mass-speed energy audit signal",
+    "vehicle_geometry_vulnerability": "vehicle geometry and vulnerability stratification",
+    "lighting_visibility": "lighting and visibility governance",
+    "surface_weather_friction": "low-friction surface and adverse-weather governance",
+    "safety_assistance": "vehicle active-safety governance",
+    "crash_configuration": "crash-configuration-specific prevention",
+    "mixed_multimechanism": "cross-mechanism audit and case review",
+}
+# How far an axis may be read, where rules are mined and where evidence is summed up; the last of each is for all other axes.
+DEMOGRAPHIC_BOUNDARIES = {
+    "vulnerability_demographic": "Individual vulnerability–demographic stratification axis; use as a demographic risk-stratification cue rather than a directly intervenable body-size mechanism.",
+    "vulnerability_demographic_speed": "Demographic speed-risk stratification signal; do not interpret sex or age strata as body-size mechanisms.",
+    "vehicle_geometry_vulnerability": "Vehicle geometry and vulnerability stratification signal; do not interpret demographic strata as body-size mechanisms.",
+}
+MINING_BOUNDARIES = {
+    "vehicle_mass_speed_energy": "Vehicle mass-speed energy axis; use as an audit-level signal for vehicle mass/inertia combined with speed exposure, not as crash configuration governance.",
+    "vulnerability_body": "Train-only mechanism label; vulnerability/body-size patterns are stratification signals, not directly intervenable causal factors.",
+    "mixed_multimechanism": "Train-only mechanism label; use only with evidence tier and case-level replay context because no single mechanism dominates.",
+    **DEMOGRAPHIC_BOUNDARIES,
+    "": "Train-only mechanism label; interpret only together with fixed rule thresholds, blind replay results, and evidence tier.",
+}
+SUMMARY_BOUNDARIES = {
+    "vehicle_mass_speed_energy": "Evidence summary only; vehicle mass/inertia combined with speed exposure is an audit-level signal, not crash configuration governance.",
+    "vulnerability_body": "Evidence summary only; vulnerability/body-size patterns are stratification signals, not directly intervenable causal factors.",
+    "mixed_multimechanism": "Evidence summary only; use with case-level replay context because no single mechanism dominates.",
+    **DEMOGRAPHIC_BOUNDARIES,
+    "": "Evidence summary only; does not modify selected features, rule universe, thresholds, sorting, or evidence tier.",
+}
+
+
+def _by_axis(axis: Column, values: dict[str, str], other: str) -> Column:
+    table = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, axis), F.lit(values[other]))
+
+
 def scene(axis: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for kv in SCENES.items() for x in kv))
-    return F.coalesce(table[axis], F.lit(SCENES["mixed_multimechanism"]))
+    return _by_axis(axis, SCENES, "mixed_multimechanism")
+
+
+def axis_context(axis: Column) -> dict[str, Column]:
+    """All that is said of a rule by its axis; axes that are unknown or null count as mixed, and have the boundary of all others."""
+    place = F.array_position(F.lit(list(DOMAINS.values())), _by_axis(axis, DOMAINS, "mixed_multimechanism"))
+    return {
+        "scene": scene(axis),
+        "template": _by_axis(axis, TEMPLATES, "mixed_multimechanism"),
+        "mining_boundary": _by_axis(axis, MINING_BOUNDARIES, ""),
+        "summary_boundary": _by_axis(axis, SUMMARY_BOUNDARIES, ""),
+        "domain": _by_axis(axis, DOMAINS, "mixed_multimechanism"),
+        "domain_place": place.cast("int"),
+    }
 
 
 # Semantic groups with a display form in two languages, and their unit.

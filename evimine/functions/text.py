@@ -131,3 +131,25 @@ def powertrain(energy: Column) -> dict[str, Column]:
     electric = contains_any(F.lower(energy), ("electric", "battery", "纯电")) & ~hybrid
     fuel = contains_any(F.lower(energy), ("petrol", "diesel", "gasoline", "汽油", "柴油")) & ~hybrid & ~electric
     return {"electric": electric.cast("int"), "hybrid": hybrid.cast("int"), "fuel_only": fuel.cast("int")}
+
+
+# What the texts of an energy vehicle's kind, a motor and a fuel say of a powertrain, texts of no battery, and the labels.
+ELECTRIC_WORDS = (("纯电",), ("电动机",), ("电池",))
+HYBRID_WORDS = (("插电式混合", "增程", "混合动力"), ("混合动力",), ("混合动力",))
+FUEL_WORDS = ((), ("汽油发动机", "柴油发动机"), ("汽油", "柴油"))
+NO_BATTERY = ("不适用", "未知", "nan")
+POWERTRAINS = ("纯电/电驱", "混动/增程", "燃油", "未知")
+
+
+def vehicle_power(kind: Column, motor: Column, fuel: Column, capacity: Column, battery: Column) -> dict[str, Column]:
+    """Flags of a vehicle by five texts: purely electric, hybrid, new energy (either, or a battery on record), and the powertrain's label.
+
+    A battery is on record if its capacity is a number above 0, or its type is told. Null texts tell nothing; a column that a table lacks is a
+    null literal. Electric comes before hybrid in the label, and fuel counts only where neither holds.
+    """
+    told = lambda words: reduce(lambda a, b: a | b, (contains_any(c, w) for c, w in zip((kind, motor, fuel), words, strict=True) if w))
+    electric, hybrid = told(ELECTRIC_WORDS), told(HYBRID_WORDS)
+    size = F.nanvl(capacity.cast("string").try_cast("double"), F.lit(0.0))
+    stored = F.coalesce(size > 0, F.lit(False)) | (battery.isNotNull() & ~contains_any(battery, NO_BATTERY))
+    label = F.when(electric, POWERTRAINS[0]).when(hybrid, POWERTRAINS[1]).when(told(FUEL_WORDS), POWERTRAINS[2]).otherwise(POWERTRAINS[3])
+    return {"electric": electric.cast("int"), "hybrid": hybrid.cast("int"), "new_energy": (electric | hybrid | stored).cast("int"), "powertrain": label}

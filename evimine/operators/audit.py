@@ -139,6 +139,39 @@ def schema_problems(df: DataFrame, required: dict[str, str]) -> list[str]:
     return [f"{c}: missing" if c not in have else f"{c}: {have[c]} instead of {t}" for c, t in required.items() if have.get(c) != t]
 
 
+def require_columns(df: DataFrame, columns: list[str], name: str = "table") -> DataFrame:
+    """df itself; raises with the columns that it lacks."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ChecksFailed(f"{name} lacks {', '.join(missing)}")
+    return df
+
+
+def require_known_items(items: DataFrame, item: str = "item", kind: str = "missing") -> DataFrame:
+    """items themselves; raises with the first twenty that say nothing but that a value is missing, as rules must not be replayed on those."""
+    require_columns(items, [item, kind], "items")
+    found = items.where(F.col(kind) == "pure_missing_unknown").select(item).distinct().orderBy(item).limit(20).collect()
+    if found:
+        raise ChecksFailed("items that only say missing: " + "||".join(str(r[0]) for r in found))
+    return items
+
+
+def table_membership(graded: DataFrame, table: DataFrame, key: str, tiers: tuple[str, ...]) -> DataFrame:
+    """One row: whether table holds the keys of the graded rules (key, tier) of these tiers and no others, with the numbers of both, of missing and of excess keys. Null keys are keys."""
+    expected = graded.where(F.col("tier").isin(*tiers)).select(key, F.lit(1).alias("want"), F.lit(0).alias("have"))
+    both = expected.unionByName(table.select(key, F.lit(0).alias("want"), F.lit(1).alias("have"))).groupBy(key).agg(F.max("want").alias("want"), F.max("have").alias("have"))
+    missing, excess = F.count_if(F.col("want") > F.col("have")), F.count_if(F.col("have") > F.col("want"))
+    counted = both.agg(F.count_if(F.col("want") == 1).alias("n_expected"), F.count_if(F.col("have") == 1).alias("n_present"), missing.alias("n_missing"), excess.alias("n_excess"))
+    return counted.withColumn("status", F.when(F.col("n_missing") + F.col("n_excess") == 0, "PASS").otherwise("FAIL"))
+
+
+def require_membership(graded: DataFrame, table: DataFrame, key: str, tiers: tuple[str, ...]) -> DataFrame:
+    """table itself; raises unless it holds exactly the graded rules of these tiers."""
+    found = table_membership(graded, table, key, tiers).first()
+    if found["status"] != "PASS":
+        raise ChecksFailed(f"{found['n_missing']} rules missing, {found['n_excess']} too many")
+    return table
+
+
 def same_rows(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """One row: distinct keys that only a has, that only b has, and whether the two sets are equal. Null keys are keys."""
     both = a.select(*columns, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*columns, F.lit(0).alias("a"), F.lit(1).alias("b")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evimine.functions.text import is_binary_like, observed_number, within
+from evimine.functions.text import contains_any, is_binary_like, observed_number, sentinel, within
 from evimine.operators import quantiles
 
 # Names (by fragment) and physical bounds of engineering quantities.
@@ -17,10 +17,41 @@ PHYSICAL_BOUNDS = {
     "LAENGE": (300.0, 25000.0), "BREITE": (500.0, 3500.0), "HOEHE": (500.0, 4500.0),
     "ALTER1": (0.0, 120.0), "FEATURE_AGE_YEARS": (0.0, 120.0), "TEMP": (-50.0, 60.0),
 }
+# Other spellings of vehicle dimensions, which come before all other names; a fragment and the name part that it is not; quantities without bounds.
+DIMENSIONS = {"LAENGE": ("LAENGE", "LÄNGE", "车长"), "BREITE": ("BREITE", "车宽"), "HOEHE": ("HOEHE", "车高")}
+NOT_BOUNDED = {"VK": "VKREG"}
+UNBOUNDED = ("STOSS", "碰撞角度")
+
+
+def _bound_rules() -> list[tuple[tuple[str, ...], str | None, tuple[float, float]]]:
+    """Fragments, a fragment that forbids the rule, and bounds, in order; the first that a name meets holds."""
+    first = [(words, None, PHYSICAL_BOUNDS[k]) for k, words in DIMENSIONS.items()]
+    return first + [((k,), NOT_BOUNDED.get(k), b) for k, b in PHYSICAL_BOUNDS.items() if k not in DIMENSIONS]
 
 
 def bound_of(name: str) -> tuple[float, float] | None:
-    return next((b for k, b in PHYSICAL_BOUNDS.items() if k in name.upper()), None)
+    upper = name.upper()
+    return next((b for words, lacks, b in _bound_rules() if any(w in upper for w in words) and not (lacks and lacks in upper)), None)
+
+
+def is_vehicle_dimension(name: str) -> bool:
+    return any(w in name.upper() for words in DIMENSIONS.values() for w in words)
+
+
+def is_engineering(name: str) -> bool:
+    """Whether a name is that of a continuous engineering quantity, bounded or not."""
+    return is_vehicle_dimension(name) or any(w in name.upper() for w in (*PHYSICAL_BOUNDS, *UNBOUNDED))
+
+
+def name_bounds(name: Column) -> dict[str, Column]:
+    """The same for a column of names: lo and hi (null without bounds), and whether a name is a vehicle's dimension and an engineering quantity."""
+    upper = F.upper(name)
+    low = high = F.when(F.lit(False), F.lit(0.0))
+    for words, lacks, (lo, hi) in _bound_rules():
+        met = contains_any(upper, words) & ~contains_any(upper, (lacks,)) if lacks else contains_any(upper, words)
+        low, high = low.when(met, lo), high.when(met, hi)
+    dimension = contains_any(upper, tuple(w for words in DIMENSIONS.values() for w in words))
+    return {"lo": low, "hi": high, "is_dimension": dimension, "is_engineering": dimension | contains_any(upper, (*PHYSICAL_BOUNDS, *UNBOUNDED))}
 
 
 def split_by_group(group: Column, test_share: int = 5) -> Column:
@@ -76,8 +107,16 @@ def transform(df: DataFrame, fitted: Fitted, keep: list[str]) -> DataFrame:
 
 
 def observed_flags(df: DataFrame, codes: dict[str, tuple[float, ...]], keep: list[str]) -> DataFrame:
-    """keep and, per column, 1 where the raw value is null or a code for unknown."""
-    return df.select(*keep, *((F.col(c).isNull() | F.coalesce(F.col(c).isin(*v), F.lit(False))).cast("int").alias(c) for c, v in codes.items()))
+    """keep and, per column, 1 where nothing was observed: the raw value is null, says so by its text or a code of its feature, or holds no number."""
+    return df.select(*keep, *(observed_number(F.col(c), v).isNull().cast("int").alias(c) for c, v in codes.items()))
+
+
+def unobserved_audit(df: DataFrame, codes: dict[str, tuple[float, ...]], by: list[str]) -> DataFrame:
+    """Per group and feature: rows, those whose raw value says that nothing was observed and their rate, and those without a number afterwards. One scan, no row is multiplied."""
+    counts = [c for k, v in codes.items() for c in (F.count_if(sentinel(F.col(k), v)).alias(f"s_{k}"), F.count_if(observed_number(F.col(k), v).isNull()).alias(f"m_{k}"))]
+    wide = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *counts)
+    each = F.array(*(F.struct(F.lit(k).alias("feature"), F.col(f"s_{k}").alias("n_sentinel"), F.col(f"m_{k}").alias("n_missing_after")) for k in codes))
+    return wide.select(*by, "n_rows", F.inline(each)).withColumn("sentinel_rate", F.col("n_sentinel") / F.col("n_rows"))
 
 
 def unseen_levels(train: DataFrame, test: DataFrame, categories: list[str]) -> DataFrame:
@@ -109,14 +148,14 @@ def find_column(columns: list[str], candidates: list[str], fragments: list[str])
 
 
 def column_roles(train: DataFrame, skip: list[str]) -> dict[str, str]:
-    """engineering (bounded by name), numeric (numbers beyond 0 and 1) or categorical, by names and one pass over train."""
+    """engineering (by name), numeric (numbers beyond 0 and 1) or categorical, by names and one pass over train."""
     columns = [f for f in train.schema.fields if f.name not in skip]
     row = train.agg(*(is_binary_like(F.col(f.name)).alias(str(i)) for i, f in enumerate(columns))).first()
     numbers = ("byte", "short", "int", "bigint", "long", "integer", "float", "double")
     roles = {}
     for i, f in enumerate(columns):
         number = f.dataType.simpleString() in numbers
-        roles[f.name] = "engineering" if bound_of(f.name) else "numeric" if number and not row[str(i)] else "categorical"
+        roles[f.name] = "engineering" if is_engineering(f.name) else "numeric" if number and not row[str(i)] else "categorical"
     return roles
 
 

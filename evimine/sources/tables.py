@@ -6,7 +6,9 @@ import csv
 import json
 import os
 import re
+import shutil
 import zipfile
+from datetime import datetime
 from io import BytesIO
 from itertools import islice
 from xml.etree import ElementTree
@@ -45,15 +47,20 @@ def first_existing(spark: SparkSession, folders: list[str], name: str) -> str |
 
 
 def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """All columns as text, empty ones null. The first encoding that all bytes allow wins, else the last; a byte order mark goes.
+    """All columns as text, empty ones null, names without white space around them. The first encoding that all bytes allow wins, else the last; a byte order mark goes.
 
     Files are split among tasks, whatever their quoted line ends; UTF-16, whose bytes cannot be split so, is read a file at a time.
     """
     if not encodings:
         raise ValueError("no encoding given")
     if any(e.upper().startswith("UTF-16") for e in encodings):
-        return spark.read.option("header", True).option("encoding", encodings[0]).option("multiLine", True).option("escape", '"').csv(path)
-    return csv_splits.read(spark, path, encodings)
+        return stripped(spark.read.option("header", True).option("encoding", encodings[0]).option("multiLine", True).option("escape", '"').csv(path))
+    return stripped(csv_splits.read(spark, path, encodings))
+
+
+def stripped(df: DataFrame) -> DataFrame:
+    """df without white space around its column names."""
+    return df.toDF(*(c.strip() for c in df.columns))
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
@@ -118,6 +125,61 @@ def package(files: list[str], path: str) -> list[str]:
     return missing
 
 
+INDEX = "00_PACKAGE_INDEX.csv"
+
+
+def verify_package(path: str, required: list[str], manifests: list[str] | None = None) -> list[tuple[str, str, int, list[str]]]:
+    """Per list of files (the required ones, and the `outputs` of each manifest): its name, status, length, and which of them the archive lacks. Files count by their last name."""
+    with zipfile.ZipFile(path) as z:
+        names = set(z.namelist())
+    lists = {"required": required}
+    for m in manifests or []:
+        outputs = read_manifest(m).get("outputs", [])
+        lists[os.path.basename(m)] = [outputs] if isinstance(outputs, str) else outputs if isinstance(outputs, list) else []
+    rows = []
+    for name, files in lists.items():
+        wanted = [os.path.basename(str(f)) for f in files if str(f).strip()]
+        missing = sorted(set(wanted) - names)
+        rows.append((name, "FAIL" if missing else "PASS", len(wanted), missing))
+    return rows
+
+
+def package_folder(files: list[str], folder: str, archive: str, category) -> list[dict]:
+    """Copies files into a folder, with an index of all of them (also the missing) beside; the index's rows.
+
+    category tells what a file of some name belongs to. A folder that is there is replaced if it holds an index, so is an earlier package, or
+    nothing; any other is an error. Of two files of one name, which would overwrite each other, none is copied: that is an error too.
+    """
+    names = [os.path.basename(f) for f in files]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"several files named {', '.join(twice)}")
+    if os.path.isdir(folder) and os.listdir(folder):
+        if not os.path.exists(os.path.join(folder, INDEX)):
+            raise ValueError(f"{folder} holds something else than a package")
+        inside = os.path.realpath(folder) + os.sep
+        if held := [f for f in files if os.path.realpath(f).startswith(inside)]:
+            raise ValueError(f"{held[0]} lies in the folder that is replaced")
+        shutil.rmtree(folder)
+    os.makedirs(folder, exist_ok=True)
+    with zipfile.ZipFile(archive) as z:
+        packed = set(z.namelist())
+    rows = []
+    for f, name in zip(files, names, strict=True):
+        there = os.path.exists(f)
+        if there:
+            shutil.copy2(f, os.path.join(folder, name))
+        changed = datetime.fromtimestamp(os.path.getmtime(f)).isoformat(timespec="seconds") if there else ""
+        rows.append({
+            "File": name, "Category": category(name), "Required": True, "Exists": there, "Size_Bytes": os.path.getsize(f) if there else 0,
+            "Modified_Time": changed, "Included_In_Zip": name in packed, "Notes": "" if there else "missing",
+        })
+    with open(os.path.join(folder, INDEX), "w", encoding="utf-8-sig", newline="") as out:
+        writer = csv.DictWriter(out, ["File", "Category", "Required", "Exists", "Size_Bytes", "Modified_Time", "Included_In_Zip", "Notes"])
+        writer.writeheader()
+        writer.writerows(rows)
+    return rows
+
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _ROW, _OPEN = re.compile(rb"<row(?:\s[^>]*)?(?:/>|(?<!/)>(.*?)</row>)", re.DOTALL), re.compile(rb"<row[\s/>]")

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from evimine.plans import check_queries, rule_queries, scale_queries, study_queries, table_queries, wide_queries
+from evimine.plans import check_queries, detail_queries, rule_queries, scale_queries, study_queries, table_queries, wide_queries
 
 SF = "/root/testdata/sf0.001"
-SQL = {**table_queries.ORACLE_SQL, **rule_queries.ORACLE_SQL, **study_queries.ORACLE_SQL, **check_queries.ORACLE_SQL, **wide_queries.ORACLE_SQL, **scale_queries.ORACLE_SQL}
-QUERIES = {**table_queries.QUERIES, **rule_queries.QUERIES, **study_queries.QUERIES, **check_queries.QUERIES, **wide_queries.QUERIES, **scale_queries.QUERIES}
+SQL = {**table_queries.ORACLE_SQL, **rule_queries.ORACLE_SQL, **study_queries.ORACLE_SQL, **check_queries.ORACLE_SQL, **detail_queries.ORACLE_SQL, **wide_queries.ORACLE_SQL, **scale_queries.ORACLE_SQL}
+QUERIES = {**table_queries.QUERIES, **rule_queries.QUERIES, **study_queries.QUERIES, **check_queries.QUERIES, **detail_queries.QUERIES, **wide_queries.QUERIES, **scale_queries.QUERIES}
 
 
 @pytest.fixture(scope="module")
