@@ -340,3 +340,23 @@ def test_clashing_columns_are_replaced_and_others_kept(docs, apply):
     more = docs.withColumns({n: F.lit(7).cast("long") for n in names})
     out = apply(more)
     assert len(set(out.columns)) == len(out.columns) and set(more.columns) <= set(out.columns) and out.count() == docs.count()
+
+
+def test_bpe_merges_a_piece_of_over_a_megabyte_in_bounded_memory(monkeypatch):
+    import random
+    import tracemalloc
+
+    monkeypatch.setattr(bpe, "LOOK_UP", 1 << 18)
+    v = bpe._vocabulary(open(PATH, "rb").read(), PATTERN)
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    piece = "".join(r.choice(words) for _ in range(220_000)).encode()
+    assert len(piece) > 1_000_000 and v.pairs
+    tracemalloc.start()
+    bpe.merged_array(piece[:50_000], v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * 50_000
+    ids = bpe.merged_array(piece, v)
+    assert b"".join(map(v.bytes.__getitem__, ids)) == piece and len(ids) < len(piece) // 2
+    assert all(a << 32 | b not in v.pairs for a, b in zip(ids, ids[1:], strict=False))  # nothing is left to merge
