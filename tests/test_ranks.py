@@ -118,3 +118,22 @@ def test_no_window_without_ranges(spark):
     plan = ranks.running(df, [], [F.col("id").asc()], {"s": ("sum", F.lit(1))}, 8)._jdf.queryExecution().analyzed().toString()
     windows = [line for line in plan.splitlines() if "Window" in line]
     assert len(windows) == 2 and sum("_range" in w.split("windowspecdefinition(")[1].split(" ASC")[0] for w in windows) == 2
+
+
+def test_quantiles_of_two_heavy_values_end(spark, monkeypatch):
+    """A median between two values that all rows share: the bracket holds them all for ever, and few values nevertheless."""
+    calls, real = [], quantiles.stored
+    monkeypatch.setattr(quantiles, "stored", lambda df: calls.append(1) or (real(df) if len(calls) < 9 else pytest.fail("no end")))
+    values = spark.range(0, 40_000, 1, 4).select((F.col("id") % 2).cast("double").alias("value"))
+    assert [x.quantile for x in quantiles.quantiles(values, [], (0.5,), few=100).collect()] == [0.5]
+
+
+def test_quantiles_between_heavy_ends(spark, monkeypatch):
+    """Thousands of distinct values between two that most rows share."""
+    calls, real = [], quantiles.stored
+    monkeypatch.setattr(quantiles, "stored", lambda df: calls.append(1) or (real(df) if len(calls) < 12 else pytest.fail("no end")))
+    values = [0.0] * 60_000 + [1.0] * 60_000 + [i / 1001 for i in range(1, 1001)]
+    found = {x.p: x.quantile for x in quantiles.quantiles(long(spark, {"a": values}), ["g"], (0.497, 0.5), few=30).collect()}
+    ordered = sorted(values)
+    want = lambda p: np.quantile(ordered, p)
+    assert all(math.isclose(found[p], want(p), rel_tol=1e-12) for p in found)
