@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evimine.sources.scratch import kept, stored
+from evimine.sources.scratch import FINE, kept, stored
 
 #: Cells of a grid, values of a bracket that are counted one by one, and brackets up to which they are broadcast (some MB).
 CELLS, FEW, BROADCAST = 512, 20_000, 100_000
@@ -122,6 +122,6 @@ def _read(pairs: DataFrame) -> DataFrame:
 
 def medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float]:
     """The exact median of each named column, all in the same passes over one written table; columns without values are left out."""
-    with kept(df.select(*(c.cast("double").alias(name) for name, c in columns.items()))) as wide:
+    with kept(df.select(*(c.cast("double").alias(name) for name, c in columns.items())), FINE) as wide:
         long = wide.unpivot([], list(columns), "feature", "value")
         return {r["feature"]: r["quantile"] for r in quantiles(long, ["feature"], [0.5]).collect()}

@@ -11,6 +11,7 @@ from evimine.operators import lineage, prep, profile, rules, screening
 from evimine.operators import items as I
 from evimine.plans.facts import BOUNDS, FACTS_SQL, ITEMS, NUMBERS, facts, read
 from evimine.plans.rule_queries import LIFT, SUPPORT, _pair_table
+from evimine.sources.scratch import FINE, stored
 
 #: Name and condition, in words that both engines read, of every row of a table.
 ROWS = {
@@ -78,7 +79,8 @@ TABLE_CHECKS = f"""{_checks_sql()} SELECT tab AS "table", r.name AS name, r.requ
 
 def leakage_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stages from the matrix to the models read, by split, as their own jobs counted it."""
-    f = facts(spark, sf_dir)
+    # written once, as every stage reads it; what a stage reads is counted by its own jobs all the same
+    f = stored(facts(spark, sf_dir).select(*dict.fromkeys(["grp", "split", "y", *NUMBERS, *(i.source for i in ITEMS)])), FINE)
     train, test, ledger = f.where("split = 'train'"), f.where("split = 'test'"), lineage.Ledger()
     fitted = prep.fit(ledger.reads("matrix", "medians", train), {k: BOUNDS[k] for k in ("qty", "price")}, [])
     assert set(fitted.medians) == {"qty", "price"}

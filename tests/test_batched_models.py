@@ -118,3 +118,10 @@ def test_trees_of_nothing(spark):
     for empty in (df.where("false"), df.where("y = 1")):
         forest = extra_trees.grow(empty, FEATURES, "y", trees=2, depth=3)
         assert set(forest.importances().values()) == {0.0} and forest.splits == [{}, {}]
+
+
+def test_models_read_rows_that_are_written_once(spark):
+    from evimine.plans import table_queries
+
+    plan = table_queries._with_flag(spark, "/root/testdata/sf0.001", ["qty", "flag_n"])._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "Join" not in plan
