@@ -2,7 +2,8 @@
 
 A partition's sketch is cut into blocks of cells; blocks meet in a tree of shuffles, at most FAN_IN partial blocks in one
 task, so neither a task nor the driver ever holds more than a bounded number of bounded blocks. The merged sketch has a
-fixed number of cells, whatever the input, and is what executors receive.
+fixed number of cells, whatever the input, and is what executors receive. It is written before the driver reads it, AT_ONCE
+blocks at a time, so that the driver holds it once and not once more for each way that results take.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evimine.llm import _text
-from evimine.llm._spark import forget
+from evimine.llm._spark import cut, forget
 
 #: Partial blocks merged by one task; names gathered before they are compressed.
 FAN_IN, GATHERED = 64, 1 << 20
+#: Merged blocks that the driver receives at a time.
+AT_ONCE = 8
 _SCHEMA = "slot long, level int, block int, payload binary"
 
 Names = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
@@ -53,8 +56,9 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(level, pa.int32()), pa.array(block, pa.int32()), pa.array(payload, pa.binary())], names=["slot", "level", "block", "payload"])
 
 
-def _tree(partials: DataFrame, merge: Callable[[list[bytes]], bytes], finish: Callable[[bytes], bytes]) -> dict[tuple[int, int], bytes]:
-    """Merged payload of each (row, block)."""
+def _tree(partials: DataFrame, merge: Callable[[list[bytes]], bytes], finish: Callable[[bytes], bytes], blocks: int) -> Iterator[tuple[int, int, bytes]]:
+    """Row, block and merged payload, few at a time."""
+
     def merger(last: bool) -> Callable[[pa.Table], pa.Table]:
         def run(t: pa.Table) -> pa.Table:
             merged = merge(t.column("payload").to_pylist())
@@ -68,8 +72,12 @@ def _tree(partials: DataFrame, merge: Callable[[list[bytes]], bytes], finish: Ca
         last = slots <= FAN_IN
         partials = partials.groupBy("level", "block", F.floor(F.col("slot") / FAN_IN).alias("up")).applyInArrow(merger(last), _SCHEMA)
         if last:
-            return {(r["level"], r["block"]): bytes(r["payload"]) for r in partials.select("level", "block", "payload").collect()}
+            break
         slots = -(-slots // FAN_IN)
+    merged = cut(partials.select("level", "block", "payload"), "sketch")
+    for low in range(0, blocks, AT_ONCE):
+        for r in merged.where(F.col("block").between(low, low + AT_ONCE - 1)).collect():
+            yield r["level"], r["block"], r["payload"]
 
 
 def repeated(df: DataFrame, names: Names, bits: int, depth: int = 2, blocks: int = 64) -> list[np.ndarray]:
@@ -121,13 +129,12 @@ def repeated(df: DataFrame, names: Names, bits: int, depth: int = 2, blocks: int
         seen[cells[again]] = True
         return np.packbits(seen).tobytes()
 
-    found = _tree(df.mapInArrow(partial, _SCHEMA), merge, finish)
-    forget(df.sparkSession)
     out = [np.zeros((1 << bits) // 8 or 1, np.uint8) for _ in range(depth)]
-    for (row, block), bitmap in found.items():
+    for row, block, bitmap in _tree(df.mapInArrow(partial, _SCHEMA), merge, finish, blocks):
         part = np.frombuffer(bitmap, np.uint8)
         if each >= 8:
             out[row][block * each // 8 : (block + 1) * each // 8] = part
+    forget(df.sparkSession)
     return out
 
 
@@ -170,9 +177,8 @@ def counts(df: DataFrame, names: Names, bits: int, blocks: int = 16) -> np.ndarr
             total += _wide(p)
         return _narrow(total)
 
-    found = _tree(df.mapInArrow(partial, _SCHEMA), merge, lambda payload: payload)
-    forget(df.sparkSession)
     out = np.zeros((blocks, each), np.uint32)
-    for (_, block), part in found.items():
+    for _, block, part in _tree(df.mapInArrow(partial, _SCHEMA), merge, lambda payload: payload, blocks):
         out[block] = _wide(part)
+    forget(df.sparkSession)
     return out.reshape(-1)
