@@ -101,6 +101,23 @@ def test_support_is_antimonotone_and_growth_agrees(spark):
     assert grown and all(by[frozenset(k.split("||"))] == pytest.approx(v) for k, v in grown.items())
 
 
+def test_growth_reads_bounded_tasks_of_small_baskets(spark, monkeypatch):
+    """Baskets of names, in as few tasks as the narrow table has files, made a task read what grew with the table."""
+    seen, fit = [], rules.FPGrowth.fit
+
+    def watched(self, dataset):
+        seen.append((dataset.rdd.getNumPartitions(), dataset.schema["basket"].dataType.elementType.simpleString()))
+        return fit(self, dataset)
+
+    monkeypatch.setattr(rules, "TASK_BASKETS", 40)
+    monkeypatch.setattr(rules.FPGrowth, "fit", watched)
+    many = [items.Item(f"i{v}", "v", "==", v) for v in range(140)]  # more than a signed byte holds
+    df = spark.range(420).selectExpr("CAST(id % 140 AS INT) AS v", "CAST(id % 140 >= 130 AS INT) AS label")
+    found = {r["antecedent"]: (round(r["support"], 6), r["confidence"]) for r in rules.mine_frequent(df, many, "label", 0.001, 0.0, (1, 1)).collect()}
+    assert found == {f"i{v}": (round(3 / 420, 6), 1.0) for v in range(130, 140)}
+    assert seen[0][0] >= 11 and seen[0][1] == "smallint"
+
+
 def test_greedy_takes_no_superset(spark):
     ranked = rules.ranked(rules.mine(matrix(spark), ITEMS, "label", (1, 2, 3), 0.0, 0.0))
     taken = rules.select_diverse(ranked, F.lit("axis"), axis_caps={"axis": 10}, soft={"axis": 1})
