@@ -1,16 +1,20 @@
 """Frames of token ids: blocks that are coded on their own by an adaptive range coder over mixed predictions.
 
 Model of one block, which starts anew in each. Order 2 and order 1 each predict one id, the one that last followed the same
-two ids or the same id, with a confidence of how often it did. Order 0 gives every id a probability, from counts of what the
-others missed. The three are mixed: for each pair of confidences the block learns how much of the probability order 2 and order 1
-deserve, and order 0 has the rest. So an id is one interval of a range coder, whatever predicted it.
+two ids or the same id, with a confidence of how often it did. Order 0 gives every id that the others missed before a probability, from
+counts of what they missed, and the rest to a sign before an id that is new, which then comes as it is. The three are mixed: for each
+pair of confidences the block learns how much of the probability order 2 and order 1 deserve, and order 0 has the rest. So an id is one
+interval of a range coder, whatever predicted it, but for the first time that order 0 meets it.
 
-Up to LANES blocks of a frame go forward together, a step an id, so that each step is a few numpy operations over as many lanes
-as there are blocks; more blocks come after them, so that memory does not grow with the frame's models. A block needs nothing from its neighbours: any set of them can be read alone. Each has a checksum of its ids and bytes.
+A block is cut into as many stretches as LANES, which go forward together, a step an id, and learn into one model: each step is a few numpy
+operations over all lanes, and memory is that of one model, however many lanes there are. The model learns in spans of steps, the first of
+one step, each later one as long as all before, up to SPAN: within a span it stands still, so that a writer handles whole spans. A block
+needs nothing from its neighbours: any set of them can be read alone. Each has a checksum of its ids and bytes.
 
 Layout of a frame, little-endian: MAGIC, then unsigned 32-bit numbers of ids in a block, of ids, of blocks and of documents, then
 for each block the number of its bytes and the crc32 of its ids, as unsigned 32-bit integers, and its bytes, then for each document its doc_id and number of
-ids as signed 64-bit integers, then the crc32 of all before, then the blocks' bytes.
+ids as signed 64-bit integers, then the crc32 of all before, then the blocks' bytes. A block's bytes: the number of its lanes and
+of each lane's words, as unsigned 32-bit integers, then the lanes' words of 16 bits.
 """
 
 from __future__ import annotations
@@ -20,145 +24,94 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"EVIDS1\0\0"
-#: Ids of a block, at most and at least, and blocks that go forward together.
-BLOCK, SHORTEST, LANES = 8192, 512, 1024
-#: All probability, what orders 2 and 1 get at most, the bits of a word that is sent, and the range below which it is.
-TOTAL_BITS, WORD, RENORM, FULL = 24, 24, 1 << 32, 1 << 56
-TOTAL, MOST = 1 << TOTAL_BITS, (1 << TOTAL_BITS) - (1 << 20) - 64
-#: Slots per block of order 2 and 1, how fast weights adapt, what a missed id adds to its count, steps between rebuilds.
-SLOTS_2, SLOTS_1, RATE, STEP, REBUILD = 1 << 13, 1 << 12, 5, 3, 512
-#: Ids of order 0 that have a count each; later ones share one by sixteen, evenly.
-OWN, SHARED_BITS = 1024, 4
-#: Low bits of a sum that are searched for; the others are looked up.
-NEAR = 5
+MAGIC = b"EVIDS2\0\0"
+#: Ids of a block, of a lane at least unless there is one only, and lanes of a block.
+BLOCK, SHORTEST, LANES = 1 << 21, 512, 4096
+#: All probability, the bits of a word that is sent, and the range below which it is. Quotients of a range have 48 bits at most, so that floats are exact.
+TOTAL_BITS, WORD, RENORM, FULL = 22, 16, 1 << 32, 1 << 48
+TOTAL = 1 << TOTAL_BITS
+#: Probability within order 0; orders 2 and 1 leave as much of all, so that every cell of order 0 has some.
+CELL_BITS = 17
+CELLS, MOST = 1 << CELL_BITS, TOTAL - (1 << CELL_BITS)
+#: Slots of order 2, the longest span of steps, and hits of a pair of confidences above which they are halved.
+SLOTS_2, SPAN, OLD = 1 << 17, 32, 1 << 15
 IDS = 1 << 16
 #: By confidence (0 to 7): what it gains if its id came, and loses if not; at less than two, another id takes the slot.
 _GAIN = np.array([0, -1, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], np.int32)
 _YIELDS = np.arange(16) < 2
 
 
-def _first_counts() -> np.ndarray:
-    """Order 0 before it has seen anything: small ids are the more frequent ones."""
-    counts = np.ones(OWN + (IDS - OWN >> SHARED_BITS), np.int32)
-    counts[:OWN] += 1024 // (np.arange(OWN, dtype=np.int32) + 32)
-    return counts
-
-
 class BrokenBlock(ValueError):
     """What was read is not what was written."""
 
 
-class _Lanes:
-    """The models of as many blocks, and the ids that each saw last.
-
-    A step is predict, then interval (of known ids) or find (of coded values), then update.
-    """
-
-    def __init__(self, n: int):
-        first = _first_counts()
-        self.width = len(first) + 1
-        lane = np.arange(n)
-        self.at_2, self.at_1, self.at_w, self.at_c, self.from_ = lane * SLOTS_2, lane * SLOTS_1, lane * 128, lane * self.width, lane << 16
-        self.slots_2, self.slots_1 = np.zeros(n * SLOTS_2, np.int32), np.zeros(n * SLOTS_1, np.int32)
-        sure = np.arange(8)
-        w2 = np.broadcast_to((MOST * sure // (sure + 1))[:, None, None], (8, 8, 2))
-        w1 = np.where(np.arange(2) == 1, 0, (MOST - w2) * sure[:, None] // (sure[:, None] + 2))
-        self.weights = np.tile((w2 << 32 | w1).reshape(-1) + (32 << 32 | 32), n)
-        self.counts = np.empty((n, self.width), np.int32)  # sums of a row begin at its number times 2**16
-        self.counts[:, 0], self.counts[:, 1:] = self.from_, first
-        self.before, self.last, self.steps = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        sums = np.cumsum(self.counts, axis=1, dtype=np.int32)
-        self.sums, self.all = np.append(sums, np.full(2 << NEAR, 2**31 - 1, np.int32)), (sums[:, -1] - sums[:, 0])[: len(self.last)].astype(np.int64)
-        self.below = None
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        """The last of all rows' sums that is no more than each key. Sums differ, so few of them have the same high bits."""
-        if self.below is None:
-            high = self.sums[: -(2 << NEAR)] >> NEAR
-            self.below = np.cumsum(np.bincount(high, minlength=int(high[-1]) + 2), dtype=np.int32)
-        place = self.below.take((keys >> NEAR) - 1, mode="clip") - 1
-        place[keys < 1 << NEAR] = -1
-        for step in range(NEAR, -1, -1):
-            place += (self.sums.take(place + (1 << step)) <= keys) << step
-        return place
-
-    def keep(self, n: int) -> None:
-        """Go on with the first n blocks."""
-        for name in ("at_2", "at_1", "at_w", "at_c", "from_", "before", "last", "all"):
-            setattr(self, name, getattr(self, name)[:n])
-
-    def predict(self) -> None:
-        a = self.last * 0x9E3779B1
-        self.i2 = self.at_2 + (a + self.before * 0x85EBCA6B >> 15 & (SLOTS_2 - 1))
-        self.i1 = self.at_1 + (a >> 12 & (SLOTS_1 - 1))
-        self.e2, self.e1 = self.slots_2.take(self.i2), self.slots_1.take(self.i1)
-        self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
-        self.state = self.at_w + ((self.e2 & 7) * 16 + (self.e1 & 7) * 2 + (self.p2 == self.p1))
-        self.weight = self.weights.take(self.state)
-        self.m2 = self.weight >> 32
-        self.known = self.m2 + (self.weight & 0xFFFFFFFF)
-
-    def _missed(self, lanes: np.ndarray) -> None:
-        self.lanes, self.m_known = lanes, self.known[lanes]
-        self.m_rest, self.m_all = TOTAL - self.m_known, self.all[lanes]
-
-    def _order_0(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each missed lane's cell begins within what order 0 has, and its width. Quotients stay below 2**24, so that floats are exact."""
-        base = self.from_[self.lanes]
-        low = ((self.sums.take(place) - base) * self.m_rest / self.m_all).astype(np.int64)
-        return low, ((self.sums.take(place + 1) - base) * self.m_rest / self.m_all).astype(np.int64) - low
-
-    def _intervals(self, low: np.ndarray, width: np.ndarray, far: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of every lane's interval; missed ones have a sixteenth of a shared cell."""
-        shift = far * SHARED_BITS
-        start, size = np.where(self.hit_2, 0, self.m2), np.where(self.hit_2, self.m2, self.known - self.m2)
-        from_ = width * inside >> shift
-        start[self.lanes] = self.m_known + low + from_
-        size[self.lanes] = (width * (inside + 1) >> shift) - from_
-        return start, size
-
-    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of each lane's id."""
-        self.hit_2 = x == self.p2
-        self.hit_1 = (x == self.p1) > self.hit_2
-        self._missed(np.flatnonzero(~(self.hit_2 | self.hit_1)))
-        y = x[self.lanes]
-        far = y >= OWN
-        self.place = self.at_c[self.lanes] + np.where(far, OWN + (y - OWN >> SHARED_BITS), y)
-        return self._intervals(*self._order_0(self.place), far, np.where(far, y & (1 << SHARED_BITS) - 1, 0))
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id in whose interval each lane's value lies, and the start and width of that."""
-        self.hit_2 = value < self.m2
-        self.hit_1 = (value < self.known) > self.hit_2
-        x = np.where(self.hit_2, self.p2, self.p1).astype(np.int64)
-        self._missed(np.flatnonzero(value >= self.known))
-        above = value[self.lanes] - self.m_known + 1
-        counted = (above * self.m_all - 1) // self.m_rest
-        self.place = self._place(self.from_[self.lanes] + counted)
-        low, width = self._order_0(self.place)
-        cell = self.place - self.at_c[self.lanes]
-        far = cell >= OWN
-        inside = np.where(far, ((above - low << SHARED_BITS) - 1) // np.maximum(width, 1), 0)
-        x[self.lanes] = np.where(far, OWN + (cell - OWN << SHARED_BITS) + inside, cell)
-        return x, *self._intervals(low, width, far, inside)
-
-    def update(self, x: np.ndarray) -> None:
-        known = self.known - self.m2
-        gained = (self.hit_2 * (MOST >> RATE) - (self.m2 >> RATE) << 32) + (self.hit_1 * (MOST >> RATE) - (known >> RATE))
-        self.weights[self.state] = self.weight + gained
+class _Model:
+    """What a block has learned: slots of id and confidence, hits of each pair of confidences, and counts of missed ids."""
+
+    def __init__(self):
+        self.slots_2, self.slots_1 = np.zeros(SLOTS_2, np.int32), np.zeros(IDS, np.int32)
+        sure_2, sure_1, same = (x.reshape(-1) for x in np.meshgrid(np.arange(8), np.arange(8), np.arange(2), indexing="ij"))
+        self.hits = np.stack([1 + 4 * sure_2, 1 + 4 * sure_1 * (1 - same), np.full(128, 8)], axis=1)  # order 2, order 1, neither
+        self.counts = np.zeros(IDS + 1, np.int64)  # the last is the sign before a new id
+        self.counts[IDS] = 1
+        self.settle()
+
+    def settle(self) -> None:
+        """Probabilities from hits and counts."""
+        old = self.hits.sum(axis=1) > OLD
+        self.hits[old] = self.hits[old] + 1 >> 1
+        share = np.cumsum(self.hits, axis=1) * MOST // self.hits.sum(axis=1)[:, None]
+        self.m_2, self.m_known = share[:, 0].copy(), share[:, 1].copy()
+        seen = self.counts > 0
+        width = seen + self.counts * (CELLS - int(seen.sum())) // int(self.counts.sum())
+        width[IDS] += CELLS - int(width.sum())
+        self.cell = np.where(seen[:IDS], np.arange(IDS), IDS)
+        self.below = np.append(0, np.cumsum(width))
+        self.at = np.repeat(np.arange(IDS + 1, dtype=np.int32), width)
+
+    def predict(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The slot of order 2, the entries of both orders, and their confidences with whether they name the same id."""
+        i_2 = last * 0x9E3779B1 + before * 0x85EBCA6B >> 15 & SLOTS_2 - 1
+        e_2, e_1 = self.slots_2.take(i_2), self.slots_1.take(last)
+        return i_2, e_2, e_1, (e_2 & 7) << 4 | (e_1 & 7) << 1 | ((e_2 ^ e_1) < 8)
+
+    def intervals(self, x: np.ndarray, e_2: np.ndarray, e_1: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and width of each id's interval, and which are new."""
+        hit_2, hit_1 = x == e_2 >> 3, x == e_1 >> 3
+        m_2, known = self.m_2.take(state), self.m_known.take(state)
+        cell = self.cell.take(x)
+        low, width = self._order_0(cell, TOTAL - known)
+        start, size = np.where(hit_2, 0, np.where(hit_1, m_2, known + low)), np.where(hit_2, m_2, np.where(hit_1, known - m_2, width))
+        return start, size, (cell == IDS) & ~(hit_2 | hit_1)
+
+    def _order_0(self, cell: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = self.below.take(cell) * rest >> CELL_BITS
+        return low, (self.below.take(cell + 1) * rest >> CELL_BITS) - low
+
+    def find(self, value: np.ndarray, e_2: np.ndarray, e_1: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id (IDS: a new one) in whose interval each value lies, and the start and width of that."""
+        m_2, known = self.m_2.take(state), self.m_known.take(state)
+        hit_2, hit = value < m_2, value < known
+        rest = TOTAL - known
+        above = np.maximum(value - known, 0) + 1
+        x = self.at.take((((above << CELL_BITS) - 1) / rest).astype(np.int64))
+        low, width = self._order_0(x, rest)
+        start, size = np.where(hit, m_2, known + low), np.where(hit, known - m_2, width)
+        start[hit_2] = 0
+        return np.where(hit, np.where(hit_2, e_2, e_1) >> 3, x), start, np.where(hit_2, m_2, size)
+
+    def learn(self, x: np.ndarray, last: np.ndarray, i_2: np.ndarray, e_2: np.ndarray, e_1: np.ndarray, state: np.ndarray) -> None:
+        """Take in a span, step by step and in each step lane by lane; where two fall into one slot, the later one stays."""
+        hit_2, hit_1 = x == e_2 >> 3, x == e_1 >> 3
+        missed = x[~(hit_2 | hit_1)]
+        kind = np.where(hit_2, 0, 2 - hit_1)
+        self.hits += np.bincount((state * 3 + kind).reshape(-1), minlength=384).reshape(128, 3)
         fresh = (x << 3 | 1).astype(np.int32)
-        self.slots_2[self.i2] = self._slot(self.e2, self.hit_2, fresh)
-        self.slots_1[self.i1] = self._slot(self.e1, x == self.p1, fresh)
-        self.counts.reshape(-1)[self.place + 1] += STEP
-        self.before, self.last = self.last, x
-        self.steps += 1
-        if self.steps % REBUILD == 0 or self.steps in (32, 64, 128, 256):
-            self.rebuild()
+        self.slots_2[i_2.reshape(-1)] = self._slot(e_2, hit_2, fresh).reshape(-1)
+        self.slots_1[last.reshape(-1)] = self._slot(e_1, hit_1, fresh).reshape(-1)
+        self.counts[IDS] += np.count_nonzero(self.cell.take(missed) == IDS)
+        self.counts[:IDS] += np.bincount(missed, minlength=IDS)
+        self.settle()
 
     @staticmethod
     def _slot(entry: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> np.ndarray:
@@ -166,78 +119,148 @@ class _Lanes:
         return np.where(_YIELDS.take(sure), fresh, entry + _GAIN.take(sure))
 
 
-def _code(ids: np.ndarray, block: int) -> list[bytes]:
-    n, count = -(-len(ids) // block), len(ids)
-    padded = np.zeros(n * block, np.int64)
-    padded[:count] = ids
-    steps = np.ascontiguousarray(padded.reshape(n, block).T)
-    lanes = _Lanes(n)
-    low, size = np.zeros(n, np.int64), np.full(n, FULL, np.int64)
-    words, sent, ends = np.zeros((n, block + 1), np.int32), np.zeros(n, np.int64), low
-    last = count - (n - 1) * block
-    for t in range(block if n > 1 else last):
-        if t == last:
-            lanes.keep(n - 1)
-            low, size, ends = low[: n - 1], size[: n - 1], low
-        x = steps[t, : len(low)]
-        lanes.predict()
-        start, width = lanes.interval(x)
-        unit = size >> TOTAL_BITS
-        low += start * unit
-        size = width * unit
-        over = np.flatnonzero(low >= FULL)
+def _shape(count: int) -> tuple[int, int]:
+    """Lanes of a block of count ids, and their steps; the last lanes may go beyond its end."""
+    lanes = max(1, min(LANES, count // SHORTEST))
+    return lanes, -(-count // lanes)
+
+
+def _spans(steps: int) -> list[tuple[int, int]]:
+    out, t = [], 0
+    while t < steps:
+        out.append((t, min(steps, t + min(SPAN, max(1, t)))))
+        t = out[-1][1]
+    return out
+
+
+class _Sender:
+    """Words of all lanes, as many lanes code intervals."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.low, self.size = np.zeros(lanes, np.int64), np.full(lanes, FULL, np.int64)
+        self.words = np.zeros((lanes, 3 * steps + 8), np.int32)
+        self.flat, self.first = self.words.reshape(-1), np.arange(lanes) * (3 * steps + 8)
+        self.next = self.first.copy()
+
+    def send(self, start: np.ndarray, width: np.ndarray) -> None:
+        unit = self.size >> TOTAL_BITS
+        self.low += start * unit
+        self.size = width * unit
+        self._settle(np.flatnonzero(self.low >= FULL), np.flatnonzero(self.size < RENORM))
+
+    def send_some(self, lanes: np.ndarray, start: np.ndarray, width: int) -> None:
+        unit = self.size[lanes] >> TOTAL_BITS
+        low = self.low[lanes] + start * unit
+        self.low[lanes], self.size[lanes] = low, width * unit
+        self._settle(lanes[low >= FULL], lanes[self.size[lanes] < RENORM])
+
+    def _settle(self, over: np.ndarray, short: np.ndarray) -> None:
         if len(over):
-            words[over, sent[over] - 1] += 1
-            low[over] -= FULL
-        short = np.flatnonzero(size < RENORM)
-        if len(short):
-            bottom = low[short]
-            words[short, sent[short]] = bottom >> 32
-            sent[short] += 1
-            low[short] = (bottom & RENORM - 1) << WORD
-            size[short] <<= WORD
-        lanes.update(x)
-    ends = low if len(low) == n else ends
-    while len(at := np.argwhere(words == 1 << WORD)):  # what ran over goes to the word before
-        words[at[:, 0], at[:, 1]] = 0
-        words[at[:, 0], at[:, 1] - 1] += 1
-    split = words.astype(">u4").view(np.uint8).reshape(n, -1, 4)[:, :, 1:]
-    return [split[i, : sent[i]].tobytes() + int(ends[i]).to_bytes(7, "big") for i in range(n)]
-
-
-def _uncode(payloads: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
-    """Ids of blocks, in any order and of any lengths."""
-    order = np.argsort(-lengths, kind="stable")
-    n, longest = len(payloads), int(lengths.max(initial=0))
-    sizes = np.array([len(payloads[i]) for i in order])
-    if (sizes < 7).any() or ((sizes - 7) % 3).any():
+            self.flat[self.next[over] - 1] += 1
+            self.low[over] -= FULL
+        while len(short):
+            bottom, place, size = self.low[short], self.next[short], self.size[short] << WORD
+            self.flat[place] = bottom >> 32
+            self.next[short] = place + 1
+            self.low[short] = (bottom & RENORM - 1) << WORD
+            self.size[short] = size
+            short = short[size < RENORM]
+
+    def done(self) -> bytes:
+        for shift in (32, 16, 0):
+            self.flat[self.next] = self.low >> shift & 0xFFFF
+            self.next += 1
+        while len(at := np.flatnonzero(self.flat == 1 << WORD)):  # what ran over goes to the word before
+            self.flat[at] = 0
+            self.flat[at - 1] += 1
+        sent = self.next - self.first
+        words = self.words.astype("<u2")
+        return struct.pack("<I", len(sent)) + sent.astype("<u4").tobytes() + b"".join(words[i, :n].tobytes() for i, n in enumerate(sent))
+
+
+def _code(ids: np.ndarray) -> bytes:
+    lanes, steps = _shape(len(ids))
+    padded = np.zeros(lanes * steps, np.int64)
+    padded[: len(ids)] = ids
+    x = np.zeros((steps + 2, lanes), np.int64)  # before the first id of a lane stand zeros
+    x[2:] = padded.reshape(lanes, steps).T
+    model, sender = _Model(), _Sender(lanes, steps)
+    for low, high in _spans(steps):
+        now, last = x[low + 2 : high + 2], x[low + 1 : high + 1]
+        guess = model.predict(x[low:high], last)
+        start, width, new = model.intervals(now, *guess[1:])
+        some = new.any(axis=1)
+        for t in range(high - low):
+            sender.send(start[t], width[t])
+            if some[t]:
+                at = np.flatnonzero(new[t])
+                sender.send_some(at, now[t, at] << TOTAL_BITS - 16, 1 << TOTAL_BITS - 16)
+        if high < steps:
+            model.learn(now, last, *guess)
+    return sender.done()
+
+
+class _Receiver:
+    """Values of all lanes from their words."""
+
+    def __init__(self, payload: bytes, lanes: int):
+        sent = np.frombuffer(payload, "<u4", lanes, 4).astype(np.int64)
+        self.words = np.frombuffer(payload, "<u2", offset=4 + 4 * lanes).astype(np.int64)
+        if (sent < 3).any() or sent.sum() != len(self.words):
+            raise BrokenBlock("a block of impossible size")
+        self.next = np.cumsum(sent) - sent
+        self.code = self.words[self.next] << 32 | self.words[self.next + 1] << 16 | self.words[self.next + 2]
+        self.next += 3
+        self.size = np.full(lanes, FULL, np.int64)
+
+    def values(self) -> np.ndarray:
+        self.unit = self.size >> TOTAL_BITS
+        return np.minimum((self.code / self.unit).astype(np.int64), TOTAL - 1)
+
+    def take(self, start: np.ndarray, width: np.ndarray) -> None:
+        self.code -= start * self.unit
+        self.size = width * self.unit
+        self._settle(np.flatnonzero(self.size < RENORM))
+
+    def plain(self, lanes: np.ndarray) -> np.ndarray:
+        """Ids that come as they are."""
+        unit = (self.size[lanes] >> TOTAL_BITS) << TOTAL_BITS - 16
+        x = np.minimum(self.code[lanes] // unit, IDS - 1)
+        self.code[lanes] -= x * unit
+        self.size[lanes] = unit
+        self._settle(lanes[unit < RENORM])
+        return x
+
+    def _settle(self, short: np.ndarray) -> None:
+        while len(short):
+            place, size = self.next[short], self.size[short] << WORD
+            self.code[short] = (self.code[short] << WORD | self.words.take(place, mode="clip")) & FULL - 1
+            self.next[short] = place + 1
+            self.size[short] = size
+            short = short[size < RENORM]
+
+
+def _uncode(payload: bytes, count: int) -> np.ndarray:
+    lanes = struct.unpack_from("<I", payload)[0] if len(payload) >= 4 else 0
+    if not 0 < lanes <= count or len(payload) < 4 + 4 * lanes or len(payload) % 2:
         raise BrokenBlock("a block of impossible size")
-    words, code = np.zeros((n, int(sizes.max(initial=7) - 7) // 3 + 1), np.int64), np.empty(n, np.int64)
-    for row, i in enumerate(order):
-        code[row] = int.from_bytes(payloads[i][:7], "big")
-        rest = np.frombuffer(payloads[i], np.uint8, offset=7).reshape(-1, 3).astype(np.int32)
-        words[row, : len(rest)] = rest[:, 0] << 16 | rest[:, 1] << 8 | rest[:, 2]
-    lanes, size, out = _Lanes(n), np.full(n, FULL, np.int64), np.zeros((longest, n), np.uint16)
-    read, flat, end = np.arange(n) * words.shape[1], words.reshape(-1), words.size - 1
-    active = n - np.searchsorted(lengths[order][::-1], np.arange(longest), "right")
-    for t in range(longest):
-        if (k := int(active[t])) < len(code):
-            lanes.keep(k)
-            code, size, read = code[:k], size[:k], read[:k]
-        lanes.predict()
-        unit = size >> TOTAL_BITS
-        x, start, width = lanes.find(np.minimum(code // unit, TOTAL - 1))
-        code = code - start * unit
-        size = width * unit
-        short = np.flatnonzero(size < RENORM)
-        if len(short):
-            code[short] = (code[short] << WORD | flat.take(np.minimum(read[short], end))) & FULL - 1
-            size[short] = np.maximum(size[short], 1 << TOTAL_BITS - WORD + 8) << WORD
-            read[short] += 1
-        out[t, : len(x)] = x
-        lanes.update(x)
-    back = np.argsort(order)
-    return [out[: lengths[i], back[i]] for i in range(n)]
+    steps = -(-count // lanes)
+    model, receiver = _Model(), _Receiver(payload, lanes)
+    x = np.zeros((steps + 2, lanes), np.int64)
+    for low, high in _spans(steps):
+        guesses = []
+        for t in range(low, high):
+            guess = model.predict(x[t], x[t + 1])
+            now, start, width = model.find(receiver.values(), *guess[1:])
+            receiver.take(start, width)
+            if now.max() == IDS:
+                at = np.flatnonzero(now == IDS)
+                now[at] = receiver.plain(at)
+            x[t + 2] = now
+            guesses.append(guess)
+        if high < steps:
+            model.learn(x[low + 2 : high + 2], x[low + 1 : high + 1], *(np.stack(g) for g in zip(*guesses, strict=True)))
+    return x[2:].T.reshape(-1)[:count].astype(np.uint16)
 
 
 def _crc(ids: np.ndarray, coded: bytes) -> int:
@@ -248,8 +271,8 @@ def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int |
     """A frame of documents (whole numbers) and their ids (below IDS), one after the other. Documents may have no ids, and there may be none."""
     if len(ids) and (ids.min() < 0 or ids.max() >= IDS):
         raise ValueError(f"ids have to lie in 0 to {IDS - 1}")
-    block = block or int(min(BLOCK, max(SHORTEST, -(-len(ids) // LANES))))
-    coded = [c for low in range(0, len(ids), block * LANES) for c in _code(ids[low : low + block * LANES], block)]
+    block = block or BLOCK
+    coded = [_code(ids[low : low + block]) for low in range(0, len(ids), block)]
     crcs = [_crc(ids[i * block : (i + 1) * block], c) for i, c in enumerate(coded)]
     head = MAGIC + struct.pack("<4I", block, len(ids), len(coded), len(doc_ids))
     head += np.array([[len(c), crc] for c, crc in zip(coded, crcs, strict=True)], "<u4").tobytes()
@@ -272,7 +295,7 @@ def unpack(frame: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray, np.nd
         raise BrokenBlock("blocks are missing")
     chosen = range(n)[blocks]
     lengths = np.array([min(block, count - i * block) for i in chosen], np.int64)
-    found = [x for low in range(0, len(chosen), LANES) for x in _uncode([frame[at[i] : at[i + 1]] for i in chosen[low : low + LANES]], lengths[low : low + LANES])]
+    found = [_uncode(frame[at[i] : at[i + 1]], n) for i, n in zip(chosen, lengths.tolist(), strict=True)]
     for i, ids in zip(chosen, found, strict=True):
         if _crc(ids, frame[at[i] : at[i + 1]]) != table[i, 1]:
             raise BrokenBlock(f"block {i} does not match its checksum")

@@ -6,13 +6,15 @@ documents. Files are Parquet: a row is a frame, whose payload holds documents, b
 commits, splits and column pruning serve writers and readers, on any store. Rows of one doc_id are spread by their place in
 the input, so that a range may begin and end within them.
 
-Encoding repeats itself: a piece of text from one blank to the next has the same ids wherever it stands, so the library encodes
-each once in some megabytes of text, and the others are looked up, after their bytes have been compared. Texts are cut only where a blank
-stands between two characters that surely are no white space, which is always a border of the byte-level pattern's matches.
+Encoding repeats itself: a piece of text, a word or the signs after it, has the same ids wherever it stands, so the library encodes a piece
+once, and a worker remembers it, with all its bytes, in a table of fixed size; a piece that is not there any more is encoded again. Texts are
+cut only where the byte-level pattern's matches surely have a border: before a blank and on both sides of a line feed, where these
+stand between two characters that surely are no white space, and between a letter or digit and a sign of ASCII.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +29,14 @@ from pyspark.sql import functions as F
 from evimine.llm import _text, idcoder
 from evimine.llm._spark import cut, ship
 
-#: Ids of a frame, unless one document has more, and bytes of text within which pieces are looked up.
-FRAME_IDS, SLICE_BYTES = idcoder.BLOCK * idcoder.LANES, 1 << 22
+#: Ids of a frame, unless one document has more, and bytes of text that are looked up at a time.
+FRAME_IDS, SLICE_BYTES = 2 * idcoder.BLOCK, 1 << 21
+#: Bytes of a piece that is remembered, pieces that are at most, and ids above which all are forgotten.
+KEY_BYTES, SLOTS, HELD_IDS = 24, 1 << 20, 1 << 23
+
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+_SIGN = np.array([0x20 < i < 0x7F for i in range(256)])
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # so many bytes of eight
 
 
 def _safe(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +51,8 @@ def _safe(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of texts as the tokenizers library gives them, without special tokens, whose strings are ordinary text.
 
-    The vocabulary is one of byte-level BPE: the bytes of its tokens, one after the other, are the text.
+    The vocabulary is one of byte-level BPE: the bytes of its tokens, one after the other, are the text. Pieces are looked up if the
+    texts are cut by the byte-level pattern and by nothing else; the library encodes whole texts otherwise.
     """
 
     def __init__(self, config: str):
@@ -51,75 +60,125 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
+        spec, vocabulary = json.loads(config), self.tokenizer.get_vocab()
+        cuts = spec.get("pre_tokenizer") or {}
+        plain = not spec.get("normalizer") and not spec.get("truncation") and all(t["special"] for t in spec.get("added_tokens") or [])
+        self.in_pieces = plain and cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space", True)
         if max(vocabulary.values()) >= idcoder.IDS:
             raise ValueError(f"more than {idcoder.IDS} ids")
         self.bytes = np.zeros(idcoder.IDS, np.int64)  # a token's characters stand for one byte each
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)
+        self._forget()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers; null is the empty text."""
+        if not self.in_pieces:
+            return [ids.tobytes() for ids in self._ids([t or "" for t in texts.to_pylist()])]
         return [ids for chunk in _text.chunks(texts, SLICE_BYTES) for ids in self._encode(chunk)]
 
-    def _encode(self, chunk: _text.Chunk) -> list[bytes]:
-        data, edges = chunk.data, chunk.offsets
-        n = len(edges) - 1
+    def _forget(self) -> None:
+        self.keys, self.sizes = [np.zeros(SLOTS, np.uint64) for _ in range(KEY_BYTES // 8)], np.zeros(SLOTS, np.uint8)
+        self.place, self.many = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.uint8)
+        self.held, self.used = np.zeros(0, np.uint16), 0
+
+    @staticmethod
+    def _slots(keys: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        name = sizes.astype(np.uint64)
+        for key in keys:
+            name = (name ^ key) * np.uint64(0x9E3779B97F4A7C15)
+            name ^= name >> np.uint64(29)
+        return (name & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    @staticmethod
+    def _pieces(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces start and stop, which begin with a blank and then a character, and which may stand after a line feed as well; both end in a character."""
         ends, begins = _safe(data)
-        blank = np.flatnonzero(data == 0x20)
-        blank = blank[(blank > 0) & (blank < len(data) - 1)]
-        blank = blank[ends[blank - 1] & begins[blank + 1]]
         border = np.zeros(len(data) + 1, bool)
         border[edges] = True
-        cut = border.copy()
-        cut[blank[~border[blank + 1]]] = True
+        inside = np.zeros(len(data), bool)
+        inside[1:-1] = ends[:-2] & begins[2:]
+        inside &= ~(border[:-1] | border[1:])
+        line = inside & (data == 0x0A)
+        cut = border
+        cut[:-1] |= line | inside & (data == 0x20)
+        cut[1:] |= line
+        cut[1:-1] |= _ALNUM[data[:-1]] & (_SIGN & ~_ALNUM)[data[1:]]
         starts = np.flatnonzero(cut[:-1])
         stops = np.append(starts[1:], len(data)).astype(np.int64)[: len(starts)]
-        # pieces from blank to blank, which may stand one after the other in any order
-        loose = (data[starts] == 0x20) & begins[np.minimum(starts + 1, max(len(data) - 1, 0))] & (stops - starts > 1) & ends[stops - 1] if len(starts) else np.zeros(0, bool)
-        ids, first, size = self._looked_up(chunk, starts, stops, loose)
-        out = np.repeat(first - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()) if len(starts) else np.zeros(0, np.int64)
-        coded, place = ids[out], np.append(0, np.cumsum(size))
+        firm = ends[stops - 1]
+        blank = (data[starts] == 0x20) & (stops - starts > 1) & firm
+        blank[blank] = begins[starts[blank] + 1]
+        return starts, stops, blank, firm & begins[starts]
+
+    def _encode(self, chunk: _text.Chunk) -> list[bytes]:
+        data, edges = chunk.data, chunk.offsets
+        if not len(data):
+            return [b""] * (len(edges) - 1)
+        if self.used > HELD_IDS:
+            self._forget()
+        starts, stops, blank, lone = self._pieces(data, edges)
+        first, many = self._looked_up(data, starts, stops - starts, blank, lone)
+        place = np.append(0, np.cumsum(many))
+        coded = self.held[np.repeat(first - place[:-1], many) + np.arange(place[-1])]
         row = place[np.searchsorted(starts, edges)]
-        return [coded[row[i] : row[i + 1]].astype("<u2").tobytes() for i in range(n)]
-
-    def _looked_up(self, chunk: _text.Chunk, starts: np.ndarray, stops: np.ndarray, loose: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and for each piece where its own begin there and how many they are. Equal loose pieces share theirs; each is encoded once."""
-        data, sizes = chunk.data, stops - starts
-        first, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        own = np.flatnonzero(loose)
-        names = _text.hashes(chunk, _text.Words(starts[own], stops[own], np.array([0, len(own)])), lower=False)
-        _, distinct, which = np.unique(names, return_index=True, return_inverse=True)
-        shown = own[distinct][which]
-        if (sizes[own] != sizes[shown]).any() or not self._same(data, starts[own], starts[shown], sizes[own]):
-            distinct, which = np.arange(len(own)), np.arange(len(own))  # two pieces of one name
-        picked = own[distinct]
-        text = data[np.repeat(starts[picked] - np.append(0, np.cumsum(sizes[picked])[:-1]), sizes[picked]) + np.arange(sizes[picked].sum())] if len(picked) else data[:0]
+        return [coded[a:b].tobytes() for a, b in zip(row[:-1], row[1:], strict=True)]
+
+    def _looked_up(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, blank: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece where its ids begin in what is held, and how many they are."""
+        padded = np.append(data, np.zeros(KEY_BYTES + 8, np.uint8))
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        keys = []
+        for low in range(0, KEY_BYTES, 8):
+            key, longer = np.zeros(len(starts), np.uint64), np.flatnonzero(sizes > low) if low else slice(None)
+            key[longer] = eight[starts[longer] + low] & _FIRST[np.minimum(sizes[longer] - low, 8)]
+            keys.append(key)
+        slots = self._slots(keys, sizes)
+        known = self.sizes[slots] == sizes  # none is longer than a key, nor of no bytes
+        for key, held in zip(keys, self.keys, strict=True):
+            known &= held[slots] == key
+        first, many = self.place[slots].astype(np.int64), self.many[slots].astype(np.int64)
+        short = sizes <= KEY_BYTES
+        new, long = np.flatnonzero(~known & short), np.flatnonzero(~short)
+        order = new[np.lexsort([*(k[new] for k in keys), sizes[new]])]  # equal pieces side by side
+        other = np.ones(len(order), bool)
+        other[1:] = sizes[order[1:]] != sizes[order[:-1]]
+        for key in keys:
+            other[1:] |= key[order[1:]] != key[order[:-1]]
+        shown = order[other]
+        ids, first[shown], many[shown] = self._encoded(data, starts[shown], sizes[shown], blank[shown], lone[shown])
+        first[order], many[order] = first[shown][np.cumsum(other) - 1], many[shown][np.cumsum(other) - 1]
+        more, at, many[long] = self._encoded(data, starts[long], sizes[long], blank[long], lone[long])
+        first[new] += self.used
+        first[long] = at + self.used + len(ids)
+        self.held = np.concatenate([self.held[: self.used], ids, more])  # what is long is not kept
+        self.used += len(ids)
+        at = slots[shown]
+        for key, held in zip(keys, self.keys, strict=True):
+            held[at] = key[shown]
+        self.sizes[at], self.place[at], self.many[at] = sizes[shown], first[shown], many[shown]
+        return first, many
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, blank: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, and for each where its own begin there and how many they are."""
+        first, many = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        together, others = np.flatnonzero(blank | lone), np.flatnonzero(~(blank | lone))
+        ahead = lone[together].astype(np.int64)  # one line feed
+        length = sizes[together] + ahead
+        until = np.cumsum(length)
+        text = data[np.repeat(starts[together] - ahead - (until - length), length) + np.arange(length.sum())]
+        text[(until - length)[ahead > 0]] = 0x0A
         found = self._ids([text.tobytes().decode()])[0]
-        until = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum(sizes[picked]), "left") + 1
-        begin = np.append(0, until)[:-1]
-        first[own], size[own] = begin[which], (until - begin)[which]
-        others = np.flatnonzero(~loose)
-        each = self._ids([data[a:b].tobytes().decode() for a, b in zip(starts[others], stops[others], strict=True)])
-        size[others] = [len(e) for e in each]
-        first[others] = len(found) + np.append(0, np.cumsum(size[others]))[:-1]
-        return np.concatenate([found, *each]), first, size
-
-    @staticmethod
-    def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
-        """Whether the bytes at a and b agree, so that no name stands for two pieces."""
-        low = 0
-        while low < len(a):
-            high = max(low + 1, int(np.searchsorted(np.cumsum(sizes[low : low + 200_000]), 1 << 21)) + low)
-            n = sizes[low:high]
-            step = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
-            if (data[np.repeat(a[low:high], n) + step] != data[np.repeat(b[low:high], n) + step]).any():
-                return False
-            low = high
-        return True
+        reached = np.cumsum(self.bytes[found])
+        first[together] = np.searchsorted(reached, until - sizes[together], "right")
+        many[together] = np.searchsorted(reached, until, "right") - first[together]
+        each = self._ids([data[a : a + n].tobytes().decode() for a, n in zip(starts[others], sizes[others], strict=True)])
+        many[others] = [len(e) for e in each]
+        first[others] = len(found) + np.cumsum(many[others]) - many[others]
+        return np.concatenate([found, *each]), first, many
 
 
 @lru_cache(maxsize=1)
@@ -169,7 +228,7 @@ def write(encoded: DataFrame, path: str) -> None:
         doc_ids, seqs, ids = zip(*rows, strict=True)
         arrays = [np.frombuffer(i or b"", "<u2") for i in ids]
         lengths = np.array([len(a) for a in arrays], np.int64)
-        data = idcoder.pack(np.array([d or 0 for d in doc_ids], np.int64), lengths, np.concatenate(arrays).astype(np.int64))
+        data = idcoder.pack(np.array([d or 0 for d in doc_ids], np.int64), lengths, np.concatenate(arrays))
         without = sum(d is None for d in doc_ids)
         columns = ([part], [number], [first], [int(lengths.sum())], [without], [doc_ids[0]], [seqs[0]], [data])
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())

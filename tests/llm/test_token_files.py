@@ -1,6 +1,8 @@
 """Coded id files: exact round trips, independent blocks, checksums, and ids as the library gives them."""
 
+import json
 import random
+import tracemalloc
 import zlib
 from functools import lru_cache
 
@@ -76,6 +78,25 @@ def test_changes_are_seen():
         idcoder.pack(np.array([1]), np.array([1]), np.array([1 << 16]))
 
 
+def test_memory_is_one_models():
+    ids = np.minimum(np.random.default_rng(9).zipf(1.3, 1 << 21), 50000)
+    tracemalloc.start()
+    try:
+        frame = idcoder.pack(np.array([1]), np.array([len(ids)]), ids)
+        found = idcoder.unpack(frame)[2]
+        assert tracemalloc.get_traced_memory()[1] < 120e6  # models of 1024 blocks took 176 MB to write and 186 MB to read
+    finally:
+        tracemalloc.stop()
+    assert (found == ids).all() and len(frame) < len(ids)
+
+
+def test_lanes_of_all_lengths():
+    r = np.random.default_rng(10)
+    for n in (1, 511, 1024, 1025, 5 * 512 + 3, 70_001):
+        ids = np.where(r.random(n) < 0.5, r.integers(0, 1 << 16, n), 65535)
+        assert (idcoder.unpack(idcoder.pack(np.array([1]), np.array([n]), ids))[2] == ids).all()
+
+
 def nasty():
     r = random.Random(1)
     bits = ["a", " ", "  ", "\n", "\t", "'s", "don't", "é", " ", "　", " ", "12", "!?", "🙂", "\x1c", "<|endoftext|>", "ß", "\x85", "日本", "​"]
@@ -97,6 +118,48 @@ def test_ids_are_the_librarys(monkeypatch, slice_bytes):
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
 
 
+def sharp():
+    r = random.Random(3)
+    bits = ["a", "B", "7", "don't", "'s", "'", "''", ",", ".", "(", "_", " ", " ", "  ", "\n", "\n", "\n\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "\u0301", "é", "×", "ʻ", "٣", "日本", "🙂", "\x7f", "<|endoftext|>", "longwordwithoutanyblank"]
+    return ["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(4000)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"HELD_IDS": 50, "SLICE_BYTES": 500}, {"SLOTS": 4, "SLICE_BYTES": 3000}])
+def test_remembered_pieces(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(token_files, name, value)
+    with open(CONFIG, encoding="utf-8") as f:
+        encoder = token_files.Encoder(f.read())
+    texts = sharp()
+    whole = pa.array(texts)
+    sent = pa.py_buffer(whole.buffers()[2].to_pybytes())  # as Spark's are, not to be written to
+    frozen = pa.Array.from_buffers(pa.string(), len(whole), [None, whole.buffers()[1], sent])
+    want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # the second time from memory
+        assert [np.frombuffer(g, "<u2").tolist() for g in encoder.encode(frozen)] == want
+    assert encoder.encode(pa.array(["日本"] * 2, pa.string()))[0] == np.array(library().encode("日本").ids, "<u2").tobytes()
+
+
+def test_pieces_are_encoded_once(monkeypatch):
+    with open(CONFIG, encoding="utf-8") as f:
+        encoder = token_files.Encoder(f.read())
+    texts, sent = pa.array(["Some words, and\nsome more of them; words"] * 50), []
+    encoder.encode(texts)
+    monkeypatch.setattr(encoder, "_ids", lambda t, ids=encoder._ids: sent.extend(t) or ids(t))
+    encoder.encode(texts)
+    assert "".join(sent) == ""
+
+
+def test_other_cuts_go_whole():
+    with open(CONFIG, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["use_regex"] = False
+    encoder, whole = token_files.Encoder(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    whole.encode_special_tokens = True
+    texts = nasty()[:80]
+    assert [np.frombuffer(g, "<u2").tolist() for g in encoder.encode(pa.array(texts))] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def expected(rows):
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
