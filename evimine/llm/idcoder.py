@@ -54,6 +54,7 @@ class _Model:
         self.hits = np.stack([1 + 4 * sure_2, 1 + 4 * sure_1 * (1 - same), np.full(128, 8)], axis=1)  # order 2, order 1, neither
         self.counts = np.zeros(IDS + 1, np.int64)  # the last is the sign before a new id
         self.counts[IDS] = 1
+        self.cell, self.from_, self.until = np.full(IDS, IDS), np.zeros(IDS + 1, np.int64), np.zeros(IDS + 1, np.int64)
         self.settle()
 
     def settle(self) -> None:
@@ -62,12 +63,13 @@ class _Model:
         self.hits[old] = self.hits[old] + 1 >> 1
         share = np.cumsum(self.hits, axis=1) * MOST // self.hits.sum(axis=1)[:, None]
         self.m_2, self.m_known = share[:, 0].copy(), share[:, 1].copy()
-        seen = self.counts > 0
-        width = seen + self.counts * (CELLS - int(seen.sum())) // int(self.counts.sum())
-        width[IDS] += CELLS - int(width.sum())
-        self.cell = np.where(seen[:IDS], np.arange(IDS), IDS)
-        self.below = np.append(0, np.cumsum(width))
-        self.at = np.repeat(np.arange(IDS + 1, dtype=np.int32), width)
+        seen = np.flatnonzero(self.counts)
+        counts = self.counts[seen]
+        width = 1 + counts * (CELLS - len(seen)) // int(counts.sum())
+        width[-1] += CELLS - int(width.sum())
+        self.cell[seen[:-1]], self.until[seen] = seen[:-1], np.cumsum(width)
+        self.from_[seen] = self.until[seen] - width
+        self.at = np.repeat(seen, width)
 
     def predict(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The slot of order 2, the entries of both orders, and their confidences with whether they name the same id."""
@@ -85,8 +87,8 @@ class _Model:
         return start, size, (cell == IDS) & ~(hit_2 | hit_1)
 
     def _order_0(self, cell: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = self.below.take(cell) * rest >> CELL_BITS
-        return low, (self.below.take(cell + 1) * rest >> CELL_BITS) - low
+        low = self.from_.take(cell) * rest >> CELL_BITS
+        return low, (self.until.take(cell) * rest >> CELL_BITS) - low
 
     def find(self, value: np.ndarray, e_2: np.ndarray, e_1: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id (IDS: a new one) in whose interval each value lies, and the start and width of that."""

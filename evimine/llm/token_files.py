@@ -32,7 +32,7 @@ from evimine.llm._spark import cut, ship
 #: Ids of a frame, unless one document has more, and bytes of text that are looked up at a time.
 FRAME_IDS, SLICE_BYTES = 2 * idcoder.BLOCK, 1 << 21
 #: Bytes of a piece that is remembered, pieces that are at most, and ids above which all are forgotten.
-KEY_BYTES, SLOTS, HELD_IDS = 24, 1 << 20, 1 << 23
+KEY_BYTES, SLOTS, HELD_IDS = 24, 1 << 21, 1 << 23
 
 _ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 _SIGN = np.array([0x20 < i < 0x7F for i in range(256)])
@@ -81,17 +81,16 @@ class Encoder:
         return [ids for chunk in _text.chunks(texts, SLICE_BYTES) for ids in self._encode(chunk)]
 
     def _forget(self) -> None:
-        self.keys, self.sizes = [np.zeros(SLOTS, np.uint64) for _ in range(KEY_BYTES // 8)], np.zeros(SLOTS, np.uint8)
-        self.place, self.many = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.uint8)
+        self.table = np.zeros((SLOTS, KEY_BYTES // 8 + 1), np.uint64)  # bytes of a piece; its size, ids, and their place in what is held
         self.held, self.used = np.zeros(0, np.uint16), 0
 
     @staticmethod
-    def _slots(keys: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    def _names(keys: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         name = sizes.astype(np.uint64)
         for key in keys:
             name = (name ^ key) * np.uint64(0x9E3779B97F4A7C15)
             name ^= name >> np.uint64(29)
-        return (name & np.uint64(SLOTS - 1)).astype(np.int64)
+        return name
 
     @staticmethod
     def _pieces(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,14 +135,17 @@ class Encoder:
             key, longer = np.zeros(len(starts), np.uint64), np.flatnonzero(sizes > low) if low else slice(None)
             key[longer] = eight[starts[longer] + low] & _FIRST[np.minimum(sizes[longer] - low, 8)]
             keys.append(key)
-        slots = self._slots(keys, sizes)
-        known = self.sizes[slots] == sizes  # none is longer than a key, nor of no bytes
-        for key, held in zip(keys, self.keys, strict=True):
-            known &= held[slots] == key
-        first, many = self.place[slots].astype(np.int64), self.many[slots].astype(np.int64)
+        names = self._names(keys, sizes)
+        slots = (names & np.uint64(SLOTS - 1)).astype(np.int64)
+        rows = self.table.take(slots, axis=0)
+        about = rows[:, -1].astype(np.int64)
+        known = about & 0xFF == sizes  # none is longer than a key, nor of no bytes
+        for i, key in enumerate(keys):
+            known &= rows[:, i] == key
+        first, many = about >> 16, about >> 8 & 0xFF
         short = sizes <= KEY_BYTES
         new, long = np.flatnonzero(~known & short), np.flatnonzero(~short)
-        order = new[np.lexsort([*(k[new] for k in keys), sizes[new]])]  # equal pieces side by side
+        order = new[np.argsort(names[new])]  # equal pieces side by side, unless others of their name lie between
         other = np.ones(len(order), bool)
         other[1:] = sizes[order[1:]] != sizes[order[:-1]]
         for key in keys:
@@ -156,10 +158,8 @@ class Encoder:
         first[long] = at + self.used + len(ids)
         self.held = np.concatenate([self.held[: self.used], ids, more])  # what is long is not kept
         self.used += len(ids)
-        at = slots[shown]
-        for key, held in zip(keys, self.keys, strict=True):
-            held[at] = key[shown]
-        self.sizes[at], self.place[at], self.many[at] = sizes[shown], first[shown], many[shown]
+        about = sizes[shown] | many[shown] << 8 | first[shown] << 16
+        self.table[slots[shown]] = np.stack([*(key[shown] for key in keys), about.astype(np.uint64)], axis=1)
         return first, many
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, blank: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
