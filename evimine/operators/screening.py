@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from evimine.functions import stats
 from evimine.operators import packed, quantiles, ranks
 from evimine.operators.triplets import PARTIAL, PURE
-from evimine.sources.scratch import FINE, ship, stored
+from evimine.sources.scratch import FINE, drop, ship, stored
 
 #: Linear models, which are fitted for all splits in the same passes, and whether their penalty is absolute.
 LINEAR = {"logistic": False, "lasso": True}
 
 #: Rows of a hash partition within which rows are paired for shuffling.
 PAIRED = 200_000
+#: Splits whose rows are packed together.
+SPLITS = 60
 # Weights of the consensus score.
 CONSENSUS = {"mean_points": 0.40, "vote_share": 0.24, "stability": 0.14, "permutation": 0.07, "priority": 0.15}
 
@@ -331,13 +333,23 @@ def _moved_cells(rows: Folded, models: list[packed.Linear], repeats: int) -> dic
 
 
 def repeated_holdouts(df: DataFrame, features: list[str], label: str, group: str, names: tuple[str, ...] = ("logistic",), repeats: int = 10, percent: int = 20, seed: int = 42) -> list[dict]:
-    """Metrics of every model fitted anew on each of so many seeded splits by group; one dict per split and model."""
+    """Metrics of every model fitted anew on each of so many seeded splits by group; one dict per split and model. Linear models of all splits are
+    fitted and ranked in the same passes."""
+    seeds, found = range(seed, seed + repeats), {}
+    held = lambda s: F.pmod(F.xxhash64(F.lit(s), group), F.lit(100)) < percent
+    linear = [name for name in names if name in LINEAR]
+    for some in (seeds[i : i + SPLITS] for i in range(0, len(seeds) if linear else 0, SPLITS)):
+        rows = packed.rows(df, features, label, [~held(s) for s in some])
+        models = [(t, tuple(range(len(features)))) for t in range(len(some))]
+        scorers = [m for name in linear for m in packed.linear(rows, models, LINEAR[name])]
+        metrics = packed.held_out(rows, scorers, [t for t, _ in models] * len(linear))
+        found.update(zip(((name, s) for name in linear for s in some), metrics, strict=True))
+        drop(rows.blocks)
     out = []
-    for s in range(seed, seed + repeats):
-        held = F.pmod(F.xxhash64(F.lit(s), group), F.lit(100)) < percent
+    for s in seeds:
         for name in names:
-            scored = fit(df.where(~held), features, label, name, s).score(df.where(held), label, [])
-            out.append({"model": name, "seed": s, **metric_row(scored).first().asDict()})
+            metrics = found.get((name, s)) or metric_row(fit(df.where(~held(s)), features, label, name, s).score(df.where(held(s)), label, [])).first().asDict()
+            out.append({"model": name, "seed": s, **metrics})
     return out
 
 

@@ -605,7 +605,7 @@ def ml_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ml_holdouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model fitted anew on ten splits by group, and its mean and spread."""
     features = ["qty", "price", "flag_n"]
-    found = screening.repeated_holdouts(_with_flag(spark, sf_dir, features), features, "y", "grp")
+    found = screening.repeated_holdouts(_lines_with_flag(spark, sf_dir, features), features, "y", "grp")
     rows = items.local(spark, [(r["model"], r["seed"], r["auroc"]) for r in found], "model string, seed int, auroc double")
     return screening.holdouts(rows, ["model"])
 

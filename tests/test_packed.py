@@ -62,10 +62,22 @@ def jobs(spark, work) -> int:
 def test_passes_do_not_grow_with_splits(spark):
     """Every split and fold was fitted by itself, in jobs of its own."""
     df = labelled(spark, nulls=False)
+    few, many = (jobs(spark, lambda n=n: screening.repeated_holdouts(df, FEATURES, "y", "g", repeats=n)) for n in (2, 12))
+    assert many <= few + 6 < 60
     few, many = (jobs(spark, lambda n=n: screening.permutation_importance(df, FEATURES, "y", "g", folds=n)) for n in (2, 6))
     assert many <= few + 6 < 60
 
 
+def test_holdouts_equal_fits_of_their_own(spark, monkeypatch):
+    df = labelled(spark)
+    got = screening.repeated_holdouts(df, FEATURES, "y", "g", ("logistic", "lasso"), 2)
+    monkeypatch.setattr(screening, "LINEAR", {})
+    want = screening.repeated_holdouts(df, FEATURES, "y", "g", ("logistic", "lasso"), 2)
+    assert [(r["model"], r["seed"]) for r in got] == [(r["model"], r["seed"]) for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert {k: v for k, v in a.items() if k != "model"} == pytest.approx({k: v for k, v in b.items() if k != "model"}, abs=5e-3)
+
+
 def test_importance_pairs_the_same_rows(spark, monkeypatch):
     """The partners are those of partnered, in one partition or several, and equal rows are one with its count."""
     monkeypatch.setattr(screening, "PAIRED", 120)
@@ -82,8 +94,10 @@ def test_rows_that_are_all_alike(spark):
     df = spark.range(1000).select((F.col("id") % 9).alias("g"), F.lit(1.0).alias("a"), (F.col("id") % 2).cast("int").alias("y"), F.lit(None).cast("double").alias("b"))
     assert screening.permutation_importance(df, ["a", "b"], "y", "g") == {"a": 0.0, "b": 0.0}
     assert screening.stability(df, ["a", "b"], "y", "g", ("lasso",), 3) == {"a": 0.0, "b": 0.0}
+    one = screening.repeated_holdouts(df.withColumn("y", F.lit(1)), ["a"], "y", "g", repeats=1)[0]
+    assert one["auroc"] is None and one["recall"] == 1.0
     with pytest.raises(ValueError, match="no rows"):
-        screening.stability(df.where("false"), ["a"], "y", "g", ("lasso",), 3)
+        screening.repeated_holdouts(df.where("false"), ["a"], "y", "g", repeats=1)
 
 
 def test_lines_are_those_of_facts(spark, tmp_path):
