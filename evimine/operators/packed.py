@@ -28,8 +28,12 @@ BLOCK, PIECE = 1 << 15, 1 << 11
 STEPS, SETTLED = 100, 1e-7
 #: Points of a sketch of values, scores that are held before they are dealt out, and scores of a range.
 POINTS, HELD, RANGE = 512, 1 << 21, 1 << 19
+#: Blocks on which a fit of many more takes its first steps.
+FIRST = 64
 #: Boosting: trees, depth, bins of a feature, and the weight of every tree but the first.
 TREES, DEPTH, BINS, RATE = 20, 3, 32, 0.1
+#: Combinations of bins up to which rows are summed up by them.
+CELLS = 1 << 16
 
 
 @dataclass
@@ -294,9 +298,10 @@ def _least(h: np.ndarray, b: np.ndarray, penalty: np.ndarray, start: np.ndarray)
     return w
 
 
-def _descend(r: Rows, models: Sequence[tuple[int, tuple[int, ...]]], start: np.ndarray, sparse: bool) -> np.ndarray:
+def _descend(r: Rows, models: Sequence[tuple[int, tuple[int, ...]]], start: np.ndarray, sparse: bool, share: float = 1.0) -> np.ndarray:
+    """The weights where the objective of each model is least. share: of all rows that r has, by which the penalty is less."""
     scale, beta = r.scale, start.copy()
-    penalty = np.column_stack([np.zeros(len(models)), scale.weighted[[t for t, _ in models]]])
+    penalty = np.column_stack([np.zeros(len(models)), scale.weighted[[t for t, _ in models]]]) * (share if sparse else share**0.5)
     free = [np.array([0, *(i + 1 for i in chosen if penalty[m, i + 1] > 0)]) for m, (_, chosen) in enumerate(models)]
     cost = lambda m, w: np.abs(penalty[m] * w).sum() if sparse else ((penalty[m] * w) ** 2).sum() / 2
     best, sure, direction, factor = np.full(len(models), np.inf), beta.copy(), np.zeros_like(beta), np.ones(len(models))
@@ -325,7 +330,7 @@ def _descend(r: Rows, models: Sequence[tuple[int, tuple[int, ...]]], start: np.n
             direction[m] = 0
             direction[m, own] = _step(g[own], h[np.ix_(own, own)], beta[m, own], penalty[m, own], sparse)
             beta[m] = sure[m] + direction[m]
-            if np.abs(direction[m] * np.append(1.0, penalty[m, 1:])).max() > SETTLED:
+            if np.abs(direction[m] * np.append(1.0, scale.weighted[models[m][0]])).max() > SETTLED:
                 going.append(m)
         active = going
     return beta
@@ -333,16 +338,24 @@ def _descend(r: Rows, models: Sequence[tuple[int, tuple[int, ...]]], start: np.n
 
 def linear(r: Rows, models: Sequence[tuple[int, tuple[int, ...]]], sparse: bool = False, near: Sequence[Linear] | None = None) -> list[Linear]:
     """A logistic model for each split and subset of features; sparse: with an absolute instead of a quadratic penalty. All take their steps in the
-    same passes, from models that are near theirs, or else from where a model of all rows leads."""
+    same passes until they settle, from models that are near theirs, or else from where a model of all rows leads. Of many blocks, some are enough for
+    the first steps, which only choose where the passes over all rows begin."""
     k = len(r.features)
     if near and all(np.isfinite(m.weights).all() for m in near):
         found = _descend(r, models, np.stack([m.weights for m in near]), sparse)
         return [Linear(r.scale, t, w) for (t, _), w in zip(models, found, strict=True)]
     subsets = list(dict.fromkeys(chosen for _, chosen in models))
-    start = {s: np.zeros(k + 1) for s in subsets}
-    if len(models) > len(subsets) and r.scale.n[:, r.splits].all():
-        start = dict(zip(subsets, _descend(r, [(r.splits, s) for s in subsets], np.zeros((len(subsets), k + 1)), sparse), strict=True))
-    found = _descend(r, models, np.stack([start[s] for _, s in models]), sparse)
+    start, every = np.zeros((len(subsets), k + 1)), [(r.splits, s) for s in subsets]
+    if r.scale.n[:, r.splits].all():
+        n = r.blocks.count()
+        if n > 2 * FIRST:
+            some = stored(r.blocks.where(F.rand(7) < FIRST / n), FINE)
+            start = _descend(Rows(some, r.features, r.splits, r.scale), every, start, sparse, max(some.count(), 1) / n)
+            start[~np.isfinite(start).all(1)] = 0
+            drop(some)
+        if len(models) > len(subsets):
+            start = _descend(r, every, start, sparse)
+    found = _descend(r, models, start[[subsets.index(s) for _, s in models]], sparse)
     return [Linear(r.scale, t, w) for (t, _), w in zip(models, found, strict=True)]
 
 
@@ -464,3 +477,223 @@ def _metrics(cells: Sequence[float], wins: float, area: float) -> dict:
         "auroc": wins / ((tp + fn) * (fp + tn)) if (tp + fn) * (fp + tn) else None, "average_precision": area / (tp + fn) if tp + fn else None, "recall": recall, "precision": ratio(tp, tp + fp),
         "balanced_accuracy": (recall + ratio(tn, tn + fp)) / 2, "f_beta": ratio(3.25 * tp, 3.25 * tp + 2.25 * fn + fp),
     }
+
+
+# Boosted trees
+
+
+@dataclass
+class Tree:
+    """A tree of DEPTH levels, in the order of a heap: at a node, codes of a feature above an edge go right; a node that is not split sends all left."""
+
+    features: np.ndarray
+    edges: np.ndarray
+    leaves: np.ndarray
+
+    def places(self, codes: np.ndarray, depth: int) -> np.ndarray:
+        """Which node of a level each row comes to."""
+        at = np.zeros(codes.shape[1], np.uint8)
+        for level in range(depth):
+            right = np.zeros(len(at), bool)
+            for i in range(1 << level):
+                node = (1 << level) - 1 + i
+                right |= (at == i) & (codes[self.features[node]] > self.edges[node])
+            at = 2 * at + right
+        return at
+
+
+@dataclass
+class Boosted:
+    """Boosted trees of a split over some features, and the cuts that make codes of these."""
+
+    scale: Scale
+    split: int
+    chosen: tuple[int, ...]
+    cuts: list[np.ndarray]
+    trees: list[Tree]
+
+    def margins(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(codes.shape[1])
+        for i, tree in enumerate(self.trees):
+            out += np.take(tree.leaves * (RATE if i else 1.0), tree.places(codes, DEPTH))
+        return out
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-2 * self.margins(_codes(self.scale, self.split, x, self.chosen, self.cuts))))
+
+
+def _codes(scale: Scale, split: int, x: np.ndarray, chosen: Sequence[int], cuts: Sequence[np.ndarray]) -> np.ndarray:
+    """The bin of each value of the chosen features, of which each has its cuts: how many of them are below it."""
+    out = np.empty((len(chosen), x.shape[1]), np.uint8)
+    for i, (f, c) in enumerate(zip(chosen, cuts, strict=True)):
+        values = np.where(np.isnan(x[f]), scale.center[f] + scale.spread[f] * scale.medians[split, f], x[f])
+        out[i] = np.searchsorted(c, values)
+    return out
+
+
+def thresholds(values: np.ndarray, weights: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Cuts between distinct values in order: all if they are few, or where bins of like weight end, as Spark ML makes them of its sample."""
+    if len(values) <= bins:
+        return (values[1:] + values[:-1]) / 2
+    stride, upto = weights.sum() / bins, np.cumsum(weights)
+    target, out = stride, []
+    for i in range(1, len(values)):
+        if abs(upto[i - 1] - target) < abs(upto[i] - target):
+            out.append((values[i - 1] + values[i]) / 2)
+            target += stride
+    return np.array(out[: bins - 1])
+
+
+def _trained(scale: Scale, splits: int, split: int, b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the rows of a block that train a split, and their weights."""
+    own = np.flatnonzero(b.members([split], splits)[0])
+    return own, scale.classes[b.y[own].astype(int), split] * np.broadcast_to(np.asarray(b.times, float), b.y.shape)[own]
+
+
+def _cuts(r: Rows, split: int, chosen: Sequence[int]) -> list[np.ndarray]:
+    """The cuts of each chosen feature, from sketches of all rows that train the split."""
+    plain, k, scale, splits = r.blocks.drop("stats"), len(r.features), r.scale, r.splits
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list] = [[] for _ in chosen]
+        for b in _blocks(batches, k):
+            own, weight = _trained(scale, splits, split, b)
+            for i, f in enumerate(chosen):
+                values = np.where(np.isnan(b.x[f, own]), scale.center[f] + scale.spread[f] * scale.medians[split, f], b.x[f, own])
+                parts[i].append(condensed(values, weight))
+                if len(parts[i]) >= 32:
+                    parts[i] = [_sketched(parts[i])]
+        for i in range(len(chosen)):
+            v, w = _sketched(parts[i])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v.tobytes()]), pa.array([w.tobytes()])], names=["at", "points", "weights"])
+
+    ship(plain.sparkSession)
+    parts: list[list] = [[] for _ in chosen]
+    for row in plain.mapInArrow(survey, "at int, points binary, weights binary").toArrow().to_pylist():
+        parts[row["at"]].append((np.frombuffer(row["points"], np.float64), np.frombuffer(row["weights"], np.float64)))
+    return [thresholds(*_sketched(p, 1 << 16)) for p in parts]
+
+
+def boosted(r: Rows, split: int, subsets: Sequence[tuple[int, ...]]) -> list[Boosted]:
+    """Boosted trees of a split for each subset of features. A row is a byte per feature, written once; a level of a tree of all subsets is one job,
+    in which the margins of the trees before are worked out anew. Subsets with few combinations of bins are summed up by these in one job."""
+    scale, splits, k = r.scale, r.splits, len(r.features)
+    if not scale.n[:, split].sum():
+        raise ValueError("no rows to fit a model on")
+    every = sorted({f for s in subsets for f in s})
+    cuts = _cuts(r, split, every)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches, k):
+            own, weight = _trained(scale, splits, split, b)
+            if len(own):
+                few, at = np.unique(weight, return_inverse=True)
+                weights = few.tobytes() + at.astype(np.uint8).tobytes() if len(few) <= 255 else weight.tobytes()
+                payload = np.vstack([b.y[own].astype(np.uint8)[None], _codes(scale, split, b.x[:, own], every, cuts)]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int32()), pa.array([len(few) if len(few) <= 255 else 0], pa.int32()), pa.array([weights]), pa.array([payload])], names=["n", "few", "weights", "payload"])
+
+    coded = stored(r.blocks.drop("stats").mapInArrow(code, "n int, few int, weights binary, payload binary"), FINE)
+    models = [Boosted(scale, split, s, [cuts[every.index(f)] for f in s], []) for s in subsets]
+    cells = _cells(coded, models, every)
+    for _ in range(TREES):
+        nodes = (1 << DEPTH) - 1
+        growing = [Tree(np.zeros(nodes, int), np.full(nodes, 255), np.zeros(nodes + 1)) for _ in models]
+        for level in range(DEPTH):
+            for m, tree, sums in zip(models, growing, _histograms(coded, models, growing, every, level, cells), strict=True):
+                for i in range(1 << level):
+                    node, (f, edge, left, right) = (1 << level) - 1 + i, _best(sums[:, i], m.cuts)
+                    tree.features[node], tree.edges[node] = f, edge
+                    if level == DEPTH - 1:
+                        tree.leaves[2 * i : 2 * i + 2] = left, right
+        for m, tree in zip(models, growing, strict=True):
+            m.trees.append(tree)
+    drop(coded)
+    return models
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Labels, weights and codes of each block."""
+    for batch in batches:
+        for n, few, weights, payload in zip(*(batch.column(c).to_pylist() for c in ("n", "few", "weights", "payload")), strict=True):
+            y, *codes = np.frombuffer(payload, np.uint8).reshape(-1, n)
+            weight = np.frombuffer(weights, np.float64, few)[np.frombuffer(weights, np.uint8, n, 8 * few)] if few else np.frombuffer(weights, np.float64)
+            yield y, weight, codes
+
+
+def _cells(coded: DataFrame, models: Sequence[Boosted], every: Sequence[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, weights and codes of all combinations of bins and labels that occur, for the models (by number) that have few."""
+    shapes = {i: (2, *(len(c) + 1 for c in m.cuts)) for i, m in enumerate(models) if 2 * np.prod([float(len(c) + 1) for c in m.cuts]) <= CELLS}
+    if not shapes:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {i: np.zeros(int(np.prod(shape))) for i, shape in shapes.items()}
+        for y, weight, codes in _coded(batches):
+            for i, shape in shapes.items():
+                at = np.ravel_multi_index((y, *(codes[every.index(f)] for f in models[i].chosen)), shape)
+                sums[i] += np.bincount(at, weight, len(sums[i]))
+        for i, values in sums.items():
+            at = np.flatnonzero(values)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype(np.int64).tobytes()]), pa.array([values[at].tobytes()])], names=["model", "at", "weights"])
+
+    total = {i: np.zeros(int(np.prod(shape))) for i, shape in shapes.items()}
+    for row in coded.mapInArrow(run, "model int, at binary, weights binary").toLocalIterator():
+        total[row["model"]][np.frombuffer(row["at"], np.int64)] += np.frombuffer(row["weights"], np.float64)
+    out = {}
+    for i, values in total.items():
+        at = np.flatnonzero(values)
+        y, *codes = np.unravel_index(at, shapes[i])
+        out[i] = y == 1, values[at], np.stack(codes).astype(np.uint8) if codes else np.empty((0, len(at)), np.uint8)
+    return out
+
+
+def _add(own: np.ndarray, m: Boosted, tree: Tree, level: int, y: np.ndarray, weight: np.ndarray, codes: np.ndarray) -> None:
+    """Add to a model's sums (2, nodes of the level, features, bins) of the weights, and of the weighted residuals, of the rows that come there."""
+    sign = np.where(y, 1.0, -1.0)
+    with np.errstate(over="ignore"):
+        residual = 4 * sign / (1 + np.exp(2 * sign * m.margins(codes))) if m.trees else sign
+    pull, base = weight * residual, tree.places(codes, level).astype(np.intp) * BINS
+    for i in range(len(codes)):
+        at = base + codes[i]
+        own[0, :, i] += np.bincount(at, weight, BINS << level).reshape(-1, BINS)
+        own[1, :, i] += np.bincount(at, pull, BINS << level).reshape(-1, BINS)
+
+
+def _histograms(coded: DataFrame, models: Sequence[Boosted], growing: Sequence[Tree], every: Sequence[int], level: int, cells: dict) -> list[np.ndarray]:
+    """The sums of a level, per model: from its cells, or from all rows."""
+    out = [np.zeros((2, 1 << level, len(m.chosen), BINS)) for m in models]
+    for i, found in cells.items():
+        _add(out[i], models[i], growing[i], level, *found)
+    rest = [i for i in range(len(models)) if i not in cells]
+    if not rest:
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros_like(out[i]) for i in rest]
+        for y, weight, codes in _coded(batches):
+            for i, own in zip(rest, sums, strict=True):
+                _add(own, models[i], growing[i], level, y, weight, np.stack([codes[every.index(f)] for f in models[i].chosen]))
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in sums]).tobytes()])], names=["parts"])
+
+    found = coded.mapInArrow(run, "parts binary").toArrow().column("parts")
+    total = sum((np.frombuffer(p.as_py(), np.float64) for p in found), np.zeros(sum(out[i].size for i in rest)))
+    for i, values in zip(rest, np.split(total, np.cumsum([out[i].size for i in rest])[:-1]), strict=True):
+        out[i] = values.reshape(out[i].shape)
+    return out
+
+
+def _best(sums: np.ndarray, cuts: Sequence[np.ndarray]) -> tuple[int, int, float, float]:
+    """The feature, edge and means of both sides of the split of a node (2, features, bins) that lowers the variance most; edge 255 and the mean if none does."""
+    if not len(cuts):
+        return 0, 255, 0.0, 0.0
+    upto = sums.cumsum(-1)
+    w, s = upto[:, 0, -1]
+    best, out = 1e-12 * (s / w) ** 2 if w > 0 else np.inf, (0, 255, s / w if w > 0 else 0.0, 0.0)
+    for f, c in enumerate(cuts):
+        (wl, sl), (wr, sr) = upto[:, f, : len(c)], (np.array([[w], [s]]) - upto[:, f])[:, : len(c)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            gain = np.where((wl > 0) & (upto[0, f, -1] - wl > 1e-12 * w), (sl * sl / wl + sr * sr / wr - s * s / w) / w, -np.inf)
+        edge = int(gain.argmax()) if len(c) else 0
+        if len(c) and gain[edge] > best:
+            best, out = gain[edge], (f, edge, sl[edge] / wl[edge], sr[edge] / wr[edge])
+    return out

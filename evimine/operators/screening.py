@@ -353,9 +353,22 @@ def repeated_holdouts(df: DataFrame, features: list[str], label: str, group: str
     return out
 
 
-def feature_sweep(train: DataFrame, test: DataFrame, ranked: list[str], label: str, sizes: tuple[int, ...], names: tuple[str, ...] = ("logistic", "forest", "boosted")) -> list[dict]:
-    """Metrics of every model on test with the first so many of the ranked features."""
-    return [{"n_features": n, "model": m, **metric_row(fit(train, ranked[:n], label, m).score(test, label, [])).first().asDict()} for n in sizes for m in names]
+def feature_sweep(train: DataFrame, test: DataFrame, ranked: list[str], label: str, sizes: tuple[int, ...], names: tuple[str, ...] = ("logistic", "forest", "boosted"), rows: packed.Rows | None = None) -> list[dict]:
+    """Metrics of every model on test with the first so many of the ranked features. Linear and boosted models of all sizes take the same passes over
+    packed rows. rows: those of train and test with all ranked features, where split 0 is train."""
+    plain = [name for name in names if name in LINEAR or name == "boosted"]
+    found = {}
+    if plain and sizes:
+        if rows is None:
+            used = ranked[: max(sizes)]
+            side = lambda df, own: df.select(*dict.fromkeys([*used, label]), F.lit(own).alias("_train"))
+            rows = packed.rows(side(train, True).unionByName(side(test, False)), used, label, [F.col("_train")])
+        subsets = [tuple(rows.features.index(f) for f in ranked[:n]) for n in sizes]
+        scorers = [m for name in plain for m in (packed.boosted(rows, 0, subsets) if name == "boosted" else packed.linear(rows, [(0, s) for s in subsets], LINEAR[name]))]
+        found = dict(zip(((name, n) for name in plain for n in sizes), packed.held_out(rows, scorers, [0] * len(scorers)), strict=True))
+        drop(rows.blocks)
+    other = lambda n, m: metric_row(fit(train, ranked[:n], label, m).score(test, label, [])).first().asDict()
+    return [{"n_features": n, "model": m, **(found.get((m, n)) or other(n, m))} for n in sizes for m in names]
 
 
 def wolf_search(features: list[str], fitness, wolves: int = 8, iterations: int = 8, penalty: float = 0.010, seed: int = 42) -> tuple[list[str], float]:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evimine.functions import stats, text
-from evimine.operators import audit, cohort, folds, items, prep, profile, ranks, screening
+from evimine.operators import audit, cohort, folds, items, packed, prep, profile, ranks, screening
 from evimine.plans.facts import BOUNDS, FACTS_SQL, NUMBERS, ROW_KEY, facts, lines, read
 from evimine.sources.scratch import FINE, stored
 
@@ -575,10 +575,14 @@ SELECT place::INTEGER AS place, feature[place] AS feature, family[place] AS fami
 COMPOSITION = _composition_sql()
 
 
+def _facts_with_flag(spark, sf_dir, features) -> DataFrame:
+    f = facts(spark, sf_dir).withColumn("flag_n", (F.col("l_returnflag") == "N").cast("int"))
+    return f.select("split", "grp", "y", *features)
+
+
 def _with_flag(spark, sf_dir, features) -> DataFrame:
     """The features, label, group and split of every row, written once: a fit reads them several times, and the tables are joined for one of those only."""
-    f = facts(spark, sf_dir).withColumn("flag_n", (F.col("l_returnflag") == "N").cast("int"))
-    return stored(f.select("split", "grp", "y", *features), FINE)
+    return stored(_facts_with_flag(spark, sf_dir, features), FINE)
 
 
 def _lines_with_flag(spark, sf_dir, features) -> DataFrame:
@@ -622,10 +626,11 @@ def ml_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ml_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models on the first features of the univariate ranking."""
-    f = _with_flag(spark, sf_dir, [*NUMBERS, "flag_n"])
-    signal = profile.label_signal(profile.long_form(f.where("split = 'train'"), ["y"], NUMBERS), "y")
-    ranked = [r["feature"] for r in signal.orderBy(F.desc("signal"), "feature").collect()] + ["flag_n"]
-    found = screening.feature_sweep(f.where("split = 'train'"), f.where("split = 'test'"), ranked, "y", (3, 7), ("logistic", "boosted"))
+    f = _facts_with_flag(spark, sf_dir, [*NUMBERS, "flag_n"])
+    rows = packed.rows(f, [*NUMBERS, "flag_n"], "y", [F.col("split") == "train"])
+    signal = dict(zip(rows.features, rows.scale.signal[0].tolist(), strict=True))
+    ranked = sorted(NUMBERS, key=lambda c: (-signal[c] if signal[c] == signal[c] else 1.0, c)) + ["flag_n"]
+    found = screening.feature_sweep(f.where("split = 'train'"), f.where("split = 'test'"), ranked, "y", (3, 7), ("logistic", "boosted"), rows)
     return items.local(spark, [(r["n_features"], r["model"], r["auroc"], r["average_precision"]) for r in found],
         "n_features int, model string, auroc double, average_precision double")
 

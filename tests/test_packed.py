@@ -23,7 +23,8 @@ def labelled(spark, n=900, nulls=True, seed=2):
 
 @pytest.mark.parametrize("name", ["logistic", "lasso"])
 def test_linear_models_are_those_of_spark(spark, name, monkeypatch):
-    monkeypatch.setattr(packed, "BLOCK", 200)
+    monkeypatch.setattr(packed, "BLOCK", 100)
+    monkeypatch.setattr(packed, "FIRST", 2)
     df = labelled(spark)
     trains = [F.col("g") % 3 != 0, F.col("g") % 3 != 1]
     r = packed.rows(df, FEATURES, "y", trains)
@@ -116,3 +117,36 @@ def test_lines_are_those_of_facts(spark, tmp_path):
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
         assert (got.agg(F.sum("count")).first()[0] > plans.read(spark, folder, "lineitem").count()) == more
         assert ("Join" in plans.lines(spark, folder)._jdf.queryExecution().executedPlan().toString()) == more
+
+
+def test_boosted_trees_are_those_of_spark(spark, monkeypatch):
+    """So few rows that both take their cuts from all of them. Two splits that part the training rows of a node alike may part others differently."""
+    monkeypatch.setattr(packed, "BLOCK", 100)
+    df = labelled(spark, 480)
+    r = packed.rows(df, FEATURES, "y", [F.col("g") % 4 != 0])
+    train, test = df.where("g % 4 <> 0"), df.where("g % 4 = 0")
+    summed = packed.boosted(r, 0, [(0, 1, 2, 3), (2,)])
+    monkeypatch.setattr(packed, "CELLS", 100)
+    for m, by_cells, features in zip(packed.boosted(r, 0, [(0, 1, 2, 3), (2,)]), summed, (FEATURES, ["f2"]), strict=True):
+        fitted = screening.fit(train, features, "y", "boosted")
+        for side in (train, test):
+            rows = fitted.score(side, "y", FEATURES).toPandas()
+            near = np.isclose(m(rows[FEATURES].to_numpy(float).T), rows["score"], atol=1e-6)
+            assert near.all() if side is train else near.mean() > 0.9
+            same = np.isclose(m(rows[FEATURES].to_numpy(float).T), by_cells(rows[FEATURES].to_numpy(float).T))
+            assert same.all() if side is train else same.mean() > 0.9
+
+
+def test_thresholds():
+    assert packed.thresholds(np.array([3.0]), np.ones(1)).tolist() == [] and packed.thresholds(np.array([1.0, 3.0]), np.ones(2)).tolist() == [2.0]
+    cuts = packed.thresholds(np.arange(1000.0), np.ones(1000))
+    assert len(cuts) == 31 and np.abs(np.diff(cuts) - 1000 / 32).max() < 1.5
+
+
+def test_sweep_takes_the_same_passes_for_all_sizes(spark):
+    """Every size and model was fitted by itself, in jobs of its own."""
+    df = labelled(spark)
+    train, test = df.where("g % 4 <> 0"), df.where("g % 4 = 0")
+    sweep = lambda *sizes: screening.feature_sweep(train, test, ["f0", "f2", "f1", "f3"], "y", sizes, ("logistic", "boosted"))
+    assert [(r["n_features"], r["model"]) for r in sweep(1, 3)] == [(n, m) for n in (1, 3) for m in ("logistic", "boosted")]
+    assert jobs(spark, lambda: sweep(1, 2, 3, 4)) <= jobs(spark, lambda: sweep(4)) + 6
